@@ -16,8 +16,9 @@ from .common import whole
 #: Bounds of the sample that the classifier is fitted on: confirmed toxic texts, and texts taken as unlabelled.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 6_000
 #: Features of the linear classifier, at most: words and their beginnings of these lengths, by the number of distinct words
-#: of a text that have them, if at least this share of the positives does.
-FEATURES, STEMS, SHARE = 500, (4, 5, 6), 0.02
+#: of a text that have them, if at least this share of the positives does, and if positives, by the prior, make up this part
+#: of the unlabelled texts that do.
+FEATURES, STEMS, SHARE, PURITY = 500, (4, 5, 6), 0.02, 0.2
 _WORD = re.compile(r"\w+")
 
 
@@ -38,7 +39,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"positive": pdf["positive"], "f": [i.view(np.int32).tolist() for i, _ in ids], "n": [np.minimum(n, 255).astype(np.int32).tolist() for _, n in ids]})
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 150, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear classifier with the least non-negative positive-unlabelled risk.
 
     Risk: prior * E+[loss(1)] + max(0, Eu[loss(-1)] - prior * E+[loss(-1)]), logistic loss. Where the part in max is below
@@ -94,7 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids, at = np.unique(flat, return_inverse=True)
     in_p, in_u = np.bincount(at[is_p[row]], minlength=len(ids)), np.bincount(at[~is_p[row]], minlength=len(ids))
     rate_p, rate_u = in_p / is_p.sum(), (in_u + 0.5) / (~is_p).sum()
-    gain = np.where(in_p >= max(3, SHARE * is_p.sum()), rate_p * np.log(np.maximum(rate_p, 1e-12) / rate_u), -1.0)
+    pure = prior * rate_p >= PURITY * rate_u
+    gain = np.where(pure & (in_p >= max(3, SHARE * is_p.sum())), rate_p * np.log(np.maximum(rate_p, 1e-12) / rate_u), -1.0)
     best = np.lexsort((ids, -gain))[:FEATURES]
     best = best[gain[best] > 0]
     place = np.full(len(ids), -1)
