@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import whole
 
 #: Encoded pieces and checked pairs that a worker remembers at most; older ones are worked out again.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 class Vocabulary:
@@ -23,7 +23,7 @@ class Vocabulary:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.longest = max(map(len, ranks), default=1)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self._alone: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
         self._new: dict[str, tuple[str, int]] = {}
         self._old: dict[str, tuple[str, int]] = {}
@@ -32,22 +32,23 @@ class Vocabulary:
     def load(cls, data: bytes, pattern: str) -> Vocabulary:
         return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}, pattern)
 
-    def merge(self, data: bytes) -> list[int]:
-        """Merges by rank, lowest and leftmost first: the definition, used for pairs of tokens only."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-            rank, i = min(ranked)
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; none for single bytes, and for tokens that the merges never make."""
+        if token not in self._halves:
+            parts, last = [self.bytes_of[token][i : i + 1] for i in range(len(self.bytes_of[token]))], None
+            while len(parts) > 1:
+                rank, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank == 1 << 60:
+                    last = None
+                    break
+                last = self.ranks[parts[i]], self.ranks[parts[i + 1]]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self._halves[token] = last
+        return self._halves[token]
 
     def alone(self, token: int) -> bool:
         """Whether the merges make this token of its own bytes."""
-        if token not in self._alone:
-            self._alone[token] = self.merge(self.bytes_of[token]) == [token]
-        return self._alone[token]
+        return len(self.bytes_of[token]) == 1 or self.halves(token) is not None
 
     def pair(self, a: int, b: int) -> bool:
         """Whether the merges leave these two tokens as they are."""
@@ -56,17 +57,44 @@ class Vocabulary:
         if known is None:
             if len(self._pairs) > 2 * REMEMBERED:
                 self._pairs.clear()
-            known = self._pairs[key] = self.alone(a) and self.alone(b) and self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._pairs[key] = self.alone(a) and self.alone(b) and self.apart(a, b)
         return known
 
+    def apart(self, a: int, b: int) -> bool:
+        """Whether no merge across the border of a and b comes first.
+
+        Goes back in time: the later of the two tokens' last merges is undone, which leaves the parts that met at the
+        border before it; a merge of these wins if its rank is lower than that of what was undone (the same rank: leftmost first).
+        """
+        before = 1 << 60
+        while True:
+            across = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if across is not None and across < before:
+                return False
+            x, y = self.halves(a), self.halves(b)
+            if x is None and y is None:
+                return True
+            if y is None or (x is not None and a > b):
+                before, a = a, x[1]
+            else:
+                before, b = b + 1, y[0]
+
     def extend(self, data: bytes, last: list[int], start: int) -> None:
         """Fill last[i], for i from start + 1: the last token of the encoding of data's first i bytes. It is the only token
         that ends there, fits the last token before it, and has a stable pair with it. last[0] is -1."""
-        ranks, longest, pair = self.ranks.get, self.longest, self.pair
+        ranks, longest, known, pair = self.ranks.get, self.longest, self._pairs.get, self.pair
         for i in range(start + 1, len(data) + 1):
             for j in range(max(0, i - longest), i):
                 t = ranks(data[j:i])
-                if t is not None and (pair(last[j], t) if j else self.alone(t)):
+                if t is None:
+                    continue
+                if j:
+                    fits = known(last[j] << 32 | t)
+                    if fits is None:
+                        fits = pair(last[j], t)
+                else:
+                    fits = self.alone(t)
+                if fits:
                     last.append(t)
                     break
             else:
