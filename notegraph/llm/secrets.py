@@ -68,5 +68,6 @@ def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     out = new if ledger is None else ledger.select(*new.columns).unionByName(new)
     current = F.concat_ws("@", "kind", "version").isin([f"{r.kind}@{r.version}" for r in rules])
     by_blob = out.where(current).groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("kind", "spans"))).alias("kinds"))
+    by_blob = cut(by_blob, "by-blob")  # so that the join reads two plain sides, and a blob of very many paths can be split
     findings = paths.join(by_blob, "blob", "left").select(F.col("_id").alias(id_col), "blob", "kinds")
     return findings, out
