@@ -13,8 +13,10 @@ from .common import cut, whole
 
 #: Bytes of the gram that an anchor hashes.
 GRAM = 40
-#: Distinct contexts of a gram up to which they meet in one suffix array, and bytes of a suffix array's batch.
-GROUP, BATCH = 100, 1 << 21
+#: Distinct contexts of a gram up to which they meet in one suffix array, and bytes that fill a suffix array's batch.
+GROUP, BATCH = 4_000, 1 << 20
+#: Neighbouring windows that are compared at once where a gram has more contexts than GROUP.
+BLOCK = 24
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -99,39 +101,96 @@ def _marks(length: int):
 
 
 def _contexts(length: int):
-    """A row with the bytes around each open anchor; for anchors of a crowded gram, a row with the hash of each window."""
+    """A row with the bytes around each wanted anchor; start: where they begin, off: the anchor in them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, x, text, wanted in zip(pdf["id"], pdf["x"], pdf["text"], pdf["wanted"]):
                 data = text.encode("utf-8")
-                h = None
                 for a in wanted:
-                    at, gram, n, crowded = (a[k] for k in ("pos", "gram", "n", "crowded"))
+                    at = a["pos"]
                     left, right = max(0, at - (length - GRAM)), min(len(data), at + length)
-                    if not crowded:
-                        out.append((gram, 0, doc, x, left, n, data[left:right]))
-                        continue
-                    h = h or Hashes(data)
-                    s = np.arange(left, right - length + 1)
-                    key = _mix(_U(gram & 0xFFFFFFFFFFFFFFFF) + (at - s).astype(_U)).view(np.int64).tolist()
-                    out += [(k, v, doc, x, int(p), n, None) for k, v, p in zip(key, h.of(s, s + length).view(np.int64).tolist(), s)]
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=_COLUMNS)
-                    out = []
-            yield pd.DataFrame(out, columns=_COLUMNS)
+                    out.append((a["gram"], doc, x, left, a["n"], at - left, a["crowded"], data[left:right]))
+            yield pd.DataFrame(out, columns=["gram", "id", "x", "start", "n", "off", "crowded", "data"])
 
     return run
 
 
-_COLUMNS = ["key", "window", "id", "x", "start", "n", "data"]
+def _blocks(length: int):
+    """Rows for blocks of neighbouring windows of a context: the hash of what all of them cover (core), and of what any covers (union)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for gram, doc, x, start, n, off, data in zip(*(pdf[c] for c in ("gram", "id", "x", "start", "n", "off", "data"))):
+                b = np.arange((length - GRAM) // BLOCK + 1)
+                first, last = off - np.minimum(b * BLOCK + BLOCK - 1, length - GRAM), off - b * BLOCK
+                a, z = np.maximum(first, 0), np.minimum(last, len(data) - length)
+                ok = a <= z
+                b, first, last, a, z = b[ok], first[ok], last[ok], a[ok], z[ok]
+                h = Hashes(data)
+                union = _mix(h.of(a, z + length) + (off - a).astype(_U))
+                core = h.of(last, first + length)
+                k = len(b)
+                out.append((np.full(k, gram), b, core.view(np.int64), union.view(np.int64), np.full(k, doc), np.full(k, x), np.full(k, start), np.full(k, off), np.full(k, n), start + a, start + z + length))
+            if out:
+                yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("gram", "b", "core", "union", "id", "x", "start", "off", "n", "from", "to"))})
+
+    return run
+
+
+def _windows(length: int):
+    """A row for each window of a context's open blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for gram, doc, x, start, off, data, blocks in zip(*(pdf[c] for c in ("gram", "id", "x", "start", "off", "data", "blocks"))):
+                h = Hashes(data)
+                for block in blocks:
+                    b = block["b"]
+                    s = np.arange(max(0, off - min(b * BLOCK + BLOCK - 1, length - GRAM)), min(off - b * BLOCK, len(data) - length) + 1)
+                    k = len(s)
+                    out.append((np.full(k, gram), off - s, h.of(s, s + length).view(np.int64), np.full(k, doc), np.full(k, x), start + s, np.full(k, block["n"])))
+            if out:
+                yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("gram", "rel", "window", "id", "x", "from", "n"))})
+
+    return run
+
+
+def _crowded(rows: DataFrame, length: int, first_stays: bool) -> DataFrame:
+    """(id, x, start, end) repeated among the contexts of crowded grams, by counts of hashes, so that no group meets in one task.
+
+    Equal unions repeat all windows of their block. A block whose core nobody else has repeats none. In what is left,
+    one of each union, windows are counted.
+    """
+    blocks = cut(rows.mapInPandas(_blocks(length), "gram long, b int, core long, union long, id long, x long, start int, off int, n long, `from` int, `to` int"), "blocks")
+    unions = cut(blocks.groupBy("gram", "b", "core", "union").agg(F.sum("n").alias("n"), F.min(F.struct("id", "x", "start", "off")).alias("rep")), "unions")
+    whole_ = blocks.select("gram", "b", "core", "union", "id", "x", "start", "off", "from", "to").join(unions.where("n > 1").select("gram", "b", "core", "union", "rep"), ["gram", "b", "core", "union"])
+    cores = unions.groupBy("gram", "b", "core").agg(F.count("*").alias("m")).where("m > 1")
+    cores = cut(cores, "cores")
+    open_ = unions.join(cores, ["gram", "b", "core"]).groupBy("gram", "rep.id", "rep.x", "rep.start", "rep.off").agg(F.collect_list(F.struct("b", "n")).alias("blocks"))
+    windows = cut(rows.join(open_, ["gram", "id", "x", "start", "off"]).select("gram", "id", "x", "start", "off", "data", "blocks").mapInPandas(_windows(length), "gram long, rel int, window long, id long, x long, `from` int, n long"), "windows")
+    counted = windows.groupBy("gram", "rel", "window").agg(F.sum("n").alias("c"), F.min(F.struct("id", "x", "from")).alias("head")).where("c > 1")
+    counted = cut(counted, "counted")
+    hits = windows.select("gram", "rel", "window", "id", "x", "from").join(counted, ["gram", "rel", "window"])
+    if first_stays:
+        whole_ = whole_.where(F.struct("id", "x", "start", "off") != F.col("rep"))
+        hits = hits.where(F.struct("id", "x", "from") != F.col("head"))
+    return whole_.select("id", "x", F.col("from").alias("start"), F.col("to").alias("end")).unionByName(hits.select("id", "x", F.col("from").alias("start"), (F.col("from") + length).cast("int").alias("end")))
 
 
-def suffix_classes(data: np.ndarray, length: int) -> np.ndarray:
-    """Each place's rank in the suffix order cut at `length` bytes: prefix doubling, then one step to `length`.
+def _names(key: np.ndarray, ordered: bool) -> np.ndarray:
+    """Small numbers for the keys, equal for equal ones; in the keys' order, or in that of appearance, which needs no sort."""
+    return np.unique(key, return_inverse=True)[1].astype(np.int64) if ordered else pd.factorize(key)[0].astype(np.int64)
 
-    The last `length` - 1 places are compared as if zeros followed. Needs length >= 8.
+
+def suffix_classes(data: np.ndarray, length: int, ordered: bool = True) -> np.ndarray:
+    """Each place's rank in the suffix order cut at `length` bytes, by prefix doubling and tripling.
+
+    Not ordered: the same classes, but ranks of classes in order of appearance. The last `length` - 1 places are compared as
+    if zeros followed. Needs length >= 8.
     """
     n = len(data)
     padded = np.zeros(n + 8, _U)
@@ -139,33 +198,57 @@ def suffix_classes(data: np.ndarray, length: int) -> np.ndarray:
     v = np.zeros(n, _U)
     for j in range(8):
         v = (v << _U(8)) | padded[j : j + n]
-    rank, k = np.unique(v, return_inverse=True)[1].astype(np.int64), 8
-
-    def joined(step: int) -> np.ndarray:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        return np.unique(rank << 32 | after, return_inverse=True)[1].astype(np.int64)
-
-    while 2 * k <= length:
-        rank, k = joined(k), 2 * k
-    return joined(length - k) if length > k else rank
+    rank, k = _names(v, ordered), 8
+
+    def joined(*steps: int) -> np.ndarray:
+        key, bits = rank, 63 // (len(steps) + 1)
+        for step in steps:
+            after = np.zeros(n, np.int64)
+            after[: n - step] = rank[step:] + 1
+            key = key << bits | after
+        return _names(key, ordered)
+
+    while k < length:  # three ranks of under 2^21 fit one key, else two
+        steps = [k, 2 * k] if 2 * k < length and rank.max() < (1 << 21) - 2 else [k]
+        steps = [min(s, length - k) for s in steps]
+        rank, k = joined(*steps), k + steps[-1]
+    return rank
+
+
+def candidates(rows: list[tuple], length: int) -> list[tuple]:
+    """rows less those none of whose windows can be repeated: no other of their gram has the same hash at the same place."""
+    lens = np.array([len(r[5]) for r in rows])
+    begin = np.cumsum(lens) - lens
+    row = np.repeat(np.arange(len(rows)), np.maximum(lens - length + 1, 0))
+    counts = np.maximum(lens - length + 1, 0)
+    off = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+    at = begin[row] + off
+    gram, anchor = np.array([r[0] for r in rows], dtype=np.int64).view(_U), np.array([r[6] for r in rows])
+    key = Hashes(b"".join(r[5] for r in rows)).of(at, at + length) ^ _mix(gram[row] + (anchor[row] - off).astype(_U))
+    name = pd.factorize(key)[0]
+    live = np.zeros(len(rows), bool)
+    live[row[np.bincount(name)[name] > 1]] = True
+    return [r for r, on in zip(rows, live) if on]
 
 
 def repeats(rows: list[tuple], length: int, first_stays: bool) -> list[tuple[int, int, int, int]]:
     """(id, x, start, end) of bytes in rows' contexts that a string of `length` covers which also starts elsewhere in rows.
 
-    Suffixes of all contexts are ordered up to `length` bytes; suffixes that agree so far are sorted by absolute
-    position, so the previous smaller position of each is its neighbour there, and its longest previous factor has at least `length`
+    rows: (gram, id, x, start, n, data, off). Suffixes of all contexts that are candidates are ranked up to `length` bytes; in suffix order, those that agree so far stand by
+    absolute position, so the previous smaller position of each is its neighbour there, and its longest previous factor has at least `length`
     bytes exactly if that neighbour is another position. first_stays keeps the first; else the next position counts too.
     """
-    lens = np.array([len(r[6]) for r in rows])
-    data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+    rows = candidates(rows, length)
+    if not rows:
+        return []
+    lens = np.array([len(r[5]) for r in rows])
+    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
     begin = np.cumsum(lens) - lens
-    cls = suffix_classes(data, length)
+    cls = suffix_classes(data, length, ordered=False)
     row = np.repeat(np.arange(len(rows)), lens)
     off = np.arange(len(data)) - begin[row]
     ok = np.flatnonzero(off + length <= lens[row])
-    doc, x, start, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (2, 3, 4, 5))
+    doc, x, start, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3, 4))
     c, r = cls[ok], row[ok]
     d, y, p = doc[r], x[r], start[r] + off[ok]
     order = np.lexsort((p, y, d, c))
@@ -196,13 +279,13 @@ def _cold(length: int, first_stays: bool):
         held: list[tuple] = []
         size, key = 0, None
         for pdf in batches:
-            for r in zip(pdf["key"], [None] * len(pdf), pdf["id"], pdf["x"], pdf["start"], pdf["n"], pdf["data"]):
+            for r in zip(*(pdf[c] for c in ("gram", "id", "x", "start", "n", "data", "off"))):
                 if r[0] != key and size > BATCH:
                     yield pd.DataFrame(repeats(held, length, first_stays), columns=["id", "x", "start", "end"])
                     held, size = [], 0
                 key = r[0]
                 held.append(r)
-                size += len(r[6])
+                size += len(r[5])
         if held:
             yield pd.DataFrame(repeats(held, length, first_stays), columns=["id", "x", "start", "end"])
 
@@ -225,7 +308,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     - a context that occurs more than once is repeated as a whole, and counted before any shuffle;
     - a gram with one context has no other repeats;
     - else its distinct contexts, up to GROUP, meet in a suffix array with longest previous factors (see repeats);
-    - for more contexts than GROUP, the windows' own hashes are counted instead, which has no group in one task.
+    - for more contexts than GROUP, hashes of blocks and windows are counted instead, with no group in one task (see _crowded).
     A text shorter than `length` has no repeats; neither do empty ones. Rows equal in id and text count as copies.
     """
     if length < GRAM + 8:
@@ -235,6 +318,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = cut(d.mapInPandas(_marks(length), "id long, x long, pos int, gram long, ctx long"), "anchors")
     contexts = cut(marks.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "x", "pos")).alias("rep")), "contexts")
     grams = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("lone")).where("m > 1" if first_stays else "m > 1 and lone > 0")
+    grams = cut(grams, "grams")  # here and below: so that a join reads two plain sides, and a crowded key can be split
     range_ = [F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end")]
     settled = marks.join(contexts.where("n > 1"), ["gram", "ctx"])
     if first_stays:
@@ -242,15 +326,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = settled.select("id", "x", *range_)
     open_ = contexts.join(grams, "gram").select("rep.*", "gram", "n", (F.col("m") > GROUP).alias("crowded"))
     wanted = open_.groupBy("id", "x").agg(F.collect_list(F.struct("pos", "gram", "n", "crowded")).alias("wanted"))
-    found = cut(d.join(wanted, ["id", "x"]).mapInPandas(_contexts(length), "key long, window long, id long, x long, start int, n long, data binary"), "contexts")
-    cold = found.where("data is not null").repartition("key").sortWithinPartitions("key")
+    found = cut(d.join(wanted, ["id", "x"]).mapInPandas(_contexts(length), "gram long, id long, x long, start int, n long, off int, crowded boolean, data binary"), "around")
+    cold = found.where("not crowded").select("gram", "id", "x", "start", "n", "off", "data").repartition("gram").sortWithinPartitions("gram")
     spans = spans.unionByName(cold.mapInPandas(_cold(length, first_stays), "id long, x long, start int, end int"))
-    hot = found.where("data is null")
-    counted = hot.groupBy("key", "window").agg(F.sum("n").alias("c"), F.min(F.struct("id", "x", "start")).alias("head")).where("c > 1")
-    hits = hot.select("key", "window", "id", "x", "start").join(counted, ["key", "window"])
-    if first_stays:
-        hits = hits.where(F.struct("id", "x", "start") != F.col("head"))
-    spans = spans.unionByName(hits.select("id", "x", "start", (F.col("start") + length).cast("int").alias("end")))
+    if found.where("crowded").limit(1).count():
+        spans = spans.unionByName(_crowded(found.where("crowded").drop("crowded"), length, first_stays))
     return spans.groupBy("id", "x").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
