@@ -1,7 +1,437 @@
-"""Registered queries over the reference tables and their SQL."""
+"""Registered queries over the data tables, and DuckDB SQL with the same rows.
+
+Operators over pages run on a vault made of `documents` by integer arithmetic; the Spark query parses its texts, while the
+SQL derives the result from the arithmetic.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import markdown as M
+from ..operators import communities as C
+from ..operators import fixes, links, metrics, rules
+from ..operators import vectors as V
+from ..sources import vault
+from . import views
+
 FLAGSHIP = "vec_topk_similar"
+AS_OF = "2024-01-31"
+
+#: Plain SQL for both engines: the numbers that a page is made of.
+NUMBERS = """
+SELECT id, n, concat('D', id) AS name, folder,
+  CASE WHEN folder = '' THEN 'meta' WHEN id % 11 = 0 THEN 'idea' WHEN folder = 'ideas' THEN 'idea' WHEN folder = 'entities' THEN 'entity'
+       WHEN folder = 'questions' THEN 'question' WHEN folder = 'domains' THEN 'domain' ELSE 'mind' END AS kind,
+  (3 * id + 1) % n AS b1, (id + 17) % n AS b2, (7 * id + 3) % n AS r1, (13 * id + 5) % n AS r2,
+  (12 * id) % (n - n % 6) + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS dm,
+  CASE WHEN id % 8 = 0 THEN 'odd' WHEN id % 8 = 1 THEN 'evaluation' WHEN folder = 'minds' THEN 'draft' ELSE 'ready' END AS status,
+  concat('2024-01-', CASE WHEN id % 28 < 9 THEN '0' ELSE '' END, 1 + id % 28) AS updated,
+  concat(CASE WHEN folder = '' THEN '' ELSE concat(folder, '/') END, 'D', id, '.md') AS path
+FROM (SELECT doc_id AS id, (SELECT count(*) FROM {documents}) AS n,
+  CASE doc_id % 6 WHEN 0 THEN 'domains' WHEN 1 THEN 'ideas' WHEN 2 THEN 'entities' WHEN 3 THEN 'questions' WHEN 4 THEN 'minds' ELSE '' END AS folder FROM {documents}) x"""
+
+TEXTS = (
+    """
+SELECT path, concat('---', chr(10), 'type: ', kind, chr(10),
+  CASE WHEN id % 7 = 0 THEN '' ELSE concat('summary: "About D', id, '"', chr(10)) END,
+  'status: ', status, chr(10),
+  CASE WHEN id % 4 = 0 THEN concat('tags: [a, b]', chr(10)) ELSE concat('tags:', chr(10), '  - a', chr(10)) END,
+  CASE WHEN id % 13 = 0 THEN '' ELSE concat('updated: ', updated, chr(10)) END,
+  'domain:', chr(10), '  - "[[D', dm, ']]"', chr(10),
+  'related:', chr(10), '  - "[[D', r1, ']]"', chr(10), '  - "[[D', r2, '|other]]"', chr(10),
+  'sources:', chr(10), '  - "[[raw/S', id, '.md]]"', chr(10), '---', chr(10),
+  'Page D', id, ' sees [[D', b1, ']] and [[wiki/ideas/D', b2, '|x]], ![[D1]] and `[[D2]]`.', chr(10),
+  '```', chr(10), '[[D3]]', chr(10), '```', chr(10),
+  CASE WHEN id % 5 = 0 THEN concat('Gone [[D', n + id, '#part]].', chr(10)) ELSE '' END,
+  CASE WHEN id % 9 = 0 THEN concat('See [[raw/S', id, ']].', chr(10)) ELSE '' END) AS text
+FROM ("""
+    + NUMBERS
+    + ") y"
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_V = "WITH v AS (" + NUMBERS.format(documents="documents") + "), "
+_ALL_LINKS = "l AS (SELECT id, n, folder, kind, b1 AS d, 'body' AS o FROM v UNION ALL SELECT id, n, folder, kind, b2, 'body' FROM v UNION ALL SELECT id, n, folder, kind, n + id, 'body' FROM v WHERE id % 5 = 0 UNION ALL SELECT id, n, folder, kind, r1, 'related' FROM v UNION ALL SELECT id, n, folder, kind, r2, 'related' FROM v UNION ALL SELECT id, n, folder, kind, dm, 'domain' FROM v)"
+_LINT = _V + _ALL_LINKS + ", e AS (SELECT DISTINCT id AS s, d FROM l)"
+_SCORE = "folder <> '' AND kind NOT IN ('meta', 'domain')"
+_EDGE = _V + _ALL_LINKS + f", nodes AS (SELECT * FROM v WHERE {_SCORE}), e AS (SELECT DISTINCT l.id AS s, l.d FROM l JOIN nodes a ON a.id = l.id JOIN nodes b ON b.id = l.d WHERE l.id <> l.d)"
+_MAP = _V + _ALL_LINKS + ", e AS (SELECT DISTINCT l.id AS s, l.d FROM l JOIN v b ON b.id = l.d WHERE l.folder <> '' AND b.folder <> '' AND o <> 'domain')"
+_UND = _MAP + ", u AS (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM e WHERE s <> d), p AS (SELECT id, id % 7 AS c FROM v), w AS (SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u), z AS (SELECT x, y, p.c AS cx, q.c AS cy FROM w JOIN p ON p.id = x JOIN p q ON q.id = y)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf.rstrip('/')}/{table}.parquet")
+
+
+def pages_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The made vault, parsed."""
+    return vault.parsed(spark.sql(TEXTS.format(documents="{docs}"), docs=_read(spark, sf, "documents")))
+
+
+def index_of(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "embeddings").select(F.col("vec_id").alias("name"), F.col("embedding").alias("vec"), "label")
+
+
+_COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+_PAIRS = f"WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, {_COS} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) "
+
+
+@query("vec_topk_similar", f"SELECT b.vec_id AS name, round({_COS}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id <> 0 ORDER BY {_COS} DESC, b.vec_id LIMIT 10")
+def _(spark, sf):
+    idx = index_of(spark, sf)
+    q = idx.where("name = 0").first()
+    return V.top_k(idx, list(q["vec"]), 10, exclude=0).withColumn("sim", F.round("sim", 6))
+
+
+@query("vec_topk_filtered", f"SELECT b.vec_id AS name, round({_COS}, 6) AS sim, CAST(b.label AS VARCHAR) AS folder FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id <> 0 AND b.label > 3 ORDER BY {_COS} DESC, b.vec_id LIMIT 10")
+def _(spark, sf):
+    idx = index_of(spark, sf)
+    q = idx.where("name = 0").first()
+    cat = idx.select("name", F.when(F.col("label") > 3, F.col("label").cast("string")).otherwise("meta").alias("folder"))
+    ranked = idx.where("name <> 0").select("name", V.cosine(F.col("vec"), F.array(*[F.lit(float(x)) for x in q["vec"]])).alias("sim"))
+    return V.filtered(ranked, cat, 10).select("name", F.round("sim", 6).alias("sim"), "folder")
+
+
+@query("vec_pair_stats", _PAIRS + "SELECT count(*) AS pairs, round(min(sim), 6) AS min, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.75), 6) AS p75, round(quantile_cont(sim, 0.95), 6) AS p95, round(quantile_cont(sim, 0.99), 6) AS p99, round(max(sim), 6) AS max FROM s")
+def _(spark, sf):
+    out = V.pair_stats(V.pairs(index_of(spark, sf)))
+    return out.select("pairs", *[F.round(c, 6).alias(c) for c in out.columns if c != "pairs"])
+
+
+@query("vec_tightest_pair", _PAIRS + "SELECT a, b, round(sim, 6) AS sim FROM s ORDER BY s.sim DESC, a, b LIMIT 1")
+def _(spark, sf):
+    return V.tightest(V.pairs(index_of(spark, sf))).withColumn("sim", F.round("sim", 6))
+
+
+@query("vec_isolation", _PAIRS + "SELECT name, round(greatest(max(sim), 0), 6) AS nearest FROM (SELECT a AS name, sim FROM s UNION ALL SELECT b, sim FROM s) GROUP BY name")
+def _(spark, sf):
+    return V.isolation(V.pairs(index_of(spark, sf))).withColumn("nearest", F.round("nearest", 6))
+
+
+@query("vec_group_cohesion", _PAIRS + "SELECT la AS label, round(avg(sim), 6) AS cohesion, (SELECT count(*) FROM embeddings e WHERE e.label = la) AS members FROM s WHERE la = lb GROUP BY la")
+def _(spark, sf):
+    return V.cohesion(index_of(spark, sf), "label", zero_fill=False).withColumn("cohesion", F.round("cohesion", 6))
+
+
+@query("vec_centroid", "SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean, count(*) AS n FROM embeddings, range(1, 65) t(i) GROUP BY label, i")
+def _(spark, sf):
+    return V.centroids(index_of(spark, sf), "label").withColumn("mean", F.round("mean", 6))
+
+
+_TWO = "(SELECT vec_id AS name, (7 * vec_id + 3) % (SELECT count(*) FROM embeddings) AS o FROM embeddings UNION SELECT vec_id, (13 * vec_id + 5) % (SELECT count(*) FROM embeddings) FROM embeddings)"
+
+
+def _two(spark, sf) -> DataFrame:
+    return spark.sql("SELECT vec_id AS name, (7 * vec_id + 3) % (SELECT count(*) FROM {e}) AS o FROM {e} UNION SELECT vec_id, (13 * vec_id + 5) % (SELECT count(*) FROM {e}) FROM {e}", e=_read(spark, sf, "embeddings").select("vec_id"))
+
+
+@query("vec_similar_unlinked", _PAIRS + f"SELECT a, b, round(sim, 6) AS sim FROM s WHERE sim > (SELECT quantile_cont(sim, 0.95) FROM s) AND NOT EXISTS (SELECT 1 FROM {_TWO} t WHERE (t.name = a AND t.o = b) OR (t.name = b AND t.o = a))")
+def _(spark, sf):
+    idx = index_of(spark, sf)
+    return V.similar_unlinked(V.pairs(idx), _two(spark, sf).select(F.col("name").alias("src"), F.col("o").alias("dst")), idx, 0.95, 0.0).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("vec_contradiction_candidates", _PAIRS + "SELECT a, b, round(sim, 3) AS similarity FROM s WHERE sim > greatest((SELECT quantile_cont(sim, 0.75) FROM s), 0.3)")
+def _(spark, sf):
+    idx = index_of(spark, sf)
+    return V.contradiction_candidates(V.pairs(idx), idx, 0.75, 0.3)
+
+
+@query("vec_centroid_drift", f"WITH c AS (SELECT t.name, i, avg(CAST(e.embedding[i] AS DOUBLE)) AS m FROM {_TWO} t JOIN embeddings e ON e.vec_id = t.o, range(1, 65) r(i) GROUP BY t.name, i), k AS (SELECT name, list(m ORDER BY i) AS m FROM c GROUP BY name), d AS (SELECT name, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), m) AS drift FROM k JOIN embeddings ON vec_id = name) SELECT name, round(drift, 6) AS drift, round((SELECT greatest(avg(drift) + 1.5 * stddev_pop(drift), 0.1) FROM d), 6) AS threshold FROM d WHERE drift > (SELECT greatest(avg(drift) + 1.5 * stddev_pop(drift), 0.1) FROM d)")
+def _(spark, sf):
+    idx = index_of(spark, sf)
+    return V.drift(idx, _two(spark, sf).withColumnRenamed("o", "source"), idx).select("name", F.round("drift", 6).alias("drift"), F.round("threshold", 6).alias("threshold"))
+
+
+@query("vec_projection2d")
+def _(spark, sf):
+    return V.fit_to_canvas(V.projection_2d(index_of(spark, sf)))
+
+
+@query("vec_index_changes", "SELECT doc_id AS name, CASE WHEN doc_id % 5 = 0 THEN 'insert' WHEN doc_id % 7 = 0 THEN 'update' ELSE 'keep' END AS action FROM documents UNION ALL SELECT -1 - doc_id, 'delete' FROM documents WHERE doc_id % 9 = 0")
+def _(spark, sf):
+    d = _read(spark, sf, "documents").select(F.col("doc_id").alias("name"), M.content_hash(F.col("text")).alias("hash"))
+    old = d.where("name % 5 <> 0").withColumn("hash", F.when(F.col("name") % 7 == 0, "old").otherwise(F.col("hash")))
+    return V.index_changes(old.unionByName(d.where("name % 9 = 0").withColumn("name", -1 - F.col("name"))), d)
+
+
+# Text
+
+
+@query("text_wordcount_top", r"SELECT word, count(*) AS n FROM (SELECT CASE WHEN length(w) <= 5 AND w = upper(w) THEN w ELSE lower(w) END AS word, doc_id, i FROM (SELECT doc_id, i, regexp_extract_all(text, '[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9_-]{2,}')[i] AS w FROM documents, LATERAL (SELECT unnest(range(1, len(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9_-]{2,}')) + 1)) AS i)) x) y WHERE lower(word) NOT IN ('the', 'and', 'que') GROUP BY word ORDER BY n DESC, min((doc_id, i)) LIMIT 60")
+def _(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", "text")
+    w = d.select("doc_id", M.words(F.col("text")).alias("w")).select("doc_id", F.array_join("w", " ").alias("text"))
+    return metrics.word_counts(w, "doc_id", "text", ["the", "and", "que"], 60)
+
+
+@query("text_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def _(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", M.content_hash(F.col("text")).alias("hash"))
+
+
+@query("text_abbr", "SELECT p_partkey, array_to_string(list_transform(list_filter(string_split_regex(p_name, '\\s+'), lambda w: w <> ''), lambda w: upper(w[1])), '') AS abbr FROM part")
+def _(spark, sf):
+    return _read(spark, sf, "part").select("p_partkey", M.abbreviation(F.col("p_name")).alias("abbr"))
+
+
+@query("text_safe_stem", "SELECT p_partkey, trim(regexp_replace(p_type || ' ' || p_name, '[^a-zA-Z0-9_-]', '-', 'g'), '-') AS stem FROM part")
+def _(spark, sf):
+    return _read(spark, sf, "part").select("p_partkey", M.safe_stem(F.concat_ws(" ", "p_type", "p_name")).alias("stem"))
+
+
+# Pages
+
+
+@query("md_frontmatter", _V.rstrip(", ") + " SELECT name, kind AS type, status, CASE WHEN id % 7 = 0 THEN NULL ELSE 'About D' || id END AS summary, CASE WHEN id % 4 = 0 THEN 'a,b' ELSE 'a' END AS tags, CASE WHEN id % 4 = 0 THEN 'tags' ELSE '' END AS inline_lists, CASE WHEN id % 13 = 0 THEN NULL ELSE updated END AS updated FROM v")
+def _(spark, sf):
+    s = lambda k: F.try_element_at("fm_scalars", F.lit(k)).alias(k)
+    return pages_of(spark, sf).select("name", s("type"), s("status"), s("summary"), F.array_join(F.try_element_at("fm_lists", F.lit("tags")), ",").alias("tags"), F.array_join("inline_lists", ",").alias("inline_lists"), s("updated"))
+
+
+@query("md_wikilinks_lint", _V + _ALL_LINKS + " SELECT 'D' || id AS src, 'D' || d AS dst, o AS origin FROM l UNION ALL SELECT name, 'raw/S' || id, 'body' FROM v WHERE id % 9 = 0")
+def _(spark, sf):
+    return links.raw_links(pages_of(spark, sf))
+
+
+@query("md_wikilinks_dash", _V + _ALL_LINKS + " SELECT 'D' || id AS src, 'D' || d AS dst, o AS origin FROM l UNION ALL SELECT name, 'S' || id, 'body' FROM v WHERE id % 9 = 0 UNION ALL SELECT name, 'S' || id, 'sources' FROM v")
+def _(spark, sf):
+    return links.raw_links(pages_of(spark, sf), "dash")
+
+
+@query("md_rename", _V.rstrip(", ") + " SELECT path, CASE WHEN path = 'ideas/D7.md' THEN 1 ELSE 0 END AS moved, CAST((b1 = 7)::INT + (r1 = 7)::INT + (r2 = 7)::INT + (dm = 7)::INT AS BIGINT) AS n_links FROM v WHERE b1 = 7 OR r1 = 7 OR r2 = 7 OR dm = 7 OR path = 'ideas/D7.md'")
+def _(spark, sf):
+    t = pages_of(spark, sf).select(F.concat(F.lit("wiki/"), "path").alias("path"), "text")
+    r = fixes.renamed(t, "wiki/ideas/D7.md", "wiki/ideas/Seven.md")
+    return r.select(F.substring("path", 6, 100).alias("path"), (F.col("path") != F.col("new_path")).cast("int").alias("moved"), F.size(F.regexp_extract_all("new_text", F.lit(r"\[\[Seven[\]|#]"), F.lit(0))).cast("long").alias("n_links"))
+
+
+@query("md_canonical_fix", _V.rstrip(", ") + " SELECT path AS \"where\", '[[wiki/ideas/D' || b2 || '|x]]' AS link, '[[D' || b2 || '|x]]' AS fix FROM v")
+def _(spark, sf):
+    return rules.non_canonical_wikilink(pages_of(spark, sf)).select("where", "link", "fix")
+
+
+@query("graph_edges_lint", _LINT + " SELECT 'D' || s AS src, 'D' || d AS dst FROM e")
+def _(spark, sf):
+    return links.graph(pages_of(spark, sf), "lint")
+
+
+@query("graph_edges_dash", _LINT + " SELECT 'D' || s AS src, 'D' || d AS dst FROM e WHERE s <> d AND d IN (SELECT id FROM v)")
+def _(spark, sf):
+    return links.graph(pages_of(spark, sf), "dash")
+
+
+@query("graph_edges_edge", _EDGE + " SELECT 'D' || s AS src, 'D' || d AS dst FROM e")
+def _(spark, sf):
+    return links.graph(pages_of(spark, sf), "edge")
+
+
+@query("graph_edges_map", _MAP + " SELECT 'D' || s AS src, 'D' || d AS dst FROM e")
+def _(spark, sf):
+    return links.graph(pages_of(spark, sf), "map")
+
+
+@query("graph_degree", _EDGE + " SELECT name, (SELECT count(*) FROM e WHERE s = id) AS out_degree, (SELECT count(*) FROM e WHERE d = id) AS in_degree FROM nodes")
+def _(spark, sf):
+    p = pages_of(spark, sf)
+    return links.degrees(links.graph(p, "edge"), vault.scoreable(p))
+
+
+@query("graph_orphans", _MAP + " SELECT name FROM v WHERE folder <> '' AND kind <> 'meta' AND id NOT IN (SELECT d FROM e)")
+def _(spark, sf):
+    return links.orphans(pages_of(spark, sf), "map")
+
+
+@query("graph_most_connected", _EDGE + ", g AS (SELECT x, count(*) AS k FROM (SELECT s AS x FROM e UNION ALL SELECT d FROM e) GROUP BY x) SELECT 'D' || x AS name, k AS degree FROM g WHERE k = (SELECT max(k) FROM g)")
+def _(spark, sf):
+    return links.most_connected(links.graph(pages_of(spark, sf), "edge"))
+
+
+@query("graph_frontier", _EDGE + f", f AS (SELECT name, id, CASE WHEN id % 13 = 0 THEN 10000 ELSE date_diff('day', CAST(updated AS DATE), DATE '{AS_OF}') END AS days, (SELECT count(*) FROM e WHERE s = id) AS o, (SELECT count(*) FROM e WHERE d = id) AS i FROM nodes) SELECT name, round((o - i) * exp(-days / 30.0), 4) AS score, o AS out_degree, i AS in_degree FROM f WHERE round((o - i) * exp(-days / 30.0), 4) > 0 ORDER BY 2 DESC, 1 LIMIT 50")
+def _(spark, sf):
+    return links.frontier(pages_of(spark, sf), AS_OF, 50).drop("days")
+
+
+def _map_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = pages_of(spark, sf)
+    return links.undirected(links.graph(p, "map")), p.select("name", (F.substring("name", 2, 20).cast("long") % 7).alias("community"))
+
+
+@query("graph_modularity", _UND + ", c AS (SELECT cx, sum(CASE WHEN cx = cy THEN 0.5 ELSE 0 END) AS l, count(*) AS k FROM z GROUP BY cx) SELECT round(sum(l / ((SELECT count(*) FROM z) / 2.0) - (k * 1.0 / (SELECT count(*) FROM z)) * (k * 1.0 / (SELECT count(*) FROM z))), 6) AS q FROM c")
+def _(spark, sf):
+    e, p = _map_graph(spark, sf)
+    return C.modularity(e, p).select(F.round("q", 6).alias("q"))
+
+
+@query("graph_participation", _UND + ", k AS (SELECT x, cy, count(*) AS k FROM z GROUP BY x, cy) SELECT 'D' || x AS name, round(1 - sum(k * k) * 1.0 / (sum(k) * sum(k)), 6) AS participation, CAST(sum(k) AS BIGINT) AS degree, count(*) AS communities FROM k GROUP BY x")
+def _(spark, sf):
+    return C.participation(*_map_graph(spark, sf)).withColumn("participation", F.round("participation", 6))
+
+
+@query("graph_communities", _UND + " SELECT c AS community, count(*) AS size, (SELECT count(*) FROM z WHERE cx = c AND cy = c) / 2 AS inner_edges FROM p GROUP BY c".replace("/ 2 AS", "// 2 AS"))
+def _(spark, sf):
+    return C.community_sizes(*_map_graph(spark, sf)).select("community", "size", F.col("inner").alias("inner_edges"))
+
+
+@query("graph_sankey", _V.rstrip(", ") + " SELECT 'D' || dm AS domain, id % 7 AS community, count(*) AS flow FROM v GROUP BY dm, id % 7")
+def _(spark, sf):
+    p = pages_of(spark, sf)
+    return C.sankey(metrics.primary_domain(p), _map_graph(spark, sf)[1])
+
+
+@query("graph_louvain")
+def _(spark, sf):
+    return C.louvain(_map_graph(spark, sf)[0])
+
+
+# Rules
+
+_PATH = '"where"'
+_RULE_SQL = {
+    "status-not-in-enum": f"SELECT path AS {_PATH}, status AS value, CASE WHEN kind = 'mind' THEN 'draft' ELSE 'in-progress' END AS fix FROM v WHERE kind <> 'entity' AND (status = 'odd' OR (kind = 'mind' AND status NOT IN ('draft')) OR (kind <> 'mind' AND status = 'draft'))",
+    "inline-tags": f"SELECT path AS {_PATH} FROM v WHERE id % 4 = 0",
+    "raw-link-with-extension": f"SELECT path AS {_PATH}, '[[raw/S' || id || '.md]]' AS link FROM v",
+    "raw-ref-in-body": f"SELECT path AS {_PATH}, CAST(CASE WHEN id % 5 = 0 THEN 6 ELSE 5 END AS INTEGER) AS line, '[[raw/S' || id || ']]' AS link FROM v WHERE id % 9 = 0 AND kind <> 'meta'",
+    "dead-link": f"SELECT path AS {_PATH}, 'D' || (n + id) AS link, 'body' AS what FROM v WHERE id % 5 = 0",
+    "orphan": f", i AS (SELECT b1 AS d FROM v UNION SELECT b2 FROM v UNION SELECT r1 FROM v UNION SELECT r2 FROM v UNION SELECT dm FROM v) SELECT path AS {_PATH} FROM v WHERE folder <> '' AND kind <> 'meta' AND id NOT IN (SELECT d FROM i)",
+    "asymmetric-related": ", r AS (SELECT id AS a, r1 AS b FROM v UNION SELECT id, r2 FROM v) SELECT x.name AS page_a, y.name AS page_b, x.kind AS page_a_type, y.kind AS page_b_type FROM r JOIN v x ON x.id = a JOIN v y ON y.id = b WHERE a <> b AND x.kind <> 'mind' AND y.kind <> 'mind' AND NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a)",
+    "dangling-domain-ref": f"SELECT path AS {_PATH}, 'D' || dm AS missing_domain FROM v WHERE dm % 6 <> 0",
+    "missing-summary": f"SELECT path AS {_PATH}, kind AS page_type FROM v WHERE id % 7 = 0 AND folder <> ''",
+    "non-canonical-wikilink": f"SELECT path AS {_PATH}, '[[wiki/ideas/D' || b2 || '|x]]' AS link, 'body' AS field, '[[D' || b2 || '|x]]' AS fix FROM v",
+    "folder-type-mismatch": f"SELECT path AS {_PATH}, kind AS current_type, CASE folder WHEN 'ideas' THEN 'idea' WHEN 'entities' THEN 'entity' WHEN 'questions' THEN 'question' WHEN 'domains' THEN 'domain' ELSE 'mind' END AS expected_type FROM v WHERE folder <> '' AND id % 11 = 0 AND folder <> 'ideas'",
+}
+
+
+def _rule(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: rules.REGISTRY[kind](pages_of(spark, sf)).drop("type")
+
+
+for _kind, _sql in _RULE_SQL.items():
+    query("lint_" + _kind.replace("-", "_"), _V.rstrip(", ") + (" " if _sql.startswith("SELECT") else "") + _sql)(_rule(_kind))
+
+
+@query("lint_all", _V.rstrip(", ") + " " + " UNION ALL ".join(f"SELECT '{k}' AS type, count(*) AS n FROM ({_V.rstrip(', ')}{' ' if s.startswith('SELECT') else ''}{s}) HAVING count(*) > 0" for k, s in _RULE_SQL.items()))
+def _(spark, sf):
+    return rules.run_rules(pages_of(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("lint_quick_scope", _V.rstrip(", ") + f" SELECT path AS {_PATH}, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS run FROM v WHERE id % 4 = 0")
+def _(spark, sf):
+    p = pages_of(spark, sf)
+    current = p.select(F.col("path").alias("page"), F.sha2("text", 256).alias("hash"))
+    stored = current.where(F.regexp_extract("page", r"D(\d+)", 1).cast("long") % 3 != 0)
+    issues = rules.inline_tags(p)
+    return rules.quick_scope(issues.withColumn("run", F.lit("old")), issues.withColumn("run", F.lit("new")), rules.touched(current, stored)).select("where", "run")
+
+
+@query("fix_text", _V.rstrip(", ") + " SELECT path, CASE WHEN kind <> 'entity' AND (status = 'odd' OR (kind = 'mind' AND status <> 'draft') OR (kind <> 'mind' AND status = 'draft')) THEN CASE WHEN kind = 'mind' THEN 'draft' ELSE 'in-progress' END ELSE status END AS status, 0 AS n_inline, 'raw/S' || id AS source, CASE folder WHEN 'ideas' THEN 'idea' WHEN 'entities' THEN 'entity' WHEN 'questions' THEN 'question' WHEN 'domains' THEN 'domain' WHEN 'minds' THEN 'mind' ELSE kind END AS type FROM v")
+def _(spark, sf):
+    p = pages_of(spark, sf)
+    fixed = fixes.apply_fixes(p, rules.run_rules(p)).select("path", F.col("new_text").alias("text"))
+    q = vault.parsed(fixed)
+    s = lambda k: F.try_element_at("fm_scalars", F.lit(k)).alias(k)
+    return q.select("path", s("status"), F.size("inline_lists").alias("n_inline"), F.regexp_extract(F.try_element_at("fm_lists", F.lit("sources"))[0], r"\[\[([^\]]+)\]\]", 1).alias("source"), s("type"))
+
+
+# Distributions and history
+
+
+@query("dist_types", _V.rstrip(", ") + ", w AS (SELECT * FROM v WHERE kind <> 'meta') SELECT 'type' AS measure, kind AS key, count(*) AS n FROM w GROUP BY kind UNION ALL SELECT 'domain', 'D' || dm, count(*) FROM w GROUP BY dm UNION ALL SELECT 'provenance', 'manual', count(*) FROM w UNION ALL SELECT 'status', status, count(*) FROM w GROUP BY status")
+def _(spark, sf):
+    return metrics.distributions(pages_of(spark, sf))
+
+
+@query("dist_domains", _V.rstrip(", ") + " SELECT 'D' || dm AS domain, count(*) AS n FROM v WHERE folder <> '' AND kind <> 'meta' GROUP BY dm")
+def _(spark, sf):
+    return metrics.domain_counts(pages_of(spark, sf))
+
+
+@query("treemap", "SELECT p_brand AS domain, p_type AS type, count(*) AS n FROM part GROUP BY 1, 2 UNION ALL SELECT p_brand, NULL, count(*) FROM part GROUP BY 1")
+def _(spark, sf):
+    return metrics.treemap(_read(spark, sf, "part"), "p_brand", "p_type")
+
+
+_DAYS = "d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS pages, sum(user_id % 50) AS wikilinks, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY 1)"
+
+
+def _days(spark, sf) -> DataFrame:
+    return _read(spark, sf, "events").groupBy(F.to_date("ts").alias("ts")).agg(F.count("*").alias("pages"), F.sum(F.col("user_id") % 50).alias("wikilinks"))
+
+
+@query("hist_delta", f"WITH {_DAYS} SELECT CAST(day AS VARCHAR) AS day, pages, CAST(wikilinks AS BIGINT) AS wikilinks, pages - lag(pages) OVER (ORDER BY day) AS delta_pages, CAST(wikilinks - lag(wikilinks) OVER (ORDER BY day) AS BIGINT) AS delta_wikilinks FROM d")
+def _(spark, sf):
+    return metrics.with_delta(_days(spark, sf), ["pages", "wikilinks"]).select(F.col("ts").cast("string").alias("day"), "pages", "wikilinks", "delta_pages", "delta_wikilinks")
+
+
+@query("hist_minute_dedup", "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY date_trunc('minute', ts), event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def _(spark, sf):
+    return metrics.last_per_minute(_read(spark, sf, "events"), ["ts", "event_id"], ["event_type"]).select("event_id", "event_type")
+
+
+@query("hist_24h", "SELECT coalesce(round(sum(value), 4), 0) AS value, count(*) AS entries FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 24 HOUR")
+def _(spark, sf):
+    return metrics.last_day(_read(spark, sf, "events"), "2024-01-15 12:00:00", ["value"]).withColumn("value", F.round("value", 4))
+
+
+@query("hist_range", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")
+def _(spark, sf):
+    return metrics.in_range(_read(spark, sf, "events"), "2024-01-31 00:00:00", 7).select("event_id")
+
+
+@query("hist_retention", f"WITH {_DAYS} SELECT CAST(day AS VARCHAR) AS day, pages FROM d ORDER BY day DESC LIMIT 10")
+def _(spark, sf):
+    return metrics.retained(_days(spark, sf), 10).select(F.col("ts").cast("string").alias("day"), "pages")
+
+
+@query("hist_pivot", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1")
+def _(spark, sf):
+    e = _read(spark, sf, "events").groupBy(F.to_date("ts").alias("ts"), "event_type").agg(F.count("*").alias("n"))
+    m = e.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("types"))
+    return metrics.series(m, "types", ["click", "purchase"]).select(F.col("ts").cast("string").alias("day"), "click", "purchase")
+
+
+@query("health", _LINT + ", m AS (SELECT (SELECT count(*) FROM v) AS p, (SELECT count(*) FROM e WHERE s <> d AND d IN (SELECT id FROM v)) AS w, (SELECT count(*) FROM v WHERE status = 'ready' AND kind <> 'meta') AS r) SELECT round(greatest(0, least(100, 100 - abs(w * 1.0 / p - 7) * 14)), 6) AS density_score, round(greatest(0, least(100, r * 100.0 / p)), 6) AS ready_score, 50.0 AS q_score FROM m")
+def _(spark, sf):
+    p = pages_of(spark, sf)
+    pages, content = p.count(), p.where("page_type <> 'meta'")
+    m = links.graph(p, "dash").agg(F.count("*").alias("wikilinks")).select("wikilinks", F.lit(pages).alias("pages"), F.lit(0).alias("orphans"), F.lit(content.where("fm_scalars['status'] = 'ready'").count()).alias("ready"), F.lit(content.count()).alias("content"), F.lit(0).alias("unassigned"), F.lit(None).cast("double").alias("q"))
+    return metrics.health(m).select(F.round("density_score", 6).alias("density_score"), F.round("ready_score", 6).alias("ready_score"), "q_score")
+
+
+# Views
+
+
+@query("view_domain_pages", _V.rstrip(", ") + " SELECT name, kind AS type, status FROM v WHERE folder NOT IN ('', 'domains') AND (b1 = 12 OR b2 = 12 OR r1 = 12 OR r2 = 12 OR dm = 12)")
+def _(spark, sf):
+    return views.domain_view(pages_of(spark, sf), "D12").select("name", "type", "status")
+
+
+@query("view_needs_development", _V.rstrip(", ") + " SELECT name, kind AS type, status FROM v WHERE folder <> '' AND status IN ('evaluation', 'in-progress')")
+def _(spark, sf):
+    return next(v for v in views.GLOBAL_VIEWS if v.name == "needs_development").build(views.rows_of(pages_of(spark, sf)))
+
+
+@query("view_recent_activity", _V.rstrip(", ") + " SELECT name, folder, kind AS type, CASE WHEN id % 13 = 0 THEN NULL ELSE updated END AS updated FROM v WHERE folder <> ''")
+def _(spark, sf):
+    return next(v for v in views.GLOBAL_VIEWS if v.name == "recent_activity").build(views.rows_of(pages_of(spark, sf)))
+
+
+@query("md_index_summaries", _V.rstrip(", ") + " SELECT name, CASE WHEN id % 7 = 0 THEN '—' ELSE 'About D' || id END AS summary FROM v WHERE folder NOT IN ('', 'minds')")
+def _(spark, sf):
+    return views.index_summaries(views.index_page(pages_of(spark, sf), AS_OF).withColumn("path", F.lit("index.md")))
