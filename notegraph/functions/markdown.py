@@ -156,7 +156,8 @@ def safe_stem(name: Column) -> Column:
 
 def days_since(date: Column, as_of: str) -> Column:
     """Whole days from a yyyy-MM-dd text to as_of, 0 at least; 10000 without a date."""
-    return F.coalesce(F.greatest(F.lit(0), F.datediff(F.lit(as_of).cast("date"), F.try_to_date(date, "yyyy-MM-dd"))), F.lit(10_000))
+    days = F.datediff(F.lit(as_of).cast("date"), F.try_to_date(date, "yyyy-MM-dd"))
+    return F.when(days.isNull(), 10_000).otherwise(F.greatest(F.lit(0), days))
 
 
 def recency(days: Column, scale: float = 30.0) -> Column:
