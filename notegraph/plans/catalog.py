@@ -406,7 +406,7 @@ def _(spark, sf):
     return metrics.series(m, "types", ["click", "purchase"]).select(F.col("ts").cast("string").alias("day"), "click", "purchase")
 
 
-@query("health", _LINT + ", m AS (SELECT (SELECT count(*) FROM v) AS p, (SELECT count(*) FROM e WHERE s <> d AND d IN (SELECT id FROM v)) AS w, (SELECT count(*) FROM v WHERE status = 'ready' AND kind <> 'meta') AS r) SELECT round(greatest(0, least(100, 100 - abs(w * 1.0 / p - 7) * 14)), 6) AS density_score, round(greatest(0, least(100, r * 100.0 / p)), 6) AS ready_score, 50.0 AS q_score FROM m")
+@query("health", _LINT + ", m AS (SELECT (SELECT count(*) FROM v) AS p, (SELECT count(*) FROM e WHERE s <> d AND d IN (SELECT id FROM v)) AS w, (SELECT count(*) FROM v WHERE status = 'ready' AND kind <> 'meta') AS r) SELECT round(greatest(0, least(100, 100 - abs(w * 1.0 / p - 7) * 14)), 6) AS density_score, round(greatest(0, least(100, r * 100.0 / p)), 6) AS ready_score, CAST(50 AS DOUBLE) AS q_score FROM m")
 def _(spark, sf):
     p = pages_of(spark, sf)
     pages, content = p.count(), p.where("page_type <> 'meta'")
