@@ -87,8 +87,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def pair_stats(sims: DataFrame) -> DataFrame:
     """One row: pairs, min, p25, p50, p75, p95, p99, max; zeros without pairs."""
     ps = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    # one exact percentile of all points, as each would keep a count of every distinct value
+    out = sims.agg(F.count("*").alias("pairs"), F.min("sim").alias("min"), F.percentile("sim", F.array(*[F.lit(p) for p in ps.values()])).alias("_p"), F.max("sim").alias("max"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return sims.agg(F.count("*").alias("pairs"), zero(F.min("sim")).alias("min"), *[zero(F.percentile("sim", F.lit(p))).alias(k) for k, p in ps.items()], zero(F.max("sim")).alias("max"))
+    return out.select("pairs", zero(F.col("min")).alias("min"), *[zero(F.get("_p", F.lit(i))).alias(k) for i, k in enumerate(ps)], zero(F.col("max")).alias("max"))
 
 
 def tightest(sims: DataFrame) -> DataFrame:
