@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, shingles, whole, words
-from .simhash import components, vote
+from .graph import connected_components
+from .simhash import _tables, components, vote
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2) -> DataFrame:
@@ -28,13 +31,71 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(classes, "f0", "left").select("id", "_x", "f0", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 3) -> DataFrame:
-    """docs less all but one document of each near-duplicate group: the one with the smallest id.
+def _most(similarity: float) -> int:
+    """Differing bits of 256 up to which word shingles count as similar: what a share `similarity` of common shingles in
+    texts of one length leads to, and one standard deviation more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(256 * p + 16 * math.sqrt(p * (1 - p)))
+
+
+def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: int) -> tuple[DataFrame, bool]:
+    """(u, v) of nodes (rep, f0 and f1..f4) that share a block bucket and differ in `most` bits of f1..f4 or fewer; and whether any bucket was large."""
+    wide = ["f1", "f2", "f3", "f4"]
+    at = F.array(*[F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(mask[0]))) for t, mask in enumerate(_tables(1, radius, spare))])
+    tables = nodes.select(F.col("rep").alias("_id"), *wide, F.explode(at).alias("_at"))
+    sizes = tables.groupBy("_at").agg(F.count("*").alias("_n"), F.min_by("_id", F.xxhash64("_id", "_at")).alias("_head")).where("_n > 1")
+    placed = cut(tables.join(sizes, "_at"), "near-buckets")
+    some = placed.where(F.col("_n") <= bucket_rows)
+    other = some.select("_at", F.col("_id").alias("_id2"), *[F.col(f).alias(f"{f}_2") for f in wide])
+    distance = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_2"))) for f in wide), F.lit(0))
+    near = some.join(other, "_at").where((F.col("_id") < F.col("_id2")) & (distance <= most)).select(F.col("_id").alias("u"), F.col("_id2").alias("v"))
+    large = placed.where(F.col("_n") > bucket_rows)
+    hot = large.limit(1).count() > 0
+    if hot:
+        head = large.where("_id = _head").select("_at", F.col("_id").alias("_id2"), *[F.col(f).alias(f"{f}_2") for f in wide])
+        near = near.unionByName(large.join(head, "_at").where((F.col("_id") != F.col("_id2")) & (distance <= most)).select(F.col("_id").alias("u"), F.col("_id2").alias("v")))
+    return cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-links"), hot
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, spare: int = 3, bucket_rows: int = 16) -> DataFrame:
+    """(id, _x, component_id): a row for each distinct pair of id and text (_x: hash of the lower-cased text); component_id
+    is the smallest id linked by texts whose five-word shingles are similar to `similarity` or more.
+
+    Two SimHashes of each text come from one pass. The 64-bit one takes two-word shingles, which an edited word changes less than it
+    changes five-word shingles: near copies that differ in some 10 bits of a five-word SimHash differ in some 5 of this one, so that blocks can
+    be wide. Fingerprints within `radius` bits agree in `spare` of radius + spare blocks and share a bucket (pigeonhole); most pairs at some bits
+    more do, too. Pairs of a bucket are verified by the Hamming distance of 256-bit SimHashes over five-word shingles, see _most.
+    Buckets of over bucket_rows emit no pairs: all their members are compared with one of them, another one in each table. What
+    is linked collapses to its smallest id, and the search runs again on what is left, until no bucket is large or nothing new links.
+    Texts of fewer words give one shingle; those without words (null too) have zero fingerprints and link with each other.
+    Rows with a null id get the component of their fingerprints, null if no id has them.
+    """
+    d = docs.select(F.col(id_col).alias("id"), ascii_lower(whole(text_col)).alias("_text"))
+    d = d.select("id", F.xxhash64("_text").alias("_x"), words(F.col("_text")).alias("_words"))
+    s = shingles(d, "_words", 5, "_s").select("id", "_x", "_s.*")
+    some, fp = F.col("w1").isNotNull(), [f"f{i}" for i in range(5)]
+    whole_hash = F.xxhash64("w1", "w2", "w3", "w4", "w5")
+    hashes = [F.when(some, F.xxhash64("w1", "w2"))] + [F.when(some, F.xxhash64(whole_hash, F.lit(i))) for i in range(4)]
+    fps = cut(vote(s, ["id", "_x"], hashes, F.lit(1)), "near-fingerprints")
+    reps = cut(fps.groupBy(*fp).agg(F.min("id").alias("rep")), "near-reps")
+    nodes, links = reps.where("rep is not null"), None
+    while True:
+        new, hot = _links(nodes, _most(similarity), radius, spare, bucket_rows)
+        links = new if links is None else links.unionByName(new)
+        linked = cut(connected_components(links), "near-components")
+        if not hot or not new.limit(1).count():
+            break
+        nodes = cut(nodes.join(linked.where("node <> component").select(F.col("node").alias("rep")), "rep", "left_anti"), "near-nodes")
+    classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(*fp, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, fp, "left").select("id", "_x", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """docs less all but one document of each near-duplicate group (similar_groups): the one with the smallest id.
 
-    The fingerprint takes five-word shingles. Documents whose id is null stay. Rows that repeat the kept id stay
-    together if their texts are in the group, as they share its id.
+    Documents whose id is null stay. Rows that repeat the kept id stay together if their texts are in the group, as they share its id.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle_words, radius)
+    groups = similar_groups(docs, id_col, text_col, similarity)
     gone = groups.where("id <> component_id").select(F.col("id").alias("_ng_id"), F.col("_x").alias("_ng_of")).distinct()
     marked = docs.withColumn("_ng_x", F.xxhash64(ascii_lower(whole(text_col))))
     return marked.join(gone, (F.col(id_col) == F.col("_ng_id")) & (F.col("_ng_x") == F.col("_ng_of")), "left_anti").drop("_ng_x")

@@ -225,6 +225,37 @@ def test_simhash_groups(spark):
     assert 10 in kept and not {15, 20, 25} & kept and {3, 901} <= kept and None in kept
 
 
+def brute_similarity(a, b):
+    """Common share of five-word shingles."""
+    s, t = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.lower().split(), b.lower().split()))
+    return len(s & t) / len(s | t) if s | t else 1.0
+
+
+@pytest.mark.parametrize("bucket", [16, 2])
+def test_similar_groups(spark, bucket):
+    """Copies with one edited word in each 60 or so link to their original; texts that share a third at most stay apart. Bucket 2 takes the way of large buckets."""
+    rng, rows = random.Random(5), []
+    for i in range(0, 200, 20):
+        base = prose(rng, rng.randrange(200, 400)).split(" ")
+        rows.append((i, " ".join(base)))
+        for k in range(1, 8):
+            w = list(base)
+            for j in range(rng.randrange(30), len(w), 60):
+                w[j] = f"edit{rng.randrange(1000)}"
+            rows.append((i + k, " ".join(w)))
+        rows.append((i + 9, " ".join(base[: len(base) // 3]) + " " + prose(rng, len(base))))
+    rows += [(None, None), (500, None), (501, " "), (502, ""), (None, rows[0][1]), (503, "One two"), (504, "one  two"), (505, "one three")]
+    text = dict(rows)
+    got = {r["id"]: r["component_id"] for r in near_dedup.similar_groups(frame(spark, rows), bucket_rows=bucket).collect() if r["id"] is not None}
+    near = [(a, b) for a, b in combinations(sorted(i for i in got if i < 500), 2) if a // 20 == b // 20 and brute_similarity(text[a], text[b]) >= 0.8]
+    assert len(near) > 50 and sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+    for a, b in combinations(sorted(got), 2):
+        if got[a] == got[b] and max(a, b) < 500:
+            assert a // 20 == b // 20 and a % 20 != 9 and b % 20 != 9
+    assert got[500] == got[501] == got[502] == 500 and got[503] == got[504] == 503 and got[505] == 505
+    assert near_dedup.similar_groups(empty(spark)).count() == 0
+
+
 # 3
 
 
