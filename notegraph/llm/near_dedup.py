@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, shingles, whole, words
@@ -38,26 +39,32 @@ def _most(similarity: float) -> int:
     return math.floor(256 * p + 16 * math.sqrt(p * (1 - p)))
 
 
-def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: int) -> tuple[DataFrame, bool]:
-    """(u, v) of nodes (rep, f0 and f1..f4) that share a block bucket and differ in `most` bits of f1..f4 or fewer; and whether any bucket was large."""
+def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of nodes (rep, f0 and f1..f4) that share a block bucket and differ in `most` bits of f1..f4 or fewer; and the (at, id) of large buckets.
+
+    Only numbers of buckets and nodes are shuffled until lone nodes are gone; the wide fingerprints join what is left.
+    """
     wide = ["f1", "f2", "f3", "f4"]
     at = F.array(*[F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(mask[0]))) for t, mask in enumerate(_tables(1, radius, spare))])
-    tables = nodes.select(F.col("rep").alias("_id"), *wide, F.explode(at).alias("_at"))
-    sizes = tables.groupBy("_at").agg(F.count("*").alias("_n"), F.min_by("_id", F.xxhash64("_id", "_at")).alias("_head")).where("_n > 1")
+    tables = nodes.select(F.col("rep").alias("_id"), F.explode(at).alias("_at"))
+    sizes = cut(tables.groupBy("_at").agg(F.count("*").alias("_n")).where("_n > 1"), "near-sizes")
     placed = cut(tables.join(sizes, "_at"), "near-buckets")
+
+    def pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+        ab = a.select("_at", F.col("_id").alias("u")).join(b.select("_at", F.col("_id").alias("v")), "_at").where(on)
+        return ab.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
     some = placed.where(F.col("_n") <= bucket_rows)
-    other = some.select("_at", F.col("_id").alias("_id2"), *[F.col(f).alias(f"{f}_2") for f in wide])
-    distance = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_2"))) for f in wide), F.lit(0))
-    near = some.join(other, "_at").where((F.col("_id") < F.col("_id2")) & (distance <= most)).select(F.col("_id").alias("u"), F.col("_id2").alias("v"))
-    large = placed.where(F.col("_n") > bucket_rows)
-    hot = large.limit(1).count() > 0
-    if hot:
-        head = large.where("_id = _head").select("_at", F.col("_id").alias("_id2"), *[F.col(f).alias(f"{f}_2") for f in wide])
-        near = near.unionByName(large.join(head, "_at").where((F.col("_id") != F.col("_id2")) & (distance <= most)).select(F.col("_id").alias("u"), F.col("_id2").alias("v")))
-    return cut(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-links"), hot
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, spare: int = 3, bucket_rows: int = 16) -> DataFrame:
+    large = placed.where(F.col("_n") > bucket_rows).select("_at", "_id")
+    heads = large.groupBy("_at").agg(F.min_by("_id", F.xxhash64("_id", F.pmod("_at", F.lit(3)), F.lit(turn))).alias("_id"))
+    near = cut(pairs(some, some, F.col("u") < F.col("v")).unionByName(pairs(large, heads, F.col("u") != F.col("v"))).distinct(), "near-pairs")
+    ends = nodes.select("rep", F.array(*wide).alias("_f"))
+    both = near.join(ends.toDF("u", "_a"), "u").join(ends.toDF("v", "_b"), "v")
+    distance = sum((F.bit_count(F.col("_a")[k].bitwiseXOR(F.col("_b")[k])) for k in range(4)), F.lit(0))
+    return cut(both.where(distance <= most).select("u", "v"), "near-links"), large
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, spare: int = 4, bucket_rows: int = 16) -> DataFrame:
     """(id, _x, component_id): a row for each distinct pair of id and text (_x: hash of the lower-cased text); component_id
     is the smallest id linked by texts whose five-word shingles are similar to `similarity` or more.
 
@@ -65,8 +72,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     changes five-word shingles: near copies that differ in some 10 bits of a five-word SimHash differ in some 5 of this one, so that blocks can
     be wide. Fingerprints within `radius` bits agree in `spare` of radius + spare blocks and share a bucket (pigeonhole); most pairs at some bits
     more do, too. Pairs of a bucket are verified by the Hamming distance of 256-bit SimHashes over five-word shingles, see _most.
-    Buckets of over bucket_rows emit no pairs: all their members are compared with one of them, another one in each table. What
-    is linked collapses to its smallest id, and the search runs again on what is left, until no bucket is large or nothing new links.
+    Buckets of over bucket_rows emit no pairs: all their members are compared with one of them, of three by bucket and other ones in each
+    turn. What is linked collapses to its smallest id, and the search runs again on what is left of large buckets (members of small ones
+    have all been compared), until no bucket is large or nothing new links.
     Texts of fewer words give one shingle; those without words (null too) have zero fingerprints and link with each other.
     Rows with a null id get the component of their fingerprints, null if no id has them.
     """
@@ -79,13 +87,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = cut(vote(s, ["id", "_x"], hashes, F.lit(1)), "near-fingerprints")
     reps = cut(fps.groupBy(*fp).agg(F.min("id").alias("rep")), "near-reps")
     nodes, links = reps.where("rep is not null"), None
-    while True:
-        new, hot = _links(nodes, _most(similarity), radius, spare, bucket_rows)
+    for turn in count():
+        new, large = _links(nodes, _most(similarity), radius, spare, bucket_rows, turn)
         links = new if links is None else links.unionByName(new)
         linked = cut(connected_components(links), "near-components")
-        if not hot or not new.limit(1).count():
+        if not large.limit(1).count() or not new.limit(1).count():
             break
-        nodes = cut(nodes.join(linked.where("node <> component").select(F.col("node").alias("rep")), "rep", "left_anti"), "near-nodes")
+        left = nodes.join(large.select(F.col("_id").alias("rep")).distinct(), "rep", "left_semi")
+        nodes = cut(left.join(linked.where("node <> component").select(F.col("node").alias("rep")), "rep", "left_anti"), "near-nodes")
     classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(*fp, F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, fp, "left").select("id", "_x", "component_id")
 
