@@ -32,20 +32,32 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(classes, "f0", "left").select("id", "_x", "f0", "component_id")
 
 
+#: SimHashes of two-word shingles, for the blocks, and the two words of one of five-word shingles.
+_BLOCKED, _WIDE = ["f0", "f1", "f2"], ["f3", "f4"]
+
+
 def _most(similarity: float) -> int:
-    """Differing bits of 256 up to which word shingles count as similar: what a share `similarity` of common shingles in
-    texts of one length leads to, and one standard deviation more."""
+    """Differing bits of 128 up to which a pair goes to the exact check: what a share `similarity` of common shingles in
+    texts of one length leads to, and three standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(256 * p + 16 * math.sqrt(p * (1 - p)))
+    return math.floor(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
+
+
+def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of links whose sets (rep, _set) have a Jaccard similarity of `similarity` or more; sets are those of linked texts only."""
+    own = cut(sets, "near-sets")
+    both = links.join(own.toDF("u", "_a"), "u").join(own.toDF("v", "_b"), "v")
+    common = F.size(F.array_intersect("_a", "_b"))
+    return cut(both.where(common >= similarity * (F.size("_a") + F.size("_b") - common)).select("u", "v").distinct(), "near-similar")
 
 
 def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(u, v) of nodes (rep, f0 and f1..f4) that share a block bucket and differ in `most` bits of f1..f4 or fewer; and the (at, id) of large buckets.
+    """(u, v) of nodes (rep and f0..f4) that share a block bucket of f0, f1 or f2 and differ in `most` bits of f3 and f4 or fewer; and the (at, id) of large buckets.
 
     Only numbers of buckets and nodes are shuffled until lone nodes are gone; the wide fingerprints join what is left.
     """
-    wide = ["f1", "f2", "f3", "f4"]
-    at = F.array(*[F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(mask[0]))) for t, mask in enumerate(_tables(1, radius, spare))])
+    masks = [(f, mask) for f in _BLOCKED for (mask,) in _tables(1, radius, spare)]
+    at = F.array(*[F.xxhash64(F.lit(t), F.col(f).bitwiseAND(F.lit(mask))) for t, (f, mask) in enumerate(masks)])
     tables = nodes.select(F.col("rep").alias("_id"), F.explode(at).alias("_at"))
     sizes = cut(tables.groupBy("_at").agg(F.count("*").alias("_n")).where("_n > 1"), "near-sizes")
     placed = cut(tables.join(sizes, "_at"), "near-buckets")
@@ -58,20 +70,21 @@ def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: in
     large = placed.where(F.col("_n") > bucket_rows).select("_at", "_id")
     heads = large.groupBy("_at").agg(F.min_by("_id", F.xxhash64("_id", F.pmod("_at", F.lit(3)), F.lit(turn))).alias("_id"))
     near = cut(pairs(some, some, F.col("u") < F.col("v")).unionByName(pairs(large, heads, F.col("u") != F.col("v"))).distinct(), "near-pairs")
-    ends = nodes.select("rep", F.array(*wide).alias("_f"))
+    ends = nodes.select("rep", F.array(*_WIDE).alias("_f"))
     both = near.join(ends.toDF("u", "_a"), "u").join(ends.toDF("v", "_b"), "v")
-    distance = sum((F.bit_count(F.col("_a")[k].bitwiseXOR(F.col("_b")[k])) for k in range(4)), F.lit(0))
+    distance = sum((F.bit_count(F.col("_a")[k].bitwiseXOR(F.col("_b")[k])) for k in range(len(_WIDE))), F.lit(0))
     return cut(both.where(distance <= most).select("u", "v"), "near-links"), large
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 6, spare: int = 4, bucket_rows: int = 16) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 5, spare: int = 3, bucket_rows: int = 16) -> DataFrame:
     """(id, _x, component_id): a row for each distinct pair of id and text (_x: hash of the lower-cased text); component_id
     is the smallest id linked by texts whose five-word shingles are similar to `similarity` or more.
 
-    Two SimHashes of each text come from one pass. The 64-bit one takes two-word shingles, which an edited word changes less than it
-    changes five-word shingles: near copies that differ in some 10 bits of a five-word SimHash differ in some 5 of this one, so that blocks can
-    be wide. Fingerprints within `radius` bits agree in `spare` of radius + spare blocks and share a bucket (pigeonhole); most pairs at some bits
-    more do, too. Pairs of a bucket are verified by the Hamming distance of 256-bit SimHashes over five-word shingles, see _most.
+    Four SimHashes of each text come from one pass. Three of 64 bits take two-word shingles (under three seeds), which an edited word
+    changes less than it changes five-word shingles: near copies that differ in some 10 bits of 64 of a five-word SimHash differ in some 5 of these,
+    so that blocks can be wide. Texts within `radius` bits by any of the three agree in `spare` of radius + spare blocks and share a bucket
+    (pigeonhole); most pairs at some bits more do, too. Pairs of a bucket are verified by the Hamming distance of the fourth, 128 bits over
+    five-word shingles, see _most, and those within it by their exact sets of shingle hashes, so that no pair below `similarity` links.
     Buckets of over bucket_rows emit no pairs: all their members are compared with one of them, of three by bucket and other ones in each
     turn. What is linked collapses to its smallest id, and the search runs again on what is left of large buckets (members of small ones
     have all been compared), until no bucket is large or nothing new links.
@@ -79,16 +92,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows with a null id get the component of their fingerprints, null if no id has them.
     """
     d = docs.select(F.col(id_col).alias("id"), ascii_lower(whole(text_col)).alias("_text"))
-    d = d.select("id", F.xxhash64("_text").alias("_x"), words(F.col("_text")).alias("_words"))
-    s = shingles(d, "_words", 5, "_s").select("id", "_x", "_s.*")
-    some, fp = F.col("w1").isNotNull(), [f"f{i}" for i in range(5)]
+    d = d.select("id", F.xxhash64("_text").alias("_x"), "_text")
+    s = shingles(d.select("id", "_x", words(F.col("_text")).alias("_words")), "_words", 5, "_s").select("id", "_x", "_s.*")
+    some, fp = F.col("w1").isNotNull(), [*_BLOCKED, *_WIDE]
     whole_hash = F.xxhash64("w1", "w2", "w3", "w4", "w5")
-    hashes = [F.when(some, F.xxhash64("w1", "w2"))] + [F.when(some, F.xxhash64(whole_hash, F.lit(i))) for i in range(4)]
+    pair_hash = F.xxhash64("w1", "w2")
+    hashes = [F.when(some, F.xxhash64(pair_hash, F.lit(i))) for i in range(len(_BLOCKED))] + [F.when(some, F.xxhash64(whole_hash, F.lit(i))) for i in range(len(_WIDE))]
     fps = cut(vote(s, ["id", "_x"], hashes, F.lit(1)), "near-fingerprints")
-    reps = cut(fps.groupBy(*fp).agg(F.min("id").alias("rep")), "near-reps")
+    reps = cut(fps.groupBy(*fp).agg(F.min("id").alias("rep"), F.min_by("_x", "id").alias("_rep_x")), "near-reps")
+    n = F.size("_words")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, 5)))
+    of = F.when(n >= 5, F.array_distinct(grams)).when(n > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
     nodes, links = reps.where("rep is not null"), None
     for turn in count():
-        new, large = _links(nodes, _most(similarity), radius, spare, bucket_rows, turn)
+        close, large = _links(nodes, _most(similarity), radius, spare, bucket_rows, turn)
+        ends = close.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(reps.select("rep", "_rep_x"), "rep")
+        texts = d.join(ends, (F.col("id") == F.col("rep")) & (F.col("_x") == F.col("_rep_x")), "left_semi").dropDuplicates(["id", "_x"])
+        sets = texts.select(F.col("id").alias("rep"), words(F.col("_text")).alias("_words")).select("rep", of.alias("_set"))
+        new = _similar(close, sets, similarity)
         links = new if links is None else links.unionByName(new)
         linked = cut(connected_components(links), "near-components")
         if not large.limit(1).count() or not new.limit(1).count():
