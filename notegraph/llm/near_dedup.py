@@ -51,8 +51,9 @@ def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cut(both.where(common >= similarity * (F.size("_a") + F.size("_b") - common)).select("u", "v").distinct(), "near-similar")
 
 
-def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(u, v) of nodes (rep and f0..f4) that share a block bucket of f0, f1 or f2 and differ in `most` bits of f3 and f4 or fewer; and the (at, id) of large buckets.
+def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: int, turn: int, judged: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, large, pairs: the (u, v) of nodes (rep and f0..f4) that share a block bucket of f0, f1 or f2 and differ in `most` bits of f3 and f4 or fewer; the (at, id) of large buckets;
+    and all pairs compared here. Pairs of `judged` have been compared before and are left out.
 
     Only numbers of buckets and nodes are shuffled until lone nodes are gone; the wide fingerprints join what is left.
     """
@@ -61,6 +62,7 @@ def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: in
     tables = nodes.select(F.col("rep").alias("_id"), F.explode(at).alias("_at"))
     sizes = cut(tables.groupBy("_at").agg(F.count("*").alias("_n")).where("_n > 1"), "near-sizes")
     placed = cut(tables.join(sizes, "_at"), "near-buckets")
+    degree = placed.groupBy("_id").agg(F.sum("_n").alias("_mates"))
 
     def pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
         ab = a.select("_at", F.col("_id").alias("u")).join(b.select("_at", F.col("_id").alias("v")), "_at").where(on)
@@ -68,12 +70,14 @@ def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: in
 
     some = placed.where(F.col("_n") <= bucket_rows)
     large = placed.where(F.col("_n") > bucket_rows).select("_at", "_id")
-    heads = large.groupBy("_at").agg(F.min_by("_id", F.xxhash64("_id", F.pmod("_at", F.lit(3)), F.lit(turn))).alias("_id"))
-    near = cut(pairs(some, some, F.col("u") < F.col("v")).unionByName(pairs(large, heads, F.col("u") != F.col("v"))).distinct(), "near-pairs")
+    ranked = placed.join(degree, "_id").where(F.col("_n") > bucket_rows)
+    heads = ranked.groupBy("_at").agg(F.max_by("_id", F.struct("_mates", F.xxhash64("_id", F.lit(turn)))).alias("_id"))
+    found = pairs(some, some, F.col("u") < F.col("v")).unionByName(pairs(large, heads, F.col("u") != F.col("v"))).distinct()
+    near = cut(found if judged is None else found.join(judged, ["u", "v"], "left_anti"), "near-pairs")
     ends = nodes.select("rep", F.array(*_WIDE).alias("_f"))
     both = near.join(ends.toDF("u", "_a"), "u").join(ends.toDF("v", "_b"), "v")
     distance = sum((F.bit_count(F.col("_a")[k].bitwiseXOR(F.col("_b")[k])) for k in range(len(_WIDE))), F.lit(0))
-    return cut(both.where(distance <= most).select("u", "v"), "near-links"), large
+    return cut(both.where(distance <= most).select("u", "v"), "near-links"), large, near
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 5, spare: int = 3, bucket_rows: int = 16) -> DataFrame:
@@ -84,9 +88,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     changes less than it changes five-word shingles: near copies that differ in some 10 bits of 64 of a five-word SimHash differ in some 5 of these,
     so that blocks can be wide. Texts within `radius` bits by any of the three agree in `spare` of radius + spare blocks and share a bucket
     (pigeonhole); most pairs at some bits more do, too. Pairs of a bucket are verified by the Hamming distance of the fourth, 128 bits over
-    five-word shingles, see _most, and those within it by their exact sets of shingle hashes, so that no pair below `similarity` links.
-    Buckets of over bucket_rows emit no pairs: all their members are compared with one of them, of three by bucket and other ones in each
-    turn. What is linked collapses to its smallest id, and the search runs again on what is left of large buckets (members of small ones
+    five-word shingles, see _most, and those within it by their whole sets of 32-bit shingle hashes (two texts of n words share some n * n / 2^32 by chance), so that no pair below `similarity` links.
+    Buckets of over bucket_rows emit no pairs: all their members are compared with one of them, that with the most bucket mates over all
+    tables (the text that the others were edited from, where there is one). What is linked collapses to its smallest id, and the search runs again on what is left of large buckets (members of small ones
     have all been compared), until no bucket is large or nothing new links.
     Texts of fewer words give one shingle; those without words (null too) have zero fingerprints and link with each other.
     Rows with a null id get the component of their fingerprints, null if no id has them.
@@ -101,11 +105,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = cut(vote(s, ["id", "_x"], hashes, F.lit(1)), "near-fingerprints")
     reps = cut(fps.groupBy(*fp).agg(F.min("id").alias("rep"), F.min_by("_x", "id").alias("_rep_x")), "near-reps")
     n = F.size("_words")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, 5)))
-    of = F.when(n >= 5, F.array_distinct(grams)).when(n > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
-    nodes, links = reps.where("rep is not null"), None
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.hash(F.slice("_words", i, 5)))
+    of = F.when(n >= 5, F.array_distinct(grams)).when(n > 0, F.array(F.hash("_words"))).otherwise(F.array().cast("array<int>"))
+    nodes, links, judged = reps.where("rep is not null"), None, None
     for turn in count():
-        close, large = _links(nodes, _most(similarity), radius, spare, bucket_rows, turn)
+        close, large, pairs = _links(nodes, _most(similarity), radius, spare, bucket_rows, turn, judged)
+        judged = pairs if judged is None else judged.unionByName(pairs)
         ends = close.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(reps.select("rep", "_rep_x"), "rep")
         texts = d.join(ends, (F.col("id") == F.col("rep")) & (F.col("_x") == F.col("_rep_x")), "left_semi").dropDuplicates(["id", "_x"])
         sets = texts.select(F.col("id").alias("rep"), words(F.col("_text")).alias("_words")).select("rep", of.alias("_set"))
