@@ -111,7 +111,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for turn in count():
         close, large, pairs = _links(nodes, _most(similarity), radius, spare, bucket_rows, turn, judged)
         judged = pairs if judged is None else judged.unionByName(pairs)
-        ends = close.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(reps.select("rep", "_rep_x"), "rep")
+        ends = close.select(F.col("u").alias("rep")).distinct().unionByName(close.select(F.col("v").alias("rep")).distinct()).join(reps.select("rep", "_rep_x"), "rep")
         texts = d.join(ends, (F.col("id") == F.col("rep")) & (F.col("_x") == F.col("_rep_x")), "left_semi").dropDuplicates(["id", "_x"])
         sets = texts.select(F.col("id").alias("rep"), words(F.col("_text")).alias("_words")).select("rep", of.alias("_set"))
         new = _similar(close, sets, similarity)
