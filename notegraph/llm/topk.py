@@ -65,13 +65,16 @@ def _search(block: dict, k: int, d: int):
         best = Best(qid, k)
         best.bound = b["bound"].copy()
 
-        def chunk(ids: np.ndarray, x: np.ndarray) -> bool:
-            """Whether any query can still gain from this chunk or a later one of shorter vectors."""
+        def can_gain(longest: float) -> np.ndarray:
+            """Places of the queries that vectors of this length or less can still gain; Cauchy-Schwarz on whole vectors."""
+            return np.flatnonzero(length * longest + 1e-6 * (1 + length * longest) >= best.bound)
+
+        def chunk(ids: np.ndarray, x: np.ndarray) -> None:
             longest = np.linalg.norm(x, axis=1).max()
             slack = 1e-6 * (1 + length * longest)
-            live = np.flatnonzero(length * longest + slack >= best.bound)  # Cauchy-Schwarz on whole vectors
+            live = can_gain(longest)
             if not len(live):
-                return False
+                return
             xr = x @ turn
             rest = np.linalg.norm(xr[:, LEADING:], axis=1)
             upper = qr[live, :LEADING] @ xr[:, :LEADING].T + tail[live, None] * rest[None, :]  # and on the residuals
@@ -86,16 +89,16 @@ def _search(block: dict, k: int, d: int):
                     hit &= exact >= kth[:, None]
                 i, j = np.nonzero(hit)
                 best.add(live[rows][i], exact[i, j], ids[cols[j]])
-            return True
 
-        held, n, on = [], 0, True
+        # A task may read several files, whose lengths don't follow on from one another: what can't gain is skipped, and the rest goes on.
+        held, n = [], 0
         for pdf in batches:
-            if on:
+            if len(pdf) and len(can_gain(pdf["norm"].max())):
                 held.append(pdf)
                 n += len(pdf)
             if n >= CHUNK:
                 full = pd.concat(held)
-                on = chunk(full["id"].to_numpy(), _matrix(full["v"], d))
+                chunk(full["id"].to_numpy(), _matrix(full["v"], d))
                 held, n = [], 0
         if n:
             full = pd.concat(held)
@@ -113,8 +116,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     Components must be below 2^22 for exact sums.
 
     Candidates are dealt by descending length (then id, so equal ones don't meet in one task). A query block of bounded size is
-    broadcast with the k-th best score among the longest vectors; each task then goes down its lengths, stops where no length
-    can reach, and drops vectors whose partial sum over the leading rotated dimensions, plus the product of the
+    broadcast with the k-th best score among the longest vectors; each task then goes down its lengths, skips batches whose
+    lengths can't reach, and drops vectors whose partial sum over the leading rotated dimensions, plus the product of the
     residual lengths, stays below the bound. What is left gets its exact score. Blocks follow one another.
     """
     spark = vectors.sparkSession
@@ -142,6 +145,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             s = np.where(seed_id[None, :] == qid[:, None], -np.inf, q @ seed.T)
             bound = np.partition(s, len(seed) - k, axis=1)[:, len(seed) - k]
         block = spark.sparkContext.broadcast({"id": qid, "q": q, "turn": turn, "bound": bound})
-        found = found.unionByName(v.select("id", "v").mapInPandas(_search(block, k, d), "query_id long, vec_id long, score long"))
+        found = found.unionByName(v.select("id", "norm", "v").mapInPandas(_search(block, k, d), "query_id long, vec_id long, score long"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

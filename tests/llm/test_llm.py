@@ -6,8 +6,10 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -522,3 +524,25 @@ def test_top_k(spark, monkeypatch):
             got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
         assert got == want
     assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_top_k_search_goes_on_after_short_vectors(monkeypatch):
+    """One task reads files of other lengths: short vectors, then vectors longer by orders of magnitude."""
+    monkeypatch.setattr(topk, "CHUNK", 4)
+    rng = np.random.default_rng(5)
+    files = [rng.integers(-9, 9, (12, 6)) * s for s in (1, 1000, 10, 10_000)]
+    q = rng.integers(1, 9, (3, 6)).astype(float)
+    batches, at = [], 0
+    for x in files:
+        x = x[np.argsort(-np.linalg.norm(x, axis=1))]
+        for i in range(0, len(x), 4):
+            batches.append(pd.DataFrame({"id": np.arange(at, at + 4), "norm": np.linalg.norm(x[i : i + 4], axis=1), "v": list(x[i : i + 4])}))
+            at += 4
+    block = SimpleNamespace(value={"id": np.array([-1, -2, -3]), "q": q, "turn": np.eye(6), "bound": np.full(3, 500.0)})
+    monkeypatch.setattr(topk, "LEADING", 2)
+    got = next(topk._search(block, 5, 6)(iter(batches)))
+    every = pd.concat(batches)
+    scores = q @ np.stack(every["v"]).T
+    for j, i in enumerate([-1, -2, -3]):
+        own = got[got["query_id"] == i]
+        assert sorted(own["score"], reverse=True)[:5] == sorted(scores[j].astype(int), reverse=True)[:5]
