@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, whole
 
-#: Lines of a gram, and grams of a window: a repeated run of GRAM + WINDOW - 1 lines always holds a fingerprint.
-GRAM, WINDOW = 2, 2
+#: Lines of a gram, and grams of a window: each repeated run of GRAM + WINDOW - 1 lines holds a fingerprint; in windows of one gram, each gram is.
+GRAM, WINDOW = 2, 1
+#: Words that make a line a fingerprint of its own.
+LONG = 50
 
 
 def winnow(hashes: list[int], window: int) -> list[int]:
@@ -34,53 +36,33 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for doc, x, text in zip(pdf["id"], pdf["x"], pdf["text"]):
-            lines = [(i, _signed(xxhash.xxh3_64_intdigest(line))) for i, line in enumerate(text.split("\n")) if line.strip()]
-            hs = [h for _, h in lines]
+            lines = [(i, _signed(xxhash.xxh3_64_intdigest(line)), len(line) >= 2 * LONG - 1 and len(line.split()) >= LONG) for i, line in enumerate(text.split("\n")) if line.strip()]
+            hs = [h for _, h, _ in lines]
             k = min(GRAM, len(hs))
             grams = [xxhash.xxh3_64_intdigest(repr((len(hs) < GRAM, hs[i : i + k]))) for i in range(len(hs) - k + 1)] if hs else []
-            reach = GRAM + WINDOW
             for p in winnow(grams, WINDOW):
-                a = max(0, p - reach)
-                b = min(len(hs), p + k + reach)
-                out.append((doc, x, p, _signed(grams[p]), p - a, k, hs[a:b], [i for i, _ in lines[a:b]]))
-        yield pd.DataFrame(out, columns=["id", "x", "pos", "gram", "off", "k", "hashes", "lines"]).astype({"id": pdf["id"].dtype})
-
-
-def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for doc, x, off, k, hs, lines, first_off, first in zip(pdf["id"], pdf["x"], pdf["off"], pdf["k"], pdf["hashes"], pdf["lines"], pdf["first_off"], pdf["first_hashes"]):
-            hs, first = list(hs), list(first)
-            a, b = off, off + k
-            if hs[a:b] != first[first_off : first_off + k]:
-                continue
-            d = first_off - off
-            while a > 0 and a + d > 0 and hs[a - 1] == first[a + d - 1]:
-                a -= 1
-            while b < len(hs) and b + d < len(first) and hs[b] == first[b + d]:
-                b += 1
-            out.append((doc, x, [int(i) for i in lines[a:b]]))
-        yield pd.DataFrame(out, columns=["id", "x", "gone"]).astype({"id": pdf["id"].dtype})
+                out.append((doc, x, p, _signed(grams[p]), [i for i, _, _ in lines[p : p + k]]))
+            out += [(doc, x, p, _signed(xxhash.xxh3_64_intdigest(repr(h))), [i]) for p, (i, h, long) in enumerate(lines) if long]
+        yield pd.DataFrame(out, columns=["id", "x", "pos", "gram", "lines"]).astype({"id": pdf["id"].dtype})
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, x, gone): the places of lines in each text that repeat an earlier run; x is the text's hash.
 
     Lines that aren't blank are hashed; GRAM successive ones make a gram, and of each window of grams the least hash
-    is a fingerprint. A text of fewer lines than a gram has all its lines as one. Fingerprints are joined to their first
-    occurrence, by (id, x, place); a later one is extended both ways while lines agree, up to GRAM + WINDOW lines, where
-    the next fingerprint takes over. So no fingerprint of a later copy stays, and each repeated run of GRAM + WINDOW - 1 lines
-    loses one at least. Null ids come first; rows equal in id and text count as one and keep their lines.
+    is a fingerprint: all of them, as windows have one gram. A line of LONG words or more is a fingerprint of its own, whatever its neighbours.
+    A text of fewer lines than a gram has all its lines as one. All occurrences but the first, by (id, x, place), lose their lines. So each later
+    copy of a run of GRAM lines or more, and of a line of LONG words or more, goes whole, wherever its parts occurred first.
+    Null ids come first; rows equal in id and text count as one and keep their lines.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).select("id", F.xxhash64("text").alias("x"), "text")
     has_id = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    kind = "id long, x long, pos int, gram long, off int, k int, hashes array<long>, lines array<int>"
+    kind = "id long, x long, pos int, gram long, lines array<int>"
     marks = cut(ids.withColumn("id", has_id).mapInPandas(_fingerprints, kind), "line-marks")
-    first = marks.groupBy("gram").agg(F.min(F.struct("id", "x", "pos", "off", "hashes")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("gram", F.col("f.id").alias("first_id"), F.col("f.x").alias("first_x"), F.col("f.pos").alias("first_pos"), F.col("f.off").alias("first_off"), F.col("f.hashes").alias("first_hashes"))
+    first = marks.groupBy("gram").agg(F.min(F.struct("id", "x", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("gram", F.col("f.id").alias("first_id"), F.col("f.x").alias("first_x"), F.col("f.pos").alias("first_pos"))
     later = marks.join(first, "gram").where("id <> first_id or x <> first_x or pos <> first_pos")
-    runs = later.select("id", "x", "off", "k", "hashes", "lines", "first_off", "first_hashes").mapInPandas(_extend, "id long, x long, gone array<int>")
-    gone = runs.groupBy("id", "x").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = later.groupBy("id", "x").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
     return gone.select(F.when(F.col("id") > -(1 << 63), F.col("id")).alias("id"), "x", "gone")
 
 

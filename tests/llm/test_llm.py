@@ -313,6 +313,26 @@ def test_every_long_repeated_run_loses_a_fingerprint(spark):
             pairs.setdefault(tuple(lines[p : p + line_dedup.GRAM]), (i, p))
 
 
+def test_long_lines_and_short_runs_go_whole(spark):
+    """A long line between other neighbours, and each later copy of two lines or more, whatever stands round the first copy of its parts."""
+    rng = random.Random(9)
+    long = prose(rng, 55)
+    pool = [f"line {i}" for i in range(12)]
+    rows = [(i, "\n".join([prose(rng, 6), long, prose(rng, 6)])) for i in range(12)]
+    rows += [(20 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(2, 9)))) for i in range(60)] + [(90, long)]
+    gone = {r["id"]: set(r["gone"]) for r in line_dedup.repeated_lines(frame(spark, rows)).collect()}
+    seen, want = set(), {}
+    for i, text in rows:
+        lines = text.split("\n")
+        for p in range(len(lines)):
+            for part in (tuple(lines[p : p + 2]), (lines[p],)):
+                if len(part) == 2 or len(part[0].split()) >= 50:
+                    if part in seen:
+                        want.setdefault(i, set()).update(range(p, p + len(part)))
+                    seen.add(part)
+    assert gone == want
+
+
 # 4
 
 
