@@ -1,16 +1,21 @@
-"""Near-duplicate groups by SimHash, joined on pigeonhole blocks."""
+"""Near-duplicate groups: by SimHash, joined on pigeonhole blocks, and by the similarity of shingle sets, joined on their prefixes."""
 
 from __future__ import annotations
 
 import math
-from itertools import count
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, shingles, whole, words
 from .graph import connected_components
-from .simhash import _tables, components, vote
+from .simhash import components, vote
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2) -> DataFrame:
@@ -32,97 +37,145 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(classes, "f0", "left").select("id", "_x", "f0", "component_id")
 
 
-#: SimHashes of two-word shingles, for the blocks, and the two words of one of five-word shingles.
-_BLOCKED, _WIDE = ["f0", "f1", "f2"], ["f3", "f4"]
+#: Words of a shingle, 64-bit words of a parity sketch.
+_WORDS, _SKETCH = 5, 8
+#: Texts that common shingles are looked for in, and texts of these that make a shingle common. Any choice gives exact results.
+_SAMPLED, _COMMON = 8_192, 3
 
 
-def _most(similarity: float) -> int:
-    """Differing bits of 128 up to which a pair goes to the exact check: what a share `similarity` of common shingles in
-    texts of one length leads to, and three standard deviations more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
+def _shingle_set(text: str) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's five-word shingles, ascending; fewer words make one shingle, none make no shingle."""
+    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    if not ws:
+        return np.zeros(0, np.uint64)
+    if len(ws) < _WORDS:
+        return np.array([xxhash.xxh3_64_intdigest(" ".join(ws))], np.uint64)
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in ws], np.uint64)
+    g = np.zeros(len(h) - _WORDS + 1, np.uint64)
+    for i in range(_WORDS):
+        g = (g ^ h[i : i + len(g)]) * np.uint64(0x9E3779B97F4A7C15)
+        g ^= g >> np.uint64(29)
+    return np.unique(g)
 
 
-def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of links whose sets (rep, _set) have a Jaccard similarity of `similarity` or more; sets are those of linked texts only."""
-    own = cut(sets, "near-sets")
-    both = links.join(own.toDF("u", "_a"), "u").join(own.toDF("v", "_b"), "v")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return cut(both.where(common >= similarity * (F.size("_a") + F.size("_b") - common)).select("u", "v").distinct(), "near-similar")
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the set's hashes in each of 64 * _SKETCH places: two sets' sketches differ in as many bits as their elements at most."""
+    odd = (np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * _SKETCH - 1), minlength=64 * _SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
-def _links(nodes: DataFrame, most: int, radius: int, spare: int, bucket_rows: int, turn: int, judged: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links, large, pairs: the (u, v) of nodes (rep and f0..f4) that share a block bucket of f0, f1 or f2 and differ in `most` bits of f3 and f4 or fewer; the (at, id) of large buckets;
-    and all pairs compared here. Pairs of `judged` have been compared before and are left out.
+def _own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"_at": np.concatenate([np.zeros(0, np.uint64), *map(_shingle_set, pdf["_text"])]).view(np.int64)})
 
-    Only numbers of buckets and nodes are shuffled until lone nodes are gone; the wide fingerprints join what is left.
-    """
-    masks = [(f, mask) for f in _BLOCKED for (mask,) in _tables(1, radius, spare)]
-    at = F.array(*[F.xxhash64(F.lit(t), F.col(f).bitwiseAND(F.lit(mask))) for t, (f, mask) in enumerate(masks)])
-    tables = nodes.select(F.col("rep").alias("_id"), F.explode(at).alias("_at"))
-    sizes = cut(tables.groupBy("_at").agg(F.count("*").alias("_n")).where("_n > 1"), "near-sizes")
-    placed = cut(tables.join(sizes, "_at"), "near-buckets")
-    degree = placed.groupBy("_id").agg(F.sum("_n").alias("_mates"))
 
-    def pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-        ab = a.select("_at", F.col("_id").alias("u")).join(b.select("_at", F.col("_id").alias("v")), "_at").where(on)
-        return ab.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+def _prefixes(common: Broadcast, similarity: float):
+    """(id, _x, _s, _size, _sketch, _at): each text's set as a hash, its size and sketch, and the shingles that a set of this similarity must
+    share one of, in an order of all shingles with common ones last."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = common.value
+        for pdf in batches:
+            out = []
+            for i, x, text in zip(pdf["id"], pdf["_x"], pdf["_text"]):
+                g = _shingle_set(text)
+                n = len(g)
+                take = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                late = last[np.searchsorted(last, g).clip(max=len(last) - 1)] == g if len(last) else np.zeros(n, bool)
+                s = int(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes())).view(np.int64))
+                out.append((i, x, s, n, _sketch(g), np.concatenate([g[~late], g[late]])[:take].view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "_x", "_s", "_size", "_sketch", "_at"]).astype({"id": pdf["id"].dtype})
+
+    return run
+
 
-    some = placed.where(F.col("_n") <= bucket_rows)
-    large = placed.where(F.col("_n") > bucket_rows).select("_at", "_id")
-    ranked = placed.join(degree, "_id").where(F.col("_n") > bucket_rows)
-    heads = ranked.groupBy("_at").agg(F.max_by("_id", F.struct("_mates", F.xxhash64("_id", F.lit(turn)))).alias("_id"))
-    found = pairs(some, some, F.col("u") < F.col("v")).unionByName(pairs(large, heads, F.col("u") != F.col("v"))).distinct()
-    near = cut(found if judged is None else found.join(judged, ["u", "v"], "left_anti"), "near-pairs")
-    ends = nodes.select("rep", F.array(*_WIDE).alias("_f"))
-    both = near.join(ends.toDF("u", "_a"), "u").join(ends.toDF("v", "_b"), "v")
-    distance = sum((F.bit_count(F.col("_a")[k].bitwiseXOR(F.col("_b")[k])) for k in range(len(_WIDE))), F.lit(0))
-    return cut(both.where(distance <= most).select("u", "v"), "near-links"), large, near
+def _similar(links: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(u, v) of links whose whole shingle sets have a Jaccard similarity of `similarity` or more; texts(ends): (_s, _text) of these sets."""
 
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = []
+            for a, b in zip(pdf["_a"], pdf["_b"]):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield pdf.loc[keep, ["u", "v"]]
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, radius: int = 5, spare: int = 3, bucket_rows: int = 16) -> DataFrame:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"_s": pdf["_s"], "_set": [_shingle_set(t).view(np.int64) for t in pdf["_text"]]})
+
+    ends = links.select(F.col("u").alias("_s")).distinct().unionByName(links.select(F.col("v").alias("_s")).distinct()).distinct()
+    own = cut(texts(ends).mapInPandas(hashed, "_s long, _set array<long>").dropDuplicates(["_s"]), "near-sets")
+    both = links.join(own.toDF("u", "_a"), "u").join(own.toDF("v", "_b"), "v")
+    return cut(both.mapInPandas(verify, "u long, v long"), "near-similar")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bucket_rows: int = 16) -> DataFrame:
     """(id, _x, component_id): a row for each distinct pair of id and text (_x: hash of the lower-cased text); component_id
-    is the smallest id linked by texts whose five-word shingles are similar to `similarity` or more.
-
-    Four SimHashes of each text come from one pass. Three of 64 bits take two-word shingles (under three seeds), which an edited word
-    changes less than it changes five-word shingles: near copies that differ in some 10 bits of 64 of a five-word SimHash differ in some 5 of these,
-    so that blocks can be wide. Texts within `radius` bits by any of the three agree in `spare` of radius + spare blocks and share a bucket
-    (pigeonhole); most pairs at some bits more do, too. Pairs of a bucket are verified by the Hamming distance of the fourth, 128 bits over
-    five-word shingles, see _most, and those within it by their whole sets of 32-bit shingle hashes (two texts of n words share some n * n / 2^32 by chance), so that no pair below `similarity` links.
-    Buckets of over bucket_rows emit no pairs: all their members are compared with one of them, that with the most bucket mates over all
-    tables (the text that the others were edited from, where there is one). What is linked collapses to its smallest id, and the search runs again on what is left of large buckets (members of small ones
-    have all been compared), until no bucket is large or nothing new links.
-    Texts of fewer words give one shingle; those without words (null too) have zero fingerprints and link with each other.
-    Rows with a null id get the component of their fingerprints, null if no id has them.
+    is the smallest id linked by texts whose sets of five-word shingles have a Jaccard similarity of `similarity` or more.
+
+    Every such pair ends in one component. Texts of one set (by a 64-bit hash of the sorted 64-bit shingle hashes) are one node. Two sets of n
+    shingles or more at that similarity share one of the first n - ceil(similarity * n) + 1 of each in any fixed order (prefix filter), so these
+    are the buckets; shingles that a sample finds common come last, which only keeps buckets small. Members of a bucket are compared
+    unless sizes or parity sketches, whose differing bits are differing shingles at least, rule the similarity out; what is left goes through the whole sets.
+    Buckets of over bucket_rows first compare all members with one, the text with the most bucket mates; then all pairs of members
+    that no links join yet are compared, so nothing depends on that choice but the number of comparisons.
+    Texts of fewer words give one shingle; those without words (null too) have the empty set and are one node.
+    Rows with a null id get the component of their set, null if no id has it.
     """
-    d = docs.select(F.col(id_col).alias("id"), ascii_lower(whole(text_col)).alias("_text"))
-    d = d.select("id", F.xxhash64("_text").alias("_x"), "_text")
-    s = shingles(d.select("id", "_x", words(F.col("_text")).alias("_words")), "_words", 5, "_s").select("id", "_x", "_s.*")
-    some, fp = F.col("w1").isNotNull(), [*_BLOCKED, *_WIDE]
-    whole_hash = F.xxhash64("w1", "w2", "w3", "w4", "w5")
-    pair_hash = F.xxhash64("w1", "w2")
-    hashes = [F.when(some, F.xxhash64(pair_hash, F.lit(i))) for i in range(len(_BLOCKED))] + [F.when(some, F.xxhash64(whole_hash, F.lit(i))) for i in range(len(_WIDE))]
-    fps = cut(vote(s, ["id", "_x"], hashes, F.lit(1)), "near-fingerprints")
-    reps = cut(fps.groupBy(*fp).agg(F.min("id").alias("rep"), F.min_by("_x", "id").alias("_rep_x")), "near-reps")
-    n = F.size("_words")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.hash(F.slice("_words", i, 5)))
-    of = F.when(n >= 5, F.array_distinct(grams)).when(n > 0, F.array(F.hash("_words"))).otherwise(F.array().cast("array<int>"))
-    nodes, links, judged = reps.where("rep is not null"), None, None
-    for turn in count():
-        close, large, pairs = _links(nodes, _most(similarity), radius, spare, bucket_rows, turn, judged)
-        judged = pairs if judged is None else judged.unionByName(pairs)
-        ends = close.select(F.col("u").alias("rep")).distinct().unionByName(close.select(F.col("v").alias("rep")).distinct()).join(reps.select("rep", "_rep_x"), "rep")
-        texts = d.join(ends, (F.col("id") == F.col("rep")) & (F.col("_x") == F.col("_rep_x")), "left_semi").dropDuplicates(["id", "_x"])
-        sets = texts.select(F.col("id").alias("rep"), words(F.col("_text")).alias("_words")).select("rep", of.alias("_set"))
-        new = _similar(close, sets, similarity)
-        links = new if links is None else links.unionByName(new)
-        linked = cut(connected_components(links), "near-components")
-        if not large.limit(1).count() or not new.limit(1).count():
-            break
-        left = nodes.join(large.select(F.col("_id").alias("rep")).distinct(), "rep", "left_semi")
-        nodes = cut(left.join(linked.where("node <> component").select(F.col("node").alias("rep")), "rep", "left_anti"), "near-nodes")
-    classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(*fp, F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, fp, "left").select("id", "_x", "component_id")
+    spark = docs.sparkSession
+    d = docs.select(F.col(id_col).alias("id"), ascii_lower(whole(text_col)).alias("_text")).select("id", F.xxhash64("_text").alias("_x"), "_text")
+    sample = d.where(F.pmod(F.xxhash64("_x"), F.lit(1 << 20)) < F.lit(-(-_SAMPLED * (1 << 20) // max(docs.count(), 1)))).dropDuplicates(["_x"])
+    often = sample.mapInPandas(_own, "_at long").groupBy("_at").count().where(F.col("count") >= _COMMON).orderBy(F.desc("count"), "_at").limit(1 << 18)
+    common = spark.sparkContext.broadcast(np.sort(often.select("_at").toArrow()["_at"].to_numpy().astype(np.int64).view(np.uint64)))
+    shape = f"id {d.schema['id'].dataType.simpleString()}, _x long, _s long, _size int, _sketch array<long>, _at array<long>"
+    marks = cut(d.mapInPandas(_prefixes(common, similarity), shape), "near-marks")
+    keys = marks.select("id", "_x", "_s").distinct()
+    nodes = cut(keys.groupBy("_s").agg(F.min("id").alias("rep"), F.min_by("_x", "id").alias("_rep_x")).where("rep is not null"), "near-nodes")
+    prefixes = cut(marks.where("id is not null").select("_s", "_size", "_sketch", "_at").dropDuplicates(["_s"]), "near-prefixes")
+
+    def texts(ends: DataFrame) -> DataFrame:
+        own = cut(nodes.join(ends, "_s").select(F.col("rep").alias("id"), F.col("_rep_x").alias("_x"), "_s"), "near-ends")
+        return d.join(own, ["id", "_x"]).select("_s", "_text")
+
+    ends = prefixes.select("_s", "_size", "_sketch")
+    tables = prefixes.select("_s", F.explode("_at").alias("_at"))
+    sizes = tables.groupBy("_at").agg(F.count("*").alias("_n")).where("_n > 1")
+    placed = cut(tables.join(sizes, "_at"), "near-buckets")
+    small, large = placed.where(F.col("_n") <= bucket_rows).select("_at", "_s"), placed.where(F.col("_n") > bucket_rows).select("_at", "_s")
+
+    def may(a: str, b: str) -> Column:
+        """Whether sizes and sketches allow the similarity: of m and n shingles that differ in x, m + n - x are twice the common ones."""
+        m, o = F.col(f"{a}_size"), F.col(f"{b}_size")
+        differ = sum((F.bit_count(F.col(f"{a}_sketch")[k].bitwiseXOR(F.col(f"{b}_sketch")[k])) for k in range(_SKETCH)), F.lit(0))
+        return (F.least(m, o) >= similarity * F.greatest(m, o) - 1e-9) & (differ <= (m + o) * (1 - similarity) / (1 + similarity) + 1e-9)
+
+    def sided(df: DataFrame, side: str, node: str) -> DataFrame:
+        return df.select(F.col("_s").alias(node), F.col("_size").alias(f"{side}_size"), F.col("_sketch").alias(f"{side}_sketch"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sided(ends, "_l", "u"), "u").join(sided(ends, "_r", "v"), "v").where(may("_l", "_r")).select("u", "v")
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    mates = placed.groupBy("_s").agg(F.sum("_n").alias("_mates"))
+    heads = large.join(mates, "_s").groupBy("_at").agg(F.max_by("_s", F.struct("_mates", "_s")).alias("v"))
+    found = small.toDF("_at", "u").join(small.toDF("_at", "v"), "_at").where("u < v").unionByName(large.toDF("_at", "u").join(heads, "_at").where("u <> v"))
+    links = _similar(cut(close(ordered(found)), "near-links"), texts, similarity)
+    linked = cut(connected_components(links), "near-components")
+    if large.limit(1).count():
+        # What stays unlinked within large buckets: all pairs, their sketches compared within the join, so only possible ones leave it.
+        parts = large.join(linked.toDF("_s", "_c"), "_s", "left").withColumn("_c", F.coalesce("_c", "_s"))
+        several = parts.groupBy("_at").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_at")
+        open_ = cut(parts.join(several, "_at").join(ends, "_s"), "near-open")
+        a, b = (open_.select("_at", F.col("_s").alias(node), F.col("_c").alias(f"{side}_c"), F.col("_size").alias(f"{side}_size"), F.col("_sketch").alias(f"{side}_sketch")) for node, side in (("u", "_l"), ("v", "_r")))
+        rest = a.join(b, "_at").where((F.col("u") < F.col("v")) & (F.col("_l_c") != F.col("_r_c")) & may("_l", "_r")).select("u", "v").distinct()
+        more = _similar(cut(rest, "near-rest"), texts, similarity)
+        linked = cut(connected_components(links.unionByName(more)), "near-components")
+    least = nodes.join(linked.toDF("_s", "_c"), "_s", "left").select("_s", "rep", F.coalesce("_c", "_s").alias("_c"))
+    classes = least.join(least.groupBy("_c").agg(F.min("rep").alias("component_id")), "_c").select("_s", "component_id")
+    return keys.join(classes, "_s", "left").select("id", "_x", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -258,6 +258,52 @@ def test_similar_groups(spark, bucket):
     assert near_dedup.similar_groups(empty(spark)).count() == 0
 
 
+def edits(rng, base, k):
+    """Variants of base at some 0.8 to 0.85: an appended, an inserted and a replaced passage, and scattered words."""
+    new = prose(rng, len(base)).split(" ")
+    n = len(base)
+    at = rng.randrange(n // 4, n // 2)
+    return [base + new[: n // 5], base[:at] + new[: n // 6] + base[at:], base[:at] + new[: n // 12] + base[at + n // 12 :], [new[i] if i % 50 == 7 else w for i, w in enumerate(base)]][k % 4]
+
+
+@pytest.mark.parametrize("bucket", [16, 3])
+def test_similar_groups_equal_brute_force(spark, bucket):
+    """Groups are exactly the components of all pairs at 0.8, with passages appended, inserted and replaced; large buckets hold pairs
+    round an unrelated, well-connected text, and chains H~X~Y with Y unlike H; texts of one dominant shingle differ in their tails."""
+    rng, texts = random.Random(12), []
+    for _ in range(12):
+        base = prose(rng, rng.randrange(60, 240)).split(" ")
+        texts += [" ".join(base), *[" ".join(edits(rng, base, k)) for k in range(4)]]
+    shared = prose(rng, 60)
+    hub = prose(rng, 20) + " " + shared + " " + prose(rng, 20)
+    texts.append(hub)
+    for _ in range(10):  # pairs of near copies that share only a passage with the hub
+        own = shared.split(" ") + prose(rng, 60).split(" ")
+        texts += [" ".join(own), " ".join([*own[:-6], *prose(rng, 6).split(" ")])]
+    chain = prose(rng, 200).split(" ")
+    for _ in range(30):
+        texts.append(" ".join(chain))
+        at = rng.randrange(180)
+        chain = chain[:at] + prose(rng, 14).split(" ") + chain[at + 14 :]
+    texts += ["filler " * 300 + prose(rng, 60) for _ in range(4)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r["id"]: r["component_id"] for r in near_dedup.similar_groups(frame(spark, rows), bucket_rows=bucket).collect()}
+    of = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in combinations(range(len(texts)), 2):
+        if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
 # 3
 
 
