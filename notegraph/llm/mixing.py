@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole, words
+from .common import cut, whole, words
 
-#: Categories of a margin that keep their own name; the rest share one. Bounds the table of cells.
-CATEGORIES = 63
-OTHER = "(other)"
+#: Cells up to which the raking runs in one row of arrays; more are raked as a table, by the same steps to the same weights.
+IN_A_ROW = 4_096
 
 
 def topic_of(ws: Column, topics: int = 8) -> Column:
@@ -20,20 +19,34 @@ def topic_of(ws: Column, topics: int = 8) -> Column:
     return F.when(F.size(ws) > 0, F.concat(F.lit("t"), F.pmod(F.xxhash64(best), F.lit(topics)).cast("string"))).otherwise(F.lit("t-"))
 
 
-def _folded(df: DataFrame, values: DataFrame, margin: str) -> DataFrame:
-    """df with the margin's rarer categories under one name. The list of names has CATEGORIES rows at most."""
-    top = values.groupBy(margin).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), margin).limit(CATEGORIES).select(F.col(margin).alias("_ng_m"))
-    return df.join(F.broadcast(top), F.col(margin) == F.col("_ng_m"), "left").withColumn(margin, F.coalesce("_ng_m", F.lit(OTHER))).drop("_ng_m")
+def _rake_table(cells: DataFrame, margins: list[str], target: Callable[[Column], Column], rounds: int) -> DataFrame:
+    """What rake gives, by sums over the table of cells and joins; each round is written."""
+    w = cells.select(*margins, "_tokens", F.col("_tokens").cast("double").alias("_weight"))
+    every = w.agg(F.sum("_weight")).first()[0]
+    wanted = []
+    for m in margins:
+        raw = cut(w.groupBy(m).agg(F.sum("_weight").alias("_s")).select(m, target(F.col("_s") / F.greatest(F.lit(every), F.lit(1.0))).alias("_raw")), "margin")
+        wanted.append(raw.select(m, (F.col("_raw") * every / F.greatest(F.lit(raw.agg(F.sum("_raw")).first()[0]), F.lit(1e-300))).alias("_want")))
+    for _ in range(rounds):
+        for m, want in zip(margins, wanted):
+            scale = w.groupBy(m).agg(F.sum("_weight").alias("_s")).join(want, m).select(m, F.when(F.col("_s") > 0, F.col("_want") / F.col("_s")).otherwise(0.0).alias("_by"))
+            w = w.join(scale, m).withColumn("_weight", F.col("_weight") * F.col("_by")).drop("_by")
+        w = cut(w.select(*margins, "_tokens", "_weight"), "raked")
+    rate = F.when(F.col("_tokens") > 0, F.col("_weight") / F.col("_tokens")).otherwise(0.0)
+    most = max(w.agg(F.max(rate)).first()[0], 1e-300)
+    return w.select(*margins, F.col("_tokens").cast("double").alias("_tokens"), "_weight", (rate / most).alias("_rate"))
 
 
 def rake(cells: DataFrame, margins: list[str], target: Callable[[Column], Column], rounds: int = 30) -> DataFrame:
     """cells (margins..., _tokens) with `_weight` and `_rate`: weights are tokens scaled until each margin's shares meet its targets.
 
     target makes a category's wanted share, before shares are brought to sum 1, from its present one. `_rate` is weight by
-    tokens, scaled so that the largest is 1. The cells, bounded by CATEGORIES + 1 to the number of margins, are gathered
-    into one row of arrays; each round scales every margin in turn by wanted over present sum. Margins that can't be met
-    together end at the last one's targets. No cells: no rows.
+    tokens, scaled so that the largest is 1. Each round scales every margin in turn by wanted over present sum. All categories
+    count on their own. Up to IN_A_ROW cells are gathered into one row of arrays, more stay a table (_rake_table). Margins that can't be met
+    together end at the last one's targets. cells is read several times. No cells: no rows.
     """
+    if cells.limit(IN_A_ROW + 1).count() > IN_A_ROW:
+        return _rake_table(cells, margins, target, rounds)
     k = len(margins)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     row = cells.agg(F.sort_array(F.collect_list(F.struct(*margins, F.col("_tokens").cast("double").alias("n")))).alias("_c"))
@@ -88,10 +101,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     named = {"_ng_source": F.coalesce(F.col(source_col), F.lit("(none)")), "_ng_lang": F.coalesce(F.col(lang_col), F.lit("(none)"))}
     marked = docs.withColumns(named).withColumn("_ng_words", words(whole(text_col)))
     marked = marked.withColumns({"_topic": topic_of(F.col("_ng_words")), "_tokens": F.greatest(F.size("_ng_words"), F.lit(1)).cast("long")}).drop("_ng_words")
-    for m in margins[:2]:
-        marked = _folded(marked, docs.select(named[m].alias(m)), m)
-    cells = marked.groupBy(*margins).agg(F.sum("_tokens").alias("_tokens"))
-    rates = rake(cells, margins, lambda share: F.pow(share, F.lit(temper)), rounds).select(*margins, F.col("_rate").alias("_p"))
+    cells = cut(marked.groupBy(*margins).agg(F.sum("_tokens").alias("_tokens")), "cells")
+    rates = cut(rake(cells, margins, lambda share: F.pow(share, F.lit(temper)), rounds).select(*margins, F.col("_rate").alias("_p")), "rates")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    out = marked.join(F.broadcast(rates), margins, "left").withColumn("_kept", draw < F.col("_p"))
+    out = marked.join(rates, margins, "left").withColumn("_kept", draw < F.col("_p"))
     return out.drop("_ng_source", "_ng_lang")

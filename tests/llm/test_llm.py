@@ -459,6 +459,33 @@ def test_mix(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [4_096, 10])
+def test_mixing_rakes_every_category(spark, monkeypatch, most):
+    """100 sources and 70 languages, all raked on their own, in a row of arrays and as a table; one source has few documents and a third of the tokens."""
+    monkeypatch.setattr(mixing, "IN_A_ROW", most)
+    rows = [(i, " ".join(["w"] * (4_000 if i % 100 == 99 and i < 200 else 20 + i % 7)), f"s{i % 100}", f"l{i * 11 % 70}") for i in range(1_200) if i % 100 != 99 or i < 200]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.mix(df).select("source", "lang", "_topic", "_tokens", "_p").collect()
+    cells, weight = Counter(), {}
+    for r in out:
+        cells[(r["source"], r["lang"], r["_topic"])] += r["_tokens"]
+    weight = {c: float(n) for c, n in cells.items()}
+    every = sum(weight.values())
+    for _ in range(30):
+        for m in range(3):
+            found, now = Counter(), Counter()
+            for c, n in cells.items():
+                found[c[m]] += n
+                now[c[m]] += weight[c]
+            raw = {x: (n / every) ** 0.7 for x, n in found.items()}
+            weight = {c: w * raw[c[m]] / sum(raw.values()) * every / now[c[m]] for c, w in weight.items()}
+    rate = {c: weight[c] / n for c, n in cells.items()}
+    assert len({c[0] for c in cells}) == 100 and len({c[1] for c in cells}) == 70
+    for r in out:
+        c = (r["source"], r["lang"], r["_topic"])
+        assert abs(r["_p"] - rate[c] / max(rate.values())) < 1e-9
+
+
 # 7
 
 RANKS = queries.ranks()
