@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, simhash, suffix_dedup, tokenizer, topk, toxicity
-from .common import cut, read, small_batches
+from .common import cut, new_path, read, small_batches
 
 #: The shards of op8.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    # The ledger is kept where the session names a folder for it; else each run has one of its own.
+    ledger = spark.conf.get("spark.notegraph.ledger", None) or new_path(spark, "ledger")
+    findings = secrets.scan_stored(read(spark, sf_dir, "documents").select("doc_id", "text"), ledger)
     kinds = [r.kind for r in secrets.RULES]
     spans = {k: F.coalesce(F.try_element_at("kinds", F.lit(k)), F.array().cast("array<struct<start:int,end:int>>")) for k in kinds}
 
@@ -150,4 +152,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT doc_id, {_LISTS} FROM d),
 j AS (SELECT *, coalesce(array_to_string(list_transform(list_sort({_ALL}), lambda s: s.kind || ':' || CAST(CAST(s.start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s.e AS BIGINT) AS VARCHAR)), ','), '') AS spans FROM f)
 SELECT doc_id, CAST(len(s_assign) AS BIGINT) AS n_assign, CAST(len(s_access) AS BIGINT) AS n_access, CAST(len(s_hex) AS BIGINT) AS n_hex, sha256(spans) AS base_sha256, spans FROM j""",
+    "op3_line_dedup": """
+WITH l AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, t, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l),
+s AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM e WHERE regexp_matches(line, '\\S')),
+g AS (SELECT doc_id, p, i, lead(i) OVER w AS j, line, lead(line) OVER w AS next_line, n, len(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')) AS words FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+m AS (SELECT doc_id, p, line || chr(10) || next_line AS gram, 2 AS kind, [i, j] AS at FROM g WHERE next_line IS NOT NULL
+  UNION ALL SELECT doc_id, p, line, 1, [i] FROM g WHERE n = 1 UNION ALL SELECT doc_id, p, line, 50, [i] FROM g WHERE words >= 50),
+r AS (SELECT doc_id, at, row_number() OVER (PARTITION BY kind, gram ORDER BY doc_id, p) AS k FROM m),
+d AS (SELECT DISTINCT doc_id, unnest(at) AS i FROM r WHERE k > 1),
+k AS (SELECT e.doc_id, string_agg(CASE WHEN d.i IS NULL THEN line END, chr(10) ORDER BY e.i) AS kept, count(*) AS n_lines, count(d.i) AS n_removed FROM e LEFT JOIN d ON d.doc_id = e.doc_id AND d.i = e.i GROUP BY e.doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k""",
+    "op10_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }

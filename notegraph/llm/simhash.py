@@ -19,17 +19,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def vote(df: DataFrame, keys: list[str], hashes: list[Column], weight: Column) -> DataFrame:
-    """keys and one long f0, f1, ... for each hash: bit b is 1 if terms of over half the weight have bit b set.
+def vote(df: DataFrame, keys: list[str], hashes: list[Column], weight: Column, *more: Column) -> DataFrame:
+    """keys, one long f0, f1, ... for each hash, and aggregates `more` of df's columns: bit b is 1 if terms of over half the weight have bit b set.
 
     df has a row for each term; rows whose hash is null have no vote, and keys without votes get zero.
     Votes are summed map-side, two bits to a long, so a key sends one row from each task. A key's weights
-    must sum to less than 2^31.
+    must sum to less than 2^31, else it is an error.
     """
     h = [f"_h{i}" for i in range(len(hashes))]
-    terms = df.select(*keys, *[x.alias(n) for x, n in zip(hashes, h)], weight.cast("long").alias("_w"))
+    terms = df.select(*(["*"] if more else keys), *[x.alias(n) for x, n in zip(hashes, h)], weight.cast("long").alias("_w"))
     sums = [F.sum(F.shiftrightunsigned(F.col(n), j).bitwiseAND(F.lit(_TWO_LANES)) * F.col("_w")).alias(f"{n}_{j}") for n in h for j in range(32)]
-    total = terms.groupBy(*keys).agg(F.sum(F.when(F.col(h[0]).isNotNull(), F.col("_w"))).alias("_total"), *sums)
+    total = terms.groupBy(*keys).agg(F.sum(F.when(F.col(h[0]).isNotNull(), F.col("_w"))).alias("_total"), *sums, *more)
+    fits = F.coalesce(F.col("_total"), F.lit(0)) < F.lit(1 << 31)
 
     def bits(n: str) -> Column:
         out = F.lit(0).cast("long")
@@ -39,7 +40,8 @@ def vote(df: DataFrame, keys: list[str], hashes: list[Column], weight: Column) -
                 out = out.bitwiseOR(F.when(lane * 2 > F.col("_total"), F.lit(_signed(1 << at))).otherwise(F.lit(0).cast("long")))
         return out
 
-    return total.select(*keys, *[bits(n).alias(f"f{i}") for i, n in enumerate(h)])
+    rest = [c for c in total.columns[len(keys) + 1 + len(sums) :]]
+    return total.select(*keys, *[F.when(fits, bits(n)).otherwise(F.raise_error(F.lit("votes of a text sum to 2^31 or more")).cast("long")).alias(f"f{i}") for i, n in enumerate(h)], *rest)
 
 
 def hex_of(*longs: Column) -> Column:

@@ -13,8 +13,8 @@ from .common import cut, whole
 
 #: Bytes of the gram that an anchor hashes.
 GRAM = 40
-#: Distinct contexts of a gram up to which they meet in one suffix array, and bytes that fill a suffix array's batch.
-GROUP, BATCH = 4_000, 1 << 20
+#: Distinct contexts of a gram up to which they meet in one suffix array, and contexts that fill a suffix array's batch.
+GROUP, BATCH = 32_768, 8_192
 #: Neighbouring windows that are compared at once where a gram has more contexts than GROUP.
 BLOCK = 24
 _U = np.uint64
@@ -68,53 +68,48 @@ def _sliding(a: np.ndarray, w: int, op, fill: int) -> np.ndarray:
     return op(tail[:n], head[w - 1 : w - 1 + n])
 
 
-def anchors(h: Hashes, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of grams that are the least in a window of `length` bytes. They depend on the window's bytes
-    only, so equal windows have the same anchors."""
+def anchors(h: Hashes, n: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, gram hash, first window, last window) of each anchor: every window of `length` bytes has one, its gram with
+    the least hash (ties: the first). It depends on the window's bytes only, so equal windows have equal anchors at equal places."""
     at = np.arange(n - GRAM + 1)
     g = h.of(at, at + GRAM)
-    w = length - GRAM + 1
-    least = _sliding(g, w, np.minimum, 0xFFFFFFFFFFFFFFFF)
-    padded = np.zeros(len(least) + 2 * (w - 1), _U)
-    padded[w - 1 : w - 1 + len(least)] = least
-    keep = np.flatnonzero(_sliding(padded, w, np.maximum, 0) == g)
-    return keep, g[keep]
+    least = _sliding((g & _U(0xFFFFFFFF00000000)) | at.astype(_U), length - GRAM + 1, np.minimum, 0xFFFFFFFFFFFFFFFF)
+    place = (least & _U(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    place = place[first]
+    return place, g[place], first, np.append(first[1:], len(least)) - 1
 
 
 def _marks(length: int):
+    """(id, x, pos, start, end, gram, ctx): of each anchor, its windows' bytes and their hash with the anchor's place in them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [[np.zeros(0, np.int64)] * 5]
+            out = [[np.zeros(0, np.int64)] * 7]
             for doc, x, text in zip(pdf["id"], pdf["x"], pdf["text"]):
                 data = text.encode("utf-8")
                 n = len(data)
                 if n < length:
                     continue
                 h = Hashes(data)
-                at, gram = anchors(h, n, length)
-                left, right = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, n)
+                at, gram, left, right = anchors(h, n, length)
+                right = right + length
                 ctx = _mix(h.of(left, right) ^ ((at - left).astype(_U) * _U(0xD6E8FEB86659FD93) + (right - at).astype(_U)))
-                out.append([np.full(len(at), doc), np.full(len(at), x), at, gram.view(np.int64), ctx.view(np.int64)])
-            yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("id", "x", "pos", "gram", "ctx"))})
+                out.append([np.full(len(at), doc), np.full(len(at), x), at, left, right, gram.view(np.int64), ctx.view(np.int64)])
+            yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("id", "x", "pos", "start", "end", "gram", "ctx"))})
 
     return run
 
 
-def _contexts(length: int):
-    """A row with the bytes around each wanted anchor; start: where they begin, off: the anchor in them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, x, text, wanted in zip(pdf["id"], pdf["x"], pdf["text"], pdf["wanted"]):
-                data = text.encode("utf-8")
-                for a in wanted:
-                    at = a["pos"]
-                    left, right = max(0, at - (length - GRAM)), min(len(data), at + length)
-                    out.append((a["gram"], doc, x, left, a["n"], at - left, a["crowded"], data[left:right]))
-            yield pd.DataFrame(out, columns=["gram", "id", "x", "start", "n", "off", "crowded", "data"])
-
-    return run
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row with the bytes of each wanted anchor's windows; start: where they begin, off: the anchor in them."""
+    for pdf in batches:
+        out = []
+        for doc, x, text, wanted in zip(pdf["id"], pdf["x"], pdf["text"], pdf["wanted"]):
+            data = text.encode("utf-8")
+            for a in wanted:
+                out.append((a["gram"], doc, x, a["start"], a["n"], a["pos"] - a["start"], a["crowded"], data[a["start"] : a["end"]]))
+        yield pd.DataFrame(out, columns=["gram", "id", "x", "start", "n", "off", "crowded", "data"])
 
 
 def _blocks(length: int):
@@ -181,111 +176,123 @@ def _crowded(rows: DataFrame, length: int, first_stays: bool) -> DataFrame:
     return whole_.select("id", "x", F.col("from").alias("start"), F.col("to").alias("end")).unionByName(hits.select("id", "x", F.col("from").alias("start"), (F.col("from") + length).cast("int").alias("end")))
 
 
-def _names(key: np.ndarray, ordered: bool) -> np.ndarray:
-    """Small numbers for the keys, equal for equal ones; in the keys' order, or in that of appearance, which needs no sort."""
-    return np.unique(key, return_inverse=True)[1].astype(np.int64) if ordered else pd.factorize(key)[0].astype(np.int64)
-
-
-def suffix_classes(data: np.ndarray, length: int, ordered: bool = True) -> np.ndarray:
-    """Each place's rank in the suffix order cut at `length` bytes, by prefix doubling and tripling.
-
-    Not ordered: the same classes, but ranks of classes in order of appearance. The last `length` - 1 places are compared as
-    if zeros followed. Needs length >= 8.
+class RangeMinimum:
+    """Minima of any ranges of an array, by a table of the minima of all ranges whose length is a power of two."""
+
+    def __init__(self, a: np.ndarray):
+        self.levels = [a]
+        while 2 * (1 << (len(self.levels) - 1)) <= len(a):
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(last[:-step], last[step:]))
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The least of a[first..last], both ends included."""
+        level = np.log2(np.maximum(last - first + 1, 1)).astype(np.int64)
+        out = np.empty(len(first), self.levels[0].dtype)
+        for k in np.unique(level):
+            on = level == k
+            out[on] = np.minimum(self.levels[k][first[on]], self.levels[k][last[on] - (1 << k) + 1])
+        return out
+
+
+def suffix_order(group: np.ndarray, texts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): rows of bytes (zeros after their ends) in order by group, then bytes; lcp[i]: how many bytes rows i - 1 and i
+    of the order have in common, 0 at a group's first."""
+    m, w = texts.shape
+    wide = np.zeros((m, -(-w // 8) * 8), np.uint8)
+    wide[:, :w] = texts
+    words = wide.view(">u8").astype(_U)
+    order = np.lexsort((lens, *words.T[::-1], group))
+    a, b = order[:-1], order[1:]
+    differ = wide[a] != wide[b]
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), wide.shape[1])
+    lcp = np.minimum(same, np.minimum(lens[a], lens[b]))
+    lcp[group[a] != group[b]] = 0
+    return order, np.append(0, lcp).astype(np.int32) if m else np.zeros(0, np.int32)
+
+
+def factors(runs: np.ndarray, position: np.ndarray, first_stays: bool) -> np.ndarray:
+    """Which suffixes have a factor of the wanted length elsewhere. Suffixes stand in suffix order; runs: those that agree in so many bytes.
+
+    The longest factor that starts at an earlier position is that of the previous or next smaller position in suffix order: it has the
+    length if a smaller position stands in the run. Without first_stays the previous or next greater one counts too.
     """
-    n = len(data)
-    padded = np.zeros(n + 8, _U)
-    padded[:n] = data
-    v = np.zeros(n, _U)
-    for j in range(8):
-        v = (v << _U(8)) | padded[j : j + n]
-    rank, k = _names(v, ordered), 8
-
-    def joined(*steps: int) -> np.ndarray:
-        key, bits = rank, 63 // (len(steps) + 1)
-        for step in steps:
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
-            key = key << bits | after
-        return _names(key, ordered)
-
-    while k < length:  # three ranks of under 2^21 fit one key, else two
-        steps = [k, 2 * k] if 2 * k < length and rank.max() < (1 << 21) - 2 else [k]
-        steps = [min(s, length - k) for s in steps]
-        rank, k = joined(*steps), k + steps[-1]
-    return rank
-
-
-def candidates(rows: list[tuple], length: int) -> list[tuple]:
-    """rows less those none of whose windows can be repeated: no other of their gram has the same hash at the same place."""
-    lens = np.array([len(r[5]) for r in rows])
-    begin = np.cumsum(lens) - lens
-    row = np.repeat(np.arange(len(rows)), np.maximum(lens - length + 1, 0))
-    counts = np.maximum(lens - length + 1, 0)
-    off = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
-    at = begin[row] + off
-    gram, anchor = np.array([r[0] for r in rows], dtype=np.int64).view(_U), np.array([r[6] for r in rows])
-    key = Hashes(b"".join(r[5] for r in rows)).of(at, at + length) ^ _mix(gram[row] + (anchor[row] - off).astype(_U))
-    name = pd.factorize(key)[0]
-    live = np.zeros(len(rows), bool)
-    live[row[np.bincount(name)[name] > 1]] = True
-    return [r for r, on in zip(rows, live) if on]
+    heads = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+    size = np.diff(np.append(heads, len(runs)))
+    earlier = position > np.repeat(np.minimum.reduceat(position, heads), size)
+    return earlier if first_stays else earlier | (position < np.repeat(np.maximum.reduceat(position, heads), size))
 
 
 def repeats(rows: list[tuple], length: int, first_stays: bool) -> list[tuple[int, int, int, int]]:
     """(id, x, start, end) of bytes in rows' contexts that a string of `length` covers which also starts elsewhere in rows.
 
-    rows: (gram, id, x, start, n, data, off). Suffixes of all contexts that are candidates are ranked up to `length` bytes; in suffix order, those that agree so far stand by
-    absolute position, so the previous smaller position of each is its neighbour there, and its longest previous factor has at least `length`
-    bytes exactly if that neighbour is another position. first_stays keeps the first; else the next position counts too.
+    rows: (gram, id, x, start, n, data, off). The suffixes that start at the anchors are put in suffix order, with the lengths of the common
+    prefixes of neighbours. Going left from the anchors byte by byte, a stable order by the new first byte makes it the order of the suffixes
+    that start there; ranges of the first array's minima give their common prefixes. In each such order, suffixes that agree
+    in `length` bytes are neighbours, and factors() tells which of them occur earlier, or elsewhere. Contexts that no other goes along with leave.
     """
-    rows = candidates(rows, length)
-    if not rows:
-        return []
-    lens = np.array([len(r[5]) for r in rows])
+    m = len(rows)
+    doc, x, start, n, off = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3, 4, 6))
+    size = np.array([len(r[5]) for r in rows], dtype=np.int64)
+    group = pd.factorize(np.array([r[0] for r in rows], dtype=np.int64))[0]
     data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-    begin = np.cumsum(lens) - lens
-    cls = suffix_classes(data, length, ordered=False)
-    row = np.repeat(np.arange(len(rows)), lens)
-    off = np.arange(len(data)) - begin[row]
-    ok = np.flatnonzero(off + length <= lens[row])
-    doc, x, start, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3, 4))
-    c, r = cls[ok], row[ok]
-    d, y, p = doc[r], x[r], start[r] + off[ok]
-    order = np.lexsort((p, y, d, c))
-    c, r, d, y, p, o = c[order], r[order], d[order], y[order], p[order], off[ok][order]
-    same = c[1:] == c[:-1]
-    other = same & ((d[1:] != d[:-1]) | (y[1:] != y[:-1]) | (p[1:] != p[:-1]))
-    heads = np.flatnonzero(np.append(True, ~same))
-    of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(c))))
-    if first_stays:  # an earlier position anywhere before in the class
-        seen = np.append(0, np.cumsum(other))
-        hit = seen - seen[heads][of] > 0
-    else:
-        many = np.bincount(of, np.append(other, False).astype(float)) > 0
-        hit = many[of] & (n[r] == 1)
-    r, o = r[hit], o[hit]
-    order = np.lexsort((o, r))
-    r, o = r[order], o[order]
-    if not len(r):
-        return []
-    new = np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1))
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(r)) - 1
-    return [(int(doc[i]), int(x[i]), int(start[i] + s), int(start[i] + e + length)) for i, s, e in zip(r[a], o[a], o[b])]
+    anchor = np.cumsum(size) - size + off
+    right = size - off
+
+    def around(step: int, count: np.ndarray) -> np.ndarray:
+        """A row of bytes from each anchor on (step 1) or before it (step -1), zeros after count."""
+        k = np.arange(count.max(initial=0))
+        at = anchor[:, None] + (k if step == 1 else -1 - k)
+        return np.where(k < count[:, None], data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
+
+    order, lcp = suffix_order(group, around(1, right), right)
+    common = RangeMinimum(lcp)
+    before = around(-1, off)
+    position = np.empty(m, np.int64)
+    position[np.lexsort((start + off, x, doc))] = np.arange(m)
+    covered = np.zeros((m, off.max(initial=0) + 1), bool)
+    # on: rows whose suffix from `back` bytes before the anchor stands in the order; rank: that of the anchor's suffix; kind: the same group and bytes up to the anchor
+    on, rank, kind = order, np.arange(m), group[order]
+    for back in range(covered.shape[1]):
+        if back:
+            stay = off[on] >= back
+            on, rank, kind = on[stay], rank[stay], kind[stay]
+            key = kind * 256 + before[on, back - 1]
+            if (key[1:] < key[:-1]).any():
+                by = np.argsort(key, kind="stable")
+                on, rank, key = on[by], rank[by], key[by]
+            kind = np.cumsum(np.append(0, key[1:] != key[:-1])) if len(key) else key
+        same = kind[1:] == kind[:-1]
+        stay = np.append(False, same) | np.append(same, False) if len(kind) else np.zeros(0, bool)
+        on, rank, kind = on[stay], rank[stay], kind[stay]
+        if not len(on):
+            break
+        agree = kind[1:] == kind[:-1]
+        pairs = np.flatnonzero(agree)
+        agree[pairs] = common.of(rank[pairs] + 1, rank[pairs + 1]) >= length - back
+        runs = np.cumsum(np.append(0, ~agree))
+        hit = factors(runs, position[on], first_stays)
+        covered[on[hit], back] = True
+    if not first_stays:
+        covered[n > 1] = False  # these contexts occur elsewhere as a whole
+    edge = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, low = np.nonzero(edge == 1)
+    high = np.nonzero(edge == -1)[1] - 1
+    at = (start + off)[row]
+    return list(zip(doc[row].tolist(), x[row].tolist(), (at - high).tolist(), (at - low + length).tolist()))
 
 
 def _cold(length: int, first_stays: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        size, key = 0, None
+        key = None
         for pdf in batches:
             for r in zip(*(pdf[c] for c in ("gram", "id", "x", "start", "n", "data", "off"))):
-                if r[0] != key and size > BATCH:
+                if r[0] != key and len(held) >= BATCH:
                     yield pd.DataFrame(repeats(held, length, first_stays), columns=["id", "x", "start", "end"])
-                    held, size = [], 0
+                    held = []
                 key = r[0]
                 held.append(r)
-                size += len(r[5])
         if held:
             yield pd.DataFrame(repeats(held, length, first_stays), columns=["id", "x", "start", "end"])
 
@@ -303,33 +310,37 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are taken as UTF-8, matches stay within a text. With first_stays, only copies after the first by (id, x, start) count.
 
-    Every window of `length` bytes has an anchor, the least gram hash in it; equal windows have equal anchors at equal places. So
-    windows are compared among the contexts of one gram (the bytes that any window with that anchor can cover):
+    Every window of `length` bytes has one anchor, the least gram hash in it; equal windows have equal anchors at equal places. So
+    windows are compared among the contexts of one gram (the bytes of the windows that an anchor has):
     - a context that occurs more than once is repeated as a whole, and counted before any shuffle;
     - a gram with one context has no other repeats;
-    - else its distinct contexts, up to GROUP, meet in a suffix array with longest previous factors (see repeats);
+    - else its distinct contexts, up to GROUP, meet in suffix order, where longest previous factors tell what is repeated (see repeats);
     - for more contexts than GROUP, hashes of blocks and windows are counted instead, with no group in one task (see _crowded).
-    A text shorter than `length` has no repeats; neither do empty ones. Rows equal in id and text count as copies.
+    A text shorter than `length` has no repeats; neither do empty ones. Rows equal in id and text count as copies. Time and memory
+    of a text grow in proportion to its length.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
     d = keyed(docs, id_col, text_col)
-    reach = length - GRAM
-    marks = cut(d.mapInPandas(_marks(length), "id long, x long, pos int, gram long, ctx long"), "anchors")
-    contexts = cut(marks.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "x", "pos")).alias("rep")), "contexts")
+    marks = cut(d.mapInPandas(_marks(length), "id long, x long, pos int, start int, `end` int, gram long, ctx long"), "anchors")
+    rep = F.min(F.struct("id", "x", "pos", "start", "end")).alias("rep")
+    contexts = cut(marks.groupBy("gram", "ctx").agg(F.count("*").alias("n"), rep), "contexts")
     grams = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("lone")).where("m > 1" if first_stays else "m > 1 and lone > 0")
     grams = cut(grams, "grams")  # here and below: so that a join reads two plain sides, and a crowded key can be split
-    range_ = [F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end")]
     settled = marks.join(contexts.where("n > 1"), ["gram", "ctx"])
     if first_stays:
-        settled = settled.where(F.struct("id", "x", "pos") != F.col("rep"))
-    spans = settled.select("id", "x", *range_)
-    open_ = contexts.join(grams, "gram").select("rep.*", "gram", "n", (F.col("m") > GROUP).alias("crowded"))
-    wanted = open_.groupBy("id", "x").agg(F.collect_list(F.struct("pos", "gram", "n", "crowded")).alias("wanted"))
-    found = cut(d.join(wanted, ["id", "x"]).mapInPandas(_contexts(length), "gram long, id long, x long, start int, n long, off int, crowded boolean, data binary"), "around")
+        settled = settled.where(F.struct("id", "x", "pos", "start", "end") != F.col("rep"))
+    spans = settled.select("id", "x", "start", "end")
+    crowded = F.col("m") > GROUP
+    open_ = contexts.join(grams, "gram").select("rep.*", "gram", "n", crowded.alias("crowded"))
+    wanted = open_.groupBy("id", "x").agg(F.collect_list(F.struct("pos", "start", "end", "gram", "n", "crowded")).alias("wanted"))
+    found = d.join(wanted, ["id", "x"]).mapInPandas(_contexts, "gram long, id long, x long, start int, n long, off int, crowded boolean, data binary")
+    some = grams.where(crowded).limit(1).count() > 0
+    if some:
+        found = cut(found, "around")
     cold = found.where("not crowded").select("gram", "id", "x", "start", "n", "off", "data").repartition("gram").sortWithinPartitions("gram")
     spans = spans.unionByName(cold.mapInPandas(_cold(length, first_stays), "id long, x long, start int, end int"))
-    if found.where("crowded").limit(1).count():
+    if some:
         spans = spans.unionByName(_crowded(found.where("crowded").drop("crowded"), length, first_stays))
     return spans.groupBy("id", "x").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
