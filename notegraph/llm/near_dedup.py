@@ -76,6 +76,12 @@ def _sketch(s: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """512 bits, of which each hash flips one: those of two sets differ in as many bits at most as elements are in one set only."""
+    flips = np.bincount((s >> np.uint64(16) & np.uint64(511)).astype(np.int64), minlength=512)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def _least_hashes(similarity: float) -> int:
     """How many least hashes of two sets at this similarity share one, but for a chance of _MISS."""
     return math.ceil(math.log(_MISS) / math.log(1 - similarity))
@@ -97,7 +103,7 @@ def _prefix(n: int, similarity: float) -> int:
 
 
 def _marks(similarity: float):
-    """(id, _x, _s, _size, f0, _sketch, _at): each text's set as a hash, its size, SimHash, sketch and least hashes."""
+    """(id, _x, _s, _size, f0, _sketch, _parity, _at): each text's set as a hash, its size, SimHash, sketches and least hashes."""
     few = _least_hashes(similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,8 +112,8 @@ def _marks(similarity: float):
             for i, x, text in zip(pdf["id"], pdf["_x"], pdf["_text"]):
                 g = _shingle_set(text)
                 s = int(np.uint64(xxhash.xxh3_64_intdigest(g.tobytes())).view(np.int64))
-                out.append((i, x, s, len(g), _simhash(g), _sketch(g), g[: min(few, _prefix(len(g), similarity))].view(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "_x", "_s", "_size", "f0", "_sketch", "_at"]).astype({"id": pdf["id"].dtype})
+                out.append((i, x, s, len(g), _simhash(g), _sketch(g), _parity(g), g[: min(few, _prefix(len(g), similarity))].view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "_x", "_s", "_size", "f0", "_sketch", "_parity", "_at"]).astype({"id": pdf["id"].dtype})
 
     return run
 
@@ -141,7 +147,7 @@ class _Groups:
         keys = marks.groupBy("id", "_x", "_s").agg(F.count("*").alias("_rows"))
         least = F.min_by(F.struct("_x", "_rows"), "id").alias("_r")
         self.nodes = cut(keys.where("id is not null").groupBy("_s").agg(F.min("id").alias("rep"), least).select("_s", "rep", F.col("_r._x").alias("_rep_x"), F.col("_r._rows").alias("_rep_rows")), "near-nodes")
-        self.ends = cut(marks.where("id is not null").select("_s", "_size", "f0", "_sketch", "_at").dropDuplicates(["_s"]), "near-ends")
+        self.ends = cut(marks.where("id is not null").select("_s", "_size", "f0", "_sketch", "_parity", "_at").dropDuplicates(["_s"]), "near-ends")
         self.linked: DataFrame | None = None
 
     def texts(self, ends: DataFrame) -> DataFrame:
@@ -153,7 +159,8 @@ class _Groups:
         return d.dropDuplicates(["_s"]) if wanted.where("_rep_rows > 1").limit(1).count() else d
 
     def may(self, a: str, b: str) -> Column:
-        """Whether sizes and sketches allow the similarity."""
+        """Whether sizes and sketches allow the similarity. As many elements are in one of two similar sets only as `apart`, and no more bits of
+        the parities or bins of the sketches differ; of bins no more than _most_differing either."""
         m, o = F.col(f"{a}_size"), F.col(f"{b}_size")
         differ = F.lit(0)
         for k in range(_BINS // 8):
@@ -161,10 +168,13 @@ class _Groups:
             for by in (4, 2, 1):  # the last bit of each byte: whether any of its bits is set
                 y = y.bitwiseOR(F.shiftrightunsigned(y, by))
             differ = differ + F.bit_count(y.bitwiseAND(F.lit(0x0101010101010101)))
-        return (F.least(m, o) >= self.similarity * F.greatest(m, o) - 1e-9) & (differ <= _most_differing(self.similarity))
+        apart = (m + o) * (1 - self.similarity) / (1 + self.similarity) + 1e-6
+        flipped = sum((F.bit_count(F.col(f"{a}_parity")[k].bitwiseXOR(F.col(f"{b}_parity")[k])) for k in range(8)), F.lit(0))
+        alike = (flipped <= apart) & (differ <= F.least(F.lit(float(_most_differing(self.similarity))), apart))
+        return (F.least(m, o) >= self.similarity * F.greatest(m, o) - 1e-9) & alike
 
     def sided(self, rows: DataFrame, side: str, node: str) -> DataFrame:
-        return rows.select(F.col("_s").alias(node), F.col("_size").alias(f"{side}_size"), F.col("_sketch").alias(f"{side}_sketch"))
+        return rows.select(F.col("_s").alias(node), F.col("_size").alias(f"{side}_size"), F.col("_sketch").alias(f"{side}_sketch"), F.col("_parity").alias(f"{side}_parity"))
 
     def link(self, pairs: DataFrame, known: bool = False) -> None:
         """Link those of pairs (u, v) whose whole sets are similar. known: sizes and sketches allow it."""
@@ -202,11 +212,15 @@ class _Groups:
         return rows.withColumn("_c", F.col("_s")) if self.linked is None else rows.join(self.linked, "_s", "left").withColumn("_c", F.coalesce("_c", "_s"))
 
     def opened(self, buckets: DataFrame, seed: int) -> DataFrame:
-        """(_at, _s, _c, _n, _most, _head) of buckets (_at, _s) that hold several components: the rows, the component with most of
-        them, and one of its members. Of buckets with more rows than bucket_rows only those outside of that component."""
+        """(_at, _s, _c, _n, _most, _head) of buckets (_at, _s, _in) that hold several components: the rows, the component with most of
+        them, and one of its members: with seed 0 the one in most buckets, as a text that others were made from shares most with them;
+        else any. Of buckets with more rows than bucket_rows only those outside of that component."""
         parts = self.of(buckets)
-        by = parts.groupBy("_at", "_c").agg(F.count("*").alias("_n"), F.min_by("_s", F.xxhash64("_s", F.lit(seed))).alias("_head"))
-        of = by.groupBy("_at").agg(F.sum("_n").alias("_n"), F.max_by(F.struct("_c", "_head"), F.struct("_n", "_c")).alias("_m"), F.count("*").alias("_k")).where("_k > 1")
+        rank = (F.col("_in") if seed == 0 else F.lit(0)).cast("long")
+        head = F.max_by("_s", F.struct(rank, F.xxhash64("_s", F.lit(seed)))).alias("_head")
+        by = parts.groupBy("_at", "_c").agg(F.count("*").alias("_n"), F.max(rank).alias("_rank"), head)
+        most = F.max_by(F.struct("_c", "_head"), F.struct("_n", "_rank", F.xxhash64("_c", F.lit(seed)))).alias("_m")
+        of = by.groupBy("_at").agg(F.sum("_n").alias("_n"), most, F.count("*").alias("_k")).where("_k > 1")
         rows = parts.join(of.select("_at", "_n", F.col("_m._c").alias("_most"), F.col("_m._head").alias("_head")), "_at")
         return cut(rows.where((F.col("_n") <= self.bucket_rows) | (F.col("_c") != F.col("_most"))), "near-open")
 
@@ -228,8 +242,17 @@ class _Groups:
         return cut(self.opened(buckets, 0).where(F.col("_n") > self.bucket_rows).select("_at").distinct(), "near-large")
 
     def several(self, tables: DataFrame) -> DataFrame:
-        """The rows of tables (_at, _s) whose bucket has another."""
-        return cut(tables.join(tables.groupBy("_at").agg(F.count("*").alias("_n")).where("_n > 1").select("_at"), "_at"), "near-buckets")
+        """The rows of tables (_at, _pos, _s) whose bucket has another, with the number of such rows of their _s (_in)."""
+        rows = cut(tables.join(tables.groupBy("_at").agg(F.count("*").alias("_n")).where("_n > 1").select("_at"), "_at"), "near-shared")
+        out = cut(rows.join(rows.groupBy("_s").agg(F.count("*").alias("_in")), "_s"), "near-buckets")
+        release(rows)
+        return out
+
+    def enough(self) -> Column:
+        """Whether as many shingles as the similarity needs can be common, if none before the places _l_pos and _r_pos is: true where
+        two similar sets have their first common shingle."""
+        m, n = F.col("_l_size"), F.col("_r_size")
+        return F.least(m - F.col("_l_pos"), n - F.col("_r_pos")) >= self.similarity / (1 + self.similarity) * (m + n) - 1e-6
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bucket_rows: int = 16) -> DataFrame:
@@ -246,13 +269,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     - Of larger buckets that still hold several components, all members meet again in buckets of whole prefixes: two sets of n shingles or more share
       one of the first n - ceil(similarity * n) + 1 of each in any fixed order. Shingles that a sample finds common come last, which keeps
       buckets small. Of buckets that stay large, all pairs of different components are compared.
-    Sizes and sketches of 64 bins drop most pairs that aren't similar; what is left is decided by the whole sets.
+    Sizes, the places of common shingles, parities of 512 bits and sketches of 64 bins drop most pairs that aren't similar; what is left is
+    decided by the whole sets.
     Texts of fewer words give one shingle; those without words (null too) have the empty set and are one node.
     Rows with a null id get the component of their set, null if no id has it. Repeated rows give one row. Empty table: no rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("id"), ascii_lower(whole(text_col)).alias("_text")).select("id", F.xxhash64("_text").alias("_x"), "_text")
-    shape = f"id {d.schema['id'].dataType.simpleString()}, _x long, _s long, _size int, f0 long, _sketch array<long>, _at array<long>"
+    shape = f"id {d.schema['id'].dataType.simpleString()}, _x long, _s long, _size int, f0 long, _sketch array<long>, _parity array<long>, _at array<long>"
     marks = cut(d.mapInPandas(_marks(similarity), shape), "near-marks")
     g = _Groups(docs, marks, id_col, text_col, similarity, bucket_rows)
 
@@ -263,7 +287,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     g.link(g.ends.select(F.col("_s").alias("u"), "f0").join(classes, "f0").where("u <> v").select("u", "v"))
 
     # Least hashes, then whole prefixes of what stays apart in large buckets
-    buckets = g.several(g.ends.select("_s", F.explode("_at").alias("_at")))
+    buckets = g.several(g.ends.select("_s", F.posexplode("_at").alias("_pos", "_at")))
     large = g.compare(buckets)
     if large.limit(1).count():
         crowd = cut(buckets.join(large, "_at", "left_semi").select("_s").distinct(), "near-crowd")
@@ -272,17 +296,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         often = texts.where(F.pmod(F.xxhash64("_s"), F.lit(1 << 20)) < share).mapInPandas(_own, "_at long").groupBy("_at").count()
         often = often.where(F.col("count") >= _COMMON).orderBy(F.desc("count"), "_at").limit(1 << 18)
         common = spark.sparkContext.broadcast(np.sort(often.select("_at").toArrow()["_at"].to_numpy().astype(np.int64).view(np.uint64)))
-        prefixes = cut(texts.mapInPandas(_prefixes(common, similarity), "_s long, _at array<long>").select("_s", F.explode("_at").alias("_at")), "near-prefixes")
+        prefixes = cut(texts.mapInPandas(_prefixes(common, similarity), "_s long, _at array<long>").select("_s", F.posexplode("_at").alias("_pos", "_at")), "near-prefixes")
         buckets = g.several(prefixes)
         release(prefixes)
         large = g.compare(buckets)
         if large.limit(1).count():
             # All pairs of different components, of which one lies outside of the bucket's largest; sketches are compared within the join.
-            every = cut(g.of(buckets.join(large, "_at", "left_semi")).join(g.ends.select("_s", "_size", "_sketch"), "_s"), "near-rest")
+            every = cut(g.of(buckets.join(large, "_at", "left_semi")).join(g.ends.select("_s", "_size", "_sketch", "_parity"), "_s"), "near-rest")
             outside = g.opened(buckets, 0).where(F.col("_n") > bucket_rows).select("_at", "_s").join(every, ["_at", "_s"])
-            left = outside.select("_at", F.col("_s").alias("u"), F.col("_c").alias("_l_c"), F.col("_size").alias("_l_size"), F.col("_sketch").alias("_l_sketch"))
-            right = every.select("_at", F.col("_s").alias("v"), F.col("_c").alias("_r_c"), F.col("_size").alias("_r_size"), F.col("_sketch").alias("_r_sketch"))
-            g.link(left.join(right, "_at").where((F.col("_l_c") != F.col("_r_c")) & g.may("_l", "_r")).select("u", "v"), known=True)
+            left = outside.select("_at", F.col("_s").alias("u"), *[F.col(f"_{c}").alias(f"_l_{c}") for c in ("c", "pos", "size", "sketch", "parity")])
+            right = every.select("_at", F.col("_s").alias("v"), *[F.col(f"_{c}").alias(f"_r_{c}") for c in ("c", "pos", "size", "sketch", "parity")])
+            g.link(left.join(right, "_at").where((F.col("_l_c") != F.col("_r_c")) & g.enough() & g.may("_l", "_r")).select("u", "v"), known=True)
     least = g.of(g.nodes.select("_s", "rep"))
     classes = cut(least.join(least.groupBy("_c").agg(F.min("rep").alias("component_id")), "_c").select("_s", "component_id"), "near-classes")
     return marks.select("id", "_x", "_s").distinct().join(classes, "_s", "left").select("id", "_x", "component_id")
