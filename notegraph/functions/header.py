@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+# The lines of the grammar.
 _ITEM = re.compile(r"^\s+-\s*(.*)$")
 _FIELD = re.compile(r"^([A-Za-z_][A-Za-z_0-9]*)\s*:\s*(.*)$")
 
@@ -30,8 +31,6 @@ def parse_header(raw: str) -> tuple[dict, dict, list, list]:
             continue
         key, value = field[1], field[2].strip()
         open_list = None
-        if key in inline:
-            inline.remove(key)
         if not value:
             if i + 1 < len(lines) and _ITEM.match(lines[i + 1]):
                 open_list = []
@@ -39,9 +38,23 @@ def parse_header(raw: str) -> tuple[dict, dict, list, list]:
             else:
                 values[key] = None
         elif value.startswith("[") and value.endswith("]"):
-            values[key] = [unquoted(x.strip()) for x in value[1:-1].split(",") if x.strip()]
-            inline.append(key)
+            inner = value[1:-1].strip()
+            values[key] = [unquoted(x.strip()) for x in inner.split(",")] if inner else []
+            inline += [key] if key not in inline else []
         else:
             values[key] = unquoted(value)
     scalars = {k: v for k, v in values.items() if not isinstance(v, list)}
     return scalars, {k: v for k, v in values.items() if isinstance(v, list)}, list(values), inline
+
+
+def entries(raw: str) -> list[tuple[str, str]]:
+    """(field, lines) of a header's entries: a field starts in the first column and owns all lines up to the next; lines before the first have field ''."""
+    out: list[tuple[str, str]] = []
+    for line in raw.split("\n"):
+        if ":" in line and line[0] not in " \t-#":
+            out.append((line.split(":", 1)[0].strip(), line))
+        elif out:
+            out[-1] = (out[-1][0], out[-1][1] + "\n" + line)
+        else:
+            out.append(("", line))
+    return out

@@ -58,14 +58,15 @@ def header_fields(raw: pd.Series) -> pd.DataFrame:
 
 
 def single_field(text: Column, field: str) -> Column:
-    """A header field by one pattern, as index pages read it: a bare field takes the next line."""
-    return strip_quotes(F.regexp_extract(header(text, strict=True), rf"(?m)^{field}:\s*(.+?)\s*$", 1))
+    """A header field by one pattern, as index pages read it: a bare field takes the next line; doubled single quotes count as one."""
+    found = F.regexp_extract(header(text, strict=True), rf"(?m)^\Q{field}\E:\s*(.+?)\s*$", 1)
+    return F.replace(strip_quotes(found), F.lit("''"), F.lit("'"))
 
 
 def link_text(text: Column, profile: str = "lint") -> Column:
     """text without code, and, in profile lint, with `\\|` unescaped."""
     t = F.regexp_replace(text, r"\\\|", "|") if profile in ("lint", "edge") else text
-    return F.regexp_replace(F.regexp_replace(t, r"(?s)```.*?```", ""), r"`[^`]*`" if profile in ("lint", "edge") else r"`[^`]+`", "")
+    return F.regexp_replace(F.regexp_replace(t, r"(?s)```.*?```", ""), r"`[^`\n]*`" if profile in ("lint", "edge") else r"`[^`\n]+`", "")
 
 
 def link_target(t: Column, profile: str = "lint") -> Column:
@@ -127,7 +128,7 @@ def fill_placeholders(entry: Column, name: Column, as_of: str) -> Column:
 
 def remove_field(raw: Column, field: str) -> Column:
     """The header without a field and the indented lines that belong to it."""
-    return F.regexp_replace(F.regexp_replace(F.concat(raw, F.lit("\n")), rf"(?m)^{field}[ \t]*:.*\n(?:[ \t]+.*\n)*", ""), r"\n\z", "")
+    return F.regexp_replace(F.regexp_replace(F.concat(raw, F.lit("\n")), rf"(?m)^\Q{field}\E[ \t]*:.*\n(?:[ \t]+.*\n)*", ""), r"\n\z", "")
 
 
 def content_hash(text: Column) -> Column:
@@ -139,9 +140,9 @@ def words(text: Column) -> Column:
 
 
 def plain_text(text: Column) -> Column:
-    """text without code, wikilinks, images and link targets, for word counts."""
-    for p, by in ((r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"\[\[[^\]]*\]\]", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1")):
-        text = F.regexp_replace(text, p, by)
+    """text without code, wikilinks, images and links, for word counts."""
+    for p in (r"(?s)```.*?```", r"`[^`\n]+`", WIKILINK, r"!\[[^\]]*\]\([^)]*\)", r"\[[^\]]*\]\([^)]*\)"):
+        text = F.regexp_replace(text, p, " ")
     return text
 
 
@@ -175,18 +176,24 @@ def signed_delta(v: Column, digits: int = 0) -> Column:
 
 
 def hex_to_rgb(c: Column) -> Column:
-    part = lambda i: F.conv(F.substring(c, i, 2), 16, 10).cast("int")
-    return F.struct(part(2).alias("r"), part(4).alias("g"), part(6).alias("b"))
+    """`#rrggbb`, `rrggbb` or `rgb(r, g, b)` as a struct of integers."""
+    s = strip(c)
+    digits = F.regexp_replace(s, "^#+", "")
+    part = lambda i: F.conv(F.substring(digits, 2 * i - 1, 2), 16, 10).cast("int")
+    listed = lambda i: F.regexp_extract(s, r"\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\)", i).try_cast("int")
+    return F.struct(*[F.when(s.startswith("rgb"), listed(i)).otherwise(part(i)).alias(k) for i, k in ((1, "r"), (2, "g"), (3, "b"))])
 
 
 def rgb_to_hex(r: Column, g: Column, b: Column) -> Column:
     return F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(x.cast("int"))), 2, "0") for x in (r, g, b)])
 
 
-def node_size(degree: Column, most: Column, is_domain: Column, low: float = 10.0, high: float = 32.0, floor: float = 20.0) -> Column:
-    """Square-root scale of a node's degree; a domain has at least `floor`."""
-    s = F.lit(low) + F.lit(high - low) * F.sqrt(degree / F.greatest(most, F.lit(1)))
-    return F.when(is_domain, F.greatest(s, F.lit(floor))).otherwise(s)
+def node_size(degree: Column, most: Column, is_domain: Column, by_degree: bool = True) -> Column:
+    """A node's radius: 10 to 32 on a square-root scale of its degree, 20 at least for a domain; else 28 for a domain and 18 for others."""
+    if not by_degree:
+        return F.when(is_domain, 28).otherwise(18)
+    s = F.when(most > 0, F.bround(10 + 22 * F.sqrt(degree / F.nullif(most, F.lit(0))))).otherwise(10).cast("int")
+    return F.when(is_domain, F.greatest(s, F.lit(20))).otherwise(s)
 
 
 def linkify(text: Column) -> Column:

@@ -56,15 +56,24 @@ def sankey(domains: DataFrame, part: DataFrame, none: str = "без домена
     return j.groupBy(F.coalesce("domain", F.lit(none)).alias("domain"), "community").agg(F.count("*").alias("flow")).orderBy(F.desc("flow"), "domain", "community")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(name, community): each round a node takes its neighbours' most frequent label, ties the least. For graphs of any size."""
+def label_propagation(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(name, community): a node takes its neighbours' most frequent label, ties the least. For graphs of any size.
+
+    In each round about half of the nodes may change, chosen by a hash of name and round, so that neighbours don't swap labels for ever. It ends
+    when no node would change, or after `rounds`.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.select(F.col("a").alias("name")).distinct().withColumn("community", F.col("name"))
     for i in range(rounds):
         votes = both.join(labels.select(F.col("name").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
-        labels = votes.groupBy("a").agg(F.max_by("community", F.struct("n", F.reverse(F.col("community").cast("string")))).alias("community")).withColumnRenamed("a", "name")
-        if i % 3 == 2 and both.sparkSession.sparkContext.getCheckpointDir():
-            labels = labels.checkpoint()
+        best = votes.groupBy("a").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("best")).withColumnRenamed("a", "name")
+        both_ = labels.join(best, "name")
+        turn = F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)) == 0
+        step = both_.select("name", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (F.col("best") != F.col("community")).alias("_open"))
+        step = step.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else step.persist()
+        labels = step.select("name", "community")
+        if not step.where("_open").limit(1).count():
+            break
     return labels
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
+from ..functions.header import entries, unquoted
 
 _HEADER = re.compile(r"\A---\s*\n(.*?)\n---\s*\n", re.S)
 
@@ -25,19 +26,24 @@ def _set(field: str, value: str):
 
 def _block_tags(raw: str) -> str:
     def block(m: re.Match) -> str:
-        return "tags:" + "".join(f"\n  - {x.strip()}" for x in m[1].split(",") if x.strip())
+        tags = [unquoted(x.strip()) for x in m[1].split(",") if x.strip()]
+        return "tags:" + "".join(f"\n  - {x}" for x in tags) if tags else "tags: []"
 
     return re.sub(r"(?m)^tags:[ \t]*\[(.*)\][ \t]*$", block, raw, count=1)
 
 
 def _without(field: str):
-    return lambda raw: re.sub(rf"(?m)^{re.escape(field)}[ \t]*:.*\n(?:[ \t]+.*\n)*", "", raw + "\n").removesuffix("\n")
+    return lambda raw: "\n".join(lines for name, lines in entries(raw) if name != field)
+
+
+def _with(entry: str | None):
+    return lambda raw: raw if entry is None else raw.rstrip("\n") + "\n" + entry
 
 
 def _body_without(text: str, link: str) -> str:
+    """A text without a header stays."""
     m = _HEADER.match(text)
-    cut = m.end() if m else 0
-    return text[:cut] + text[cut:].replace(" " + link, "").replace(link, "")
+    return text[: m.end()] + text[m.end() :].replace(" " + link, "").replace(link, "") if m else text
 
 
 #: (text, issue) to text; an issue of no kind here stays open.
@@ -48,10 +54,10 @@ HANDLERS: dict[str, Callable[[str, dict], str]] = {
     "non-canonical-wikilink": lambda t, i: t.replace(i["link"], i["fix"]),
     "raw-link-with-extension": lambda t, i: t.replace(i["link"], i["link"].replace(".md]]", "]]")),
     "raw-ref-in-body": lambda t, i: _body_without(t, i["link"]),
-    "invalid-fields": lambda t, i: _in_header(t, _without(i["field"]) if i["subtype"] == "extra" else (lambda raw: raw.rstrip("\n") + "\n" + (i.get("entry") or f"{i['field']}:"))),
+    "invalid-fields": lambda t, i: _in_header(t, _without(i["field"]) if i["subtype"] == "extra" else _with(i["entry"])),
 }
 
-_USED = ("type", "fix", "expected_type", "link", "field", "subtype")
+_USED = ("type", "fix", "expected_type", "link", "field", "subtype", "entry")
 
 
 def apply_fixes(pages: DataFrame, issues: DataFrame) -> DataFrame:

@@ -7,22 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..sources import vault
+from . import communities, links
 
 KINDS = tuple(vault.FOLDER_TYPES.values())
 
+# Words that word counts leave out.
+STOPWORDS = tuple(
+    """
+    это так что как для при или его ему её они над под без вид если когда уже также тоже там тут тогда потому поэтому только может должен
+    нужно надо быть есть был была было будет будут очень ещё еще где куда откуда почему чтобы лишь хотя однако между вместо около вокруг через
+    против после перед сразу потом затем наконец сначала сейчас теперь сегодня вчера завтра всего всех всем всё все себя своё свои своя свой
+    наш ваш мне тебе мной тобой ним ней них нём нам вам что-то кого кому
+    the and for are but not you all can had her was one our out day get has him his how man new now old see two way who boy did its let put
+    say she too use with this that from they have been were what when where which while their there would could should into than then them
+    these those such some more most very well also just like even only much many any every each both few other another same own
+    """.split()
+)
+
 
 def primary_domain(pages: DataFrame) -> DataFrame:
-    """(name, domain): the first link of the domain field, null without one."""
-    return pages.select("name", F.get(M.list_links(F.try_element_at("fm_lists", F.lit("domain"))), F.lit(0)).alias("domain"))
+    """(name, domain): the first item of the domain field, its link or else its text; null without one."""
+    return pages.select("name", _primary().alias("domain"))
+
+
+def _primary() -> Column:
+    item = F.get(F.try_element_at("fm_lists", F.lit("domain")), F.lit(0))
+    link = F.regexp_extract(item, M.WIKILINK, 1)
+    return F.nullif(F.when(link != "", M.link_target(M.strip(link), "dash")).otherwise(M.strip(item)), F.lit(""))
 
 
 def distributions(pages: DataFrame) -> DataFrame:
     """(measure, key, n) over pages with a header and a content type: type (all five), domain, provenance, status, and unassigned."""
     s = lambda k: F.try_element_at("fm_scalars", F.lit(k))
     of = pages.where(F.col("has_fm") & F.col("page_type").isin(*KINDS))
-    d = F.get(M.list_links(F.try_element_at("fm_lists", F.lit("domain"))), F.lit(0))
+    d = _primary()
     one = lambda m, k: F.struct(F.lit(m).alias("measure"), k.alias("key"))
-    rows = of.select(F.inline(F.array(one("type", F.col("page_type")), one("domain", d), one("provenance", F.coalesce(s("provenance"), F.lit("manual"))), one("status", s("status")), one("unassigned", F.when(d.isNull(), "pages")))))
+    rows = of.select(F.inline(F.array(one("type", F.col("page_type")), one("domain", d), one("provenance", F.coalesce(F.nullif(s("provenance"), F.lit("")), F.lit("manual"))), one("status", s("status")), one("unassigned", F.when(d.isNull(), "pages")))))
     counts = rows.where("key is not null").groupBy("measure", "key").agg(F.count("*").alias("n"))
     filled = pages.sparkSession.range(1).select(F.lit("type").alias("measure"), F.explode(F.array(*map(F.lit, KINDS))).alias("key"), F.lit(0).cast("long").alias("n"))
     return counts.unionByName(filled).groupBy("measure", "key").agg(F.sum("n").alias("n"))
@@ -57,18 +77,37 @@ def font_scale(counts: DataFrame, low: float = 13.0, span: float = 47.0) -> Data
 def health(m: DataFrame, variant: str = "engine") -> DataFrame:
     """m (pages, wikilinks, orphans, ready, content, unassigned, q) with five scores of 0 to 100 and their weighted total.
 
-    variant ui: the domain score is 100 and a zero or missing q scores 0, as the front end has it.
+    engine: a zero or missing q scores 50. ui: only a missing one does, and the domain score is 100. No pages: total 0.
     """
     p = F.greatest(F.col("pages"), F.lit(1)).cast("double")
     out = m.withColumns({
         "orphan_score": M.clamp(100 - F.col("orphans") / p * 1000),
         "density_score": M.clamp(100 - F.abs(F.col("wikilinks") / p - 7) * 14),
-        "q_score": F.when(F.coalesce("q", F.lit(0.0)) != 0, M.clamp(F.col("q") / 0.7 * 100)).otherwise(F.lit(0.0 if variant == "ui" else 50.0)),
+        "q_score": F.when(F.col("q").isNull() if variant == "ui" else F.coalesce("q", F.lit(0.0)) == 0, 50.0).otherwise(M.clamp(F.col("q") / 0.7 * 100)),
         "ready_score": M.clamp(F.col("ready") / p * 100),
         "domain_score": F.lit(100.0) if variant == "ui" else M.clamp((F.col("content") - F.col("unassigned")) / F.greatest(F.col("content"), F.lit(1)) * 100),
     })
     total = 0.25 * F.col("orphan_score") + 0.15 * F.col("density_score") + 0.25 * F.col("q_score") + 0.2 * F.col("ready_score") + 0.15 * F.col("domain_score")
-    return out.withColumn("total", (F.round(total) if variant == "ui" else F.bround(total)).cast("int")).withColumn("grade", F.when(F.col("total") >= 80, "good").when(F.col("total") >= 60, "fair").otherwise("poor"))
+    rounded = (F.floor(total + 0.5) if variant == "ui" else F.bround(total)).cast("int")
+    out = out.withColumn("total", F.when(F.col("pages") == 0, 0).otherwise(rounded))
+    return out.withColumn("grade", F.when(F.col("total") >= 80, "good").when(F.col("total") >= 60, "warn").otherwise("bad"))
+
+
+def vault_metrics(pages: DataFrame, part: DataFrame | None = None) -> DataFrame:
+    """One row of what a vault measures: pages (of a content type), pages_list, wikilinks, orphans, ready, content, unassigned, domains, and q of the partition
+    part (name, community) of its links, null without one or for fewer than two links or four linked pages. Each is one aggregate."""
+    of = pages.where(F.col("has_fm") & F.col("page_type").isin(*KINDS))
+    status = F.try_element_at("fm_scalars", F.lit("status"))
+    d = _primary()
+    counts = of.agg(F.count("*").alias("pages"), F.array_sort(F.collect_list("name")).alias("pages_list"), F.count_if(F.coalesce(status == "ready", F.lit(False))).alias("ready"), F.count("*").alias("content"), F.count_if(d.isNull()).alias("unassigned"), F.count_distinct(d).alias("domains"))
+    edges = links.graph(pages, "dash")
+    row = counts.join(F.broadcast(edges.agg(F.count("*").alias("wikilinks")))).join(F.broadcast(links.orphans(pages, "dash").agg(F.count("*").alias("orphans"))))
+    if part is None:
+        return row.withColumn("q", F.lit(None).cast("double"))
+    both = links.undirected(edges)
+    enough = both.select(F.explode(F.array("a", "b")).alias("x")).agg(F.count("*").alias("_m"), F.count_distinct("x").alias("_k"))
+    row = row.join(F.broadcast(communities.modularity(both, part))).join(F.broadcast(enough))
+    return row.withColumn("q", F.when((F.col("_m") >= 4) & (F.col("_k") >= 4), F.col("q"))).drop("_m", "_k")
 
 
 def with_delta(history: DataFrame, numbers: list[str], pages: str | None = None) -> DataFrame:
@@ -95,6 +134,43 @@ def retained(entries: DataFrame, keep: int = 365) -> DataFrame:
     return entries.orderBy(F.desc("ts")).limit(keep)
 
 
+def day_totals(history: DataFrame, now: str) -> DataFrame:
+    """One row over the entries (ts, delta) of the last 24 hours that have a delta: pages_added in order, sums of wikilinks and orphans, and of Q where any has one."""
+    of = history.where((F.col("ts").cast("timestamp") > F.lit(now).cast("timestamp") - F.expr("interval 24 hours")) & F.col("delta").isNotNull())
+    lists = F.array_sort(F.collect_list(F.struct("ts", F.coalesce("delta.pages_added", F.array().cast("array<string>")).alias("added"))))
+    total = lambda c: F.coalesce(F.sum(f"delta.{c}"), F.lit(0)).alias(c)
+    return of.agg(F.flatten(lists["added"]).alias("pages_added"), total("wikilinks"), total("orphans"), F.sum("delta.Q").alias("Q"))
+
+
+#: Columns of a history.
+HISTORY = "ts string, `trigger` string, pages long, wikilinks long, orphans long, Q double, pages_list array<string>, delta struct<pages_added:array<string>,pages_removed:array<string>,wikilinks:long,orphans:long,Q:double>"
+
+
+def history_entry(m: DataFrame, history: DataFrame, now: str, trigger: str) -> DataFrame:
+    """The next entry (HISTORY): vault_metrics with the change since the history's last entry; delta is null for the first."""
+    before = history.orderBy(F.desc("ts")).limit(1).select(F.struct("pages_list", "wikilinks", "orphans", "Q").alias("b"))
+    j = m.join(F.broadcast(before.groupBy().agg(F.first("b").alias("b"))))
+    none = F.array().cast("array<string>")
+    cur, old = F.col("pages_list"), F.coalesce("b.pages_list", none)
+    change = lambda c: (F.col(c) - F.coalesce(f"b.{c}", F.col(c))).cast("long").alias(c)
+    delta = F.struct(F.array_sort(F.array_except(cur, old)).alias("pages_added"), F.array_sort(F.array_except(old, cur)).alias("pages_removed"), change("wikilinks"), change("orphans"), (F.col("q") - F.col("b.Q")).alias("Q"))
+    out = j.select(F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm").alias("ts"), F.lit(trigger).alias("trigger"), "pages", "wikilinks", "orphans", F.col("q").alias("Q"), "pages_list", F.when(F.col("b").isNotNull(), delta).alias("delta"))
+    return out
+
+
+def appended(history: DataFrame, entry: DataFrame, keep: int = 365) -> DataFrame:
+    """history with entry: one without a meaningful change is left out, unless it is the first; the last entry of the same minute is replaced; the newest `keep` stay."""
+    d = F.col("delta")
+    told = entry.where(d.isNull() | meaningful(d["pages_added"], d["pages_removed"], d["wikilinks"]))
+    rest = history.join(F.broadcast(told.select("ts")), "ts", "left_anti").select(*entry.columns)
+    return retained(rest.unionByName(told), keep)
+
+
+def for_display(history: DataFrame) -> DataFrame:
+    """history without the page lists, which only the next delta needs."""
+    return history.drop("pages_list")
+
+
 def last_day(entries: DataFrame, now: str, sums: list[str]) -> DataFrame:
     """Sums over entries after now - 24 h."""
     return entries.where(F.col("ts") > F.lit(now).cast(entries.schema["ts"].dataType) - F.expr("interval 24 hours")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.count("*").alias("entries"))

@@ -124,10 +124,11 @@ def cohesion(index: DataFrame, group: str, zero_fill: bool = True) -> DataFrame:
     The sum over pairs is (|sum of unit vectors|^2 - number of non-zero vectors) / 2, so no pairs are made. Fewer than two
     members: 0, or no row without zero_fill.
     """
-    n = norm(F.col("vec"))
-    unit = index.select(group, F.transform("vec", lambda x: F.when(n > 0, x.cast("double") / F.nullif(n, F.lit(0.0))).otherwise(F.lit(0.0))).alias("u"), (n > 0).cast("long").alias("nz"))
-    sums = unit.select(group, F.posexplode("u").alias("pos", "x")).groupBy(group, "pos").agg(F.sum("x").alias("s")).groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
-    sizes = unit.groupBy(group).agg(F.count("*").alias("members"), F.sum("nz").alias("nz"))
+    of = index.select(group, "vec", norm(F.col("vec")).alias("_n"))
+    each = of.select(group, "_n", F.posexplode("vec").alias("pos", "x"))  # the length is taken once for a vector, below the explode
+    unit = F.when(F.col("_n") > 0, F.col("x").cast("double") / F.col("_n")).otherwise(F.lit(0.0))
+    sums = each.groupBy(group, "pos").agg(F.sum(unit).alias("s")).groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
+    sizes = of.groupBy(group).agg(F.count("*").alias("members"), F.sum((F.col("_n") > 0).cast("long")).alias("nz"))
     m = F.col("members")
     out = sizes.join(sums, group, "left").select(group, F.when(m > 1, (F.col("sq") - F.col("nz")) / (m * (m - 1))).otherwise(F.lit(0.0)).alias("cohesion"), m)
     return out if zero_fill else out.where("members > 1")

@@ -21,18 +21,25 @@ from . import views
 FLAGSHIP = "vec_topk_similar"
 AS_OF = "2024-01-31"
 
+
+
+def _target(x: str) -> str:
+    """A page's number; none links to every fortieth, so that there are orphans."""
+    return f"({x}) % n - CASE WHEN ({x}) % n % 40 = 9 THEN 1 ELSE 0 END"
+
+
 #: Plain SQL for both engines: the numbers that a page is made of.
-NUMBERS = """
+NUMBERS = f"""
 SELECT id, n, concat('D', id) AS name, folder,
   CASE WHEN folder = '' THEN 'meta' WHEN id % 11 = 0 THEN 'idea' WHEN folder = 'ideas' THEN 'idea' WHEN folder = 'entities' THEN 'entity'
        WHEN folder = 'questions' THEN 'question' WHEN folder = 'domains' THEN 'domain' ELSE 'mind' END AS kind,
-  (3 * id + 1) % n AS b1, (id + 17) % n AS b2, (7 * id + 3) % n AS r1, (13 * id + 5) % n AS r2,
+  {_target('3 * id + 1')} AS b1, {_target('id + 17')} AS b2, {_target('7 * id + 3')} AS r1, {_target('13 * id + 5')} AS r2,
   (12 * id) % (n - n % 6) + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS dm,
   CASE WHEN id % 8 = 0 THEN 'odd' WHEN id % 8 = 1 THEN 'evaluation' WHEN folder = 'minds' THEN 'draft' ELSE 'ready' END AS status,
   concat('2024-01-', CASE WHEN id % 28 < 9 THEN '0' ELSE '' END, 1 + id % 28) AS updated,
   concat(CASE WHEN folder = '' THEN '' ELSE concat(folder, '/') END, 'D', id, '.md') AS path
-FROM (SELECT doc_id AS id, (SELECT count(*) FROM {documents}) AS n,
-  CASE doc_id % 6 WHEN 0 THEN 'domains' WHEN 1 THEN 'ideas' WHEN 2 THEN 'entities' WHEN 3 THEN 'questions' WHEN 4 THEN 'minds' ELSE '' END AS folder FROM {documents}) x"""
+FROM (SELECT doc_id AS id, (SELECT count(*) FROM {{documents}}) AS n,
+  CASE doc_id % 6 WHEN 0 THEN 'domains' WHEN 1 THEN 'ideas' WHEN 2 THEN 'entities' WHEN 3 THEN 'questions' WHEN 4 THEN 'minds' ELSE '' END AS folder FROM {{documents}}) x"""
 
 TEXTS = (
     """
@@ -174,11 +181,13 @@ def _(spark, sf):
 # Text
 
 
-@query("text_wordcount_top", r"SELECT word, count(*) AS n FROM (SELECT CASE WHEN length(w) <= 5 AND w = upper(w) THEN w ELSE lower(w) END AS word, doc_id, i FROM (SELECT doc_id, i, regexp_extract_all(text, '[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9_-]{2,}')[i] AS w FROM documents, LATERAL (SELECT unnest(range(1, len(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9_-]{2,}')) + 1)) AS i)) x) y WHERE lower(word) NOT IN ('the', 'and', 'que') GROUP BY word ORDER BY n DESC, min((doc_id, i)) LIMIT 60")
+_STOP = ", ".join(f"'{w}'" for w in metrics.STOPWORDS)
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(text, '```[\s\S]*?```', ' ', 'g'), '`[^`\n]+`', ' ', 'g'), '!?\[[^\]]*\]\([^)]*\)', ' ', 'g')"
+
+
+@query("text_wordcount_top", rf"WITH t AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9_-]{{2,}}') AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM t), k AS (SELECT CASE WHEN length(w) <= 5 AND w = upper(w) THEN w ELSE lower(w) END AS word, doc_id, i FROM u) SELECT word, count(*) AS n FROM k WHERE lower(word) NOT IN ({_STOP}) GROUP BY word ORDER BY n DESC, min(doc_id * 1000000000 + i) LIMIT 60")
 def _(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", "text")
-    w = d.select("doc_id", M.words(F.col("text")).alias("w")).select("doc_id", F.array_join("w", " ").alias("text"))
-    return metrics.word_counts(w, "doc_id", "text", ["the", "and", "que"], 60)
+    return metrics.word_counts(_read(spark, sf, "documents"), "doc_id", "text", list(metrics.STOPWORDS), 60)
 
 
 @query("text_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -222,7 +231,7 @@ def _(spark, sf):
     return r.select(F.substring("path", 6, 100).alias("path"), (F.col("path") != F.col("new_path")).cast("int").alias("moved"), F.size(F.regexp_extract_all("new_text", F.lit(r"\[\[Seven[\]|#]"), F.lit(0))).cast("long").alias("n_links"))
 
 
-@query("md_canonical_fix", _V.rstrip(", ") + " SELECT path AS \"where\", '[[wiki/ideas/D' || b2 || '|x]]' AS link, '[[D' || b2 || '|x]]' AS fix FROM v")
+@query("md_canonical_fix", _V.rstrip(", ") + " SELECT path AS \"where\", '[[wiki/ideas/D' || b2 || '|x]]' AS link, '[[D' || b2 || '|x]]' AS fix FROM v WHERE kind <> 'meta'")
 def _(spark, sf):
     return rules.non_canonical_wikilink(pages_of(spark, sf)).select("where", "link", "fix")
 
@@ -308,12 +317,12 @@ _RULE_SQL = {
     "inline-tags": f"SELECT path AS {_PATH} FROM v WHERE id % 4 = 0",
     "raw-link-with-extension": f"SELECT path AS {_PATH}, '[[raw/S' || id || '.md]]' AS link FROM v",
     "raw-ref-in-body": f"SELECT path AS {_PATH}, CAST(CASE WHEN id % 5 = 0 THEN 6 ELSE 5 END AS INTEGER) AS line, '[[raw/S' || id || ']]' AS link FROM v WHERE id % 9 = 0 AND kind <> 'meta'",
-    "dead-link": f"SELECT path AS {_PATH}, 'D' || (n + id) AS link, 'body' AS what FROM v WHERE id % 5 = 0",
+    "dead-link": f"SELECT path AS {_PATH}, '[[D' || (n + id) || ']]' AS what, 'line 5' AS context FROM v WHERE id % 5 = 0 AND kind <> 'meta'",
     "orphan": f", i AS (SELECT b1 AS d FROM v UNION SELECT b2 FROM v UNION SELECT r1 FROM v UNION SELECT r2 FROM v UNION SELECT dm FROM v) SELECT path AS {_PATH} FROM v WHERE folder <> '' AND kind <> 'meta' AND id NOT IN (SELECT d FROM i)",
-    "asymmetric-related": ", r AS (SELECT id AS a, r1 AS b FROM v UNION SELECT id, r2 FROM v) SELECT x.name AS page_a, y.name AS page_b, x.kind AS page_a_type, y.kind AS page_b_type FROM r JOIN v x ON x.id = a JOIN v y ON y.id = b WHERE a <> b AND x.kind <> 'mind' AND y.kind <> 'mind' AND NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a)",
+    "asymmetric-related": ", r AS (SELECT id AS a, r1 AS b FROM v UNION SELECT id, r2 FROM v) SELECT x.path AS page_a, y.path AS page_b, x.kind AS page_a_type, y.kind AS page_b_type FROM r JOIN v x ON x.id = a JOIN v y ON y.id = b WHERE a <> b AND x.kind <> 'mind' AND y.kind <> 'mind' AND NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a)",
     "dangling-domain-ref": f"SELECT path AS {_PATH}, 'D' || dm AS missing_domain FROM v WHERE dm % 6 <> 0",
     "missing-summary": f"SELECT path AS {_PATH}, kind AS page_type FROM v WHERE id % 7 = 0 AND folder <> ''",
-    "non-canonical-wikilink": f"SELECT path AS {_PATH}, '[[wiki/ideas/D' || b2 || '|x]]' AS link, 'body' AS field, '[[D' || b2 || '|x]]' AS fix FROM v",
+    "non-canonical-wikilink": f"SELECT path AS {_PATH}, '[[wiki/ideas/D' || b2 || '|x]]' AS link, 'line 1' AS context, '[[D' || b2 || '|x]]' AS fix FROM v WHERE kind <> 'meta'",
     "folder-type-mismatch": f"SELECT path AS {_PATH}, kind AS current_type, CASE folder WHEN 'ideas' THEN 'idea' WHEN 'entities' THEN 'entity' WHEN 'questions' THEN 'question' WHEN 'domains' THEN 'domain' ELSE 'mind' END AS expected_type FROM v WHERE folder <> '' AND id % 11 = 0 AND folder <> 'ideas'",
 }
 
@@ -328,7 +337,7 @@ for _kind, _sql in _RULE_SQL.items():
 
 @query("lint_all", _V.rstrip(", ") + " " + " UNION ALL ".join(f"SELECT '{k}' AS type, count(*) AS n FROM ({_V.rstrip(', ')}{' ' if s.startswith('SELECT') else ''}{s}) HAVING count(*) > 0" for k, s in _RULE_SQL.items()))
 def _(spark, sf):
-    return rules.run_rules(pages_of(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
+    return rules.run_rules(pages_of(spark, sf).persist()).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("lint_quick_scope", _V.rstrip(", ") + f" SELECT path AS {_PATH}, CASE WHEN id % 3 = 0 THEN 'new' ELSE 'old' END AS run FROM v WHERE id % 4 = 0")
@@ -342,7 +351,7 @@ def _(spark, sf):
 
 @query("fix_text", _V.rstrip(", ") + " SELECT path, CASE WHEN kind <> 'entity' AND (status = 'odd' OR (kind = 'mind' AND status <> 'draft') OR (kind <> 'mind' AND status = 'draft')) THEN CASE WHEN kind = 'mind' THEN 'draft' ELSE 'in-progress' END ELSE status END AS status, 0 AS n_inline, 'raw/S' || id AS source, CASE folder WHEN 'ideas' THEN 'idea' WHEN 'entities' THEN 'entity' WHEN 'questions' THEN 'question' WHEN 'domains' THEN 'domain' WHEN 'minds' THEN 'mind' ELSE kind END AS type FROM v")
 def _(spark, sf):
-    p = pages_of(spark, sf)
+    p = pages_of(spark, sf).persist()
     fixed = fixes.apply_fixes(p, rules.run_rules(p)).select("path", F.col("new_text").alias("text"))
     q = vault.parsed(fixed)
     s = lambda k: F.try_element_at("fm_scalars", F.lit(k)).alias(k)
@@ -406,12 +415,23 @@ def _(spark, sf):
     return metrics.series(m, "types", ["click", "purchase"]).select(F.col("ts").cast("string").alias("day"), "click", "purchase")
 
 
-@query("health", _LINT + ", m AS (SELECT (SELECT count(*) FROM v) AS p, (SELECT count(*) FROM e WHERE s <> d AND d IN (SELECT id FROM v)) AS w, (SELECT count(*) FROM v WHERE status = 'ready' AND kind <> 'meta') AS r) SELECT round(greatest(0, least(100, 100 - abs(w * 1.0 / p - 7) * 14)), 6) AS density_score, round(greatest(0, least(100, r * 100.0 / p)), 6) AS ready_score, CAST(50 AS DOUBLE) AS q_score FROM m")
+_HEALTH = """, g AS (SELECT s, d FROM e WHERE s <> d AND d IN (SELECT id FROM v)), u AS (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM g),
+z AS (SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u), t AS (SELECT count(*) * 1.0 AS m FROM z),
+k AS (SELECT x % 7 AS c, count(*) AS k, sum(CASE WHEN x % 7 = y % 7 THEN 1 ELSE 0 END) AS l FROM z GROUP BY 1),
+m AS (SELECT count(*) * 1.0 AS p, (SELECT count(*) FROM g) AS w, count(*) FILTER (id NOT IN (SELECT d FROM g)) AS o, count(*) FILTER (status = 'ready') AS r,
+  (SELECT sum(l / m - (k / m) * (k / m)) FROM k, t) AS q FROM v WHERE kind <> 'meta'),
+s AS (SELECT greatest(0.0, least(100.0, 100 - o / p * 1000)) AS orphan_score, greatest(0.0, least(100.0, 100 - abs(w / p - 7) * 14)) AS density_score,
+  CASE WHEN q = 0 THEN 50.0 ELSE greatest(0.0, least(100.0, q / 0.7 * 100)) END AS q_score, r / p * 100 AS ready_score, 100.0 AS domain_score FROM m),
+f AS (SELECT *, CAST(round_even(0.25 * orphan_score + 0.15 * density_score + 0.25 * q_score + 0.2 * ready_score + 0.15 * domain_score, 0) AS INTEGER) AS total FROM s)
+SELECT round(CAST(orphan_score AS DOUBLE), 6) AS orphan_score, round(CAST(density_score AS DOUBLE), 6) AS density_score, round(CAST(q_score AS DOUBLE), 6) AS q_score, round(CAST(ready_score AS DOUBLE), 6) AS ready_score,
+  CAST(domain_score AS DOUBLE) AS domain_score, total, CASE WHEN total >= 80 THEN 'good' WHEN total >= 60 THEN 'warn' ELSE 'bad' END AS grade FROM f"""
+
+
+@query("health", _LINT + _HEALTH)
 def _(spark, sf):
     p = pages_of(spark, sf)
-    pages, content = p.count(), p.where("page_type <> 'meta'")
-    m = links.graph(p, "dash").agg(F.count("*").alias("wikilinks")).select("wikilinks", F.lit(pages).alias("pages"), F.lit(0).alias("orphans"), F.lit(content.where("fm_scalars['status'] = 'ready'").count()).alias("ready"), F.lit(content.count()).alias("content"), F.lit(0).alias("unassigned"), F.lit(None).cast("double").alias("q"))
-    return metrics.health(m).select(F.round("density_score", 6).alias("density_score"), F.round("ready_score", 6).alias("ready_score"), "q_score")
+    m = metrics.health(metrics.vault_metrics(p, _map_graph(spark, sf)[1]))
+    return m.select(*[F.round(f"{k}_score", 6).alias(f"{k}_score") for k in ("orphan", "density", "q", "ready", "domain")], "total", "grade")
 
 
 # Views
@@ -422,16 +442,20 @@ def _(spark, sf):
     return views.domain_view(pages_of(spark, sf), "D12").select("name", "type", "status")
 
 
-@query("view_needs_development", _V.rstrip(", ") + " SELECT name, kind AS type, status FROM v WHERE folder <> '' AND status IN ('evaluation', 'in-progress')")
+_UPDATED = "CASE WHEN id % 13 = 0 THEN NULL ELSE updated END AS updated"
+
+
+@query("view_needs_development", _V.rstrip(", ") + f" SELECT name, kind AS type, status, {_UPDATED} FROM v WHERE folder <> '' AND status IN ('evaluation', 'in-progress')")
 def _(spark, sf):
     return next(v for v in views.GLOBAL_VIEWS if v.name == "needs_development").build(views.rows_of(pages_of(spark, sf)))
 
 
-@query("view_recent_activity", _V.rstrip(", ") + " SELECT name, folder, kind AS type, CASE WHEN id % 13 = 0 THEN NULL ELSE updated END AS updated FROM v WHERE folder <> ''")
+@query("view_recent_activity", _V.rstrip(", ") + f" SELECT name, kind AS type, status, '[[D' || dm || ']]' AS domain, {_UPDATED}, CASE WHEN id % 13 = 0 THEN NULL ELSE CAST(date_diff('day', CAST(updated AS DATE), DATE '{AS_OF}') AS DOUBLE) END AS age_days FROM v WHERE folder <> ''")
 def _(spark, sf):
-    return next(v for v in views.GLOBAL_VIEWS if v.name == "recent_activity").build(views.rows_of(pages_of(spark, sf)))
+    p = pages_of(spark, sf).withColumn("mtime", F.try_to_timestamp(F.try_element_at("fm_scalars", F.lit("updated"))))
+    return next(v for v in views.GLOBAL_VIEWS if v.name == "recent_activity").build(views.rows_of(p, AS_OF))
 
 
-@query("md_index_summaries", _V.rstrip(", ") + " SELECT name, CASE WHEN id % 7 = 0 THEN '—' ELSE 'About D' || id END AS summary FROM v WHERE folder NOT IN ('', 'minds')")
+@query("md_index_summaries", _V.rstrip(", ") + f" SELECT name, CASE WHEN id % 7 = 0 THEN '{views.INDEX_MISSING}' ELSE 'About D' || id END AS summary FROM v WHERE folder NOT IN ('', 'minds')")
 def _(spark, sf):
     return views.index_summaries(views.index_page(pages_of(spark, sf), AS_OF).withColumn("path", F.lit("index.md")))

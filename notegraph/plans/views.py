@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,20 +37,23 @@ class ViewSpec:
 # The global views.
 AGE = {"age_days": "round((unix_timestamp(as_of) - unix_timestamp(mtime)) / 86400)"}
 GLOBAL_VIEWS = (
-    ViewSpec("recent_activity", columns=("name", "folder", "type", "updated"), sort=("updated desc", "name")),
-    ViewSpec("ideas", ("folder = 'ideas'",), sort=("name",)),
-    ViewSpec("entities", ("folder = 'entities'",), columns=("name", "entity_type", "updated"), group_by="entity_type", sort=("name",)),
-    ViewSpec("questions", ("folder = 'questions'",), sort=("name",)),
-    ViewSpec("domains", ("folder = 'domains'",), sort=("name",)),
-    ViewSpec("minds", ("folder = 'minds'",), sort=("name",)),
-    ViewSpec("needs_development", ("status in ('evaluation', 'in-progress')",), columns=("name", "type", "status"), sort=("name",)),
+    ViewSpec("recent_activity", formulas=AGE, columns=("name", "type", "status", "domain", "updated", "age_days"), sort=("domain desc",)),
+    ViewSpec("ideas", ("folder = 'ideas'",), columns=("name", "status", "domain", "tags", "updated")),
+    ViewSpec("entities", ("folder = 'entities'",), columns=("name", "entity_type", "status", "domain", "updated"), group_by="entity_type"),
+    ViewSpec("questions", ("folder = 'questions'",), columns=("name", "status", "answer_quality", "updated")),
+    ViewSpec("domains", ("folder = 'domains'",), columns=("name", "updated")),
+    ViewSpec("minds", ("folder = 'minds'",), columns=("name", "status", "seed", "updated")),
+    ViewSpec("needs_development", ("status in ('evaluation', 'in-progress')",), columns=("name", "type", "status", "updated")),
 )
 
 
-def rows_of(pages: DataFrame) -> DataFrame:
-    """Pages of the content folders with header fields as columns."""
+def rows_of(pages: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Pages of the content folders with header fields as columns; domain: the list's items joined. as_of and mtime, where pages have it, give ages."""
     s = lambda k: F.try_element_at("fm_scalars", F.lit(k)).alias(k)
-    return pages.where(F.col("folder").isin(*vault.FOLDER_TYPES)).select("name", "folder", "path", F.col("page_type").alias("type"), s("status"), s("updated"), s("entity_type"), s("summary"), F.try_element_at("fm_lists", F.lit("tags")).alias("tags"), *[c for c in ("mtime",) if c in pages.columns])
+    lists = lambda k: F.try_element_at("fm_lists", F.lit(k))
+    mtime = F.col("mtime") if "mtime" in pages.columns else F.lit(None)
+    fields = [s(k) for k in ("status", "updated", "entity_type", "summary", "answer_quality", "seed")]
+    return pages.where(F.col("folder").isin(*vault.FOLDER_TYPES)).select("name", "folder", "path", F.col("page_type").alias("type"), *fields, lists("tags").alias("tags"), F.array_join(lists("domain"), ", ").alias("domain"), mtime.cast("timestamp").alias("mtime"), F.lit(as_of).cast("timestamp").alias("as_of"))
 
 
 def register(pages: DataFrame) -> list[str]:
@@ -66,16 +71,43 @@ def domain_view(pages: DataFrame, domain: str) -> DataFrame:
     return ViewSpec("domain", ("folder <> 'domains'",), group_by="type", sort=("name",)).build(rows_of(pages).join(linked, "name", "left_semi"))
 
 
-def index_page(pages: DataFrame, as_of: str, missing: str = "—") -> DataFrame:
-    """One row, text: a table of names and summaries for each content folder, names in order."""
+# Sections in order with their folders, the table's head, and what stands for nothing.
+INDEX_SECTIONS = (("Ideas", "ideas"), ("Entities", "entities"), ("Domains", "domains"), ("Questions", "questions"), ("Minds", "minds"))
+INDEX_HEAD, INDEX_EMPTY, INDEX_MISSING = "| Страница | Суть |\n|---|---|\n", "\n_Пусто._\n", "_(нет summary в frontmatter)_"
+
+
+def index_page(pages: DataFrame, as_of: str, preamble: str = "# Index\n\nUpdated {as_of}\n") -> DataFrame:
+    """One row, text: a table of names and summaries for each section, names in order; empty sections stand, too."""
     of = pages.where(F.col("folder").isin(*vault.FOLDER_TYPES) & (F.size("path_parts") == 2))
     s = M.single_field(F.col("text"), "summary")
-    line = F.concat(F.lit("| [["), F.col("name"), F.lit("]] | "), F.replace(F.when(s != "", s).otherwise(missing), F.lit("|"), F.lit("\\|")), F.lit(" |"))
-    sections = of.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("name", line.alias("line")))).alias("rows"))
-    order = {f: i for i, f in enumerate(vault.FOLDER_TYPES)}
-    block = F.concat(F.lit("## "), F.initcap("folder"), F.lit("\n\n| Page | Summary |\n|---|---|\n"), F.array_join(F.col("rows")["line"], "\n"), F.lit("\n"))
-    seq = F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("folder"))
-    return sections.groupBy().agg(F.concat(F.lit(f"# Index\n\nUpdated {as_of}\n\n"), F.array_join(F.sort_array(F.collect_list(F.struct(seq.alias("o"), block.alias("b"))))["b"], "\n")).alias("text"))
+    line = F.concat(F.lit("| [["), F.col("name"), F.lit("]] | "), F.when(s != "", s).otherwise(INDEX_MISSING), F.lit(" |\n"))
+    rows = of.agg(*[F.sort_array(F.collect_list(F.when(F.col("folder") == f, F.struct("name", line.alias("line"))))).alias(f) for _, f in INDEX_SECTIONS])
+    block = lambda title, f: F.concat(F.lit(f"\n## {title}\n\n{INDEX_HEAD}"), F.when(F.size(f) > 0, F.array_join(F.col(f)["line"], "")).otherwise(INDEX_EMPTY))
+    return rows.select(F.concat(F.lit(preamble.format(as_of=as_of)), *[block(t, f) for t, f in INDEX_SECTIONS]).alias("text"))
+
+
+def write_text(text: str, path: str, replace: bool = True) -> bool:
+    """Write a local file if it isn't there, or, with replace, if its text is another; whether it was written."""
+    p = Path(path)
+    if p.exists() and (not replace or p.read_text() == text):
+        return False
+    p.parent.mkdir(parents=True, exist_ok=True)
+    p.write_text(text)
+    return True
+
+
+def view_files(pages: DataFrame) -> DataFrame:
+    """(file, spec): a file for each domain page, and one for the global views, with what ViewSpec needs as JSON."""
+    json_of = lambda v: json.dumps({"name": v.name, "filters": v.filters, "formulas": v.formulas, "columns": v.columns, "group_by": v.group_by, "sort": v.sort}, ensure_ascii=False)
+    of = pages.where((F.col("folder") == "domains") & (F.size("path_parts") == 2))
+    named = F.to_json(F.struct(F.concat(F.lit("All "), M.abbreviation(F.col("name")), F.lit(" pages")).alias("name"), F.col("name").alias("links_to"), F.array(F.lit("folder <> 'domains'")).alias("filters"), F.lit("type").alias("group_by")))
+    every = pages.sparkSession.range(1).select(F.lit("dashboard").alias("file"), F.lit("[" + ", ".join(map(json_of, GLOBAL_VIEWS)) + "]").alias("spec"))
+    return of.select(F.col("name").alias("file"), named.alias("spec")).unionByName(every)
+
+
+def write_views(pages: DataFrame, folder: str) -> list[str]:
+    """Write files of views that aren't there yet, and never over one; the names written."""
+    return sorted(r["file"] for r in view_files(pages).toLocalIterator() if write_text(r["spec"], f"{folder}/{r['file']}.json", replace=False))
 
 
 def index_summaries(index_text: DataFrame) -> DataFrame:

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markdown as M
+from ..functions.header import entries
 
 # Folders and names that scans leave out, and file kinds.
 SKIPPED_FOLDERS = ("lint-reports", "snapshots", "kn-maps")
 SKIPPED_META = r"^meta/(lint-report-|knowledge-map-|snapshot-)"
 ROOT_PAGES = ("index", "log", "cache", "summary")
 FOLDER_TYPES = {"ideas": "idea", "entities": "entity", "questions": "question", "domains": "domain", "minds": "mind"}
-BINARY = (".pdf", ".docx", ".doc", ".pptx", ".xlsx", ".mp3", ".wav", ".m4a", ".mp4", ".mov", ".png", ".jpg", ".jpeg")
+BINARY = (".pdf", ".docx", ".doc", ".mp3", ".wav", ".m4a", ".ogg", ".flac", ".mp4", ".mov", ".avi", ".mkv", ".webm", ".pptx", ".ppt", ".xlsx", ".xls")
 
 EMBED_RECORD = T.StructType([T.StructField("hash", T.StringType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
@@ -81,22 +82,45 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def templates(spark: SparkSession, folder: str) -> DataFrame:
-    """(type, field, entry) of the few template files."""
-    rows = []
-    for p in sorted(Path(folder).glob("*.md")):
-        raw = p.read_text().split("---\n")
-        if len(raw) < 3:
-            continue
-        kind, field = p.stem, None
-        for line in raw[1].rstrip("\n").split("\n"):
-            if line[:1].strip() and ":" in line:
-                field = line.split(":", 1)[0].strip()
-                rows.append([kind, field, line])
-            elif field and rows:
-                rows[-1][2] += "\n" + line
+    """(type, field, entry) of the few template files, from any path that Spark can read; a file without a header gives none."""
+    few = files(spark, folder, "*.md").select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "").alias("type"), M.header(M.unix_lines(F.col("text"))).alias("raw")).where("raw <> ''")
+    rows = [(r["type"], field, entry.rstrip()) for r in few.collect() for field, entry in dict(entries(r["raw"])).items() if field]
     return spark.createDataFrame(rows, "type string, field string, entry string")
 
 
+def read_any_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """(name, vec) of an index in any of its shapes: records by name, below `items` or at the top, each a vector or an object with one;
+    or a list of objects with path, key or name, and vec or vector. name is the stem of a key. What has no name or vector is left out."""
+    vec = T.ArrayType(T.DoubleType())
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
+    items = F.coalesce(F.get_json_object("t", "$.items"), F.col("t"))
+    one = text.select(items.alias("j"))
+    record = T.StructType().add("path", "string").add("key", "string").add("name", "string").add("vec", vec).add("vector", vec)
+    listed = one.where(F.col("j").rlike(r"^\s*\[")).select(F.explode(F.from_json("j", T.ArrayType(record))).alias("r"))
+    listed = listed.select(F.coalesce(*[F.nullif(f"r.{k}", F.lit("")) for k in ("path", "key", "name")]).alias("key"), F.coalesce("r.vec", "r.vector").alias("vec"))
+    keyed = one.where(F.col("j").rlike(r"^\s*\{")).select(F.explode(F.from_json("j", T.MapType(T.StringType(), T.StringType()))).alias("key", "v"))
+    inner = F.when(F.col("v").rlike(r"^\s*\{"), F.get_json_object("v", "$.vec")).when(F.col("v").rlike(r"^\s*\["), F.col("v"))
+    both = listed.unionByName(keyed.select("key", F.from_json(inner, vec).alias("vec"))).where("key is not null and size(vec) > 0")
+    return both.select(F.regexp_replace(F.element_at(F.split("key", "/"), -1), r"(?<=.)\.[^.]*$", "").alias("name"), "vec")
+
+
+def latest_snapshots(listing: DataFrame) -> DataFrame:
+    """One row (date, umap, graph): the newest dated maps by name among files (path); of one date the last name. Nulls without any."""
+    name = F.element_at(F.split("path", "/"), -1)
+
+    def newest(kinds: str) -> Column:
+        date = F.regexp_extract(name, rf"^(?:{kinds})-(\d{{4}}-\d{{2}}-\d{{2}})\.html$", 1)
+        return F.max(F.when(date != "", F.struct(date.alias("date"), name.alias("file"))))
+
+    out = listing.agg(newest("snapshot|knowledge-map").alias("u"), newest("snapshot-graph|wiki-graph").alias("g"))
+    return out.select(F.col("u.date").alias("date"), F.col("u.file").alias("umap"), F.col("g.file").alias("graph"))
+
+
+def last_operation(log: Column) -> Column:
+    """The operation of the first dated heading of a log, lower-cased; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(log, r"(?m)^##\s+\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2})?\s*[—\-–]\s*([\w/]+)", 1)), F.lit(""))
+
+
 def write_changed(df: DataFrame, wiki: str) -> list[str]:
     """Write new_text of rows where it differs from text to wiki/path; paths written. The changed pages of a run are few."""
     changed = df.where("new_text <> text").select("path", "new_text")

@@ -1,4 +1,4 @@
-"""Micro-batch refresh: new and changed files of a wiki flow through a file stream; each batch updates the tables of a state folder."""
+"""Incremental refresh: a listing of the wiki is compared with the state of the last run; new, edited and deleted pages are found by their hashes."""
 
 from __future__ import annotations
 
@@ -10,30 +10,68 @@ from ..operators import rules
 from ..sources import vault
 
 
-def read_stream(spark: SparkSession, wiki: str) -> DataFrame:
-    """(path, text) of files as they come."""
-    base = wiki.rstrip("/").removeprefix("file://")
-    df = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(wiki)
-    path = F.regexp_replace(F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), r"^file:/*", "/"), "^\\Q" + base + "\\E/", "")
-    return df.select(path.alias("path"), F.col("value").alias("text"))
+def wiki_hash(pages: DataFrame) -> DataFrame:
+    """One row, hash: SHA-256 of all paths and texts, each with a line feed after it, by path. It gathers all texts; refresh compares page hashes instead."""
+    each = F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda p: F.concat(p["path"], F.lit("\n"), p["text"], F.lit("\n")))
+    return pages.agg(F.sha2(F.array_join(each, ""), 256).alias("hash"))
 
 
-def refresh(spark: SparkSession, wiki: str, state: str):
-    """Run a refresh over what is new and stop. Writes, for each batch, touched pages with their hash, and the row rules' issues.
+def page_hashes(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("path").alias("page"), F.sha2("text", 256).alias("hash"), M.content_hash(F.col("text")).alias("body_hash"))
 
-    The writer is idempotent: a batch that is run again replaces its own folder.
-    """
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        pages = vault.parsed(df)
-        pages.select(F.col("path").alias("page"), F.sha2("text", 256).alias("hash"), M.content_hash(F.col("text")).alias("body_hash")).write.mode("overwrite").parquet(f"{state}/hashes/batch={batch_id}")
-        rules.run_rules(pages, "folder-type-mismatch").write.mode("overwrite").parquet(f"{state}/issues/batch={batch_id}")
+def runs(spark: SparkSession, state: str) -> DataFrame:
+    """(version, at, files_checked, n_touched, n_deleted, n_open) of finished runs; none at first. A run's row is written last, so one that fails leaves nothing."""
+    spark.createDataFrame([], "version long, at timestamp, files_checked long, n_touched long, n_deleted long, n_open long").write.mode("append").parquet(f"{state}/runs")
+    return spark.read.parquet(f"{state}/runs")
+
 
-    q = read_stream(spark, wiki).writeStream.foreachBatch(batch).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+def _last(spark: SparkSession, state: str) -> tuple[int, int]:
+    r = runs(spark, state).agg(F.max(F.struct("version", "n_open")).alias("r")).first()["r"]
+    return (r["version"], r["n_open"]) if r else (0, 0)
 
 
 def latest_hashes(spark: SparkSession, state: str) -> DataFrame:
-    """(page, hash) by the newest batch that has the page."""
-    return spark.read.parquet(f"{state}/hashes").groupBy("page").agg(F.max_by("hash", "batch").alias("hash"))
+    """(page, hash, body_hash) after the last run."""
+    version = _last(spark, state)[0]
+    return spark.read.parquet(f"{state}/hashes/{version}") if version else spark.createDataFrame([], "page string, hash string, body_hash string")
+
+
+def open_issues(spark: SparkSession, state: str) -> DataFrame | None:
+    """The issues after the last run; None before the first."""
+    version = _last(spark, state)[0]
+    return spark.read.parquet(f"{state}/issues/{version}") if version else None
+
+
+def refresh(spark: SparkSession, wiki: str, state: str, full: bool = False, templates: DataFrame | None = None) -> dict:
+    """Run all rules and write the next state: hashes, issues, and a row of `runs`.
+
+    quick: nothing is done if no page is new, edited or deleted and no issue is open; else new issues that involve such pages are kept, and old ones that
+    don't. full: all issues anew. Gives version, touched and deleted pages' numbers, open issues, and whether the run was skipped.
+    """
+    version, n_open = _last(spark, state)
+    pages = vault.read_pages(spark, wiki).persist()
+    try:
+        now, stored = page_hashes(pages), latest_hashes(spark, state)
+        touched = rules.touched(now.select("page", "hash"), stored.select("page", "hash"))
+        deleted = stored.select("page").join(now.select("page"), "page", "left_anti")
+        n_touched, n_deleted = touched.count(), deleted.count()
+        if not full and version and not (n_touched or n_deleted or n_open):
+            return {"version": version, "touched": 0, "deleted": 0, "open": 0, "skipped": True}
+        issues, old = rules.run_rules(pages, templates=templates), open_issues(spark, state)
+        if not full and old is not None:
+            issues = rules.quick_scope(old, issues, touched.unionByName(deleted))
+        now.write.mode("overwrite").parquet(f"{state}/hashes/{version + 1}")
+        issues.write.mode("overwrite").parquet(f"{state}/issues/{version + 1}")
+        n_issues = spark.read.parquet(f"{state}/issues/{version + 1}").count()
+        done = pages.agg(F.lit(version + 1).cast("long").alias("version"), F.current_timestamp().alias("at"), F.count("*").alias("files_checked"), F.lit(n_touched).cast("long").alias("n_touched"), F.lit(n_deleted).cast("long").alias("n_deleted"), F.lit(n_issues).cast("long").alias("n_open"))
+        done.write.mode("append").parquet(f"{state}/runs")
+        return {"version": version + 1, "touched": n_touched, "deleted": n_deleted, "open": n_issues, "skipped": False}
+    finally:
+        pages.unpersist()
+
+
+def follow(spark: SparkSession, wiki: str, state: str, seconds: int = 60):
+    """A stream that refreshes every so many seconds: each micro-batch compares the listing, so edits and deletions count as well as new files."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, __: refresh(spark, wiki, state) and None).option("checkpointLocation", f"{state}/ticks").trigger(processingTime=f"{seconds} seconds").start()

@@ -1,5 +1,6 @@
 """Operators over linked notes: golden cases, a small vault on disk, and every registered query against DuckDB."""
 
+import hashlib
 import math
 import os
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions import markdown as M
 from notegraph.functions.header import parse_header
-from notegraph.operators import communities, fixes, links, rules, vectors
+from notegraph.operators import communities, fixes, links, metrics, rules, vectors
 from notegraph.plans import catalog, views
 from notegraph.sources import vault
 from notegraph.streaming import refresh
@@ -70,7 +71,7 @@ def test_vault_rules_and_fixes(spark, wiki):
     assert {r["path"] for r in pages.collect()} == set(PAGES) - {"meta/lint-report-1.md"}
     issues = rules.run_rules(pages)
     found = {(r["type"], r["where"] or r["page_a"]) for r in issues.collect()}
-    for kind, where in [("status-not-in-enum", "ideas/A.md"), ("inline-tags", "ideas/A.md"), ("raw-link-with-extension", "ideas/A.md"), ("raw-ref-in-body", "ideas/A.md"), ("dead-link", "ideas/A.md"), ("missing-summary", "ideas/A.md"), ("non-canonical-wikilink", "ideas/A.md"), ("folder-type-mismatch", "ideas/B.md"), ("asymmetric-related", "A"), ("orphan", "ideas/C.md"), ("orphan", "ideas/A.md")]:
+    for kind, where in [("status-not-in-enum", "ideas/A.md"), ("inline-tags", "ideas/A.md"), ("raw-link-with-extension", "ideas/A.md"), ("raw-ref-in-body", "ideas/A.md"), ("dead-link", "ideas/A.md"), ("missing-summary", "ideas/A.md"), ("non-canonical-wikilink", "ideas/A.md"), ("folder-type-mismatch", "ideas/B.md"), ("asymmetric-related", "ideas/A.md"), ("orphan", "ideas/C.md"), ("orphan", "ideas/A.md")]:
         assert (kind, where) in found, kind
     assert not any(w == "domains/Dom.md" for _, w in found)
     assert sorted(vault.write_changed(fixes.apply_fixes(pages, issues), wiki)) == ["ideas/A.md", "ideas/B.md"]
@@ -79,17 +80,120 @@ def test_vault_rules_and_fixes(spark, wiki):
     assert after == {"dead-link", "missing-summary", "asymmetric-related", "orphan"}
     index = views.index_page(vault.read_pages(spark, wiki), "2024-01-31").withColumn("path", F.lit("index.md"))
     got = {r["name"]: r["summary"] for r in views.index_summaries(index).collect()}
-    assert got == {"A": "—", "B": "About | B", "C": "c", "Dom": "D"}
+    assert got == {"A": views.INDEX_MISSING, "B": "About", "C": "c", "Dom": "D"}
 
 
-def test_stream_refresh(spark, wiki, tmp_path):
+def test_refresh_finds_edits_and_deletions(spark, wiki, tmp_path):
     state = str(tmp_path / "state")
-    refresh.refresh(spark, wiki, state)
-    assert refresh.latest_hashes(spark, state).count() == len(PAGES)
-    with open(f"{wiki}/ideas/New.md", "w") as f:
-        f.write("fresh")
-    refresh.refresh(spark, wiki, state)
-    assert refresh.latest_hashes(spark, state).count() == len(PAGES) + 1
+    first = refresh.refresh(spark, wiki, state)
+    n = len(PAGES) - 1  # but the generated report
+    assert (first["touched"], first["deleted"], first["skipped"]) == (n, 0, False) and refresh.latest_hashes(spark, state).count() == n
+    kinds = lambda: {(r["type"], r["where"] or r["page_a"]) for r in refresh.open_issues(spark, state).collect()}
+    assert ("dead-link", "ideas/A.md") in kinds() and ("orphan", "ideas/C.md") in kinds()
+    for path, text in (("ideas/New.md", "fresh [[C]]"), ("ideas/A.md", PAGES["ideas/A.md"].replace("[[Gone]]", "[[New]]"))):
+        with open(f"{wiki}/{path}", "w") as f:
+            f.write(text)
+    os.remove(f"{wiki}/ideas/C.md")
+    second = refresh.refresh(spark, wiki, state)
+    assert (second["touched"], second["deleted"], second["version"]) == (2, 1, 2)
+    assert {r["page"] for r in refresh.latest_hashes(spark, state).collect()} == {"ideas/A.md", "ideas/B.md", "ideas/New.md", "domains/Dom.md", "index.md"}
+    assert ("dead-link", "ideas/A.md") not in kinds() and ("dead-link", "ideas/New.md") in kinds() and not any(w == "ideas/C.md" for _, w in kinds())
+    assert refresh.refresh(spark, wiki, state)["touched"] == 0
+    pages = vault.read_pages(spark, wiki)
+    every = sorted((r["path"], r["text"]) for r in pages.collect())
+    assert refresh.wiki_hash(pages).first()["hash"] == hashlib.sha256("".join(f"{p}\n{t}\n" for p, t in every).encode()).hexdigest()
+
+
+def test_a_clean_wiki_is_skipped(spark, tmp_path):
+    (tmp_path / "w/domains").mkdir(parents=True)
+    (tmp_path / "w/domains/D.md").write_text('---\ntype: domain\nsummary: d\nstatus: ready\ndomain:\n  - "[[D]]"\n---\n')
+    one, two = (refresh.refresh(spark, str(tmp_path / "w"), str(tmp_path / "s")) for _ in range(2))
+    assert not one["skipped"] and one["open"] == 0 and two["skipped"] and two["version"] == 1
+
+
+def pages_from(spark, texts):
+    return vault.parsed(spark.createDataFrame(list(texts.items()), "path string, text string"))
+
+
+def test_rules_leave_out_meta_pages_and_raw_domains(spark):
+    p = pages_from(spark, {
+        "meta/R.md": "---\ntype: x\n---\n[[Gone]] [[a/b/C]] [[raw/q]]\n",
+        "ideas/M.md": "---\ntype: meta\n---\n[[Gone]] [[a/b/C]]\n",
+        "ideas/N.md": "no header [[raw/q]] [[Lost]]\nand [[Lost]] [[a/M|t]]\n",
+        "ideas/O.md": '---\ntype: idea\ndomain:\n  - "[[raw/x]]"\n  - "[[Nope]]"\nrelated:\n  - "[[x/N]]"\n---\nbody\n',
+    })
+    got = lambda f, *c: sorted(tuple(r) for r in f(p).select(*c).collect())
+    assert got(rules.dead_link, "where", "what", "context") == [("ideas/N.md", "[[Lost]]", "line 1"), ("ideas/O.md", "[[Nope]]", "frontmatter domain")]
+    assert got(rules.non_canonical_wikilink, "where", "link", "fix", "context") == [("ideas/N.md", "[[a/M|t]]", "[[M|t]]", "line 2"), ("ideas/O.md", "[[x/N]]", "[[N]]", "frontmatter related")]
+    assert got(rules.raw_ref_in_body, "where") == []
+    assert got(rules.dangling_domain_ref, "where", "missing_domain") == [("ideas/O.md", "Nope")]
+    assert got(rules.asymmetric_related, "page_a", "page_b") == [("ideas/O.md", "ideas/N.md")]
+    assert got(rules.missing_summary, "where", "page_type") == [("ideas/M.md", "meta"), ("ideas/O.md", "idea")]
+    files = spark.createDataFrame([("a/x.OGG",), ("formats/y.pdf",), ("z.png",)], "path string")
+    assert [tuple(r) for r in rules.binary_outside_formats(files).select("where", "suggested").collect()] == [("raw/a/x.OGG", "raw/formats/x.OGG")]
+    new = rules.asymmetric_related(p)
+    assert rules.quick_scope(new.limit(0), new, spark.createDataFrame([("ideas/N.md",)], "page string")).count() == 1
+
+
+def test_template_fields_come_and_go(spark, tmp_path):
+    (tmp_path / "idea.md").write_text("---\ntype: idea\ntitle: <% tp.file.title %>\ncreated: <% tp.date.now('x') %>\ntags:\n  - a\nsummary:\n---\n")
+    (tmp_path / "none.md").write_text("text")
+    t = vault.templates(spark, str(tmp_path))
+    assert {(r["type"], r["field"]) for r in t.collect()} == {("idea", f) for f in ("type", "title", "created", "tags", "summary")}
+    p = pages_from(spark, {"ideas/A.md": "---\ntype: idea\nodd:\n  - x\n# note\ntags: ['q', \"r\"]\n---\nbody\n", "ideas/B.md": "[[raw/x]]"})
+    out = fixes.apply_fixes(p, rules.run_rules(p, templates=t, as_of="2024-05-06")).collect()
+    assert [(r["path"], r["new_text"]) for r in out if r["path"] == "ideas/A.md"] == [("ideas/A.md", "---\ntype: idea\ntags:\n  - q\n  - r\ncreated: 2024-05-06\ntitle: A\n---\nbody\n")]
+
+
+def test_health_and_history(spark):
+    row = lambda **k: spark.createDataFrame([k], "pages long, wikilinks long, orphans long, ready long, content long, unassigned long, q double")
+    none = row(pages=0, wikilinks=0, orphans=0, ready=0, content=0, unassigned=0, q=None)
+    assert metrics.health(none).first()["total"] == 0
+    some = row(pages=10, wikilinks=70, orphans=0, ready=10, content=10, unassigned=5, q=None)
+    a, b = metrics.health(some).first(), metrics.health(some, "ui").first()
+    assert (a["q_score"], a["domain_score"], a["total"], a["grade"]) == (50.0, 50.0, 80, "good") and (b["q_score"], b["domain_score"]) == (50.0, 100.0)
+    texts = {"ideas/A.md": "---\ntype: idea\nstatus: ready\ndomain:\n  - plain\n---\n[[B]]", "ideas/B.md": "---\ntype: idea\n---\n"}
+    m = metrics.vault_metrics(pages_from(spark, texts))
+    r = m.first()
+    assert (r["pages"], r["wikilinks"], r["orphans"], r["ready"], r["unassigned"], r["domains"], r["pages_list"], r["q"]) == (2, 1, 1, 1, 1, 1, ["A", "B"], None)
+    h = spark.createDataFrame([], metrics.HISTORY)
+    h = metrics.appended(h, metrics.history_entry(m, h, "2024-01-01 10:00:10", "ingest"))
+    assert h.first()["delta"] is None
+    h = spark.createDataFrame(h.collect(), metrics.HISTORY)
+    assert metrics.appended(h, metrics.history_entry(m, h, "2024-01-01 11:00:00", "query")).count() == 1  # nothing changed
+    more = metrics.vault_metrics(pages_from(spark, {**texts, "ideas/C.md": "---\ntype: idea\n---\n[[A]]"}))
+    for now, n in (("2024-01-01 10:00:50", 1), ("2024-01-01 11:00:00", 2)):  # of the same minute, and of another
+        grown = metrics.appended(h, metrics.history_entry(more, h, now, "save"))
+        assert grown.count() == n
+    d = metrics.day_totals(grown, "2024-01-02 10:30:00").first()
+    assert (d["pages_added"], d["wikilinks"], d["orphans"], d["Q"]) == (["C"], 1, 0, None)
+    assert "pages_list" not in metrics.for_display(grown).columns
+
+
+def test_label_propagation_ends(spark):
+    edges = [(f"{g}{i}", f"{g}{j}") for g in "abc" for i in range(5) for j in range(i + 1, 5)] + [("x0", "x1")]
+    got = {r["name"]: r["community"] for r in communities.label_propagation(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert len(got) == 17 and all(len({c for n, c in got.items() if n[0] == g}) == 1 for g in "abcx")
+
+
+def test_embeddings_snapshots_and_log(spark, tmp_path):
+    shapes = ['{"model": "m", "items": {"a/X.md": {"hash": "h", "vec": [1, 2]}, "Y": {"hash": "h"}}}', '{"X": [1, 2], "Z": 3}', '[{"path": "q/X.md", "vec": [1, 2]}, {"name": "X", "vector": [1, 2]}, {"vec": [1]}, 5]']
+    for i, (text, n) in enumerate(zip(shapes, (1, 1, 2))):
+        (tmp_path / f"{i}.json").write_text(text)
+        assert [(r["name"], r["vec"]) for r in vault.read_any_embeddings(spark, str(tmp_path / f"{i}.json")).collect()] == [("X", [1.0, 2.0])] * n
+    listing = spark.createDataFrame([(f"_a/{x}.html",) for x in ("snapshot-2024-01-02", "knowledge-map-2024-01-03", "snapshot-graph-2024-01-01", "snapshot-2024")], "path string")
+    assert tuple(vault.latest_snapshots(listing).first()) == ("2024-01-03", "knowledge-map-2024-01-03.html", "snapshot-graph-2024-01-01.html")
+    assert tuple(vault.latest_snapshots(listing.limit(0)).first()) == (None, None, None)
+    assert one(spark, vault.last_operation(F.col("t")), t="# Log\n## 2024-01-02 — Ingest | X\n## 2024-01-01 - save | Y") == "ingest"
+    assert one(spark, M.hex_to_rgb(F.col("t")), t=" rgb(1, 20, 255)") == one(spark, M.hex_to_rgb(F.col("t")), t="0114ff") == one(spark, M.hex_to_rgb(F.col("t")), t="#0114FF") == (1, 20, 255)
+    assert one(spark, M.plain_text(F.col("t")), t="a [b](c) ![d](e) [[F|g]] h").split() == ["a", "h"]
+
+
+def test_views_are_written_once(spark, wiki, tmp_path):
+    pages = vault.read_pages(spark, wiki)
+    out = str(tmp_path / "views")
+    assert views.write_views(pages, out) == ["Dom", "dashboard"] and views.write_views(pages, out) == []
+    assert views.write_text("a", f"{out}/i.md") and not views.write_text("a", f"{out}/i.md") and views.write_text("b", f"{out}/i.md")
 
 
 def test_pairs_and_cohesion(spark, monkeypatch):
