@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions.header import entries, unquoted
+from ..sources import vault
 
 _HEADER = re.compile(r"\A---\s*\n(.*?)\n---\s*\n", re.S)
 
@@ -88,3 +91,29 @@ def renamed(texts: DataFrame, old: str, new: str) -> DataFrame:
     name = lambda p: p.removesuffix(".md") if p.startswith("raw/") else p.rsplit("/", 1)[-1].removesuffix(".md")
     out = texts.withColumn("new_text", M.rename_links(F.col("text"), name(old), name(new))).withColumn("new_path", F.when(F.col("path") == old, new).otherwise(F.col("path")))
     return out.where("new_text <> text or new_path <> path").select("path", "new_path", "text", "new_text")
+
+
+def rename_file(spark: SparkSession, root: str, old: str, new: str) -> list[str]:
+    """Move a local file root/old to root/new and rewrite links to it in all pages and sources; paths of changed files. Errors as ValueError."""
+    if not (Path(root) / old).is_file():
+        raise ValueError(f"{old} isn't there")
+    if (Path(root) / new).exists():
+        raise ValueError(f"{new} is there already")
+    parts = [vault.files(spark, f"{root}/{k}", "*.md").select(F.concat(F.lit(f"{k}/"), "path").alias("path"), "text") for k in ("wiki", "raw") if (Path(root) / k).is_dir()]
+    texts = reduce(DataFrame.unionByName, parts)
+    changed = vault.write_changed(renamed(texts, old, new), root)
+    (Path(root) / new).parent.mkdir(parents=True, exist_ok=True)
+    (Path(root) / old).rename(Path(root) / new)
+    return sorted({*changed, new})
+
+
+def move_binaries(spark: SparkSession, root: str, issues: DataFrame) -> list[str]:
+    """Move the sources that binary-source-outside-formats names, one by one; those that moved. One whose new name is taken stays."""
+    moved = []
+    for r in issues.where("type = 'binary-source-outside-formats'").select("where", "suggested").orderBy("where").toLocalIterator():
+        try:
+            rename_file(spark, root, r["where"], r["suggested"])
+        except ValueError:
+            continue
+        moved.append(r["where"])
+    return moved

@@ -166,6 +166,74 @@ def appended(history: DataFrame, entry: DataFrame, keep: int = 365) -> DataFrame
     return retained(rest.unionByName(told), keep)
 
 
+def pulse(history: DataFrame, now: str) -> DataFrame:
+    """One row on the last entry: its trigger, whole minutes since, whether it was quiet (no page added, no change of links), and the number of entries of the day."""
+    at = F.col("ts").cast("timestamp")
+    last = F.max_by(F.struct("trigger", "delta", at.alias("at")), "ts")
+    today = F.count_if(F.to_date(at) == F.to_date(F.lit(now).cast("timestamp")))
+    row = history.agg(last.alias("l"), today.alias("turns_today"))
+    d = F.col("l.delta")
+    quiet = d.isNull() | ((F.coalesce(F.size(d["pages_added"]), F.lit(0)) == 0) & (d["wikilinks"] == 0))
+    minutes = F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("l.at")) / 60 + 0.5).cast("int")
+    return row.where("l is not null").select("l.trigger", minutes.alias("minutes_ago"), quiet.alias("quiet"), "turns_today")
+
+
+def turns(history: DataFrame) -> DataFrame:
+    """Entries with a delta, the newest first; query turns that changed nothing are left out."""
+    d = F.col("delta")
+    empty = ~meaningful(d["pages_added"], d["pages_removed"], d["wikilinks"])
+    return history.where(d.isNotNull() & ~(empty & F.col("trigger").contains("query"))).select("ts", "trigger", "delta").orderBy(F.desc("ts"))
+
+
+# Texts of the cards.
+SAME, IN_A_DAY, NOTHING = "без изменений", " за 24ч", "—"
+
+
+def cards(m: DataFrame, history: DataFrame, now: str) -> DataFrame:
+    """(card, value, delta, kind) of the fifteen cards. m: one row of vault_metrics; other columns that it lacks (communities, bridges, sim_p50, sim_p75, sim_p95,
+    most_connected (name, inbound), top_bridge (name, participation, spans), closest (a, b, sim), isolated (name, nearest)) count as null.
+
+    Pages, links and orphans change by the sums of 24 hours; Q, density and similarities against the entry before the last.
+    """
+    shapes = {"communities": "long", "bridges": "long", "sim_p50": "double", "sim_p75": "double", "sim_p95": "double", "most_connected": "struct<name:string,inbound:long>", "top_bridge": "struct<name:string,participation:double,spans:long>", "closest": "struct<a:string,b:string,sim:double>", "isolated": "struct<name:string,nearest:double>"}
+    m = m.withColumns({k: F.lit(None).cast(t) for k, t in shapes.items() if k not in m.columns})
+    known = [F.col(c) if c in history.columns else F.lit(None).cast("double").alias(c) for c in ("pages", "wikilinks", "Q", "sim_p50", "sim_p75", "sim_p95")]
+    two = history.select("ts", *known).orderBy(F.desc("ts")).limit(2).agg(F.count("*").alias("k"), F.min_by(F.struct("pages", "wikilinks", "Q", "sim_p50", "sim_p75", "sim_p95"), "ts").alias("p"))
+    day = day_totals(history, now).select(F.struct(F.size("pages_added").cast("long").alias("pages"), "wikilinks", "orphans").alias("day"))
+    row = m.join(F.broadcast(two.select(F.when(F.col("k") > 1, F.col("p")).alias("prev")))).join(F.broadcast(day))
+    text = lambda c, digits: F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit(NOTHING))
+    card = lambda k, value, delta=F.lit(SAME), kind=F.lit(""): F.struct(F.lit(k).alias("card"), value.cast("string").alias("value"), F.coalesce(delta, F.lit(SAME)).alias("delta"), F.coalesce(kind, F.lit("")).alias("kind"))
+
+    def summed(k: str) -> Column:
+        n = F.col(f"day.{k}")
+        good = n < 0 if k == "orphans" else n > 0
+        mark = F.when(n > 2, " ⚠").otherwise("") if k == "orphans" else F.lit("")
+        return card(k, F.col(k), F.when(n != 0, F.concat(F.format_string("%+d", n), F.lit(IN_A_DAY), mark)), F.when(n != 0, F.when(good, "up").otherwise("down")))
+
+    def against(k: str, cur: Column, old: Column, digits: int, least: float) -> Column:
+        diff = cur - old
+        moved = F.abs(diff) >= least
+        shown = F.when(cur.isNull(), NOTHING).otherwise(text(cur, digits))
+        return card(k, shown, F.when(moved, F.concat(F.format_string(f"%+.{digits}f", diff), F.lit(IN_A_DAY))), F.when(moved, F.when(diff > 0, "up").otherwise("down")))
+
+    def told(k: str, value: Column, delta: Column) -> Column:
+        return card(k, F.coalesce(value, F.lit(NOTHING)), F.coalesce(delta, F.lit(NOTHING)))
+
+    per = lambda w, p: w / F.nullif(p, F.lit(0))
+    density = F.coalesce(per(F.col("wikilinks"), F.col("pages")), F.lit(0.0))
+    bridge = F.when(F.col("top_bridge").isNotNull(), F.concat(F.lit("P="), text(F.col("top_bridge.participation"), 2), F.lit(" · "), F.col("top_bridge.spans"), F.lit(" сообщ.")))
+    every = [
+        summed("pages"), summed("wikilinks"), card("domains", F.col("domains")), summed("orphans"),
+        told("most_connected", F.col("most_connected.name"), F.concat("most_connected.inbound", F.lit(" входящих"))), told("top_bridge", F.col("top_bridge.name"), bridge),
+        against("density", density, per(F.col("prev.wikilinks"), F.col("prev.pages")), 2, 0.005), against("Q", F.col("q"), F.col("prev.Q"), 3, 0.001),
+        card("communities", F.coalesce("communities", F.lit(0))), card("bridges", F.coalesce("bridges", F.lit(0))),
+        *[against(k, F.col(k), F.col(f"prev.{k}"), 3, 0.001) for k in ("sim_p50", "sim_p75", "sim_p95")],
+        told("closest_pair", F.concat("closest.a", F.lit(" ↔ "), "closest.b"), F.when(F.col("closest").isNotNull(), text(F.col("closest.sim"), 3))),
+        told("isolated", F.col("isolated.name"), F.when(F.col("isolated").isNotNull(), F.concat(F.lit("max "), text(F.col("isolated.nearest"), 3)))),
+    ]
+    return row.select(F.array(*every).alias("_cards")).select(F.inline("_cards"))
+
+
 def for_display(history: DataFrame) -> DataFrame:
     """history without the page lists, which only the next delta needs."""
     return history.drop("pages_list")

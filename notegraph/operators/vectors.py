@@ -1,7 +1,7 @@
 """Similarity over embeddings: cosine, top-k, all pairs, cohesion, drift, and the incremental index.
 
 Inputs have (name, vec). All-pairs results are quadratic by definition; vectors meet in square blocks, each pair of
-blocks in one task's numpy product, and rows are only made for pairs that pass the floor.
+blocks in one task's numpy product, and rows leave it only for pairs that pass the floor, or for counts and maxima.
 """
 
 from __future__ import annotations
@@ -30,6 +30,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), safe).otherwise(F.raise_error("vectors differ in dimension").cast("double"))
 
 
+def loose_cosine(a: Column, b: Column) -> Column:
+    """As cosine, but vectors of unlike dimensions are multiplied as far as the shorter one goes."""
+    k = F.least(F.size(a), F.size(b))
+    dot = F.aggregate(F.zip_with(F.slice(a, F.lit(1), k), F.slice(b, F.lit(1), k), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.coalesce(dot / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
+
+
 def top_k(index: DataFrame, query: list[float], k: int = 10, exclude: str | int | None = None) -> DataFrame:
     """(name, sim): the k nearest to one vector, ties by name. The query is a literal, so nothing is shuffled but k rows a task."""
     df = index if exclude is None else index.where(F.col("name") != F.lit(exclude))
@@ -43,9 +50,9 @@ def filtered(ranked: DataFrame, catalog: DataFrame, k: int, summaries: DataFrame
     return out.orderBy(F.desc("sim"), "name").limit(k)
 
 
-def pairs(index: DataFrame, floor: float | None = None, group: str | None = None) -> DataFrame:
-    """(a, b, sim[, group]) for names a < b with sim > floor (all without one), within equal groups if one is named."""
-    kind = index.schema["name"].dataType.simpleString()
+def _each_block(index: DataFrame, group: str | None, emit, fields: str) -> DataFrame:
+    """Rows (fields, g) that emit(a, b, sim, keep) makes of each pair of blocks: names a and b, their products, and which of these are pairs of two
+    vectors that count here. Each vector goes to the block pairs that hold its block, once."""
     g = F.col(group) if group else F.lit(0)
     rows = index.select("name", "vec", g.alias("g"))
     if group is None:
@@ -54,29 +61,111 @@ def pairs(index: DataFrame, floor: float | None = None, group: str | None = None
     else:
         sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
         rows = rows.join(sizes, "g").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("name"), F.col("nb")).cast("int"))
-    # Each vector goes to the block pairs that hold its block, once as a row of either side.
     dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("g", "name", "vec", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
 
-    def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = key[1], key[2]
+    def block(key, pdf):
         pdf = pdf.sort_values("name")
-        left, right = pdf[pdf["b"] == p], pdf[pdf["b"] == q]
+        left, right = pdf[pdf["b"] == key[1]], pdf[pdf["b"] == key[2]]
         x, y = (_unit(np.array([np.asarray(v, dtype=np.float64) for v in s["vec"]])) for s in (left, right))
         sim = x @ y.T if len(x) and len(y) else np.zeros((len(x), len(y)))
         a, b = left["name"].to_numpy(), right["name"].to_numpy()
-        keep = np.ones(sim.shape, bool) if floor is None else sim > floor
-        if p == q:
-            keep &= a[:, None] < b[None, :]
-        i, j = np.nonzero(keep)
-        u, v = a[i], b[j]
-        swap = u > v
-        return pd.DataFrame({"a": np.where(swap, v, u), "b": np.where(swap, u, v), "sim": sim[i, j], "g": key[0]})
-
-    gk = rows.schema["g"].dataType.simpleString()
-    out = dealt.groupBy("g", "p", "q").applyInPandas(block, f"a {kind}, b {kind}, sim double, g {gk}")
+        keep = a[:, None] < b[None, :] if key[1] == key[2] else np.ones(sim.shape, bool)
+        out = emit(a, b, sim, keep)
+        out["g"] = key[0]
+        return out
+
+    return dealt.groupBy("g", "p", "q").applyInPandas(block, f"{fields}, g {rows.schema['g'].dataType.simpleString()}")
+
+
+def _named(a: np.ndarray, b: np.ndarray, sim: np.ndarray, at: tuple) -> pd.DataFrame:
+    u, v = a[at[0]], b[at[1]]
+    swap = u > v
+    return pd.DataFrame({"a": np.where(swap, v, u), "b": np.where(swap, u, v), "sim": sim[at]})
+
+
+def pairs(index: DataFrame, floor: float | None = None, group: str | None = None) -> DataFrame:
+    """(a, b, sim[, group]) for names a < b with sim > floor (all without one), within equal groups if one is named."""
+    kind = index.schema["name"].dataType.simpleString()
+    out = _each_block(index, group, lambda a, b, sim, keep: _named(a, b, sim, np.nonzero(keep if floor is None else keep & (sim > floor))), f"a {kind}, b {kind}, sim double")
     return out.withColumnRenamed("g", group) if group else out.drop("g")
 
 
+def closest(index: DataFrame) -> DataFrame:
+    """(a, b, sim): the tightest pair, ties by name; a row leaves each pair of blocks."""
+    kind = index.schema["name"].dataType.simpleString()
+
+    def best(a, b, sim, keep):
+        some = keep & (sim == sim.max(initial=-2.0, where=keep))
+        return _named(a, b, sim, np.nonzero(some)).sort_values(["a", "b"]).head(1)
+
+    return tightest(_each_block(index, None, best, f"a {kind}, b {kind}, sim double").drop("g"))
+
+
+def nearest(index: DataFrame) -> DataFrame:
+    """(name, nearest): each name's highest similarity to another, 0 at least; a row for each name leaves each pair of blocks."""
+    kind = index.schema["name"].dataType.simpleString()
+
+    def maxima(a, b, sim, keep):
+        rows = pd.DataFrame({"name": a, "nearest": sim.max(axis=1, initial=-2.0, where=keep)})
+        both = pd.concat([rows, pd.DataFrame({"name": b, "nearest": sim.max(axis=0, initial=-2.0, where=keep)})])
+        return both[both["nearest"] > -2.0]
+
+    found = _each_block(index, None, maxima, f"name {kind}, nearest double")
+    return found.groupBy("name").agg(F.greatest(F.max("nearest"), F.lit(0.0)).alias("nearest"))
+
+
+#: Bins of a pass, and values of a bin that are gathered.
+BINS, GATHERED = 4_096, 10_000
+
+
+def pair_ranks(index: DataFrame, points: list[float]) -> tuple[int, list[float], float, float]:
+    """(pairs, exact percentiles at points, min, max) over all pairs' similarities; zeros without pairs.
+
+    Blocks count their values by bins. A bin that a wanted rank falls into is split again until it holds one value or few; so what reaches the
+    driver is bounded by bins and GATHERED values for each rank, whatever the number of pairs.
+    """
+    edges = np.linspace(-1.0, 1.0, BINS + 1)
+    fields = "bin long, n long, lo double, hi double"
+    while True:
+
+        def count(a, b, sim, keep, edges=edges):
+            s = np.sort(sim[keep])
+            at, first, n = np.unique(np.searchsorted(edges, s, side="right"), return_index=True, return_counts=True)
+            return pd.DataFrame({"bin": at, "n": n, "lo": s[first], "hi": s[first + n - 1]})
+
+        h = _each_block(index, None, count, fields).groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("bin").toPandas()
+        if not len(h):
+            return 0, [0.0] * len(points), 0.0, 0.0
+        ends = h["n"].cumsum().to_numpy()
+        total = int(ends[-1])
+        spots = [(total - 1) * p for p in points]
+        ranks = sorted({r for k in spots for r in (int(k), min(int(k) + 1, total - 1))})
+        rows = np.searchsorted(ends, ranks, side="right")
+        wide = sorted({i for i in rows if h["lo"][i] < h["hi"][i] and h["n"][i] > GATHERED})
+        if not wide:
+            break
+        finer = [np.linspace(h["lo"][i], h["hi"][i], BINS + 1) for i in wide]
+        grown = np.unique(np.concatenate([edges, *finer]))
+        if len(grown) == len(edges):  # neighbouring doubles
+            break
+        edges = grown
+    want = np.array(sorted({int(h["bin"][i]) for i in rows if h["lo"][i] < h["hi"][i]}), dtype=np.int64)
+
+    def gather(a, b, sim, keep):
+        s = sim[keep]
+        at = np.searchsorted(edges, s, side="right")
+        some = np.isin(at, want)
+        return pd.DataFrame({"bin": at[some], "sim": s[some]})
+
+    values = {k: np.sort(v["sim"].to_numpy()) for k, v in _each_block(index, None, gather, "bin long, sim double").toPandas().groupby("bin")} if len(want) else {}
+    at = {r: float(values[h["bin"][i]][r - (ends[i] - h["n"][i])]) if h["bin"][i] in values else float(h["lo"][i]) for r, i in zip(ranks, rows)}
+    out = []
+    for k in spots:
+        low, high = at[int(k)], at[min(int(k) + 1, total - 1)]
+        out.append(low + (high - low) * (k - int(k)))
+    return total, out, float(h["lo"].min()), float(h["hi"].max())
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     if not m.size:
         return m
@@ -84,13 +173,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def pair_stats(sims: DataFrame) -> DataFrame:
+def pair_stats(index: DataFrame) -> DataFrame:
     """One row: pairs, min, p25, p50, p75, p95, p99, max; zeros without pairs."""
-    ps = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    # one exact percentile of all points, as each would keep a count of every distinct value
-    out = sims.agg(F.count("*").alias("pairs"), F.min("sim").alias("min"), F.percentile("sim", F.array(*[F.lit(p) for p in ps.values()])).alias("_p"), F.max("sim").alias("max"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select("pairs", zero(F.col("min")).alias("min"), *[zero(F.get("_p", F.lit(i))).alias(k) for i, k in enumerate(ps)], zero(F.col("max")).alias("max"))
+    total, (p25, p50, p75, p95, p99), least, most = pair_ranks(index, [0.25, 0.5, 0.75, 0.95, 0.99])
+    row = {"pairs": total, "min": least, "p25": p25, "p50": p50, "p75": p75, "p95": p95, "p99": p99, "max": most}
+    return index.sparkSession.range(1).select(*[F.lit(v).cast("long" if k == "pairs" else "double").alias(k) for k, v in row.items()])
 
 
 def tightest(sims: DataFrame) -> DataFrame:
@@ -134,20 +221,21 @@ def cohesion(index: DataFrame, group: str, zero_fill: bool = True) -> DataFrame:
     return out if zero_fill else out.where("members > 1")
 
 
-def similar_unlinked(sims: DataFrame, edges: DataFrame, names: DataFrame, percentile: float = 0.95, min_similarity: float = 0.6) -> DataFrame:
-    """Pairs above the percentile of all pairs (and min_similarity), both among names, without a link either way."""
-    cut = sims.agg(F.greatest(F.percentile("sim", F.lit(percentile)), F.lit(min_similarity)).alias("threshold"))
-    out = sims.join(F.broadcast(cut), F.col("sim") > F.col("threshold"))
+def similar_unlinked(index: DataFrame, edges: DataFrame, names: DataFrame, percentile: float = 0.95, min_similarity: float = 0.6) -> DataFrame:
+    """Pairs above the percentile of all pairs (and min_similarity), both among names, without a link either way. Only pairs above it leave the blocks."""
+    threshold = max(pair_ranks(index, [percentile])[1][0], min_similarity)
+    out = pairs(index, threshold).withColumn("threshold", F.lit(threshold))
     for side in ("a", "b"):
         out = out.join(names.select(F.col("name").alias(side)).distinct(), side, "left_semi")
     linked = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return out.join(linked, ["a", "b"], "left_anti").select("a", "b", "sim", "threshold")
 
 
-def contradiction_candidates(sims: DataFrame, names: DataFrame, percentile: float = 0.75, min_similarity: float = 0.5) -> DataFrame:
+def contradiction_candidates(index: DataFrame, names: DataFrame, percentile: float = 0.75, min_similarity: float = 0.5) -> DataFrame:
     """Pairs among names above the percentile of all pairs (and min_similarity), by rounded similarity."""
-    none = names.sparkSession.createDataFrame([], f"src {sims.schema['a'].dataType.simpleString()}, dst {sims.schema['a'].dataType.simpleString()}")
-    return similar_unlinked(sims, none, names, percentile, min_similarity).select("a", "b", F.round("sim", 3).alias("similarity")).orderBy(F.desc("similarity"), "a", "b")
+    kind = index.schema["name"].dataType.simpleString()
+    none = names.sparkSession.createDataFrame([], f"src {kind}, dst {kind}")
+    return similar_unlinked(index, none, names, percentile, min_similarity).select("a", "b", F.round("sim", 3).alias("similarity")).orderBy(F.desc("similarity"), "a", "b")
 
 
 def drift(index: DataFrame, members: DataFrame, sources: DataFrame, stds: float = 1.5, floor: float = 0.1) -> DataFrame:

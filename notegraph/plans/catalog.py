@@ -117,18 +117,18 @@ def _(spark, sf):
 
 @query("vec_pair_stats", _PAIRS + "SELECT count(*) AS pairs, round(min(sim), 6) AS min, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.75), 6) AS p75, round(quantile_cont(sim, 0.95), 6) AS p95, round(quantile_cont(sim, 0.99), 6) AS p99, round(max(sim), 6) AS max FROM s")
 def _(spark, sf):
-    out = V.pair_stats(V.pairs(index_of(spark, sf)))
+    out = V.pair_stats(index_of(spark, sf))
     return out.select("pairs", *[F.round(c, 6).alias(c) for c in out.columns if c != "pairs"])
 
 
 @query("vec_tightest_pair", _PAIRS + "SELECT a, b, round(sim, 6) AS sim FROM s ORDER BY s.sim DESC, a, b LIMIT 1")
 def _(spark, sf):
-    return V.tightest(V.pairs(index_of(spark, sf))).withColumn("sim", F.round("sim", 6))
+    return V.closest(index_of(spark, sf)).withColumn("sim", F.round("sim", 6))
 
 
 @query("vec_isolation", _PAIRS + "SELECT name, round(greatest(max(sim), 0), 6) AS nearest FROM (SELECT a AS name, sim FROM s UNION ALL SELECT b, sim FROM s) GROUP BY name")
 def _(spark, sf):
-    return V.isolation(V.pairs(index_of(spark, sf))).withColumn("nearest", F.round("nearest", 6))
+    return V.nearest(index_of(spark, sf)).withColumn("nearest", F.round("nearest", 6))
 
 
 @query("vec_group_cohesion", _PAIRS + "SELECT la AS label, round(avg(sim), 6) AS cohesion, (SELECT count(*) FROM embeddings e WHERE e.label = la) AS members FROM s WHERE la = lb GROUP BY la")
@@ -151,13 +151,13 @@ def _two(spark, sf) -> DataFrame:
 @query("vec_similar_unlinked", _PAIRS + f"SELECT a, b, round(sim, 6) AS sim FROM s WHERE sim > (SELECT quantile_cont(sim, 0.95) FROM s) AND NOT EXISTS (SELECT 1 FROM {_TWO} t WHERE (t.name = a AND t.o = b) OR (t.name = b AND t.o = a))")
 def _(spark, sf):
     idx = index_of(spark, sf)
-    return V.similar_unlinked(V.pairs(idx), _two(spark, sf).select(F.col("name").alias("src"), F.col("o").alias("dst")), idx, 0.95, 0.0).select("a", "b", F.round("sim", 6).alias("sim"))
+    return V.similar_unlinked(idx, _two(spark, sf).select(F.col("name").alias("src"), F.col("o").alias("dst")), idx, 0.95, 0.0).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("vec_contradiction_candidates", _PAIRS + "SELECT a, b, round(sim, 3) AS similarity FROM s WHERE sim > greatest((SELECT quantile_cont(sim, 0.75) FROM s), 0.3)")
 def _(spark, sf):
     idx = index_of(spark, sf)
-    return V.contradiction_candidates(V.pairs(idx), idx, 0.75, 0.3)
+    return V.contradiction_candidates(idx, idx, 0.75, 0.3)
 
 
 @query("vec_centroid_drift", f"WITH c AS (SELECT t.name, i, avg(CAST(e.embedding[i] AS DOUBLE)) AS m FROM {_TWO} t JOIN embeddings e ON e.vec_id = t.o, range(1, 65) r(i) GROUP BY t.name, i), k AS (SELECT name, list(m ORDER BY i) AS m FROM c GROUP BY name), d AS (SELECT name, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), m) AS drift FROM k JOIN embeddings ON vec_id = name) SELECT name, round(drift, 6) AS drift, round((SELECT greatest(avg(drift) + 1.5 * stddev_pop(drift), 0.1) FROM d), 6) AS threshold FROM d WHERE drift > (SELECT greatest(avg(drift) + 1.5 * stddev_pop(drift), 0.1) FROM d)")

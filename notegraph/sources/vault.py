@@ -96,7 +96,7 @@ def read_any_embeddings(spark: SparkSession, path: str) -> DataFrame:
     items = F.coalesce(F.get_json_object("t", "$.items"), F.col("t"))
     one = text.select(items.alias("j"))
     record = T.StructType().add("path", "string").add("key", "string").add("name", "string").add("vec", vec).add("vector", vec)
-    listed = one.where(F.col("j").rlike(r"^\s*\[")).select(F.explode(F.from_json("j", T.ArrayType(record))).alias("r"))
+    listed = one.where(F.col("j").rlike(r"^\s*\[")).select(F.explode(F.from_json("j", T.ArrayType(T.StringType()))).alias("e")).select(F.from_json("e", record).alias("r"))
     listed = listed.select(F.coalesce(*[F.nullif(f"r.{k}", F.lit("")) for k in ("path", "key", "name")]).alias("key"), F.coalesce("r.vec", "r.vector").alias("vec"))
     keyed = one.where(F.col("j").rlike(r"^\s*\{")).select(F.explode(F.from_json("j", T.MapType(T.StringType(), T.StringType()))).alias("key", "v"))
     inner = F.when(F.col("v").rlike(r"^\s*\{"), F.get_json_object("v", "$.vec")).when(F.col("v").rlike(r"^\s*\["), F.col("v"))

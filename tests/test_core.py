@@ -1,14 +1,19 @@
 """Operators over linked notes: golden cases, a small vault on disk, and every registered query against DuckDB."""
 
+import cmath
+import colorsys
 import hashlib
+import json
 import math
 import os
+import random
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from notegraph.functions import color, geometry
 from notegraph.functions import markdown as M
 from notegraph.functions.header import parse_header
 from notegraph.operators import communities, fixes, links, metrics, rules, vectors
@@ -189,6 +194,87 @@ def test_embeddings_snapshots_and_log(spark, tmp_path):
     assert one(spark, M.plain_text(F.col("t")), t="a [b](c) ![d](e) [[F|g]] h").split() == ["a", "h"]
 
 
+def test_percentiles_of_pairs(spark, monkeypatch):
+    """Exact whatever the bins, blocks and ties; the least and greatest, too."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(60, 4)), np.ones((40, 4)), np.zeros((3, 4))])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "name long, vec array<double>")
+    sims = np.array([r["sim"] for r in vectors.pairs(df).collect()])
+    points = [0.0, 0.1, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
+    for block, bins, gathered in ((512, 4096, 10_000), (16, 4, 3), (50, 2, 50)):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "BINS", bins)
+        monkeypatch.setattr(vectors, "GATHERED", gathered)
+        total, got, least, most = vectors.pair_ranks(df, points)
+        assert total == len(sims) == 103 * 102 // 2 and np.allclose(got, np.quantile(sims, points), atol=1e-9) and abs(least - sims.min()) < 1e-9 and abs(most - sims.max()) < 1e-9
+    assert vectors.pair_ranks(df.limit(1), [0.5]) == (0, [0.0], 0.0, 0.0)
+    near = {r["name"]: r["nearest"] for r in vectors.nearest(df).collect()}
+    assert len(near) == 103 and near[102] == 0.0 and abs(near[60] - 1) < 1e-9
+    best = vectors.closest(df.where("name < 60")).first()
+    assert abs(best["sim"] - max(s["sim"] for s in vectors.pairs(df.where("name < 60")).collect())) < 1e-12
+    assert abs(one(spark, vectors.loose_cosine(F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(1.0))), t=1) - 0.6) < 1e-12
+
+
+def test_colors(spark):
+    hues = [round(360 * colorsys.rgb_to_hls(*(x / 255 for x in bytes.fromhex(p[1:])))[0]) for p in color.palette(4)]
+    assert color.palette(0) == [] and color.palette(4)[0] == "#6791e4" and hues == [220, 310, 40, 130]
+    c = color.domain_colors(spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "domain string"), ["#ff0000", "#00ffff"])
+    assert {r["domain"]: r["color"] for r in c.collect()} == {"a": "#ff0000", "b": "#00ffff", "c": "#ff0000"}
+    rng = random.Random(3)
+    known = {f"d{i}": "#" + bytes(rng.randrange(256) for _ in range(3)).hex() for i in range(12)} | {"gray": "#808080", "red": "#ff0000", "cyan": "#00ffff"}
+    pages = {f"p{i}": rng.sample(sorted(known), rng.randrange(1, 4)) for i in range(60)} | {"none": ["?"], "two": ["red", "cyan"]}
+    got = {r["name"]: r["color"] for r in color.blended(spark.createDataFrame([(p, d) for p, ds in pages.items() for d in ds], "name string, domain string"), spark.createDataFrame(list(known.items()), "domain string, color string")).collect()}
+    for p, ds in pages.items():
+        of = [colorsys.rgb_to_hls(*(x / 255 for x in bytes.fromhex(known[d][1:]))) for d in ds if d in known]
+        if len(of) < 2:
+            assert got[p] == (known[ds[0]] if of else "#cccccc")
+            continue
+        total = sum(cmath.exp(2j * math.pi * h) for h, _, _ in of)
+        h = sum(x[0] for x in of) / len(of) if abs(total) < 0.05 * len(of) else cmath.phase(total) / (2 * math.pi) % 1
+        rgb = colorsys.hls_to_rgb(h, max(0, sum(x[1] for x in of) / len(of) - 0.18), max(0, sum(x[2] for x in of) / len(of) - 0.05))
+        assert all(abs(a - 255 * b) <= 1 for a, b in zip(bytes.fromhex(got[p][1:]), rgb)), p
+
+
+def test_rectangles_and_manifest(spark):
+    assert geometry.merge_rects([]) == []
+    chain = [(0, 0, 10, 10), (35, 0, 45, 10), (70, 0, 80, 10), (300, 0, 310, 10), (5, 5, 5, 9)]
+    assert geometry.merge_rects(chain) == [(0, 0, 80, 10), (300, 0, 310, 10), (5, 5, 5, 9)]
+    assert geometry.merge_rects([(0, 0, 10, 10), (40, 0, 50, 10)]) == [(0, 0, 10, 10), (40, 0, 50, 10)]  # they touch only
+    df = spark.createDataFrame([("p", i, *map(float, r)) for i, r in enumerate(chain)] + [("q", 0, 1.0, 1.0, 2.0, 2.0)], "page string, place long, x0 double, y0 double, x1 double, y1 double")
+    assert geometry.merged_rects(df, "page").groupBy("page").count().orderBy("page").collect() == [("p", 3), ("q", 1)]
+    text = one(spark, geometry.manifest(F.col("t"), F.lit(21), F.array(F.lit("a.png")), F.lit(None).cast("string")), t="raw/X.PDF")
+    assert json.loads(text) == {"source": "raw/X.PDF", "format": "pdf", "pages": 21, "large_doc": True, "images": ["a.png"], "transcript": None}
+
+
+def test_cards_and_pulse(spark):
+    entry = lambda ts, trigger, pages, links_, q, delta: (ts, trigger, pages, links_, 0, q, [], delta)
+    h = spark.createDataFrame([
+        entry("2024-01-01T09:00", "ingest", 10, 20, 0.5, None),
+        entry("2024-01-01T10:00", "query", 10, 20, 0.5, ([], [], 0, 0, 0.0)),
+        entry("2024-01-01T11:00", "save", 12, 30, 0.6, (["X", "Y"], [], 10, 3, 0.1)),
+    ], metrics.HISTORY)
+    m = spark.createDataFrame([(12, 30, 3, 4, 0.6)], "pages long, wikilinks long, orphans long, domains long, q double")
+    got = {r["card"]: (r["value"], r["delta"], r["kind"]) for r in metrics.cards(m, h, "2024-01-01 12:00:00").collect()}
+    assert len(got) == 15 and got["pages"] == ("12", "+2 за 24ч", "up") and got["orphans"] == ("3", "+3 за 24ч ⚠", "down") and got["domains"] == ("4", "без изменений", "")
+    assert got["density"] == ("2.50", "+0.50 за 24ч", "up") and got["Q"] == ("0.600", "+0.100 за 24ч", "up") and got["sim_p50"] == ("—", "без изменений", "") and got["isolated"][:2] == ("—", "—")
+    assert tuple(metrics.pulse(h, "2024-01-01 12:00:29").first()) == ("save", 60, False, 3)
+    assert [r["ts"] for r in metrics.turns(h).collect()] == ["2024-01-01T11:00"]
+
+
+def test_files_are_renamed_with_their_links(spark, tmp_path):
+    for p, t in {"wiki/ideas/Old.md": "[[Old]]", "wiki/ideas/X.md": "[[Old#a|b]] [[raw/a/f.pdf]]", "raw/a/f.pdf": "x", "raw/n.md": "![[Old]]"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    assert fixes.rename_file(spark, str(tmp_path), "wiki/ideas/Old.md", "wiki/ideas/New.md") == ["raw/n.md", "wiki/ideas/New.md", "wiki/ideas/Old.md", "wiki/ideas/X.md"]
+    assert (tmp_path / "wiki/ideas/New.md").read_text() == "[[New]]" and (tmp_path / "raw/n.md").read_text() == "![[New]]"
+    for old, new in (("wiki/ideas/Old.md", "wiki/Z.md"), ("wiki/ideas/New.md", "wiki/ideas/X.md"), ("wiki/ideas/New.md", "raw/N.md")):
+        with pytest.raises(ValueError):
+            fixes.rename_file(spark, str(tmp_path), old, new)
+    issues = rules.binary_outside_formats(vault.files(spark, str(tmp_path / "raw"), content=False))
+    assert fixes.move_binaries(spark, str(tmp_path), issues) == ["raw/a/f.pdf"] and (tmp_path / "raw/formats/f.pdf").exists()
+    assert (tmp_path / "wiki/ideas/X.md").read_text() == "[[New#a|b]] [[raw/formats/f.pdf]]"
+
+
 def test_views_are_written_once(spark, wiki, tmp_path):
     pages = vault.read_pages(spark, wiki)
     out = str(tmp_path / "views")
