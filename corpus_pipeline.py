@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("mixing", mix_sources), ("bpe", encode)]
 
-#: The classifier of the first stage can't be written in SQL; tests/llm tests the operators of the stages, not the stages or run().
+#: The classifier of the first stage can't be written in SQL; tests/llm holds each stage and run() against plain Python on a small table.
 ORACLE_SQL = None
 
 
