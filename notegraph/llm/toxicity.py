@@ -91,19 +91,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lists = sample["f"].combine_chunks()
     sizes = lists.value_lengths().to_numpy()
     flat, count = lists.flatten().to_numpy(), sample["n"].combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(sample)), sizes)
-    ids, at = np.unique(flat, return_inverse=True)
-    in_p, in_u = np.bincount(at[is_p[row]], minlength=len(ids)), np.bincount(at[~is_p[row]], minlength=len(ids))
-    rate_p, rate_u = in_p / is_p.sum(), (in_u + 0.5) / (~is_p).sum()
+    row = np.repeat(np.arange(len(sample), dtype=np.int32), sizes)
+    own = is_p[row]
+    ids, n_p = np.unique(flat[own], return_counts=True)  # a feature that no positive has is never chosen
+    rest, n_rest = np.unique(flat[~own], return_counts=True)
+    n_u = np.zeros(len(ids), n_rest.dtype)
+    _, in_ids, in_rest = np.intersect1d(ids, rest, assume_unique=True, return_indices=True)
+    n_u[in_ids] = n_rest[in_rest]
+    rate_p, rate_u = n_p / is_p.sum(), (n_u + 0.5) / (~is_p).sum()
     pure = prior * rate_p >= PURITY * rate_u
-    gain = np.where(pure & (in_p >= max(3, SHARE * is_p.sum())), rate_p * np.log(np.maximum(rate_p, 1e-12) / rate_u), -1.0)
+    gain = np.where(pure & (n_p >= max(3, SHARE * is_p.sum())), rate_p * np.log(np.maximum(rate_p, 1e-12) / rate_u), -1.0)
     best = np.lexsort((ids, -gain))[:FEATURES]
     best = best[gain[best] > 0]
-    place = np.full(len(ids), -1)
-    place[best] = np.arange(len(best))
+    by_id = np.sort(best)  # ids are in ascending order
+    place = np.zeros(len(by_id), int)
+    place[np.searchsorted(by_id, best)] = np.arange(len(best))
     x = np.zeros((len(sample), len(best)), np.float32)
-    used = place[at] >= 0
-    x[row[used], place[at][used]] = count[used]
+    chosen = ids[by_id]
+    for a in range(0, len(flat) if len(best) else 0, 1 << 18):  # in slices, as places are wider than features
+        part = slice(a, a + (1 << 18))
+        at = np.minimum(np.searchsorted(chosen, flat[part]), len(chosen) - 1)
+        used = chosen[at] == flat[part]
+        x[row[part][used], place[at[used]]] = count[part][used]
     w, b = fit(x[is_p], x[~is_p], prior)
     grid = 1 << 20  # on a grid sums are exact, so the order of words doesn't matter
     return {int(i) & 0xFFFFFFFF: round(float(v) * grid) / grid for i, v in zip(ids[best], w)}, round(b * grid) / grid
