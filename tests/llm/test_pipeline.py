@@ -157,7 +157,7 @@ def test_toxicity_stage(spark, folder):
     got = plain(corpus_pipeline.drop_toxic(spark, docs, folder))
     assert got == Counter(clean_rows(corpus(), weights, bias))
     assert not any(r[0] and 100 <= r[0] < 160 for r in got)
-    assert sum(got.values()) >= 0.9 * (len(corpus()) - 60)  # 48 positives are few: a text of which there are 12 copies goes too
+    assert sum(got.values()) >= 0.9 * (len(corpus()) - 60)  # the 44 positives share their vocabulary with clean texts: 12 of 156 clean ones go too
     assert corpus_pipeline.drop_toxic(spark, docs.where("false"), folder).count() == 0
 
 
