@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, simhash, suffix_dedup, tokenizer, topk, toxicity
+from . import collocations, fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, simhash, suffix_dedup, tokenizer, topk, toxicity
 from .common import cut, new_path, read, small_batches
 
 #: The shards of op8.
@@ -114,6 +114,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_exact_topk": op10_exact_topk,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "pipeline": pipeline,
 }
 
@@ -168,4 +174,18 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x
 s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_phrase_collocations": """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0B\\x0C\\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM p),
+o AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM o GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS k FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n.n, (CAST(1000 AS HUGEINT) * c.a * CAST(n.n AS HUGEINT)) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[c.k + 1:], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, a, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM (SELECT lang, a, string_split(phrase, ' ') AS w, unnest(range(2, f.k)) AS k FROM f WHERE f.k > 2)),
+m AS (SELECT lang, phrase, max(a) AS most FROM i GROUP BY ALL),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000""",
 }
