@@ -24,8 +24,8 @@ def quantised(vector: Column, scale: int, dims: int) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) == dims) & fine, F.transform(vector, lambda x: F.floor(scale * x.cast("double"))))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.int64)
+def _matrix(column: pd.Series, dims: int) -> np.ndarray:
+    return np.array(column.tolist(), np.int64).reshape(-1, dims)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ def _summer(centroids: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, count = np.zeros(centroids.shape, np.int64), np.zeros(len(centroids), np.int64)
         for pdf in batches:
-            x, n = _matrix(pdf["q"]), pdf["n"].to_numpy()
+            x, n = _matrix(pdf["q"], centroids.shape[1]), pdf["n"].to_numpy()
             at, _ = _nearest(x, centroids)
             np.add.at(total, at, x * n[:, None])
             np.add.at(count, at, n)
@@ -62,7 +62,7 @@ def _summer(centroids: np.ndarray):
 def _assigner(centroids: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, d = _nearest(_matrix(pdf["q"]), centroids)
+            at, d = _nearest(_matrix(pdf["q"], centroids.shape[1]), centroids)
             yield pd.DataFrame({"q": pdf["q"], "n": pdf["n"], "cluster": at.astype(np.int32), "distance": d})
 
     return run

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, simhash, suffix_dedup, tokenizer, topk, toxicity
+from . import centroids, collocations, fingerprints, language, line_dedup, mixing, near_dedup, secrets, sharding, simhash, suffix_dedup, tokenizer, topk, toxicity
 from .common import cut, new_path, read, small_batches
 
 #: The shards of op8.
@@ -119,6 +119,17 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -137,6 +148,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_exact_topk": op10_exact_topk,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_language_id": op12_language_id,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": pipeline,
 }
 
@@ -152,6 +165,21 @@ def _sql_spans(kind: str, pattern: str, group: int, least: int) -> str:
 _LISTS = ", ".join(f"{_sql_spans(r.kind, r.pattern, r.group, r.least)} AS s_{r.kind}" for r in secrets.RULES)
 _ALL = " || ".join(f"list_transform(s_{r.kind}, lambda s: {{'start': s.start, 'i': {i}, 'e': s.start + s.n, 'kind': '{r.kind}'}})" for i, r in enumerate(secrets.RULES))
 
+def _sql_lloyd(k: int, rounds: int, dims: int) -> str:
+    """DuckDB: each round's centroids from the ones before, in wide form by position, then the last assignment."""
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS INTEGER) AS cluster, q AS c FROM (SELECT * FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), q LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, q, cluster, d FROM (SELECT vec_id, q, cluster, CAST(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d, v.rowid_ FROM (SELECT *, row_number() OVER () AS rowid_ FROM v) v, c{i})
+  QUALIFY row_number() OVER (PARTITION BY rowid_ ORDER BY d, cluster) = 1)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS MATERIALIZED (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT cluster, i, CAST(sum(q[i]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, {dims + 1}) r(i) GROUP BY cluster, i) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -163,10 +191,10 @@ WITH l AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, '
 e AS (SELECT doc_id, t, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l),
 s AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM e WHERE regexp_matches(line, '\\S')),
 g AS (SELECT doc_id, p, i, lead(i) OVER w AS j, line, lead(line) OVER w AS next_line, n, len(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')) AS words FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-m AS (SELECT doc_id, p, line || chr(10) || next_line AS gram, 2 AS kind, [i, j] AS at FROM g WHERE next_line IS NOT NULL
+m AS (SELECT doc_id, p, line || chr(10) || next_line AS gram, 2 AS kind, [i, j] AS places FROM g WHERE next_line IS NOT NULL
   UNION ALL SELECT doc_id, p, line, 1, [i] FROM g WHERE n = 1 UNION ALL SELECT doc_id, p, line, 50, [i] FROM g WHERE words >= 50),
-r AS (SELECT doc_id, at, row_number() OVER (PARTITION BY kind, gram ORDER BY doc_id, p) AS k FROM m),
-d AS (SELECT DISTINCT doc_id, unnest(at) AS i FROM r WHERE k > 1),
+r AS (SELECT doc_id, places, row_number() OVER (PARTITION BY kind, gram ORDER BY doc_id, p) AS k FROM m),
+d AS (SELECT DISTINCT doc_id, unnest(places) AS i FROM r WHERE k > 1),
 k AS (SELECT e.doc_id, string_agg(CASE WHEN d.i IS NULL THEN line END, chr(10) ORDER BY e.i) AS kept, count(*) AS n_lines, count(d.i) AS n_removed FROM e LEFT JOIN d ON d.doc_id = e.doc_id AND d.i = e.i GROUP BY e.doc_id)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k""",
     "op10_exact_topk": """
@@ -188,4 +216,5 @@ i AS (SELECT lang, a, k, unnest(list_transform(range(1, len(w) - k + 2), lambda
 m AS (SELECT lang, phrase, max(a) AS most FROM i GROUP BY ALL),
 r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE most IS NULL OR 100 * most < 100 * a)
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000""",
+    "op13_centroid_clustering": _sql_lloyd(16, 3, 64),
 }
