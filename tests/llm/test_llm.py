@@ -352,16 +352,6 @@ def test_similar_groups_equal_brute_force(spark, bucket):
 # 3
 
 
-def brute_lines(rows):
-    """Deleted line places of each row, by the definition in line_dedup.repeated_lines."""
-    docs = {}
-    for i, t in rows:
-        t = t or ""
-        lines = [(k, line) for k, line in enumerate(t.split("\n")) if line.strip()]
-        docs[(-(1 << 63) if i is None else i, t)] = lines
-    return docs
-
-
 def test_line_dedup(spark):
     rows = awkward()
     out = line_dedup.delete_repeats(frame(spark, rows)).select("doc_id", "text", "_n_gone", "n").collect()
