@@ -66,17 +66,31 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.select(F.when(F.col("id") > -(1 << 63), F.col("id")).alias("id"), "x", "gone")
 
 
+@F.pandas_udf("string")
+def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Each text less the lines at the places of gone; in time that grows with the text, however many go. Null where there are none to go."""
+    out = []
+    for t, places in zip(text, gone):
+        if t is None:
+            out.append(None)
+        else:
+            some = set(places)
+            out.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in some))
+    return pd.Series(out, dtype=object)
+
+
 def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with later copies of repeated line runs deleted from the text; `_n_lines` and `_n_gone` count lines.
 
     The first copy and blank lines stay. A null text stays null; all rows and other columns stay, but columns of those two names are replaced. Empty table: no rows.
+    A long text is one row of a small batch; its lines are looked up in a set, once each.
     """
     gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias("_ng_id"), F.col("x").alias("_ng_of"), F.col("gone").alias("_ng_gone"))
     # The join of a full row with its list; both keys are unique to a text, so none is hot.
     joined = docs.withColumn("_ng_x", F.xxhash64(whole(text_col))).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_ng_id")) & (F.col("_ng_x") == F.col("_ng_of")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_ng_gone", i)), "\n")
     some = F.col("_ng_gone").isNotNull()
+    kept = without_lines(F.when(some, whole(text_col)), F.col("_ng_gone"))  # other texts aren't sent to Python
     counts = {"_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_n_gone": F.when(some, F.size("_ng_gone")).otherwise(0).cast("long")}
     kept_columns = [F.when(some, kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts]
     return joined.select(*kept_columns, *[v.alias(c) for c, v in counts.items()])
