@@ -44,7 +44,7 @@ def merged_rects(df: DataFrame, page: str, gap: float = 30.0) -> DataFrame:
     return df.select(page, "place", *doubles).groupBy(page).applyInPandas(one, f"{page} {kind}, " + ", ".join(f"{c} double" for c in sides))
 
 
-def manifest(source: Column, pages: Column, images: Column, transcript: Column, large: int = 20) -> Column:
+def manifest(source: Column, pages: Column, images: Column, transcript: Column, large: int = 100) -> Column:
     """The record of a converted source as JSON; more pages than `large` make it a large one."""
     kind = F.lower(F.regexp_extract(source, r"\.([^./]+)$", 1))
     return F.to_json(F.struct(source.alias("source"), kind.alias("format"), F.coalesce(pages, F.lit(0)).alias("pages"), (F.coalesce(pages, F.lit(0)) > large).alias("large_doc"), images.alias("images"), transcript.alias("transcript")), {"ignoreNullFields": "false"})

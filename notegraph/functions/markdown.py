@@ -169,10 +169,16 @@ def clamp(v: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), v))
 
 
-def signed_delta(v: Column, digits: int = 0) -> Column:
-    """`+n`, `-n`, `0` or a dash for null, with its class: up, down, flat."""
-    shown = F.format_string(f"%+.{digits}f", v.cast("double"))
-    return F.struct(F.when(v.isNull(), "—").when(v == 0, "0").otherwise(shown).alias("text"), F.when(v.isNull() | (v == 0), "flat").when(v > 0, "up").otherwise("down").alias("kind"))
+# The texts of a change.
+UNCHANGED, IN_A_DAY = "без изменений", " за 24ч"
+
+
+def signed_delta(cur: Column, prev: Column, digits: int = 0, suffix: str = IN_A_DAY) -> Column:
+    """A change as (text, kind): signed, with up or down; a fixed text and no kind where it is 0 or there is no value before."""
+    diff = cur - prev
+    none = prev.isNull() | (diff == 0)
+    shown = F.concat(F.format_string(f"%+.{digits}f", diff.cast("double")), F.lit(suffix))
+    return F.struct(F.when(none, UNCHANGED).otherwise(shown).alias("text"), F.when(none, "").when(diff > 0, "up").otherwise("down").alias("kind"))
 
 
 def hex_to_rgb(c: Column) -> Column:

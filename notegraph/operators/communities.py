@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Tables
+
 
 def _ends(edges: DataFrame, part: DataFrame) -> DataFrame:
     """(name, ca, other, cb) for both directions of each edge."""
@@ -57,30 +59,154 @@ def sankey(domains: DataFrame, part: DataFrame, none: str = "без домена
 
 
 def label_propagation(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(name, community): a node takes its neighbours' most frequent label, ties the least. For graphs of any size.
+    """(name, community, settled): a node takes its neighbours' most frequent label, ties the least. For graphs of any size.
 
     In each round about half of the nodes may change, chosen by a hash of name and round, so that neighbours don't swap labels for ever. It ends
-    when no node would change, or after `rounds`.
+    when no node would change, and settled is true, or after `rounds`, and settled tells that some would. Each round's labels are written, and the round's before deleted.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.select(F.col("a").alias("name")).distinct().withColumn("community", F.col("name"))
+    tables = Tables(edges.sparkSession)
+    both = tables.write(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))))
+    labels = tables.write(both.select(F.col("a").alias("name")).distinct().withColumn("community", F.col("name")).withColumn("open", F.lit(True)))
+    settled = False
     for i in range(rounds):
         votes = both.join(labels.select(F.col("name").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("a").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("best")).withColumnRenamed("a", "name")
-        both_ = labels.join(best, "name")
         turn = F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)) == 0
-        step = both_.select("name", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (F.col("best") != F.col("community")).alias("_open"))
-        step = step.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else step.persist()
-        labels = step.select("name", "community")
-        if not step.where("_open").limit(1).count():
+        step = labels.select("name", "community").join(best, "name").select("name", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (F.col("best") != F.col("community")).alias("open"))
+        labels, old = tables.write(step), labels
+        tables.drop(old)
+        if not labels.where("open").limit(1).count():
+            settled = True
+            break
+    tables.drop(both)
+    return labels.select("name", "community", F.lit(settled).alias("settled"))
+
+
+#: A node with over this part of all ends of edges gets its community to its neighbours by broadcast: there are at most as many such nodes.
+HUB_PART = 200
+
+
+def _with_community(links: DataFrame, labels: DataFrame, hubs: bool) -> DataFrame:
+    """links (a, b, w, hub) with cb, the community of b; hubs' labels are sent to the links instead of all of a hub's links to one task."""
+    of = labels.select(F.col("name").alias("b"), F.col("community").alias("cb"))
+    if not hubs:
+        return links.join(of, "b").select("a", "cb", "w")
+    few = links.where("hub").join(F.broadcast(of.join(F.broadcast(labels.where("hub").select(F.col("name").alias("b"))), "b")), "b")
+    return links.where("not hub").join(of, "b").select("a", "cb", "w").unionByName(few.select("a", "cb", "w"))
+
+
+def _moves(tables: Tables, links: DataFrame, nodes: DataFrame, total: int, rounds: int, least: float) -> tuple[DataFrame, float]:
+    """(labels, their modularity): rounds of simultaneous moves, each node to the neighbouring community with the greatest gain.
+
+    nodes: (name, community, k, loops, hub) of degrees and twice the inner weight. So that neighbours don't swap places, a node that is alone joins
+    another lonely one of a lesser name only, and half of the nodes wait, by hashes of name and round. A round's modularity follows
+    from what it reads, so the best labels are known; it ends after three rounds that gain less than `least`, and gives the best.
+    """
+    hubs = nodes.where("hub").limit(1).count() > 0
+    columns = ["name", "community", "k", "loops", "hub"]
+    labels, best, best_q, idle = nodes, nodes, -1.0, 0
+    for i in range(rounds + 1):
+        tot = labels.groupBy("community").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
+        near = _with_community(links, labels, hubs).unionByName(labels.select(F.col("name").alias("a"), F.col("community").alias("cb"), F.lit(0).cast("long").alias("w")))
+        near = near.groupBy("a", "cb").agg(F.sum("w").alias("w"))
+        own = labels.join(tot.select("community", F.col("n").alias("own_n")), "community").select(F.col("name").alias("a"), F.col("community").alias("ca"), "k", "own_n")
+        cand = near.join(own, "a").join(tot.withColumnRenamed("community", "cb"), "cb")
+        same = F.col("ca") == F.col("cb")
+        cand = cand.withColumn("gain", F.col("w") - F.col("k").cast("double") * (F.col("tot") - F.when(same, F.col("k")).otherwise(0)) / total)
+        swap = (F.col("own_n") == 1) & (F.col("n") == 1) & (F.col("cb") > F.col("ca"))
+        cand = cand.withColumn("open", F.when(~swap, F.col("gain")))
+        picked = cand.groupBy("a").agg(F.min_by(F.when(F.col("open").isNotNull(), F.col("cb")), F.struct(F.coalesce(-F.col("open"), F.lit(float("inf"))).alias("g"), "cb")).alias("to"), F.max("open").alias("gain"), F.max(F.when(same, F.col("gain"))).alias("stay"), F.max(F.when(same, F.col("w"))).alias("inner_w"))
+        turn = F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)) == 0
+        better = F.col("gain") > F.col("stay") + 1e-12
+        step = labels.select(*columns).join(picked.withColumnRenamed("a", "name"), "name")
+        nxt = tables.write(step.select("name", F.when(turn & better, F.col("to")).otherwise(F.col("community")).alias("community"), "k", "loops", "hub", F.col("community").alias("was"), (F.col("inner_w") + F.col("loops")).alias("inner_w"), better.alias("open")))
+        by = nxt.groupBy("was").agg(F.sum("k").cast("double").alias("tot"), F.sum("inner_w").alias("inner_w"), F.count_if("open").alias("open"))
+        inner, squares, open_ = by.agg(F.sum("inner_w"), F.sum(F.col("tot") * F.col("tot")), F.sum("open")).first()
+        q = inner / total - squares / total / total
+        idle = 0 if q > best_q + least else idle + 1
+        old = best if q > best_q else labels
+        if q > best_q:
+            best, best_q = labels, q
+        if old is not best and old is not nodes:
+            tables.drop(old)
+        labels = nxt
+        if idle >= 3 or not open_:
             break
-    return labels
+    if labels is not best:
+        tables.drop(labels)
+    return best.select(*columns), best_q
+
+
+def louvain_rounds(edges: DataFrame, levels: int = 10, rounds: int = 24, least: float = 1e-3) -> DataFrame:
+    """(name, community) by modularity gain for graphs of any size: moves in rounds of joins, then communities become the nodes of a weighted graph, and so on.
+
+    A community is named by one of its nodes. Weights are whole numbers and ties go to the least name, so that the result doesn't depend on how the
+    rows are dealt out. Nodes of the last level move once more one by one. No task and no driver sees the whole graph: each round joins links to
+    labels and sums by node and community; a hub's links stay where they are. Tables of finished rounds are deleted.
+    """
+    spark = edges.sparkSession
+    tables = Tables(spark)
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).withColumn("w", F.lit(1).cast("long"))
+    both = tables.write(both)
+    total = both.count()
+    if not total:
+        return both.select(F.col("a").alias("name"), F.col("a").alias("community"))
+
+    def level(links: DataFrame, loops: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(links with hub of b, nodes each in a community of its own)."""
+        k = links.groupBy(F.col("a").alias("name")).agg(F.sum("w").alias("out"))
+        if loops is not None:
+            k = k.join(loops, "name", "full_outer")
+        loops_ = F.coalesce("loops", F.lit(0)) if loops is not None else F.lit(0)
+        k = k.select("name", F.col("name").alias("community"), (F.coalesce("out", F.lit(0)) + loops_).cast("long").alias("k"), loops_.cast("long").alias("loops"))
+        nodes = tables.write(k.withColumn("hub", F.col("k") * HUB_PART > total))
+        hubs = nodes.where("hub").select(F.col("name").alias("b"), F.lit(True).alias("hub"))  # at most HUB_PART
+        return tables.write(links.join(F.broadcast(hubs), "b", "left").select("a", "b", "w", F.coalesce("hub", F.lit(False)).alias("hub"))), nodes
+
+    links, nodes = first, first_nodes = level(both, None)
+    part, q = None, -1.0
+    for _ in range(levels):
+        labels, new_q = _moves(tables, links, nodes, total, rounds, least)
+        step = labels.select("name", "community")
+        joined = step if part is None else part.withColumnRenamed("community", "_c").join(step.withColumnRenamed("name", "_c"), "_c").select("name", "community")
+        part = tables.write(joined)
+        if new_q <= q + least:
+            break
+        q = new_q
+        ends = links.join(step.select(F.col("name").alias("a"), F.col("community").alias("ca")), "a")
+        moved = _named_ends(ends, labels, nodes.where("hub").limit(1).count() > 0)
+        merged = tables.write(moved.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        loops = merged.where("a = b").select(F.col("a").alias("name"), F.col("w").alias("loops"))
+        old = labels.groupBy(F.col("community").alias("name")).agg(F.sum("loops").alias("before"))
+        loops = old.join(loops, "name", "left").select("name", (F.col("before") + F.coalesce("loops", F.lit(0))).alias("loops"))
+        links, nodes = level(merged.where("a <> b"), loops)
+    start = first_nodes.drop("community").join(part, "name").select("name", "community", "k", "loops", "hub")
+    fine, fine_q = _moves(tables, first, tables.write(start), total, rounds, least)
+    out = tables.write((fine if fine_q > q else part).select("name", "community"))
+    tables.drop_all(out)
+    return out
+
+
+def _named_ends(links: DataFrame, labels: DataFrame, hubs: bool) -> DataFrame:
+    """links with ca and cb."""
+    renamed = links.select(F.struct("a", "ca").alias("a"), "b", "w", "hub")
+    return _with_community(renamed, labels, hubs).select(F.col("a.ca").alias("ca"), "cb", "w")
+
+
+def numbered(part: DataFrame) -> DataFrame:
+    """(name, community) with communities as numbers by size, then first member. Only the communities' sizes meet in one task."""
+    from pyspark.sql import Window
+
+    sizes = part.groupBy("community").agg(F.count("*").alias("n"), F.min("name").alias("first"))
+    order = sizes.withColumn("i", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("long"))
+    return part.join(order.select("community", "i"), "community").select("name", F.col("i").alias("community"))
 
 
 def louvain(edges: DataFrame) -> DataFrame:
     """(name, community) by greedy moves in name order until nothing gains, level by level; the same input gives the same result.
 
-    One task works on the whole graph, as the links of a note collection fit in memory; label_propagation is for larger ones.
+    One task works on the whole graph, for small ones; louvain_rounds is for graphs of any size.
     Communities are numbered by size, then first member.
     """
 

@@ -77,12 +77,15 @@ def orphans(pages: DataFrame, profile: str = "lint", exclude_root: bool = False)
     return of.select("name").distinct().join(edges.select(F.col("dst").alias("name")).distinct(), "name", "left_anti")
 
 
-def most_connected(edges: DataFrame, ties: bool = True) -> DataFrame:
-    """(name, degree) with the most edges, over 0: all of them, or the first by name."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count("*").alias("degree"))
-    top = ends.agg(F.max("degree").alias("degree"))
-    best = ends.join(F.broadcast(top), "degree").select("name", "degree")
-    return best if ties else best.orderBy("name").limit(1)
+def most_connected(edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(name, inbound) of the pages that most others link to, none if nothing is linked: all of them, or, of pages, the first in order of paths.
+
+    edges: distinct, such as those of the map's graph; for the first, pages of a content type and the dashboard's graph.
+    """
+    counts = edges.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("inbound"))
+    if pages is not None:
+        return counts.join(pages.groupBy("name").agg(F.min("path_parts").alias("first")), "name").orderBy(F.desc("inbound"), "first").limit(1).select("name", "inbound")
+    return counts.join(F.broadcast(counts.agg(F.max("inbound").alias("inbound"))), "inbound").select("name", "inbound")
 
 
 def neighbourhood(edges: DataFrame, name: str) -> DataFrame:

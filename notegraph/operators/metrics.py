@@ -95,7 +95,7 @@ def health(m: DataFrame, variant: str = "engine") -> DataFrame:
 
 def vault_metrics(pages: DataFrame, part: DataFrame | None = None) -> DataFrame:
     """One row of what a vault measures: pages (of a content type), pages_list, wikilinks, orphans, ready, content, unassigned, domains, and q of the partition
-    part (name, community) of its links, null without one or for fewer than two links or four linked pages. Each is one aggregate."""
+    part (name, community) of its links, null without one or for fewer than two links or four pages, linked or not. Each is one aggregate."""
     of = pages.where(F.col("has_fm") & F.col("page_type").isin(*KINDS))
     status = F.try_element_at("fm_scalars", F.lit("status"))
     d = _primary()
@@ -105,9 +105,8 @@ def vault_metrics(pages: DataFrame, part: DataFrame | None = None) -> DataFrame:
     if part is None:
         return row.withColumn("q", F.lit(None).cast("double"))
     both = links.undirected(edges)
-    enough = both.select(F.explode(F.array("a", "b")).alias("x")).agg(F.count("*").alias("_m"), F.count_distinct("x").alias("_k"))
-    row = row.join(F.broadcast(communities.modularity(both, part))).join(F.broadcast(enough))
-    return row.withColumn("q", F.when((F.col("_m") >= 4) & (F.col("_k") >= 4), F.col("q"))).drop("_m", "_k")
+    row = row.join(F.broadcast(communities.modularity(both, part))).join(F.broadcast(both.agg(F.count("*").alias("_m")))).join(F.broadcast(pages.agg(F.count_distinct("name").alias("_k"))))
+    return row.withColumn("q", F.when((F.col("_m") >= 2) & (F.col("_k") >= 4), F.col("q"))).drop("_m", "_k")
 
 
 def with_delta(history: DataFrame, numbers: list[str], pages: str | None = None) -> DataFrame:
@@ -146,22 +145,32 @@ def day_totals(history: DataFrame, now: str) -> DataFrame:
 HISTORY = "ts string, `trigger` string, pages long, wikilinks long, orphans long, Q double, pages_list array<string>, delta struct<pages_added:array<string>,pages_removed:array<string>,wikilinks:long,orphans:long,Q:double>"
 
 
+#: With what a whole row of metrics has besides.
+FULL_HISTORY = HISTORY + ", communities long, bridges long, sim_p50 double, sim_p75 double, sim_p95 double, types map<string,long>, domains map<string,long>, cohesion map<string,double>"
+
+
 def history_entry(m: DataFrame, history: DataFrame, now: str, trigger: str) -> DataFrame:
-    """The next entry (HISTORY): vault_metrics with the change since the history's last entry; delta is null for the first."""
+    """The next entry (HISTORY, or FULL_HISTORY of a row of all metrics): m with the change since the history's last entry; delta is null for the first."""
+    more = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("communities", "bridges")] + ["sim_p50", "sim_p75", "sim_p95", "types", F.col("domains_dist").alias("domains"), "cohesion"] if "domains_dist" in m.columns else []
     before = history.orderBy(F.desc("ts")).limit(1).select(F.struct("pages_list", "wikilinks", "orphans", "Q").alias("b"))
     j = m.join(F.broadcast(before.groupBy().agg(F.first("b").alias("b"))))
     none = F.array().cast("array<string>")
     cur, old = F.col("pages_list"), F.coalesce("b.pages_list", none)
     change = lambda c: (F.col(c) - F.coalesce(f"b.{c}", F.col(c))).cast("long").alias(c)
     delta = F.struct(F.array_sort(F.array_except(cur, old)).alias("pages_added"), F.array_sort(F.array_except(old, cur)).alias("pages_removed"), change("wikilinks"), change("orphans"), (F.col("q") - F.col("b.Q")).alias("Q"))
-    out = j.select(F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm").alias("ts"), F.lit(trigger).alias("trigger"), "pages", "wikilinks", "orphans", F.col("q").alias("Q"), "pages_list", F.when(F.col("b").isNotNull(), delta).alias("delta"))
+    out = j.select(F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm").alias("ts"), F.lit(trigger).alias("trigger"), "pages", "wikilinks", "orphans", F.col("q").alias("Q"), "pages_list", F.when(F.col("b").isNotNull(), delta).alias("delta"), *more)
     return out
 
 
+def worth_keeping(entry: DataFrame) -> DataFrame:
+    """entry, or no row if nothing changed since the entry before; a first one, without delta, is kept."""
+    d = F.col("delta")
+    return entry.where(d.isNull() | meaningful(d["pages_added"], d["pages_removed"], d["wikilinks"]))
+
+
 def appended(history: DataFrame, entry: DataFrame, keep: int = 365) -> DataFrame:
     """history with entry: one without a meaningful change is left out, unless it is the first; the last entry of the same minute is replaced; the newest `keep` stay."""
-    d = F.col("delta")
-    told = entry.where(d.isNull() | meaningful(d["pages_added"], d["pages_removed"], d["wikilinks"]))
+    told = worth_keeping(entry)
     rest = history.join(F.broadcast(told.select("ts")), "ts", "left_anti").select(*entry.columns)
     return retained(rest.unionByName(told), keep)
 

@@ -86,10 +86,15 @@ def _ordered_links(pages: DataFrame, code: bool) -> DataFrame:
     return every.withColumn("raw_target", M.strip(F.regexp_extract("literal", M.WIKILINK, 1))).withColumn("target", M.link_target(F.col("raw_target")))
 
 
+def link_aims(pages: DataFrame) -> DataFrame:
+    """(path, target, origin): what each page links to, raw sources left out, with the first place of each target; pages of type or folder meta have none."""
+    found = _ordered_links(_not_meta(pages), code=False).where(~F.col("target").startswith("raw/"))
+    return found.groupBy("path", "target").agg(F.min_by("origin", "ord").alias("origin"))
+
+
 def dead_link(pages: DataFrame) -> DataFrame:
     """Links to no page, the first of each page and target; pages of type or folder meta are left out."""
-    found = _ordered_links(_not_meta(pages), code=False).where(~F.col("target").startswith("raw/")).join(pages.select(F.col("name").alias("target")).distinct(), "target", "left_anti")
-    one = found.groupBy("path", "target").agg(F.min_by("origin", "ord").alias("origin"))
+    one = link_aims(pages).join(pages.select(F.col("name").alias("target")).distinct(), "target", "left_anti")
     return _issue(one, "dead-link", where=F.col("path"), what=F.concat(F.lit("[["), "target", F.lit("]]")), context=F.col("origin"))
 
 

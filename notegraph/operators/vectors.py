@@ -52,9 +52,9 @@ def filtered(ranked: DataFrame, catalog: DataFrame, k: int, summaries: DataFrame
 
 def _each_block(index: DataFrame, group: str | None, emit, fields: str) -> DataFrame:
     """Rows (fields, g) that emit(a, b, sim, keep) makes of each pair of blocks: names a and b, their products, and which of these are pairs of two
-    vectors that count here. Each vector goes to the block pairs that hold its block, once."""
+    vectors that count here. Each vector goes to the block pairs that hold its block, once. A null vector takes no part; unlike dimensions are an error."""
     g = F.col(group) if group else F.lit(0)
-    rows = index.select("name", "vec", g.alias("g"))
+    rows = index.where("vec is not null").select("name", "vec", g.alias("g"))
     if group is None:
         blocks = max(1, math.ceil(rows.count() / BLOCK))
         rows = rows.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")).withColumn("nb", F.lit(blocks))
@@ -65,6 +65,8 @@ def _each_block(index: DataFrame, group: str | None, emit, fields: str) -> DataF
 
     def block(key, pdf):
         pdf = pdf.sort_values("name")
+        if pdf["vec"].map(len).nunique() > 1:
+            raise ValueError("vectors differ in dimension")
         left, right = pdf[pdf["b"] == key[1]], pdf[pdf["b"] == key[2]]
         x, y = (_unit(np.array([np.asarray(v, dtype=np.float64) for v in s["vec"]])) for s in (left, right))
         sim = x @ y.T if len(x) and len(y) else np.zeros((len(x), len(y)))

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..operators import communities as C
-from ..operators import fixes, links, metrics, rules
+from ..operators import dashboard, fixes, layout, links, metrics, rules
 from ..operators import vectors as V
-from ..sources import vault
-from . import views
+from ..session import work_dir
+from ..sources import notes, vault
+from ..streaming import upkeep
+from . import bases, views
 
 FLAGSHIP = "vec_topk_similar"
 AS_OF = "2024-01-31"
@@ -267,9 +269,18 @@ def _(spark, sf):
     return links.orphans(pages_of(spark, sf), "map")
 
 
-@query("graph_most_connected", _EDGE + ", g AS (SELECT x, count(*) AS k FROM (SELECT s AS x FROM e UNION ALL SELECT d FROM e) GROUP BY x) SELECT 'D' || x AS name, k AS degree FROM g WHERE k = (SELECT max(k) FROM g)")
+_INBOUND = ", g AS (SELECT d AS x, count(*) AS k FROM e GROUP BY d)"
+
+
+@query("graph_most_connected", _MAP + _INBOUND + " SELECT 'D' || x AS name, k AS inbound FROM g WHERE k = (SELECT max(k) FROM g)")
+def _(spark, sf):
+    return links.most_connected(links.graph(pages_of(spark, sf), "map"))
+
+
+@query("graph_most_connected_first", _LINT.replace("SELECT DISTINCT id AS s, d FROM l", "SELECT DISTINCT id AS s, d FROM l WHERE id <> d AND d IN (SELECT id FROM v)") + _INBOUND + " SELECT name, k AS inbound FROM g JOIN v ON id = x WHERE kind IN ('idea', 'entity', 'question', 'domain', 'mind') ORDER BY k DESC, path LIMIT 1")
 def _(spark, sf):
-    return links.most_connected(links.graph(pages_of(spark, sf), "edge"))
+    p = pages_of(spark, sf)
+    return links.most_connected(links.graph(p, "dash"), p.where(F.col("has_fm") & F.col("page_type").isin(*metrics.KINDS)))
 
 
 @query("graph_frontier", _EDGE + f", f AS (SELECT name, id, CASE WHEN id % 13 = 0 THEN 10000 ELSE date_diff('day', CAST(updated AS DATE), DATE '{AS_OF}') END AS days, (SELECT count(*) FROM e WHERE s = id) AS o, (SELECT count(*) FROM e WHERE d = id) AS i FROM nodes) SELECT name, round((o - i) * exp(-days / 30.0), 4) AS score, o AS out_degree, i AS in_degree FROM f WHERE round((o - i) * exp(-days / 30.0), 4) > 0 ORDER BY 2 DESC, 1 LIMIT 50")
@@ -459,3 +470,114 @@ def _(spark, sf):
 @query("md_index_summaries", _V.rstrip(", ") + f" SELECT name, CASE WHEN id % 7 = 0 THEN '{views.INDEX_MISSING}' ELSE 'About D' || id END AS summary FROM v WHERE folder NOT IN ('', 'minds')")
 def _(spark, sf):
     return views.index_summaries(views.index_page(pages_of(spark, sf), AS_OF).withColumn("path", F.lit("index.md")))
+
+
+def _base_view(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A view of the file of global views, as it is written and read back."""
+
+    def run(spark, sf):
+        base = bases.parse(bases.text_of(bases.GLOBAL, bases.LABELS)) if bases.yaml else bases.GLOBAL
+        p = pages_of(spark, sf).withColumn("mtime", F.try_to_timestamp(F.try_element_at("fm_scalars", F.lit("updated"))))
+        out = bases.build(base, next(v for v in base.views if v.name == name), bases.rows(p, AS_OF))
+        return out.withColumn("tags", F.array_join("tags", ",")) if "tags" in out.columns else out
+
+    return run
+
+
+_BASE_DOMAIN, _NONE = "'[[D' || dm || ']]' AS domain", "CAST(NULL AS VARCHAR)"
+_AGE_SQL = f"CASE WHEN id % 13 = 0 THEN NULL ELSE CAST(date_diff('day', CAST(updated AS DATE), DATE '{AS_OF}') AS DOUBLE) END AS age_days"
+for _name, _columns, _where in (
+    ("Recent Activity", f"kind AS type, status, {_BASE_DOMAIN}, {_UPDATED}, {_AGE_SQL}", "folder <> ''"),
+    ("Ideas", f"status, {_BASE_DOMAIN}, CASE WHEN id % 4 = 0 THEN 'a,b' ELSE 'a' END AS tags, {_UPDATED}", "folder = 'ideas'"),
+    ("Entities", f"{_NONE} AS entity_type, status, {_BASE_DOMAIN}, {_UPDATED}", "folder = 'entities'"),
+    ("Questions", f"status, {_NONE} AS answer_quality, {_UPDATED}", "folder = 'questions'"),
+    ("Domains", _UPDATED, "folder = 'domains'"),
+    ("Minds", f"status, {_NONE} AS seed, {_UPDATED}", "folder = 'minds'"),
+    ("Needs Development", f"kind AS type, status, {_UPDATED}", "folder <> '' AND status IN ('evaluation', 'in-progress')"),
+):
+    query("base_" + _name.lower().replace(" ", "_"), _V.rstrip(", ") + f" SELECT name, {_columns} FROM v WHERE {_where}")(_base_view(_name))
+
+
+@query("lint_invalid_fields", _V.rstrip(", ") + f", x AS (SELECT path AS {_PATH}, unnest(list_filter(['summary', 'updated', 'domain', 'related', 'sources'], lambda f: NOT (f = 'summary' AND id % 7 = 0) AND NOT (f = 'updated' AND id % 13 = 0))) AS field FROM v WHERE kind = 'idea') SELECT {_PATH}, 'extra' AS subtype, field FROM x UNION ALL SELECT path, 'missing', 'created' FROM v WHERE kind = 'idea'")
+def _(spark, sf):
+    t = spark.createDataFrame([("idea", f, f"{f}:") for f in ("type", "status", "tags", "created", "provenance")], "type string, field string, entry string")
+    return rules.invalid_fields(pages_of(spark, sf), t).select("where", "subtype", "field")
+
+
+@query("lint_binary_sources", f"SELECT 'raw/a/F' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.PDF' ELSE '.docx' END AS {_PATH}, 'raw/formats/F' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.PDF' ELSE '.docx' END AS suggested FROM part WHERE p_partkey % 3 <> 2")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    paths = _read(spark, sf, "part").select(F.concat(F.when(k % 6 == 5, "formats/F").otherwise("a/F"), k.cast("string"), F.when(k % 3 == 0, ".PDF").when(k % 3 == 1, ".docx").when(k % 6 == 5, ".pdf").otherwise(".md")).alias("path"))
+    return rules.binary_outside_formats(paths).select("where", "suggested")
+
+
+_DASH = _LINT + ", g AS (SELECT s, d FROM e WHERE s <> d AND d IN (SELECT id FROM v)), u AS (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM g), z AS (SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u)"
+
+
+@query("dash_metrics", _DASH + """, k AS (SELECT x, y % 7 AS c, count(*) AS k FROM z GROUP BY ALL), r AS (SELECT x, 1 - sum(k * k) * 1.0 / (sum(k) * sum(k)) AS p, count(*) AS spans, sum(k) AS degree FROM k GROUP BY x HAVING 1 - sum(k * k) * 1.0 / (sum(k) * sum(k)) > 0.3),
+t AS (SELECT x % 7 AS c, count(*) * 1.0 AS d, sum(CASE WHEN x % 7 = y % 7 THEN 1 ELSE 0 END) AS i FROM z GROUP BY 1), m AS (SELECT count(*) * 1.0 AS m FROM z),
+i AS (SELECT v.name, v.path, count(*) AS inbound FROM g JOIN v ON id = d WHERE kind <> 'meta' GROUP BY ALL)
+SELECT (SELECT count(*) FROM v WHERE kind <> 'meta') AS pages, (SELECT count(*) FROM g) AS wikilinks, (SELECT count(*) FROM v WHERE kind <> 'meta' AND id NOT IN (SELECT d FROM g)) AS orphans,
+(SELECT count(*) FROM (SELECT id % 7 FROM v GROUP BY 1 HAVING count(*) >= 3)) AS communities, (SELECT count(*) FROM r) AS bridges, round((SELECT sum(i / m - (d / m) * (d / m)) FROM t, m), 4) AS q,
+(SELECT name FROM i ORDER BY inbound DESC, path LIMIT 1) AS most_connected, (SELECT max(inbound) FROM i) AS inbound, (SELECT 'D' || x FROM r ORDER BY round(p, 3) DESC, degree DESC, 'D' || x LIMIT 1) AS top_bridge, (SELECT count(*) FROM v WHERE kind = 'idea') AS ideas, (SELECT count(*) FROM v WHERE kind <> 'meta' AND status = 'ready') AS ready""")
+def _(spark, sf):
+    m = dashboard.all_metrics(pages_of(spark, sf), part=_map_graph(spark, sf)[1])
+    return m.select("pages", "wikilinks", "orphans", "communities", "bridges", "q", F.col("most_connected.name").alias("most_connected"), F.col("most_connected.inbound").alias("inbound"), F.col("top_bridge.name").alias("top_bridge"), F.col("types")["idea"].alias("ideas"), "ready")
+
+
+@query("vec_knn", f"SELECT name, other, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS sim FROM (SELECT a.vec_id AS name, b.vec_id AS other, {_COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 10")
+def _(spark, sf):
+    return layout.knn(index_of(spark, sf), 10).withColumn("sim", F.round("sim", 6))
+
+
+@query("vec_neighbour_map", "SELECT count(*) AS names, true AS keeps_more FROM embeddings")
+def _(spark, sf):
+    idx = index_of(spark, sf)
+    at = layout.neighbour_map(idx)
+    kept = layout.kept_neighbours(idx, at).select(F.col("kept").alias("a"))
+    plain = layout.kept_neighbours(idx, V.projection_2d(idx)).select(F.col("kept").alias("b"))
+    return at.agg(F.count("*").alias("names")).join(kept).join(plain).select("names", (F.col("a") > 1.2 * F.col("b")).alias("keeps_more"))
+
+
+@query("graph_louvain_rounds", _UND + " SELECT count(DISTINCT x) AS nodes, count(*) // 2 AS links, true AS near_one_task FROM z")
+def _(spark, sf):
+    e = _map_graph(spark, sf)[0].persist()
+    part = C.louvain_rounds(e, rounds=12)
+    q, one = (C.modularity(e, p).first()["q"] for p in (part, C.louvain(e)))
+    return part.agg(F.count("*").alias("nodes")).select("nodes", F.lit(e.count()).alias("links"), F.lit(q > one - 0.02).alias("near_one_task"))
+
+
+@query("notes_round_trip", _V.rstrip(", ") + " SELECT path, kind AS type FROM v WHERE id % 10 <> 3 UNION ALL SELECT path, 'question' FROM v WHERE id % 30 = 3")
+def _(spark, sf):
+    """Pages are written as files, some replaced and some deleted, then read in parts and parsed."""
+    notes.register(spark)
+    folder = work_dir(spark)
+    p = pages_of(spark, sf).select("path", "text")
+    p.write.format("notes").mode("append").save(folder)
+    n = F.regexp_extract("path", r"D(\d+)", 1).cast("long")
+    edits = p.where(n % 10 == 3).select("path", F.when(n % 30 == 3, F.lit("---\ntype: question\n---\n")).alias("text"))
+    edits.write.format("notes").mode("append").save(folder)
+    return vault.parsed(spark.read.format("notes").load(folder).select("path", "text")).select("path", F.col("page_type").alias("type"))
+
+
+_EDITED = _V + _ALL_LINKS + """, k AS (SELECT * FROM v WHERE id % 50 <> 7), m AS (SELECT id, d FROM l WHERE id % 50 <> 7 AND id % 10 <> 3 UNION SELECT id, 1 FROM k WHERE id % 10 = 3 UNION SELECT id, id + 1 FROM k WHERE id % 10 = 3),
+x AS (SELECT id, d FROM m), o AS (SELECT id AS s, count(*) AS c FROM x GROUP BY id), i AS (SELECT d, count(*) AS c FROM x GROUP BY d)
+SELECT 'degree' AS what, 'D' || coalesce(s, d) AS subject, CAST(NULL AS VARCHAR) AS detail, coalesce(o.c, 0) AS outgoing, coalesce(i.c, 0) AS incoming FROM o FULL JOIN i ON o.s = i.d
+UNION ALL SELECT 'dead-link', path, '[[D' || d || ']]', NULL, NULL FROM x JOIN k USING (id) WHERE (kind <> 'meta' OR id % 10 = 3) AND d NOT IN (SELECT id FROM k)
+UNION ALL SELECT 'orphan', path, NULL, NULL, NULL FROM k WHERE folder <> '' AND (kind <> 'meta' OR id % 10 = 3) AND id NOT IN (SELECT d FROM x)"""
+
+
+@query("inc_upkeep", _EDITED)
+def _(spark, sf):
+    """Links and issues of the vault, kept up through edits of every tenth page and deletions of every fiftieth."""
+    folder = work_dir(spark)
+    p = pages_of(spark, sf).select("path", "text")
+    upkeep.apply(upkeep.State(spark, folder), p)
+    n = F.regexp_extract("path", r"D(\d+)", 1).cast("long")
+    edit = F.concat(F.lit("---\ntype: idea\n---\n[[D1]] [[D"), (n + 1).cast("string"), F.lit("]]\n"))
+    state = upkeep.State(spark, folder)
+    upkeep.apply(state, p.where((n % 10 == 3) | (n % 50 == 7)).select("path", F.when(n % 10 == 3, edit).alias("text")))
+    none = F.lit(None).cast("long")
+    degrees = state.read("degrees").select(F.lit("degree").alias("what"), F.col("name").alias("subject"), F.lit(None).cast("string").alias("detail"), F.col("out_degree").alias("outgoing"), F.col("in_degree").alias("incoming"))
+    issues = upkeep.open_issues(state).where("type in ('dead-link', 'orphan')").select(F.col("type").alias("what"), F.col("where").alias("subject"), F.col("what").alias("detail"), none.alias("outgoing"), none.alias("incoming"))
+    return degrees.unionByName(issues)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markdown as M
 from ..functions.header import entries
+from ..session import Tables
 
 # Folders and names that scans leave out, and file kinds.
 SKIPPED_FOLDERS = ("lint-reports", "snapshots", "kn-maps")
@@ -31,19 +30,26 @@ def parsed(texts: DataFrame) -> DataFrame:
     return out.withColumn("page_type", F.try_element_at("fm_scalars", F.lit("type"))).withColumn("fm_end_line", F.when(F.col("has_fm"), F.size(F.split("fm_raw", "\n")) + 2))
 
 
-def files(spark: SparkSession, root: str, glob: str = "*", content: bool = True) -> DataFrame:
-    """(path relative to root, text, mtime) of all files below root; without content no bytes are read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+def files(spark: SparkSession, root: str, glob: str = "*", content: bool = True, length: bool = False, only: list[str] | None = None) -> DataFrame:
+    """(path relative to root, mtime, text) of all files below root, or of some paths; without content no bytes are read. length: their sizes, too.
+
+    An empty file has no row here, as Spark's file sources leave those out; the format `notes` has one.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    df = reader.option("recursiveFileLookup", "true").load(root) if only is None else reader.load([f"{root.rstrip('/')}/{p}" for p in only])
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^\\Q" + base + "\\E/", "")
-    return df.select(path.alias("path"), F.col("modificationTime").alias("mtime"), *([F.decode("content", "UTF-8").alias("text")] if content else []))
+    return df.select(path.alias("path"), F.col("modificationTime").alias("mtime"), *(["length"] if length else []), *([F.decode("content", "UTF-8").alias("text")] if content else []))
+
+
+def pages_only(listing: DataFrame) -> DataFrame:
+    """A wiki's listing less generated reports."""
+    return listing.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_FOLDERS)))).where(~F.col("path").rlike(SKIPPED_META))
 
 
 def read_pages(spark: SparkSession, wiki: str) -> DataFrame:
     """All pages of a wiki but generated reports, parsed."""
-    df = files(spark, wiki, "*.md")
-    parts = F.split("path", "/")
-    return parsed(df.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_FOLDERS)))).where(~F.col("path").rlike(SKIPPED_META)))
+    return parsed(pages_only(files(spark, wiki, "*.md")))
 
 
 def read_raw(spark: SparkSession, raw: str) -> DataFrame:
@@ -76,7 +82,7 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """History entries; blank and broken lines are left out."""
-    schema = "ts string, `trigger` string, pages long, wikilinks long, orphans long, Q double, communities long, bridges long, sim_p50 double, sim_p75 double, sim_p95 double, types map<string,long>, domains map<string,long>, cohesion map<string,double>, pages_list array<string>, _corrupt_record string"
+    schema = "ts string, `trigger` string, pages long, wikilinks long, orphans long, Q double, communities long, bridges long, sim_p50 double, sim_p75 double, sim_p95 double, types map<string,long>, domains map<string,long>, cohesion map<string,double>, pages_list array<string>, delta struct<pages_added:array<string>,pages_removed:array<string>,wikilinks:long,orphans:long,Q:double>, _corrupt_record string"
     df = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return df.where("_corrupt_record is null and ts is not null").drop("_corrupt_record")
 
@@ -122,13 +128,27 @@ def last_operation(log: Column) -> Column:
 
 
 def write_changed(df: DataFrame, wiki: str) -> list[str]:
-    """Write new_text of rows where it differs from text to wiki/path; paths written. The changed pages of a run are few."""
-    changed = df.where("new_text <> text").select("path", "new_text")
-    out = []
-    for r in changed.toLocalIterator():
-        (Path(wiki) / r["path"]).write_text(r["new_text"])
-        out.append(r["path"])
-    return sorted(out)
+    """Write new_text of rows where it differs from text to wiki/path, all or none of them; paths written. Tasks write; the paths of a run's changes reach the driver."""
+    from . import notes
+
+    tables = Tables(df.sparkSession)
+    changed = tables.write(df.where("new_text <> text").select("path", F.col("new_text").alias("text")))  # as it was read, before a page changes
+    out = sorted(r["path"] for r in changed.select("path").toLocalIterator())
+    if out:
+        notes.register(df.sparkSession)
+        changed.write.format("notes").mode("append").save(wiki)
+    tables.drop_all()
+    return out
+
+
+def names_in(folder: str) -> list[str]:
+    """Names of the files directly in a folder; none where it isn't there."""
+    from . import journal
+
+    fs, base = journal.store(folder)
+    if fs.get_file_info(base).type.name != "Directory":
+        return []
+    return sorted(i.base_name for i in fs.get_file_info(journal.afs.FileSelector(base)) if i.type.name == "File")
 
 
 def write_version(df: DataFrame, folder: str, version: str) -> str:

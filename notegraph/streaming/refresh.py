@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..operators import rules
+from ..session import children, delete
 from ..sources import vault
 
 
@@ -22,8 +23,8 @@ def page_hashes(pages: DataFrame) -> DataFrame:
 
 def runs(spark: SparkSession, state: str) -> DataFrame:
     """(version, at, files_checked, n_touched, n_deleted, n_open) of finished runs; none at first. A run's row is written last, so one that fails leaves nothing."""
-    spark.createDataFrame([], "version long, at timestamp, files_checked long, n_touched long, n_deleted long, n_open long").write.mode("append").parquet(f"{state}/runs")
-    return spark.read.parquet(f"{state}/runs")
+    schema = "version long, at timestamp, files_checked long, n_touched long, n_deleted long, n_open long"
+    return spark.read.schema(schema).parquet(f"{state}/runs") if children(spark, f"{state}/runs") else spark.createDataFrame([], schema)
 
 
 def _last(spark: SparkSession, state: str) -> tuple[int, int]:
@@ -66,6 +67,10 @@ def refresh(spark: SparkSession, wiki: str, state: str, full: bool = False, temp
         n_issues = spark.read.parquet(f"{state}/issues/{version + 1}").count()
         done = pages.agg(F.lit(version + 1).cast("long").alias("version"), F.current_timestamp().alias("at"), F.count("*").alias("files_checked"), F.lit(n_touched).cast("long").alias("n_touched"), F.lit(n_deleted).cast("long").alias("n_deleted"), F.lit(n_issues).cast("long").alias("n_open"))
         done.write.mode("append").parquet(f"{state}/runs")
+        for table in ("hashes", "issues"):  # a reader of the run before may still be at work
+            for old in children(spark, f"{state}/{table}"):
+                if int(old) < version:
+                    delete(spark, f"{state}/{table}/{old}")
         return {"version": version + 1, "touched": n_touched, "deleted": n_deleted, "open": n_issues, "skipped": False}
     finally:
         pages.unpersist()

@@ -242,8 +242,9 @@ def test_rectangles_and_manifest(spark):
     assert geometry.merge_rects([(0, 0, 10, 10), (40, 0, 50, 10)]) == [(0, 0, 10, 10), (40, 0, 50, 10)]  # they touch only
     df = spark.createDataFrame([("p", i, *map(float, r)) for i, r in enumerate(chain)] + [("q", 0, 1.0, 1.0, 2.0, 2.0)], "page string, place long, x0 double, y0 double, x1 double, y1 double")
     assert geometry.merged_rects(df, "page").groupBy("page").count().orderBy("page").collect() == [("p", 3), ("q", 1)]
-    text = one(spark, geometry.manifest(F.col("t"), F.lit(21), F.array(F.lit("a.png")), F.lit(None).cast("string")), t="raw/X.PDF")
-    assert json.loads(text) == {"source": "raw/X.PDF", "format": "pdf", "pages": 21, "large_doc": True, "images": ["a.png"], "transcript": None}
+    for n, large in ((21, False), (100, False), (101, True)):
+        text = one(spark, geometry.manifest(F.col("t"), F.lit(n), F.array(F.lit("a.png")), F.lit(None).cast("string")), t="raw/X.PDF")
+        assert json.loads(text) == {"source": "raw/X.PDF", "format": "pdf", "pages": n, "large_doc": large, "images": ["a.png"], "transcript": None}
 
 
 def test_cards_and_pulse(spark):
@@ -312,6 +313,22 @@ def test_louvain_finds_the_cliques(spark):
     assert links.most_connected(df.toDF("src", "dst")).count() >= 1
 
 
+def test_most_connected_counts_what_links_to_a_page(spark):
+    page = "---\ntype: idea\n---\n"
+    pages = pages_from(spark, {"ideas/Hub.md": page + "[[A]] [[B]] [[C]]", "ideas/A.md": page + "[[B]]", "ideas/B.md": page, "ideas/C.md": page + "[[A]]"})
+    assert sorted(map(tuple, links.most_connected(links.graph(pages, "map")).collect())) == [("A", 2), ("B", 2)]
+    assert [tuple(r) for r in links.most_connected(links.graph(pages, "dash"), pages).collect()] == [("A", 2)]
+    assert links.most_connected(links.graph(pages.where("name = 'B'"), "map")).count() == 0
+
+
+def test_the_guard_of_modularity_counts_all_pages(spark):
+    page = "---\ntype: idea\n---\n"
+    texts = {"ideas/A.md": page + "[[B]] [[C]]", "ideas/B.md": page, "ideas/C.md": page}
+    part = spark.createDataFrame([("A", 0), ("B", 0), ("C", 0), ("D", 1)], "name string, community int")
+    assert metrics.vault_metrics(pages_from(spark, texts), part).first()["q"] is None
+    assert metrics.vault_metrics(pages_from(spark, {**texts, "ideas/D.md": page}), part).first()["q"] == 0.0
+
+
 def _same(a, b):
     norm = lambda rows: sorted(repr(tuple(None if x is None or x != x else round(float(x), 5) if isinstance(x, (float, int)) and not isinstance(x, bool) else x for x in r)) for r in rows)
     return norm(a) == norm(b)
