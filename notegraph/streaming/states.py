@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import delete
 from ..sources import notes
 from . import upkeep
 
@@ -92,8 +93,11 @@ def follow(spark: SparkSession, wiki: str, folder: str, grace: int = 60_000, **t
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     changes = spark.readStream.format("notes").option("path", wiki).option("listings", f"{folder}/listings").load()
 
-    def step(events: DataFrame, _: int) -> None:
-        upkeep.apply(upkeep.State(events.sparkSession, f"{folder}/tables"), events.select("path", "text", "mtime", "length"))
+    def step(events: DataFrame, n: int) -> None:
+        path = f"{folder}/batches/{n}"  # a stream's own session plans without what it learns at run time, so the tables are made in the caller's
+        events.select("path", "text", "mtime", "length").write.mode("overwrite").parquet(path)
+        upkeep.apply(upkeep.State(spark, f"{folder}/tables"), spark.read.schema("path string, text string, mtime timestamp, length long").parquet(path))
+        delete(spark, path)
 
     out = page_events(changes, grace).writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
     return (out.trigger(**trigger) if trigger else out).start()
