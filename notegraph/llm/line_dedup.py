@@ -66,8 +66,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.select(F.when(F.col("id") > -(1 << 63), F.col("id")).alias("id"), "x", "gone")
 
 
-@F.pandas_udf("string")
-def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
     """Each text less the lines at the places of gone; in time that grows with the text, however many go. Null where there are none to go."""
     out = []
     for t, places in zip(text, gone):
@@ -90,7 +89,7 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = docs.withColumn("_ng_x", F.xxhash64(whole(text_col))).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_ng_id")) & (F.col("_ng_x") == F.col("_ng_of")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     some = F.col("_ng_gone").isNotNull()
-    kept = without_lines(F.when(some, whole(text_col)), F.col("_ng_gone"))  # other texts aren't sent to Python
+    kept = F.pandas_udf(_without_lines, "string")(F.when(some, whole(text_col)), F.col("_ng_gone"))  # other texts aren't sent to Python
     counts = {"_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_n_gone": F.when(some, F.size("_ng_gone")).otherwise(0).cast("long")}
     kept_columns = [F.when(some, kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts]
     return joined.select(*kept_columns, *[v.alias(c) for c, v in counts.items()])
