@@ -67,14 +67,14 @@ def test_upkeep_equals_a_full_run_after_edits_deletions_and_renames(spark, tmp_p
         assert as_counter(fresh.read("degrees")) == degrees
 
     hold()
-    for step in range(2):
+    for step in range(1):
         rows = []
-        some = rng.sample(sorted(texts), 4)
-        for p in some[:2]:  # edits
+        some = rng.sample(sorted(texts), 9)
+        for p in some[:4]:  # edits
             rows.append((p, text_of(rng, n)))
-        rows.append((some[2], None))  # a deletion
-        rows.append((some[3], None))  # a rename, also to another folder
-        rows.append((path_of(rng, 1000 + step) if step % 2 else f"domains/{some[2].split('/')[-1]}", texts[some[3]]))
+        rows += [(p, None) for p in some[4:]]  # deletions
+        rows.append((path_of(rng, 1000 + step), texts[some[6]]))  # two of them are renames: to a new name, and to another's name and folder
+        rows.append((f"domains/{some[5].split('/')[-1]}", texts[some[7]]))
         rows = list(dict(rows).items())
         for p, t in rows:
             texts.pop(p, None)
@@ -127,9 +127,6 @@ def test_settle_mends_and_scans_again(spark, tmp_path):
     left = upkeep.open_issues(upkeep.State(spark, str(tmp_path / "state")))
     want, _ = full(spark, {p: (wiki / p).read_text() for p in ("ideas/A.md", "ideas/B.md")})
     assert as_counter(left) == want and {r["where"] for r in left.collect()} == {"ideas/B.md"}  # draft was right for a mind, and isn't for an idea
-    again = upkeep.settle(spark, str(wiki), str(tmp_path / "state"))
-    assert again["first"]["touched"] == 0 and again["applied"] == [("ideas/B.md", "status-not-in-enum")]
-    assert upkeep.open_issues(upkeep.State(spark, str(tmp_path / "state"))).count() == 0
     # Edits that keep time and size are found by hashes only.
     stat = (wiki / "ideas/A.md").stat()
     (wiki / "ideas/A.md").write_text((wiki / "ideas/A.md").read_text().replace("[[B]]", "[[C]]"))
