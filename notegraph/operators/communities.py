@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,13 +87,14 @@ def label_propagation(edges: DataFrame, rounds: int = 30) -> DataFrame:
 HUB_PART = 200
 
 
-def _with_community(links: DataFrame, labels: DataFrame, hubs: bool) -> DataFrame:
-    """links (a, b, w, hub) with cb, the community of b; hubs' labels are sent to the links instead of all of a hub's links to one task."""
-    of = labels.select(F.col("name").alias("b"), F.col("community").alias("cb"))
+def _with_community(links: DataFrame, labels: DataFrame, hubs: bool, *more: str) -> DataFrame:
+    """links (a, b, w, hub) with cb, the community of b, and more columns of b; hubs' labels are sent to the links instead of all of a hub's links to one task."""
+    of = labels.select(F.col("name").alias("b"), F.col("community").alias("cb"), *more)
+    columns = ["a", "cb", "w", *more]
     if not hubs:
-        return links.join(of, "b").select("a", "cb", "w")
+        return links.join(of, "b").select(columns)
     few = links.where("hub").join(F.broadcast(of.join(F.broadcast(labels.where("hub").select(F.col("name").alias("b"))), "b")), "b")
-    return links.where("not hub").join(of, "b").select("a", "cb", "w").unionByName(few.select("a", "cb", "w"))
+    return links.where("not hub").join(of, "b").select(columns).unionByName(few.select(columns))
 
 
 def _moves(tables: Tables, links: DataFrame, nodes: DataFrame, total: int, rounds: int, least: float) -> tuple[DataFrame, float]:
@@ -107,19 +109,22 @@ def _moves(tables: Tables, links: DataFrame, nodes: DataFrame, total: int, round
     labels, best, best_q, idle = nodes, nodes, -1.0, 0
     for i in range(rounds + 1):
         tot = labels.groupBy("community").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
-        near = _with_community(links, labels, hubs).unionByName(labels.select(F.col("name").alias("a"), F.col("community").alias("cb"), F.lit(0).cast("long").alias("w")))
-        near = near.groupBy("a", "cb").agg(F.sum("w").alias("w"))
-        own = labels.join(tot.select("community", F.col("n").alias("own_n")), "community").select(F.col("name").alias("a"), F.col("community").alias("ca"), "k", "own_n")
-        cand = near.join(own, "a").join(tot.withColumnRenamed("community", "cb"), "cb")
+        full = labels.select(*columns).join(tot, "community")
+        own = full.select(F.col("name").alias("a"), F.col("community").alias("cb"), F.lit(0).cast("long").alias("w"), "tot", "n")
+        near = _with_community(links, full, hubs, "tot", "n").unionByName(own).repartition("a")  # all that follows is by a
+        near = near.groupBy("a", "cb").agg(F.sum("w").alias("w"), F.any_value("tot").alias("tot"), F.any_value("n").alias("n"))
+        cand = near.join(full.select(F.col("name").alias("a"), F.col("community").alias("ca"), "k", "loops", "hub", F.col("n").alias("own_n")), "a")
         same = F.col("ca") == F.col("cb")
         cand = cand.withColumn("gain", F.col("w") - F.col("k").cast("double") * (F.col("tot") - F.when(same, F.col("k")).otherwise(0)) / total)
         swap = (F.col("own_n") == 1) & (F.col("n") == 1) & (F.col("cb") > F.col("ca"))
         cand = cand.withColumn("open", F.when(~swap, F.col("gain")))
-        picked = cand.groupBy("a").agg(F.min_by(F.when(F.col("open").isNotNull(), F.col("cb")), F.struct(F.coalesce(-F.col("open"), F.lit(float("inf"))).alias("g"), "cb")).alias("to"), F.max("open").alias("gain"), F.max(F.when(same, F.col("gain"))).alias("stay"), F.max(F.when(same, F.col("w"))).alias("inner_w"))
+        picked = cand.groupBy(F.col("a").alias("name")).agg(
+            F.min_by(F.when(F.col("open").isNotNull(), F.col("cb")), F.struct(F.coalesce(-F.col("open"), F.lit(float("inf"))).alias("g"), "cb")).alias("to"), F.max("open").alias("gain"), F.max(F.when(same, F.col("gain"))).alias("stay"), F.max(F.when(same, F.col("w"))).alias("inner_w"),
+            *[F.any_value(c).alias(c) for c in ("ca", "k", "loops", "hub")],
+        )
         turn = F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)) == 0
         better = F.col("gain") > F.col("stay") + 1e-12
-        step = labels.select(*columns).join(picked.withColumnRenamed("a", "name"), "name")
-        nxt = tables.write(step.select("name", F.when(turn & better, F.col("to")).otherwise(F.col("community")).alias("community"), "k", "loops", "hub", F.col("community").alias("was"), (F.col("inner_w") + F.col("loops")).alias("inner_w"), better.alias("open")))
+        nxt = tables.write(picked.select("name", F.when(turn & better, F.col("to")).otherwise(F.col("ca")).alias("community"), "k", "loops", "hub", F.col("ca").alias("was"), (F.col("inner_w") + F.col("loops")).alias("inner_w"), better.alias("open")))
         by = nxt.groupBy("was").agg(F.sum("k").cast("double").alias("tot"), F.sum("inner_w").alias("inner_w"), F.count_if("open").alias("open"))
         inner, squares, open_ = by.agg(F.sum("inner_w"), F.sum(F.col("tot") * F.col("tot")), F.sum("open")).first()
         q = inner / total - squares / total / total
@@ -142,7 +147,8 @@ def louvain_rounds(edges: DataFrame, levels: int = 10, rounds: int = 24, least:
 
     A community is named by one of its nodes. Weights are whole numbers and ties go to the least name, so that the result doesn't depend on how the
     rows are dealt out. Nodes of the last level move once more one by one. No task and no driver sees the whole graph: each round joins links to
-    labels and sums by node and community; a hub's links stay where they are. Tables of finished rounds are deleted.
+    labels and sums by node and community; a hub's links stay where they are. Once communities have FEW links or less between them (both directions),
+    one task merges them further, as louvain does. Tables of finished rounds are deleted.
     """
     spark = edges.sparkSession
     tables = Tables(spark)
@@ -180,7 +186,11 @@ def louvain_rounds(edges: DataFrame, levels: int = 10, rounds: int = 24, least:
         loops = merged.where("a = b").select(F.col("a").alias("name"), F.col("w").alias("loops"))
         old = labels.groupBy(F.col("community").alias("name")).agg(F.sum("loops").alias("before"))
         loops = old.join(loops, "name", "left").select("name", (F.col("before") + F.coalesce("loops", F.lit(0))).alias("loops"))
-        links, nodes = level(merged.where("a <> b"), loops)
+        between = merged.where("a <> b")
+        if between.count() <= FEW:
+            part, q = tables.write(_merged(part, between, loops, total)), new_q  # no worse than before
+            break
+        links, nodes = level(between, loops)
     start = first_nodes.drop("community").join(part, "name").select("name", "community", "k", "loops", "hub")
     fine, fine_q = _moves(tables, first, tables.write(start), total, rounds, least)
     out = tables.write((fine if fine_q > q else part).select("name", "community"))
@@ -188,6 +198,32 @@ def louvain_rounds(edges: DataFrame, levels: int = 10, rounds: int = 24, least:
     return out
 
 
+#: Links between communities, both directions, that one task may merge; it holds some 100 bytes of each.
+FEW = 4_000_000
+
+
+def _merged(part: DataFrame, links: DataFrame, loops: DataFrame, total: int) -> DataFrame:
+    """(name, community) after one task has merged communities. links (a, b, w) between them, both directions, and loops (name, loops): FEW at most and no more communities than that have links."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches))
+        codes, names = pd.factorize(pd.concat([pdf["a"], pdf["b"]]), sort=True)
+        a, b = codes.reshape(2, -1)
+        own = a == b
+        inner = np.zeros(len(names), np.int64)
+        np.add.at(inner, a[own], pdf["w"].to_numpy()[own])
+        order = np.lexsort((b[~own], a[~own]))
+        found = _levels_of(a[~own][order], b[~own][order], pdf["w"].to_numpy()[~own][order], inner, total)
+        for i in range(0, len(names), PART):
+            yield pd.DataFrame({"community": names[i : i + PART], "to": names[found[i : i + PART]]})
+
+    kind = part.schema["name"].dataType.simpleString()
+    linked = loops.join(links.select(F.col("a").alias("name")).distinct(), "name", "left_semi")  # one without links stays
+    rows = links.select("a", "b", "w").unionByName(linked.select(F.col("name").alias("a"), F.col("name").alias("b"), F.col("loops").alias("w")))
+    to = rows.repartition(1).mapInPandas(run, f"community {kind}, to {kind}")
+    return part.join(to, "community", "left").select("name", F.coalesce("to", "community").alias("community"))
+
+
 def _named_ends(links: DataFrame, labels: DataFrame, hubs: bool) -> DataFrame:
     """links with ca and cb."""
     renamed = links.select(F.struct("a", "ca").alias("a"), "b", "w", "hub")
@@ -206,62 +242,92 @@ def numbered(part: DataFrame) -> DataFrame:
 def louvain(edges: DataFrame) -> DataFrame:
     """(name, community) by greedy moves in name order until nothing gains, level by level; the same input gives the same result.
 
-    One task works on the whole graph, for small ones; louvain_rounds is for graphs of any size.
+    Each move depends on the ones before, so one task works on the whole graph, by arrays of numbers; louvain_rounds needs no such task.
     Communities are numbered by size, then first member.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links: dict = {}
-        for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"]):
-                links.setdefault(a, {})[b] = 1.0
-                links.setdefault(b, {})[a] = 1.0
-        groups = _levels(links)
-        ordered = sorted(groups, key=lambda g: (-len(g), g[0]))
-        yield pd.DataFrame([(n, i) for i, g in enumerate(ordered) for n in g], columns=["name", "community"])
+        seen: dict = {}
+        ends = [[np.fromiter((seen.setdefault(x, len(seen)) for x in pdf[c]), np.int64, len(pdf)) for c in ("a", "b")] for pdf in batches]
+        names = sorted(seen)
+        rank = np.empty(len(names), np.int64)
+        rank[np.fromiter((seen[x] for x in names), np.int64, len(names))] = np.arange(len(names))
+        del seen
+        a, b = (rank[np.concatenate([e[i] for e in ends])] if ends else rank for i in (0, 1))
+        found = _levels(a, b, len(names))
+        _, first, of, n = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
+        number = np.empty(len(n), np.int64)
+        number[np.lexsort((first, -n))] = np.arange(len(n))
+        label = number[of]
+        for i in range(0, len(names), PART):
+            yield pd.DataFrame({"name": names[i : i + PART], "community": label[i : i + PART]})
 
     kind = edges.schema["a"].dataType.simpleString()
-    return edges.select("a", "b").coalesce(1).mapInPandas(run, f"name {kind}, community long")
+    return edges.select("a", "b").repartition(1).mapInPandas(run, f"name {kind}, community long")
+
+
+#: Nodes of a batch.
+PART = 100_000
+
+
+def _levels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The community of each node 0 to n - 1, named by a node of it."""
+    keys = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return _levels_of(keys // max(n, 1), keys % max(n, 1), np.ones(len(keys), np.int64), np.zeros(n, np.int64), len(keys))
 
 
-def _levels(links: dict) -> list[list]:
-    members = {n: [n] for n in links}
-    loops = dict.fromkeys(links, 0.0)
-    total = sum(w for near in links.values() for w in near.values()) / 2
+def _levels_of(src: np.ndarray, dst: np.ndarray, w: np.ndarray, loops: np.ndarray, total: int) -> np.ndarray:
+    """As _levels, for links in both directions in order of src, with whole weights. A link inside counts twice in loops; total: of all weights and loops."""
+    n = len(loops)
+    names = label = np.arange(n)
     while True:
-        at = {n: n for n in links}
-        degree = {n: sum(near.values()) + 2 * loops[n] for n, near in links.items()}
-        weight = dict(degree)
-        moved = gained = True
-        any_move = False
-        while moved:
-            moved = False
-            for n in sorted(links):
-                near: dict = {}
-                for o, w in links[n].items():
-                    near[at[o]] = near.get(at[o], 0.0) + w
-                home = at[n]
-                weight[home] -= degree[n]
-                score = lambda c: near.get(c, 0.0) - weight[c] * degree[n] / (2 * total)  # noqa: E731, B023
-                best = max(sorted(near), key=score, default=home)
-                if score(best) <= score(home) + 1e-12:
-                    best = home
-                weight[best] += degree[n]
-                if best != home:
-                    at[n] = best
-                    moved = any_move = True
-        if not any_move or not gained:
-            return [sorted(m) for m in members.values()]
-        merged: dict = {}
-        new_links: dict = {}
-        new_loops: dict = {}
-        for n, c in at.items():
-            merged.setdefault(c, []).extend(members[n])
-            new_links.setdefault(c, {})
-            new_loops[c] = new_loops.get(c, 0.0) + loops[n]
-            for o, w in links[n].items():
-                if at[o] == c:
-                    new_loops[c] += w / 2
-                else:
-                    new_links[c][at[o]] = new_links[c].get(at[o], 0.0) + w
-        members, links, loops = merged, new_links, new_loops
+        degree = np.bincount(src, w, n).astype(np.int64) + loops
+        at = np.asarray(_greedy(src, dst, w, degree, total), dtype=np.int64)
+        if (at == np.arange(n)).all():
+            return names[label]
+        kept, to = np.unique(at, return_inverse=True)
+        src, dst, m = to[src], to[dst], len(kept)
+        inner = src == dst
+        loops = (np.bincount(to, loops, m) + np.bincount(src[inner], w[inner], m)).astype(np.int64)
+        keys, of = np.unique(src[~inner] * m + dst[~inner], return_inverse=True)
+        w = np.bincount(of, w[~inner], len(keys)).astype(np.int64)
+        src, dst, names, label, n = keys // m, keys % m, names[kept], to[label], m
+
+
+def _greedy(src: np.ndarray, dst: np.ndarray, w: np.ndarray, degree: np.ndarray, total: int) -> list[int]:
+    """Each node's community after moves in order, round after round until none gains. src is in order."""
+    n = len(degree)
+    starts = np.searchsorted(src, np.arange(n + 1)).tolist()
+    ids = list(range(n))  # one object for a number, however many links hold it
+    near_of = [ids[x] for i in range(0, len(dst), PART) for x in dst[i : i + PART].tolist()]
+    alike = bool((w == 1).all())
+    weights = None if alike else w.tolist()
+    degrees, weight, at = degree.tolist(), degree.tolist(), ids.copy()
+    moved = True
+    while moved:
+        moved = False
+        for v in ids:
+            i, j = starts[v], starts[v + 1]
+            near: dict = {}
+            if alike:
+                for o in near_of[i:j]:
+                    c = at[o]
+                    near[c] = near.get(c, 0) + 1
+            else:
+                for o, x in zip(near_of[i:j], weights[i:j]):
+                    c = at[o]
+                    near[c] = near.get(c, 0) + x
+            home, d = at[v], degrees[v]
+            weight[home] -= d
+            best, top = home, None
+            for c, x in near.items():
+                score = x - weight[c] * d / total
+                if top is None or score > top or (score == top and c < best):
+                    best, top = c, score
+            if best != home and top <= near.get(home, 0) - weight[home] * d / total + 1e-12:
+                best = home
+            weight[best] += d
+            if best != home:
+                at[v] = best
+                moved = True
+    return at
