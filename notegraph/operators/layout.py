@@ -23,22 +23,53 @@ def knn(index: DataFrame, k: int = 15) -> DataFrame:
     """(name, other, sim, rank): each name's k most similar others, exact, ties by name. Each pair of blocks gives k rows a name at most."""
     kind = index.schema["name"].dataType.simpleString()
 
-    def best(a, b, sim, keep):
-        same = len(a) == len(b) and (a == b).all()
-        out = []
-        for own, other, s in ((a, b, sim),) if same else ((a, b, sim), (b, a, sim.T)):
-            s = np.where(own[:, None] == other[None, :], -np.inf, s)
-            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(other)), s.shape), -s), axis=1)[:, :k]
-            values = np.take_along_axis(s, order, 1)
-            out.append(pd.DataFrame({"name": np.repeat(own, order.shape[1]), "other": other[order.ravel()], "sim": values.ravel()}))
-        both = pd.concat(out)
-        return both[np.isfinite(both["sim"])]
-
-    found = V._each_block(index, None, best, f"name {kind}, other {kind}, sim double").drop("g")
+    def best(a, b, tiles):
+        near = {0: _Nearest(len(a), k), 1: _Nearest(len(b), k)}
+        whole = len(a) == len(b) and (a == b).all()
+        for i, j, sim, keep in tiles:
+            if keep is not None:
+                sim[~keep] = -np.inf
+            near[0].add(i, j, sim)
+            if not whole:
+                near[1].add(j, i, sim.T)
+        for own, other, of in ((a, b, near[0]), (b, a, near[1])):
+            at = np.nonzero(np.isfinite(of.sims))
+            yield pd.DataFrame({"name": own[at[0]], "other": other[of.others[at]], "sim": of.sims[at]})
+
+    found = V._each_block(index, None, best, f"name {kind}, other {kind}, sim double", whole=True).drop("g")
     each = found.groupBy("name").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("d"), "other"))), 1, k).alias("near"))
     return each.select("name", F.posexplode("near").alias("rank", "n")).select("name", "n.other", (-F.col("n.d")).alias("sim"), (F.col("rank") + 1).alias("rank"))
 
 
+class _Nearest:
+    """The k most similar others of each of n rows so far, similarities to 12 digits, equal ones in order."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.sims, self.others = k, np.full((n, k), -np.inf), np.zeros((n, k), dtype=np.int64)
+
+    def add(self, i: int, j: int, sim: np.ndarray) -> None:
+        """Rows from i on by columns from j on. Only values that may be among the k best are sorted."""
+        m, c = sim.shape
+        least = self.sims[i : i + m, -1]
+        if np.isneginf(least).any() and c > self.k:
+            sim[np.isnan(sim)] = -np.inf  # no neighbour
+            least = np.maximum(least, np.partition(sim, c - self.k, axis=1)[:, c - self.k])
+        row, col = np.nonzero((sim >= (least - 1e-11)[:, None]) & (sim > -np.inf))
+        if not len(row):
+            return
+        rows = np.unique(row)
+        held = self.sims[i + rows]
+        row_all = np.concatenate([row, np.repeat(rows, self.k)])
+        sims = np.concatenate([np.round(sim[row, col], 12), held.ravel()])
+        others = np.concatenate([col + j, self.others[i + rows].ravel()])
+        order = np.lexsort((others, -sims, row_all))
+        row_all = row_all[order]
+        place = np.arange(len(order)) - np.searchsorted(row_all, row_all)
+        top = place < self.k
+        self.sims[i + row_all[top], place[top]] = sims[order][top]
+        self.others[i + row_all[top], place[top]] = others[order][top]
+
+
 def weighted(near: DataFrame) -> DataFrame:
     """(a, b, w), both directions of each link: how likely two are neighbours in either's view, by the distance beyond the nearest one over a width
     that gives each name about log2(k) neighbours."""
@@ -75,12 +106,12 @@ def _repelled(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"name": pdf["name"].to_numpy(), "x": pdf["x"].to_numpy(), "y": pdf["y"].to_numpy(), "px": push[:, 0], "py": push[:, 1]})
 
 
-def neighbour_map(index: DataFrame, k: int = 15, epochs: int = 24, rate: float = 1.0, negatives: float = 5.0) -> DataFrame:
+def neighbour_map(index: DataFrame, k: int = 15, epochs: int = 24, rate: float = 1.0, negatives: float = 5.0, near: DataFrame | None = None) -> DataFrame:
     """(name, x, y): positions by epochs of joins, from the principal components on. The same rows give the same map, but for the order of sums.
 
     In an epoch each node is drawn along its links, weighed by their likelihood, and pushed by the nodes of a block that hashes of name and epoch make
     anew. Links meet positions by a join; blocks have about CROWD nodes; nothing but the number of rows reaches the driver.
-    Vectors need one dimension; a null vector is an error of the components. Up to two names keep their components.
+    Vectors need one dimension; a null vector is an error of the components. Up to two names keep their components. near: knn(index, k), where it is known.
     """
     n = index.count()
     tables = Tables(index.sparkSession)
@@ -90,7 +121,7 @@ def neighbour_map(index: DataFrame, k: int = 15, epochs: int = 24, rate: float =
     at = tables.write(at.join(F.broadcast(size)).select("name", (F.col("x") / F.col("size") * 10 + jitter(0)).alias("x"), (F.col("y") / F.col("size") * 10 + jitter(1)).alias("y")))
     if n < 3:
         return at
-    links = tables.write(weighted(knn(index, min(k, n - 1))))
+    links = tables.write(weighted(knn(index, min(k, n - 1)) if near is None else near))
     kind = index.schema["name"].dataType.simpleString()
     blocks = max(1, round(n / CROWD))
     for t in range(epochs):
@@ -112,9 +143,9 @@ def neighbour_map(index: DataFrame, k: int = 15, epochs: int = 24, rate: float =
     return at
 
 
-def kept_neighbours(index: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
-    """One row, kept: the mean share of each name's k nearest by cosine that are among its k nearest on the map."""
-    near = knn(index, k).select("name", "other")
+def kept_neighbours(index: DataFrame, points: DataFrame, k: int = 10, near: DataFrame | None = None) -> DataFrame:
+    """One row, kept: the mean share of each name's k nearest by cosine that are among its k nearest on the map. near: knn(index, k or more), where it is known."""
+    near = (knn(index, k) if near is None else near.where(F.col("rank") <= k)).select("name", "other")
     kind = index.schema["name"].dataType.simpleString()
     # The nearest by distance on a plane are those with the highest cosine after a lift to the sphere over it, if that is large.
     far = points.agg(F.max(F.greatest(F.abs("x"), F.abs("y"), F.lit(1e-9))).alias("far"))

@@ -10,6 +10,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,77 @@ def test_percentiles_of_pairs(spark, monkeypatch):
     assert abs(one(spark, vectors.loose_cosine(F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(1.0))), t=1) - 0.6) < 1e-12
 
 
+def test_blocks_of_pairs_don_t_grow_in_number(spark, monkeypatch):
+    """A vector goes to SIDE pairs of blocks, however many vectors there are; tiles cover each pair once."""
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    monkeypatch.setattr(vectors, "TILE", 3)
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(200)], "name long, vec array<double>")
+
+    def sizes(a, b, tiles):
+        n = sum(s.size if keep is None else int(keep.sum()) for _, _, s, keep in tiles)
+        yield pd.DataFrame({"vectors": [len(set(a) | set(b))], "n": [n]})
+
+    got = vectors._each_block(df, None, sizes, "vectors long, n long").toPandas()
+    assert len(got) <= vectors.SIDE * (vectors.SIDE + 1) // 2 and got["vectors"].sum() <= 200 * vectors.SIDE and got["n"].sum() == 200 * 199 // 2
+
+
+def test_nearest_in_tiles_break_ties_by_name(spark, monkeypatch):
+    from notegraph.operators import layout
+
+    rng = np.random.default_rng(8)
+    v = rng.integers(-1, 2, size=(90, 3)).astype(float)  # many equal directions
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "name long, vec array<double>")
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -2)
+    want = {i: [int(j) for j in np.lexsort((np.arange(90), -s[i]))[:6]] for i in range(90)}
+    for block, tile in ((512, 512), (10, 7), (30, 4)):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "TILE", tile)
+        got = {}
+        for r in layout.knn(df, 6).orderBy("name", "rank").collect():
+            got.setdefault(r["name"], []).append(r["other"])
+        assert got == want
+        best = vectors.closest(df).first()
+        assert (best["a"], best["b"]) == min((i, j) for i in range(90) for j in range(i + 1, 90) if s[i, j] == s.max())
+
+
+def test_louvain_by_arrays_moves_as_by_dictionaries(spark, monkeypatch):
+    """In name order, a node moves to the best community of its neighbours, the least of equal ones; one bounded task merges communities of rounds."""
+    rng = random.Random(5)
+    edges = sorted({(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(170)) if a < b})
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = 1
+    names = sorted(near)
+    at, degree = {n: n for n in names}, {n: len(near[n]) for n in names}
+    weight, total, moved = dict(degree), 2 * len(edges), True
+    while moved:
+        moved = False
+        for n in names:
+            weight[at[n]] -= degree[n]
+            k = {}
+            for o in near[n]:
+                k[at[o]] = k.get(at[o], 0) + 1
+            score = lambda c: k.get(c, 0) - weight[c] * degree[n] / total  # noqa: B023, E731
+            best = max(sorted(k), key=score)
+            best = best if score(best) > score(at[n]) + 1e-12 else at[n]
+            weight[best] += degree[n]
+            at[n], moved = best, moved or best != at[n]
+    place = {n: i for i, n in enumerate(names)}
+    keys = sorted((place[a], place[b]) for n in names for a, b in ((n, o) for o in near[n]))
+    src, dst = np.array(keys).T
+    got = communities._greedy(src, dst, np.ones(len(src), np.int64), np.array([degree[n] for n in names]), total)
+    assert [names[c] for c in got] == [at[n] for n in names]
+    calls, moves = [], communities._moves
+    monkeypatch.setattr(communities, "_moves", lambda *a: calls.append(1) or moves(*a))
+    df = spark.createDataFrame(edges, "a long, b long")
+    part = communities.louvain_rounds(df, rounds=4)
+    q = [communities.modularity(df, p).first()["q"] for p in (part, communities.louvain(df))]
+    assert len(calls) == 2 and q[0] > q[1] - 0.05 and part.count() == len(names)
+
+
 def test_colors(spark):
     hues = [round(360 * colorsys.rgb_to_hls(*(x / 255 for x in bytes.fromhex(p[1:])))[0]) for p in color.palette(4)]
     assert color.palette(0) == [] and color.palette(4)[0] == "#6791e4" and hues == [220, 310, 40, 130]
