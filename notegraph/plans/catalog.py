@@ -533,9 +533,10 @@ def _(spark, sf):
 @query("vec_neighbour_map", "SELECT count(*) AS names, true AS keeps_more FROM embeddings")
 def _(spark, sf):
     idx = index_of(spark, sf)
-    at = layout.neighbour_map(idx)
-    kept = layout.kept_neighbours(idx, at).select(F.col("kept").alias("a"))
-    plain = layout.kept_neighbours(idx, V.projection_2d(idx)).select(F.col("kept").alias("b"))
+    near = layout.knn(idx, 15).persist()
+    at = layout.neighbour_map(idx, near=near)
+    kept = layout.kept_neighbours(idx, at, near=near).select(F.col("kept").alias("a"))
+    plain = layout.kept_neighbours(idx, V.projection_2d(idx), near=near).select(F.col("kept").alias("b"))
     return at.agg(F.count("*").alias("names")).join(kept).join(plain).select("names", (F.col("a") > 1.2 * F.col("b")).alias("keeps_more"))
 
 
