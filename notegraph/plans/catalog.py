@@ -22,7 +22,8 @@ from . import bases, views
 
 FLAGSHIP = "vec_topk_similar"
 AS_OF = "2024-01-31"
-
+#: Pages of an Arrow batch at most.
+ROWS = 1_000
 
 
 def _target(x: str) -> str:
@@ -89,7 +90,9 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def pages_of(spark: SparkSession, sf: str) -> DataFrame:
-    """The made vault, parsed."""
+    """The made vault, parsed. A parsed header is some dozens of Python objects, so Arrow batches are small; operators leave the session alone."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, ROWS) if rows > 0 else ROWS))
     return vault.parsed(spark.sql(TEXTS.format(documents="{docs}"), docs=_read(spark, sf, "documents")))
 
 

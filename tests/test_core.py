@@ -287,6 +287,20 @@ def test_louvain_by_arrays_moves_as_by_dictionaries(spark, monkeypatch):
     assert len(calls) == 2 and q[0] > q[1] - 0.05 and part.count() == len(names)
 
 
+def test_pages_are_parsed_in_small_batches(spark):
+    from notegraph.plans import catalog
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for had, want in (("10000", "1000"), ("0", "1000"), ("256", "256")):
+            spark.conf.set(key, had)
+            catalog.pages_of(spark, "/root/testdata/sf0.001")
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_colors(spark):
     hues = [round(360 * colorsys.rgb_to_hls(*(x / 255 for x in bytes.fromhex(p[1:])))[0]) for p in color.palette(4)]
     assert color.palette(0) == [] and color.palette(4)[0] == "#6791e4" and hues == [220, 310, 40, 130]
