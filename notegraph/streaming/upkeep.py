@@ -96,9 +96,11 @@ class State:
     def bucket(self, c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
-    def of(self, names: DataFrame, column: str = "name") -> set[int]:
-        """The parts of names; a row for each at most reaches the driver."""
-        return {r[0] for r in names.select(self.bucket(column)).distinct().collect()}
+    def of(self, names: DataFrame, column: str = "name", known: set[int] = frozenset()) -> set[int]:
+        """The parts of names; a row for each at most reaches the driver. known: parts that are among them anyhow; if these are all, no name is read."""
+        if len(known) == self.buckets:
+            return set(known)
+        return known | {r[0] for r in names.select(self.bucket(column)).distinct().collect()}
 
 
 def facts_of(pages: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def _apply(spark: SparkSession, state: State, touched: DataFrame, pages: DataFra
         state.write(table, without(state.read(table, own, now=False), paths, "path").unionByName(rows), own)
     # Tables by target: parts that the touched pages reach now, or did.
     for table, by, key in (("back", "links", "dst"), ("aimed", "aims", "target")):
-        ends = state.read(by, own, now=False).unionByName(state.read(by, own)).join(paths, "path", "left_semi").select(key).distinct()
+        ends = state.read(by, own, now=False).unionByName(state.read(by, own)).join(paths, "path", "left_semi").select(key)
         parts = state.of(ends, key)
         new = state.read(by, own).join(paths, "path", "left_semi")
         state.write(table, without(state.read(table, parts, now=False), paths, "path").unionByName(new), parts)
@@ -160,7 +162,7 @@ def _apply(spark: SparkSession, state: State, touched: DataFrame, pages: DataFra
     lost = old_edges.join(new_edges, ["name", "dst"], "left_anti").withColumn("d", F.lit(-1))
     moved = gained.unionByName(lost).persist()
     ends = names.unionByName(moved.select(F.col("dst").alias("name"))).distinct()
-    near = state.of(ends)
+    near = state.of(ends, known=own)
     step = moved.select(F.inline(F.array(F.struct(F.col("name"), F.col("d").alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("name"), F.lit(0).alias("o"), F.col("d").alias("i")))))
     step = step.unionByName(state.read("degrees", near, now=False).select("name", F.col("out_degree").alias("o"), F.col("in_degree").alias("i")))
     degrees = step.groupBy("name").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree")).where("out_degree > 0 or in_degree > 0")
@@ -183,7 +185,7 @@ def _apply(spark: SparkSession, state: State, touched: DataFrame, pages: DataFra
     now_related = related[1].unionByName(related[3]).distinct().persist()
     # What is no longer known to hold, by the page that it is about.
     owners = [names, to_check.select("name"), domain_refs.select("name"), ends, *[r.select(F.col("a").alias("name")) for r in related]]
-    parts = state.of(reduce(DataFrame.unionByName, owners).distinct())
+    parts = state.of(reduce(DataFrame.unionByName, owners), known=own)
     issues = state.read("issues", parts, now=False)
     issues = without(issues, paths.select(F.col("path").alias("where")), "where")
     gone = came_or_went.select(F.lit("dead-link").alias("type"), F.concat(F.lit("[["), F.col("name"), F.lit("]]")).alias("what"))
@@ -195,7 +197,8 @@ def _apply(spark: SparkSession, state: State, touched: DataFrame, pages: DataFra
     # What holds now.
     seq = {k: i for i, k in enumerate(_order(state))}
     found = [rules.run_rules(pages, only=k, templates=state.templates).withColumn("owner", stem(F.col("where"))) for k in LOCAL_RULES if k in seq]
-    near_targets = state.of(to_check.select("target").unionByName(domain_refs.select(F.col("dst").alias("target"))).distinct(), "target")
+    every = own if len(own) == state.buckets else set()  # a change of all parts reads all; which of them don't matter isn't looked for
+    near_targets = state.of(to_check.select("target").unionByName(domain_refs.select(F.col("dst").alias("target"))), "target", known=every)
     known = state.read("facts", near_targets)
     dead = to_check.join(known.select(F.col("name").alias("target")).distinct(), "target", "left_anti")
     found.append(dead.select(F.lit("dead-link").alias("type"), F.col("path").alias("where"), F.concat(F.lit("[["), "target", F.lit("]]")).alias("what"), "context", F.col("name").alias("owner")))
@@ -205,7 +208,7 @@ def _apply(spark: SparkSession, state: State, touched: DataFrame, pages: DataFra
     t, deprecated = F.coalesce("page_type", F.lit("")), F.coalesce(F.col("status") == "deprecated", F.lit(False))
     lonely = around.where((t != "meta") & (F.col("folder") != "") & ~deprecated).select("name").distinct().join(state.read("degrees", near).where("in_degree > 0").select("name"), "name", "left_anti")
     found.append(around.join(lonely, "name", "left_semi").select(F.lit("orphan").alias("type"), F.col("path").alias("where"), F.col("name").alias("owner")))
-    others = state.of(now_related.select(F.explode(F.array("a", "b")).alias("name")))
+    others = state.of(now_related.select(F.explode(F.array("a", "b")).alias("name")), known=every)
     newest = state.read("facts", others).groupBy("name").agg(F.max_by(F.struct("path", F.col("page_type").alias("t")), "path_parts").alias("p")).select("name", "p.path", "p.t")
     rel = now_related
     for k in "ab":

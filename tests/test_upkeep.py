@@ -291,3 +291,22 @@ def test_listings_make_offsets(tmp_path):
     assert again.latestOffset() == two  # a restart
     stream.commit(two)
     assert len(list(Path(tmp_path / "l").iterdir())) == 1
+
+
+def test_a_change_of_all_parts_looks_no_name_up_again(spark, tmp_path, monkeypatch):
+    """Once the changed pages lie in every part, the parts of what is near them aren't looked for; the result is that of a full run."""
+    rng = random.Random(9)
+    texts = {f"ideas/P{i}.md": text_of(rng, 30) for i in range(30)}
+    state, asked = upkeep.State(spark, str(tmp_path / "state"), buckets=2), []
+    of = upkeep.State.of
+
+    def spy(self, names, *rest, **more):
+        select = type(names).select
+        with monkeypatch.context() as m:
+            m.setattr(type(names), "select", lambda *a: asked.append(1) or select(*a))
+            return of(self, names, *rest, **more)
+
+    monkeypatch.setattr(upkeep.State, "of", spy)
+    upkeep.apply(state, changes(spark, list(texts.items())))
+    assert len(asked) == 3  # of the pages, and of targets of links and of aims
+    assert (as_counter(upkeep.open_issues(state)), as_counter(state.read("degrees"))) == full(spark, texts)
