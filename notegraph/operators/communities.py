@@ -295,7 +295,12 @@ def _levels_of(src: np.ndarray, dst: np.ndarray, w: np.ndarray, loops: np.ndarra
 
 
 def _greedy(src: np.ndarray, dst: np.ndarray, w: np.ndarray, degree: np.ndarray, total: int) -> list[int]:
-    """Each node's community after moves in order, round after round until none gains. src is in order."""
+    """Each node's community after moves in order, round after round until none gains. src is in order.
+
+    A node's choice depends on its neighbours' communities and on the weights of these and its own. Once the communities that a round's moves touched have
+    few ends of links, the next rounds only look at nodes for which one of these has changed since their last look; any other would stay. So the moves
+    are the same as if each round looked at all.
+    """
     n = len(degree)
     starts = np.searchsorted(src, np.arange(n + 1)).tolist()
     ids = list(range(n))  # one object for a number, however many links hold it
@@ -303,10 +308,16 @@ def _greedy(src: np.ndarray, dst: np.ndarray, w: np.ndarray, degree: np.ndarray,
     alike = bool((w == 1).all())
     weights = None if alike else w.tolist()
     degrees, weight, at = degree.tolist(), degree.tolist(), ids.copy()
-    moved = True
-    while moved:
-        moved = False
-        for v in ids:
+    size = [y - x for x, y in zip(starts, starts[1:])]  # of a community: links of its nodes, which marking goes through
+    due, members = bytearray(b"\1") * n, None
+    touched = 1
+    while touched:
+        left = len(near_of) // 2  # marks of a round; beyond that, all nodes are looked at
+        touched, v = 0, due.find(1)
+        while v >= 0:
+            v = ids[v]
+            if members is not None:
+                due[v] = 0
             i, j = starts[v], starts[v + 1]
             near: dict = {}
             if alike:
@@ -329,5 +340,22 @@ def _greedy(src: np.ndarray, dst: np.ndarray, w: np.ndarray, degree: np.ndarray,
             weight[best] += d
             if best != home:
                 at[v] = best
-                moved = True
+                touched += size[home] + size[best]
+                size[home] -= j - i
+                size[best] += j - i
+                if members is not None and touched > left:
+                    members, due = None, bytearray(b"\1") * n
+                elif members is not None:
+                    members[home].remove(v)
+                    members[best].append(v)
+                    for c in (home, best):
+                        for u in members[c]:
+                            due[u] = 1
+                            for o in near_of[starts[u] : starts[u + 1]]:
+                                due[o] = 1
+            v = due.find(1, v + 1)
+        if members is None and 0 < touched <= left:
+            members = {}
+            for v in ids:
+                members.setdefault(at[v], []).append(v)
     return at
