@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, release, shingles, small_side, whole, words
+from .common import ascii_lower, cut, let_go, release, shingles, small_side, whole, words
 from .graph import connected_components
 from .simhash import components, vote
 
@@ -107,6 +107,7 @@ def _marks(similarity: float):
     few = _least_hashes(similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for pdf in batches:
             out = []
             for i, x, text in zip(pdf["id"], pdf["_x"], pdf["_text"]):
@@ -119,6 +120,7 @@ def _marks(similarity: float):
 
 
 def _own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    let_go()
     for pdf in batches:
         yield pd.DataFrame({"_at": np.concatenate([np.zeros(0, np.uint64), *map(_shingle_set, pdf["_text"])]).view(np.int64)})
 
@@ -127,6 +129,7 @@ def _prefixes(common: Broadcast, similarity: float):
     """(_s, _at): the shingles of a whole prefix, in an order of all shingles with common ones last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         last = common.value
         for pdf in batches:
             out = []
@@ -187,10 +190,12 @@ class _Groups:
         similarity = self.similarity
 
         def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            let_go()
             for pdf in batches:
                 yield pd.DataFrame({"_s": pdf["_s"], "_set": [_shingle_set(t).view(np.int64) for t in pdf["_text"]]})
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            let_go()
             for pdf in batches:
                 keep = []
                 for a, b in zip(pdf["_a"], pdf["_b"]):

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import HELD, whole
 
 #: Encoded pieces and checked pairs that a worker remembers at most; older ones are worked out again.
 REMEMBERED = 300_000
@@ -204,16 +204,13 @@ class Editable:
         self.pieces[i:], self.tables[i:] = pieces, tables
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
 def vocabulary(data: bytes, pattern: str) -> Vocabulary:
-    """The vocabulary of a rank file's bytes, loaded once in each worker."""
-    key = hash((data, pattern))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary.load(data, pattern)
-    return _LOADED[key]
+    """The vocabulary of a rank file's bytes, loaded once in each worker; with the words it remembers it is some 100 MB, until let_go."""
+    key = "vocabulary", hash((data, pattern))
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = Vocabulary.load(data, pattern)
+    return HELD[key]
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

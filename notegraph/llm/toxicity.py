@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import let_go, whole
 
 #: Bounds of the sample that the classifier is fitted on: confirmed toxic texts, and texts taken as unlabelled.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 6_000
@@ -123,6 +123,7 @@ def scorer(weights: dict[int, float], bias: float):
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         known: dict[str, float] = {}
         for texts in batches:
             z = np.full(len(texts), bias)

@@ -1,13 +1,16 @@
 """Each stage of corpus_pipeline, run() and some queries against plain Python versions, on small tables with awkward rows."""
 
 import base64
+import gc
 import hashlib
 import math
 import random
 import re
+import weakref
 from collections import Counter
 from itertools import combinations
 
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -15,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from notegraph.llm import line_dedup, queries, sharding, toxicity
+from notegraph.llm import line_dedup, near_dedup, queries, sharding, tokenizer, toxicity
 
 from test_llm import awkward, brute_components, brute_fingerprint, prose, signed
 
@@ -240,3 +243,14 @@ def test_sharding_query(spark, tmp_path):
     slot = lambda i: signed(xxhash.xxh64_intdigest(b"" if i is None else str(i).encode(), seed=42)) % p
     got = {(r["doc_id"], r["slot"], r["shard"]) for r in queries.op8_sharding(spark, path).collect()}
     assert got == {(i, slot(i), owner[slot(i)]) for i, _ in rows}
+
+
+def test_the_vocabulary_goes_when_another_operators_task_runs_in_its_worker():
+    """Workers outlive stages: what the tokenizer remembers there must not count against later stages."""
+    held = weakref.ref(tokenizer.vocabulary(queries.ranks(), public_tokenizers.PATTERN))
+    gc.collect()
+    assert held() is not None
+    out = pd.concat(near_dedup._own(iter([pd.DataFrame({"_text": ["a b c d e f", ""]})])))
+    gc.collect()
+    assert held() is None and len(out) == 2
+    assert tokenizer.vocabulary(queries.ranks(), public_tokenizers.PATTERN) is tokenizer.vocabulary(queries.ranks(), public_tokenizers.PATTERN)
