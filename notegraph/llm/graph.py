@@ -18,7 +18,7 @@ def _settled(e: DataFrame) -> bool:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge (u, v) of longs; component is the smallest node reachable.
 
-    Each round replaces edges by stars around minima, with map-side minima before any shuffle; a hub's edges
+    Each round replaces edges by stars around minima, in five shuffles, with map-side minima before any shuffle; a hub's edges
     are only joined to the hub's minimum, which adaptive execution splits. Each round is written to the shared folder, and
     the round before is deleted. It ends when no edge can change, as all are stars.
     Edges with a null end and loops are ignored. No edges: no rows.
@@ -27,9 +27,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(e):
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Large stars: an end (v) hands its larger neighbours to its least one; ends without a smaller one keep theirs.
+        least = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        large = e.join(least, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"))
+        # Small stars. Equal rows go with the last distinct.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         before, e = e, cut(small.where("u <> v").distinct(), "edges")

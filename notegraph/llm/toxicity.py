@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, whole
+from .common import cut, let_go, whole
 
 #: Bounds of the sample that the classifier is fitted on: confirmed toxic texts, and texts taken as unlabelled.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 6_000
@@ -39,6 +39,23 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"positive": pdf["positive"], "f": [i.view(np.int32).tolist() for i, _ in ids], "n": [np.minimum(n, 255).astype(np.int32).tolist() for _, n in ids]})
 
 
+def _chosen(chosen: np.ndarray):
+    """Places in `chosen`, ids of features, of those that a text has, and their counts."""
+    order = np.argsort(chosen)
+    ascending = chosen[order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _counts(batches):
+            at, n = [], []
+            for f, count in zip(pdf["f"], pdf["n"]):
+                used = np.isin(f, ascending)
+                at.append(order[np.searchsorted(ascending, np.array(f, np.int32)[used])].astype(np.int16))
+                n.append(np.array(count, np.int32)[used])
+            yield pd.DataFrame({"positive": pdf["positive"], "at": at, "n": n})
+
+    return run
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear classifier with the least non-negative positive-unlabelled risk.
 
@@ -83,36 +100,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     free = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"))
     picked = known.where("toxic").select("_id").distinct().orderBy(*order).limit(MAX_POSITIVE).withColumn("positive", F.lit(True))
     picked = picked.unionByName(free.orderBy(*order).limit(MAX_UNLABELLED).withColumn("positive", F.lit(False)))
+    picked = cut(picked, "toxicity-picked")
     rows = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("positive", "_text")
-    sample = rows.mapInPandas(_counts, "positive boolean, f array<int>, n array<int>").toArrow()
-    is_p = sample["positive"].to_numpy().astype(bool)
-    if not is_p.any() or is_p.all():
+    have = {bool(r[0]): r[1] for r in rows.groupBy("positive").count().collect()}
+    if len(have) < 2:
         return {}, -10.0
-    lists = sample["f"].combine_chunks()
-    sizes = lists.value_lengths().to_numpy()
-    flat, count = lists.flatten().to_numpy(), sample["n"].combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(sample), dtype=np.int32), sizes)
-    own = is_p[row]
-    ids, n_p = np.unique(flat[own], return_counts=True)  # a feature that no positive has is never chosen
-    rest, n_rest = np.unique(flat[~own], return_counts=True)
-    n_u = np.zeros(len(ids), n_rest.dtype)
-    _, in_ids, in_rest = np.intersect1d(ids, rest, assume_unique=True, return_indices=True)
-    n_u[in_ids] = n_rest[in_rest]
-    rate_p, rate_u = n_p / is_p.sum(), (n_u + 0.5) / (~is_p).sum()
-    pure = prior * rate_p >= PURITY * rate_u
-    gain = np.where(pure & (n_p >= max(3, SHARE * is_p.sum())), rate_p * np.log(np.maximum(rate_p, 1e-12) / rate_u), -1.0)
+    # Features are counted and sifted in tasks, so that the driver gets those that may be chosen, and then only the chosen ones of each text.
+    each = rows.mapInPandas(_counts, "positive boolean, f array<int>, n array<int>").select("positive", F.explode("f").alias("f"))
+    seen = each.groupBy("f").agg(F.count_if("positive").alias("n_p"), F.count_if(~F.col("positive")).alias("n_u"))
+    seen = seen.where(F.col("n_p") >= max(3, SHARE * have[True])).toArrow().sort_by("f")
+    ids, n_p, n_u = (seen[c].to_numpy() for c in ("f", "n_p", "n_u"))
+    rate_p, rate_u = n_p / have[True], (n_u + 0.5) / have[False]
+    gain = np.where(prior * rate_p >= PURITY * rate_u, rate_p * np.log(rate_p / rate_u), -1.0)
     best = np.lexsort((ids, -gain))[:FEATURES]
     best = best[gain[best] > 0]
-    by_id = np.sort(best)  # ids are in ascending order
-    place = np.zeros(len(by_id), int)
-    place[np.searchsorted(by_id, best)] = np.arange(len(best))
+    sample = rows.mapInPandas(_chosen(ids[best]), "positive boolean, at array<short>, n array<int>").toArrow()
+    is_p = sample["positive"].to_numpy().astype(bool)
+    lists = sample["at"].combine_chunks()
+    row = np.repeat(np.arange(len(sample)), lists.value_lengths().to_numpy())
     x = np.zeros((len(sample), len(best)), np.float32)
-    chosen = ids[by_id]
-    for a in range(0, len(flat) if len(best) else 0, 1 << 18):  # in slices, as places are wider than features
-        part = slice(a, a + (1 << 18))
-        at = np.minimum(np.searchsorted(chosen, flat[part]), len(chosen) - 1)
-        used = chosen[at] == flat[part]
-        x[row[part][used], place[at[used]]] = count[part][used]
+    x[row, lists.flatten().to_numpy()] = sample["n"].combine_chunks().flatten().to_numpy()
     w, b = fit(x[is_p], x[~is_p], prior)
     grid = 1 << 20  # on a grid sums are exact, so the order of words doesn't matter
     return {int(i) & 0xFFFFFFFF: round(float(v) * grid) / grid for i, v in zip(ids[best], w)}, round(b * grid) / grid

@@ -252,6 +252,26 @@ def brute_simhash(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_a_round_of_components_shuffles_little(spark):
+    """The driver keeps a record of every task, and each shuffle of a round has as many as there are partitions."""
+    fixed = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in fixed}
+    sc = spark.sparkContext
+    try:
+        for k, v in fixed.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("rounds", "rounds")
+        path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+        assert {r["component"] for r in graph.connected_components(path).collect()} == {0}
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("rounds") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    ran = [i for i in map(sc.statusTracker().getStageInfo, stages) if i]
+    assert 0 < sum(i.numCompletedTasks for i in ran) < 1000, sum(i.numCompletedTasks for i in ran)
+
+
 def test_simhash_groups(spark):
     rows = awkward()
     got = {(r["id"], r["f0"]): r["component_id"] for r in near_dedup.simhash_groups(frame(spark, rows)).collect()}
@@ -614,6 +634,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(out) > 500 and tp > 0.9 * (tp + fn) and fp < 0.05 * tp + 5, (tp, fp, fn)
 
 
+def test_toxicity_gathers_few_features(spark, monkeypatch):
+    """Texts of many rare words: the driver gets no features but those that may be chosen."""
+    rng = random.Random(5)
+    rare = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(1000))
+    rows = [(i, rare() + (" vileword slurword" if i < 60 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
+    sent, gather = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(t := gather(self)) or t)
+    weights, bias = toxicity.train(docs, labels)
+    assert {f for w in ("vileword", "slurword") for f in toxicity.features(w)} <= set(weights) and len(weights) <= toxicity.FEATURES
+    assert sum(t.nbytes for t in sent) < 200_000, [t.nbytes for t in sent]
+    monkeypatch.undo()
+    assert {r["doc_id"] for r in toxicity.score(docs, weights, bias).where("score >= 0.5").collect()} == set(range(60))
+
+
 def test_toxicity_without_positives(spark):
     rows = awkward()
     labels = spark.createDataFrame([(3, 0), (None, 1)], "doc_id long, toxic int")
