@@ -1,4 +1,4 @@
-"""Phrase collocations: candidates by upper bounds of a sketch, counts by guarded automata."""
+"""Phrase collocations: candidates by upper bounds of a sketch, counts by guarded automata over the passages that hold them."""
 
 from __future__ import annotations
 
@@ -19,10 +19,10 @@ from .common import cut, whole
 CHARS, LEAST_BITS, MOST_BITS = 32, 16, 30
 #: Phrases whose hashes are gathered before their counters are written out, and counters of a block of the sketch.
 GATHERED, BLOCK_BITS = 4_000_000, 16
-#: Candidates of an automaton. More candidates take further scans, so neither the driver nor a task holds more than these.
-SHARD = 400_000
-#: Counts of a block of an automaton's candidates.
-COUNTS = 4_096
+#: Passages of an automaton, unless more start with the same two words, and counts of a batch that leaves it.
+SHARD, COUNTS = 400_000, 4_096
+#: Counters of a row of the sketch, as a power of two, for a bucket of passages.
+BUCKET_BITS = 15
 #: Characters after which a long text is taken apart, at the end of a piece.
 SEGMENT = 1_000_000
 #: Words that a task counts or hashes before it writes them out or forgets them.
@@ -181,7 +181,7 @@ def _summer(least: int):
                         yield bits()
                     block, total = b, np.zeros(1 << BLOCK_BITS, np.int64)
                 at, n = _unpack(data)
-                np.add.at(total, at, n)
+                np.add.at(total, at, n.astype(np.int64))  # of one kind with the sums, or it takes some ten times as long
         if block is not None:
             yield bits()
 
@@ -189,11 +189,14 @@ def _summer(least: int):
 
 
 def _finder(frequent, bits: int, longest: int, buckets: int):
-    """A task's candidates, each once: phrases of which every part reaches the threshold by both rows of the sketch."""
+    """A task's passages with counts: from each word on, the longest phrase of which every part reaches the threshold by both rows of the sketch.
+
+    Whether a phrase may reach it depends on its words only, and its beginnings may then, too. So the candidates are the beginnings of passages, and one
+    occurs as often as passages begin with it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen = _Words(), set()
-        found: dict[tuple[str, int], list[str]] = {}
+        known, found = _Words(), {}
         rows = [np.frombuffer(x, np.uint8) for x in frequent.value]
 
         def reaches(h: np.ndarray) -> np.ndarray:
@@ -204,12 +207,20 @@ def _finder(frequent, bits: int, longest: int, buckets: int):
             return ok
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame([(lang, b, p) for (lang, b), p in found.items()], columns=["lang", "bucket", "phrases"])
+            dealt: dict[tuple[str, int], tuple[list[str], list[int]]] = {}
+            for (lang, passage), n in found.items():
+                start = b" ".join(passage.split(b" ", 2)[:2])
+                passages, counts = dealt.setdefault((lang, zlib.crc32(start) % buckets), ([], []))
+                passages.append(passage.decode("utf-8", "surrogatepass"))
+                counts.append(n)
+            found.clear()
+            return pd.DataFrame([(lang, b, p, n) for (lang, b), (p, n) in dealt.items()], columns=["lang", "bucket", "passages", "counts"])
 
         for pdf in batches:
             for lang, part, number in _batches(pdf, known):
                 at = np.flatnonzero(number)
                 phrase, name = known.hashes[number[at]] ^ np.uint64(_seed(lang)), number[at]
+                levels = []
                 for k in range(1, longest):
                     last = at + k
                     at, phrase, name = (x[last < len(number)] for x in (at, phrase, name))
@@ -223,108 +234,74 @@ def _finder(frequent, bits: int, longest: int, buckets: int):
                     # A phrase's name in this part: the number of its beginning's name and its last word's number.
                     _, first, name = np.unique((name[ok] << 32) | number[at + k], return_index=True, return_inverse=True)
                     phrase = phrase[ok]
-                    for i in at[first].tolist():
-                        text = (lang, b" ".join(part[i : i + k + 1]))
-                        if text not in seen:
-                            seen.add(text)
-                            found.setdefault((lang, zlib.crc32(text[1]) % buckets), []).append(text[1].decode("utf-8", "surrogatepass"))
-            if len(seen) > WORDS:
+                    levels.append((k, at, first, name))
+                further = at[:0]
+                for k, at, first, name in reversed(levels):
+                    counts = np.bincount(name[~np.isin(at, further, assume_unique=True)], minlength=len(first))
+                    ends = np.flatnonzero(counts)
+                    for i, n in zip(at[first[ends]].tolist(), counts[ends].tolist()):
+                        passage = (lang, b" ".join(part[i : i + k + 1]))
+                        found[passage] = found.get(passage, 0) + n
+                    further = at
+            if len(found) > WORDS:
                 yield out()
-                found.clear()
-                seen.clear()
         if found:
             yield out()
 
     return run
 
 
-def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows in order of language and bucket, each phrase once."""
-    key, seen = None, set()
-    for pdf in batches:
-        for lang, bucket, phrases in zip(pdf["lang"], pdf["bucket"], pdf["phrases"]):
-            if key != (lang, bucket):
-                key, seen = (lang, bucket), set()
-            new = [p for p in dict.fromkeys(phrases) if p not in seen]
-            seen.update(new)
-            if new:
-                yield pd.DataFrame({"lang": lang, "phrase": new})
-
-
-_BUILT: dict[object, dict[str, ahocorasick.Automaton]] = {}
-
-
-def _automaton(shard, lang: str) -> ahocorasick.Automaton | None:
-    """The automaton of a language's candidates; a worker keeps those of one shard."""
-    if shard.id not in _BUILT:
-        _BUILT.clear()
-        _BUILT[shard.id] = {}
-    built = _BUILT[shard.id]
-    if lang not in built:
-        phrases = shard.value["phrases"].get(lang)
-        if phrases is None:
-            built[lang] = None
-        else:
-            a = built[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, p in enumerate(phrases):
-                a.add_word(f" {p} ", i)
-            a.make_automaton()
-    return built[lang]
-
-
-class _Shard:
-    """A shard's candidates by language, as a broadcast variable with an id of its own."""
-
-    def __init__(self, broadcast, name: str):
-        self.broadcast, self.id = broadcast, name
-
-    @property
-    def value(self) -> dict:
-        return self.broadcast.value
-
+def _counted(passages: dict[str, int], least: int) -> Iterator[tuple[str, int]]:
+    """(phrase, count) of the beginnings of passages that reach the threshold: an automaton of them, a blank at either end, runs over the passages.
 
-def _counter(shard: _Shard):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for lang, texts in pdf.groupby("lang", sort=False)["text"]:
-                automaton = _automaton(shard, lang)
-                if automaton is None:
-                    continue
-                if lang not in totals:
-                    totals[lang] = np.zeros(len(shard.value["phrases"][lang]), np.int64)
-                for text in texts:
-                    for part in tokens(text):
-                        line = f" {b' '.join(part).decode('utf-8', 'surrogatepass')} "
-                        hits = np.fromiter((i for _, i in automaton.iter(line)), np.int64)
-                        if len(hits):
-                            np.add.at(totals[lang], hits, 1)
-        out = [(lang, a // COUNTS, t[a : a + COUNTS].tobytes()) for lang, t in totals.items() for a in range(0, len(t), COUNTS) if t[a : a + COUNTS].any()]
-        yield pd.DataFrame(out, columns=["lang", "block", "counts"]).astype({"block": "int64"})
-
-    return run
-
-
-def _totals(shard: _Shard, least: int):
-    """Of rows in order of language and block, each candidate's sum, if it reaches the threshold."""
+    A match counts where its passage starts; from the words further on there are passages of their own.
+    """
+    begins = {}  # in order
+    for p in passages:
+        end = p.find(" ", p.find(" ") + 1)
+        while end >= 0:
+            begins[p[:end]] = None
+            end = p.find(" ", end + 1)
+        begins[p] = None
+    automaton, phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS), list(begins)
+    for i, p in enumerate(phrases):
+        automaton.add_word(f" {p} ", i)
+    automaton.make_automaton()
+    totals = [0] * len(phrases)
+    for p, n in passages.items():
+        for end, i in automaton.iter(f" {p} "):
+            if end == len(phrases[i]) + 1:
+                totals[i] += n
+    return ((p, a) for p, a in zip(phrases, totals) if a >= least)
+
+
+def _counter(least: int):
+    """Of rows in order of language and bucket, each candidate's count, if it reaches the threshold."""
+
+    def counted(lang: str, passages: dict[str, int]) -> Iterator[pd.DataFrame]:
+        names = sorted(passages, key=lambda p: p.split(" ")) if len(passages) > SHARD else list(passages)
+        at = 0
+        while at < len(names):
+            end = min(at + SHARD, len(names))
+            while end < len(names) and names[end].split(" ", 2)[:2] == names[end - 1].split(" ", 2)[:2]:
+                end += 1  # phrases that start alike stay together
+            rows = list(_counted({p: passages[p] for p in names[at:end]}, least))
+            for i in range(0, len(rows), COUNTS):
+                yield pd.DataFrame(rows[i : i + COUNTS], columns=["phrase", "a"]).assign(lang=lang)[["lang", "phrase", "a"]]
+            at = end
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, total = None, np.zeros(0, np.int64)
-
-        def out() -> pd.DataFrame:
-            at = np.flatnonzero(total >= least)
-            phrases = shard.value["phrases"][key[0]]
-            return pd.DataFrame({"lang": key[0], "phrase": [phrases[key[1] * COUNTS + i] for i in at.tolist()], "a": total[at]})
-
+        key, held = None, {}
         for pdf in batches:
-            for lang, block, counts in zip(pdf["lang"], pdf["block"], pdf["counts"]):
-                if key != (lang, block):
+            for lang, bucket, passages, counts in zip(pdf["lang"], pdf["bucket"], pdf["passages"], pdf["counts"]):
+                if key != (lang, bucket):
                     if key is not None:
-                        yield out()
-                    key, total = (lang, block), np.zeros(len(counts) // 8, np.int64)
-                total += np.frombuffer(counts, np.int64)
+                        yield from counted(key[0], held)
+                    key, held = (lang, bucket), {}
+                for p, n in zip(passages, counts.tolist()):
+                    held[p] = held.get(p, 0) + n
         if key is not None:
-            yield out()
+            yield from counted(key[0], held)
 
     return run
 
@@ -333,9 +310,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """((lang, phrase, a), (lang, word, n)): every phrase of 2 to `longest` words with at least `least` occurrences, and every word's count.
 
     One pass counts words and sums the hashes of all phrases in a count-min sketch of two rows; sums only grow by collisions, so a phrase
-    below the threshold in either row, or with a part that is, can't reach it. A second pass lists the phrases that may. These, in shards of
-    at most about SHARD by their hashes, become automata with a blank as guard at either end; the third pass, one for each shard, counts all overlapping
-    matches. Counts come as arrays in blocks and are summed by block. No key is hot: rows are not moved by language or phrase before they are summed up in their task.
+    below the threshold in either row, or with a part that is, can't reach it. A second pass takes from each word on the longest phrase that may. These passages, summed
+    up in their task, are dealt by language and their first two words; where they meet, automata of their beginnings, with a blank as guard at either end, count
+    the matches. So texts are read twice, however many candidates there are. No key is hot: a task sends a passage once for WORDS others.
     A null text is empty, a null language is `und`, repeated rows count each.
     """
     spark = docs.sparkSession
@@ -346,29 +323,16 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     words = cut(counted.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = counted.where("block is not null").select("block", "data").repartition(parts, "block").sortWithinPartitions("block")
-    flags = blocks.mapInPandas(_summer(least), "block long, bits binary")
     fields = [bytearray(1 << (bits - 3)) for _ in range(2)]
     size = 1 << (BLOCK_BITS - 3)
+    flags = cut(blocks.mapInPandas(_summer(least), "block long, bits binary"), "phrase-flags")  # summed up by all tasks at once, before the driver takes them one by one
     for block, data in flags.toLocalIterator():  # of 2^(bits - 2) bytes in all
         fields[block % 2][block // 2 * size : (block // 2 + 1) * size] = data
     frequent = spark.sparkContext.broadcast([bytes(f) for f in fields])
-    found = rows.mapInPandas(_finder(frequent, bits, longest, max(64, parts)), "lang string, bucket long, phrases array<string>")
+    buckets = max(64, parts, 1 << max(0, bits - BUCKET_BITS))
+    found = rows.mapInPandas(_finder(frequent, bits, longest, buckets), "lang string, bucket long, passages array<string>, counts array<long>")
     found = found.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket")
-    candidates = cut(found.mapInPandas(_distinct, "lang string, phrase string"), "phrase-candidates")
-    n_shards = -(-candidates.count() // SHARD)
-    counts = None
-    for i in range(n_shards):
-        own: dict[str, list[str]] = {}
-        for lang, phrase in candidates.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(n_shards)) == i).toLocalIterator():
-            own.setdefault(lang, []).append(phrase)
-        shard = _Shard(spark.sparkContext.broadcast({"phrases": own}), f"{spark.sparkContext.applicationId}-{candidates._cut_path}-{i}")
-        of_tasks = rows.where(F.col("lang").isin(sorted(own))).mapInPandas(_counter(shard), "lang string, block long, counts binary")
-        by_block = of_tasks.repartition(parts, "lang", "block").sortWithinPartitions("lang", "block")
-        part = cut(by_block.mapInPandas(_totals(shard, least), "lang string, phrase string, a long"), "phrase-counts")
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        counts = spark.createDataFrame([], "lang string, phrase string, a long")
-    return counts, words
+    return cut(found.mapInPandas(_counter(least), "lang string, phrase string, a long"), "phrase-counts"), words
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, top: int = 2_000, cover: int = 100) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from notegraph.llm import centroids, collocations, language
 
@@ -68,6 +69,27 @@ def test_phrases_equal_brute_force(spark, monkeypatch, shard):
     assert share == brute_phrases(rows, 5, 5, 2000, 60)
 
 
+def test_phrases_are_counted_in_two_scans_however_many_they_are(spark, monkeypatch):
+    """Candidates by the dozen for each automaton: texts are still read by the sketch and by the search only, and no flag is summed up while the driver takes it."""
+    monkeypatch.setattr(collocations, "SHARD", 5)
+    rows, scans, lazy = phrase_rows(3), [], []
+    real, taken = DataFrame.mapInPandas, DataFrame.toLocalIterator
+
+    def scan(self, f, *a, **k):
+        scans.extend(["text"] if "text" in self.columns else [])
+        return real(self, f, *a, **k)
+
+    def take(self, *a, **k):
+        lazy.append(self._jdf.queryExecution().executedPlan().toString())
+        return taken(self, *a, **k)
+
+    monkeypatch.setattr(DataFrame, "mapInPandas", scan)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", take)
+    got = {tuple(r) for r in collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), least=5).collect()}
+    assert got == brute_phrases(rows, 5, 5, 2000)
+    assert len(scans) == 2 and lazy and not any("MapInPandas" in plan or "Exchange" in plan for plan in lazy)
+
+
 def test_phrases_of_nothing(spark):
     none = spark.createDataFrame([], "text string, lang string")
     assert collocations.collocations(none).count() == 0
