@@ -9,7 +9,10 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
-from collections.abc import Iterator
+import os
+import stat
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,6 +27,9 @@ SCHEMA = "path string, text string, mtime timestamp, length long, hash string"
 _ARROW = pa.schema([("path", pa.string()), ("text", pa.string()), ("mtime", pa.timestamp("us", tz="UTC")), ("length", pa.int64()), ("hash", pa.string())])
 #: Bytes of files of a partition, and of a batch of rows, unless one file is larger. Option `partitionBytes` sets the first.
 PARTITION_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+#: Pages whose paths a writing task holds before it writes them to a list, and pages that are packed together in a part.
+RUN, PACKED = 50_000, 5_000
+REPORTS = tuple(f"meta/{kind}-" for kind in ("lint-report", "knowledge-map", "snapshot"))
 
 
 @dataclass(frozen=True)
@@ -38,37 +44,88 @@ class Entry:
 
 @dataclass
 class Part(InputPartition):
-    entries: list[Entry]
+    """Entries are kept packed, as the driver holds all parts at once: some 20 bytes a page."""
+
+    packed: list[bytes]
     gone: list[str]
 
+    @property
+    def entries(self) -> Iterator[Entry]:
+        return (Entry(*e) for some in self.packed for e in json.loads(zlib.decompress(some)))
+
+
+def _names(fs: afs.FileSystem, folder: str) -> tuple[list[str], set[str], Callable]:
+    """Names in a folder in order, those of folders, and a function that gives a file's size and time, or None if it is gone. A local folder is read name by name, since the sizes and times of a large one are many objects."""
+    if not isinstance(fs, afs.LocalFileSystem):
+        of = {i.base_name: (i.type, i.size, i.mtime_ns or 0) for i in fs.get_file_info(afs.FileSelector(folder))}
+        return sorted(of), {n for n, i in of.items() if i[0] == afs.FileType.Directory}, lambda name: of[name][1:] if of[name][0] == afs.FileType.File else None
+    names, folders = [], set()
+    with os.scandir(folder) as found:
+        for e in found:
+            names.append(e.name)
+            if e.is_dir():
+                folders.add(e.name)
+    names.sort()
+
+    def info(name: str) -> tuple[int, int] | None:
+        try:
+            s = os.stat(f"{folder}/{name}")
+        except FileNotFoundError:
+            return None
+        return (s.st_size, s.st_mtime_ns) if stat.S_ISREG(s.st_mode) else None
 
-def listing(root: str, under: str = "") -> list[Entry]:
-    """Pages below root, in order; generated reports and hidden folders are left out. under: a folder below root."""
+    return names, folders, info
+
+
+def walk(root: str, under: str = "") -> Iterator[Entry]:
+    """Pages below root, in order; generated reports and hidden folders are left out. under: a folder below root. Only names of one folder and of those around it are held at once."""
     fs, base = journal.store(root)
-    folder = f"{base}/{under}".rstrip("/")
-    if fs.get_file_info(folder).type != afs.FileType.Directory:
-        return []
-    out = []
-    for info in fs.get_file_info(afs.FileSelector(folder, recursive=True)):
-        path = info.path[len(base) + 1 :]
-        parts = path.split("/")
-        report = parts[0] == "meta" and len(parts) > 1 and parts[1].startswith(("lint-report-", "knowledge-map-", "snapshot-"))
-        if info.type == afs.FileType.File and path.endswith(".md") and not report and not any(p in SKIPPED_FOLDERS or p.startswith(".") for p in parts):
-            out.append(Entry(path, info.size, info.mtime_ns or 0))
-    return sorted(out, key=lambda e: e.path.split("/"))
-
-
-def parted(entries: list[Entry], gone: list[str], most: int) -> list[Part]:
+
+    def hidden(name: str) -> bool:
+        return name in SKIPPED_FOLDERS or name.startswith(".")
+
+    def inside(folder: str) -> Iterator[Entry]:
+        names, folders, info = _names(fs, f"{base}/{folder}".rstrip("/"))
+        for name in names:
+            path = f"{folder}/{name}" if folder else name
+            if hidden(name) or path.startswith(REPORTS):
+                continue
+            if name in folders:
+                yield from inside(path)
+            elif name.endswith(".md") and (found := info(name)):
+                yield Entry(path, *found)
+
+    under = under.strip("/")
+    if not any(map(hidden, filter(None, under.split("/")))) and fs.get_file_info(f"{base}/{under}".rstrip("/")).type == afs.FileType.Directory:
+        yield from inside(under)
+
+
+def listing(root: str, under: str = "") -> list[Entry]:
+    """All that walk() gives."""
+    return list(walk(root, under))
+
+
+def parted(entries: Iterable[Entry], gone: list[str], most: int) -> list[Part]:
     """Parts of about `most` bytes; none for nothing."""
-    parts, size = [Part([], [])], 0
+    parts, some, size = [Part([], [])], [], 0
+
+    def pack() -> None:
+        if some:
+            parts[-1].packed.append(zlib.compress(json.dumps(some).encode()))
+            some.clear()
+
     for e in entries:
         if size and size + e.length > most:
+            pack()
             parts.append(Part([], []))
             size = 0
-        parts[-1].entries.append(e)
+        some.append((e.path, e.length, e.mtime_ns, e.hash))
         size += e.length
+        if len(some) >= PACKED:
+            pack()
+    pack()
     parts[0].gone.extend(gone)
-    return [p for p in parts if p.entries or p.gone]
+    return [p for p in parts if p.packed or p.gone]
 
 
 def _read(root: str, part: Part) -> Iterator[pa.RecordBatch]:
@@ -120,7 +177,7 @@ class NotesReader(DataSourceReader):
     def partitions(self):
         journal.recover(self.root)
         under = self.prefix.rpartition("/")[0]
-        found = [e for e in listing(self.root, under) if e.path.startswith(self.prefix) and (self.paths is None or e.path in self.paths)]
+        found = (e for e in walk(self.root, under) if e.path.startswith(self.prefix) and (self.paths is None or e.path in self.paths))
         return parted(found, [], self.most) or [Part([], [])]
 
     def read(self, partition):
@@ -200,12 +257,12 @@ class NotesStream(DataSourceStreamReader):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    puts: dict[str, str]
-    drops: list[str]
+    lists: list[str]
 
 
 class NotesWriter(DataSourceWriter):
-    """Tasks stage their pages; the driver moves them all to their places, or, if a task fails, none. The message of a task holds paths only.
+    """Tasks stage their pages; the driver moves them all to their places, or, if a task fails, none. Tasks write the steps to lists; their messages hold
+    the names of these only, and the driver goes through the lists in order of paths.
 
     A null text deletes the page. A path twice, one outside of the root, or a null path is an error, and nothing is written. overwrite: pages that aren't written are deleted.
     """
@@ -217,30 +274,31 @@ class NotesWriter(DataSourceWriter):
         self.root, self.overwrite, self.journal = options["path"], overwrite, journal.Journal(options["path"])
 
     def write(self, iterator) -> Staged:
-        puts, drops = {}, []
+        lists, steps = [], {}
+
+        def close() -> None:
+            lists.append(self.journal.note(sorted(steps.items(), key=lambda s: journal.in_order(s[0]))))
+            steps.clear()
+
         for row in iterator:
             path = journal.checked(row["path"] or "")
-            if path in puts or path in drops:
+            if path in steps:
                 raise ValueError(f"{path} is written twice")
-            if row["text"] is None:
-                drops.append(path)
-            else:
-                puts[path] = self.journal.stage(row["text"].encode("utf-8"))
-        return Staged(puts, drops)
+            steps[path] = None if row["text"] is None else self.journal.stage(row["text"].encode("utf-8"))
+            if len(steps) >= RUN:
+                close()
+        if steps:
+            close()
+        return Staged(lists)
 
     def commit(self, messages) -> None:
-        puts, drops = {}, []
-        for m in filter(None, messages):
-            for path in [*m.puts, *m.drops]:
-                if path in puts or path in drops:
-                    self.journal.abort()
-                    raise ValueError(f"{path} is written twice")
-            puts |= m.puts
-            drops += m.drops
-        if self.overwrite:
-            drops += [e.path for e in listing(self.root) if e.path not in puts and e.path not in set(drops)]
-        if puts or drops:
-            self.journal.commit(puts, drops)
+        lists = [name for m in messages if m for name in m.lists]
+        if lists or self.overwrite:
+            try:
+                self.journal.commit_lists(lists, (e.path for e in walk(self.root)) if self.overwrite else ())
+            except ValueError:
+                self.journal.abort()
+                raise
 
     def abort(self, messages) -> None:
         self.journal.abort()

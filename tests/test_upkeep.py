@@ -1,6 +1,7 @@
 """Vaults that change: upkeep by changes against full runs, the data source, the journal, and page states in a stream."""
 
 import os
+import pickle
 import random
 import shutil
 import time
@@ -8,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import types as T
 
 from notegraph.operators import fixes, links, rules
 from notegraph.sources import journal, notes, vault
@@ -173,6 +175,41 @@ def test_notes_are_written_all_or_none(spark, tmp_path):
     assert read() == {"ideas/Z.md": "z"}
 
 
+def test_the_driver_holds_neither_paths_nor_entries_of_a_large_vault(tmp_path, monkeypatch):
+    """Messages of writing tasks don't grow with the pages, parts of a reader by few bytes; a path in lists of two tasks is an error, more lists than are read at once are merged, and overwriting goes through them, too."""
+    monkeypatch.setattr(notes, "RUN", 100)
+    monkeypatch.setattr(journal, "OPEN", 3)
+    schema = T.StructType().add("path", "string").add("text", "string")
+    rows = [{"path": f"ideas/sub{i % 3}/P{i}.md" if i % 2 else f"minds/P{i}.md", "text": f"text {i}"} for i in range(2_000)]
+    w = notes.NotesWriter({"path": str(tmp_path)}, schema, False)
+    messages = [w.write(iter(rows[i::4])) for i in range(4)]
+    assert len(pickle.dumps(messages)) < 2_000
+    w.commit([*messages, None])
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*.md")} == {r["path"]: r["text"] for r in rows}
+    parts = notes.NotesReader({"path": str(tmp_path), "partitionBytes": "5000"}).partitions()
+    assert len(pickle.dumps(parts)) < 40 * len(rows) and sorted((e.path for p in parts for e in p.entries), key=lambda p: p.split("/")) == [e.path for e in notes.listing(str(tmp_path))]
+    w = notes.NotesWriter({"path": str(tmp_path)}, schema, False)
+    with pytest.raises(ValueError, match="written twice"):
+        w.commit([w.write(iter(rows[:150])), w.write(iter([{"path": rows[149]["path"], "text": None}]))])
+    assert len(list(tmp_path.rglob("*.md"))) == 2_000 and not any(p.is_file() for p in (tmp_path / journal.HIDDEN).rglob("*"))
+    w = notes.NotesWriter({"path": str(tmp_path)}, schema, True)
+    w.commit([w.write(iter([rows[0], {"path": rows[1]["path"], "text": None}, {"path": "new.md", "text": "n"}]))])
+    assert {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.md")} == {rows[0]["path"], "new.md"}
+
+
+def test_an_intent_of_lists_is_finished_by_the_next_run(tmp_path, monkeypatch):
+    write_all(tmp_path, {"a.md": "old", "b.md": "old", "c.md": "old"})
+    j = journal.Journal(str(tmp_path))
+    lists = [j.note([("a.md", j.stage(b"new a")), ("c.md", None)]), j.note([("d.md", j.stage(b"new d"))])]
+    count = iter(range(10))
+    with monkeypatch.context() as m:
+        m.setattr(journal.Journal, "move", lambda self, *a, f=journal.Journal.move: f(self, *a) if next(count) < 1 else (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError):
+            j.commit_lists(lists)
+    assert journal.recover(str(tmp_path)) == [j.job] and not [*(tmp_path / journal.HIDDEN).iterdir()]
+    assert {p.name: p.read_text() for p in tmp_path.rglob("*.md")} == {"a.md": "new a", "b.md": "old", "d.md": "new d"}
+
+
 @pytest.mark.parametrize("stop", range(5))
 def test_an_intent_is_finished_by_the_next_run(tmp_path, monkeypatch, stop):
     """A stop before any of the steps of a change of four files."""
