@@ -216,6 +216,33 @@ def test_percentiles_of_pairs(spark, monkeypatch):
     assert abs(one(spark, vectors.loose_cosine(F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(1.0))), t=1) - 0.6) < 1e-12
 
 
+def test_similar_pairs_lose_names_and_links_inside_of_the_blocks(spark, monkeypatch):
+    """Links both ways, in all tiles and blocks, of a hub, to oneself and to nothing; above the blocks no pair is joined or shuffled."""
+    monkeypatch.setattr(vectors, "BLOCK", 15)
+    monkeypatch.setattr(vectors, "TILE", 4)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(60, 3))
+    ids = {i: 2**60 + i for i in range(60)}  # not to be held as doubles
+    df = spark.createDataFrame([(ids[i], [float(x) for x in r]) for i, r in enumerate(v)], "name long, vec array<double>")
+    links = [(ids[a], ids[b]) for a, b in rng.integers(0, 60, size=(300, 2)).tolist()] + [(ids[7], ids[i]) for i in range(60)] + [(ids[3], 5), (5, 6), (None, ids[3])]
+    names = df.where("name % 9 <> 4").select("name")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = {(ids[i], ids[j]): float(u[i] @ u[j]) for i in range(60) for j in range(i + 1, 60)}
+    for points, least in ((0.5, -1.0), (0.0, 0.3)):
+        floor = max(np.quantile(list(sims.values()), points), least)
+        want = {p for p, s in sims.items() if s > floor + 1e-12 and all(x % 9 != 4 for x in p) and p not in links and p[::-1] not in links}
+        out = vectors.similar_unlinked(df, spark.createDataFrame(links, "src long, dst long"), names, points, least)
+        rows = out.collect()
+        assert {(r["a"], r["b"]) for r in rows} == want and len(rows) == len(want) and all(abs(r["sim"] - sims[r["a"], r["b"]]) < 1e-9 for r in rows)
+        above = out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[0]
+        assert want and "Join" not in above and "Aggregate" not in above
+    strings = df.select(F.concat(F.lit("D"), "name").alias("name"), "vec")
+    few = {(r["a"], r["b"]) for r in vectors.pairs(strings, without=spark.createDataFrame([(f"D{ids[1]}", f"D{ids[2]}")], "a string, b string")).collect()}
+    assert len(few) == 60 * 59 // 2 - 1 and (f"D{ids[1]}", f"D{ids[2]}") not in few
+    again = vectors.pairs(df.unionByName(df.where(F.col("name") == ids[1])), without=spark.createDataFrame([(ids[1], i) for i in ids.values() if i > ids[1]], "a long, b long"))
+    assert not [r for r in again.collect() if r["a"] == ids[1] != r["b"]]
+
+
 def test_blocks_of_pairs_don_t_grow_in_number(spark, monkeypatch):
     """A vector goes to SIDE pairs of blocks, however many vectors there are; tiles cover each pair once."""
     monkeypatch.setattr(vectors, "BLOCK", 2)
