@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Tables
@@ -97,15 +98,33 @@ def _with_community(links: DataFrame, labels: DataFrame, hubs: bool, *more: str)
     return links.where("not hub").join(of, "b").select(columns).unionByName(few.select(columns))
 
 
+#: Rounds after which turns come again.
+TURNS = 62
+
+
+def _turns() -> Column:
+    """A bit for each round: whether a node waits in it."""
+    bits = [F.shiftleft(F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)), i) for i in range(TURNS)]
+    return reduce(Column.bitwiseOR, bits)
+
+
+def _held(links: DataFrame) -> DataFrame:
+    """links kept where their b belongs, in order of b: a round then deals out labels and sums only, and doesn't sort links. To be unpersisted."""
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = links.repartition(parts, "b").sortWithinPartitions("b").persist()
+    held.count()  # only once they are there does the planner know where they are
+    return held
+
+
 def _moves(tables: Tables, links: DataFrame, nodes: DataFrame, total: int, rounds: int, least: float) -> tuple[DataFrame, float]:
     """(labels, their modularity): rounds of simultaneous moves, each node to the neighbouring community with the greatest gain.
 
-    nodes: (name, community, k, loops, hub) of degrees and twice the inner weight. So that neighbours don't swap places, a node that is alone joins
+    links: as _held() gives them, since each round joins them by b. nodes: (name, community, k, loops, hub, turns) of degrees and twice the inner weight. So that neighbours don't swap places, a node that is alone joins
     another lonely one of a lesser name only, and half of the nodes wait, by hashes of name and round. A round's modularity follows
     from what it reads, so the best labels are known; it ends after three rounds that gain less than `least`, and gives the best.
     """
     hubs = nodes.where("hub").limit(1).count() > 0
-    columns = ["name", "community", "k", "loops", "hub"]
+    columns = ["name", "community", "k", "loops", "hub", "turns"]
     labels, best, best_q, idle = nodes, nodes, -1.0, 0
     for i in range(rounds + 1):
         tot = labels.groupBy("community").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
@@ -113,18 +132,18 @@ def _moves(tables: Tables, links: DataFrame, nodes: DataFrame, total: int, round
         own = full.select(F.col("name").alias("a"), F.col("community").alias("cb"), F.lit(0).cast("long").alias("w"), "tot", "n")
         near = _with_community(links, full, hubs, "tot", "n").unionByName(own).repartition("a")  # all that follows is by a
         near = near.groupBy("a", "cb").agg(F.sum("w").alias("w"), F.any_value("tot").alias("tot"), F.any_value("n").alias("n"))
-        cand = near.join(full.select(F.col("name").alias("a"), F.col("community").alias("ca"), "k", "loops", "hub", F.col("n").alias("own_n")), "a")
+        cand = near.join(full.select(F.col("name").alias("a"), F.col("community").alias("ca"), "k", "loops", "hub", "turns", F.col("n").alias("own_n")), "a")
         same = F.col("ca") == F.col("cb")
         cand = cand.withColumn("gain", F.col("w") - F.col("k").cast("double") * (F.col("tot") - F.when(same, F.col("k")).otherwise(0)) / total)
         swap = (F.col("own_n") == 1) & (F.col("n") == 1) & (F.col("cb") > F.col("ca"))
         cand = cand.withColumn("open", F.when(~swap, F.col("gain")))
         picked = cand.groupBy(F.col("a").alias("name")).agg(
             F.min_by(F.when(F.col("open").isNotNull(), F.col("cb")), F.struct(F.coalesce(-F.col("open"), F.lit(float("inf"))).alias("g"), "cb")).alias("to"), F.max("open").alias("gain"), F.max(F.when(same, F.col("gain"))).alias("stay"), F.max(F.when(same, F.col("w"))).alias("inner_w"),
-            *[F.any_value(c).alias(c) for c in ("ca", "k", "loops", "hub")],
+            *[F.any_value(c).alias(c) for c in ("ca", "k", "loops", "hub", "turns")],
         )
-        turn = F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)) == 0
+        turn = F.shiftright("turns", i % TURNS).bitwiseAND(1) == 0
         better = F.col("gain") > F.col("stay") + 1e-12
-        nxt = tables.write(picked.select("name", F.when(turn & better, F.col("to")).otherwise(F.col("ca")).alias("community"), "k", "loops", "hub", F.col("ca").alias("was"), (F.col("inner_w") + F.col("loops")).alias("inner_w"), better.alias("open")))
+        nxt = tables.write(picked.select("name", F.when(turn & better, F.col("to")).otherwise(F.col("ca")).alias("community"), "k", "loops", "hub", "turns", F.col("ca").alias("was"), (F.col("inner_w") + F.col("loops")).alias("inner_w"), better.alias("open")))
         by = nxt.groupBy("was").agg(F.sum("k").cast("double").alias("tot"), F.sum("inner_w").alias("inner_w"), F.count_if("open").alias("open"))
         inner, squares, open_ = by.agg(F.sum("inner_w"), F.sum(F.col("tot") * F.col("tot")), F.sum("open")).first()
         q = inner / total - squares / total / total
@@ -147,7 +166,7 @@ def louvain_rounds(edges: DataFrame, levels: int = 10, rounds: int = 24, least:
 
     A community is named by one of its nodes. Weights are whole numbers and ties go to the least name, so that the result doesn't depend on how the
     rows are dealt out. Nodes of the last level move once more one by one. No task and no driver sees the whole graph: each round joins links to
-    labels and sums by node and community; a hub's links stay where they are. Once communities have FEW links or less between them (both directions),
+    labels and sums by node and community; links stay where they are, a hub's too. Once communities have FEW links or less between them (both directions),
     one task merges them further, as louvain does. Tables of finished rounds are deleted.
     """
     spark = edges.sparkSession
@@ -158,6 +177,13 @@ def louvain_rounds(edges: DataFrame, levels: int = 10, rounds: int = 24, least:
     total = both.count()
     if not total:
         return both.select(F.col("a").alias("name"), F.col("a").alias("community"))
+    # Numbers in the order of names: all rounds compare and shuffle these, with the moves that the names would give.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = both.select(F.col("a").alias("name")).distinct().repartitionByRange(parts, "name").sortWithinPartitions("name")
+    known = tables.write(known.select("name", F.monotonically_increasing_id().alias("id"), _turns().alias("turns")))
+    of = lambda c: known.select(F.col("name").alias(c), F.col("id").alias(f"_{c}"))
+    both = tables.write(both.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "w"))
+    turns = known.select(F.col("id").alias("name"), "turns")
 
     def level(links: DataFrame, loops: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """(links with hub of b, nodes each in a community of its own)."""
@@ -166,9 +192,9 @@ def louvain_rounds(edges: DataFrame, levels: int = 10, rounds: int = 24, least:
             k = k.join(loops, "name", "full_outer")
         loops_ = F.coalesce("loops", F.lit(0)) if loops is not None else F.lit(0)
         k = k.select("name", F.col("name").alias("community"), (F.coalesce("out", F.lit(0)) + loops_).cast("long").alias("k"), loops_.cast("long").alias("loops"))
-        nodes = tables.write(k.withColumn("hub", F.col("k") * HUB_PART > total))
+        nodes = tables.write(k.join(turns, "name").withColumn("hub", F.col("k") * HUB_PART > total))
         hubs = nodes.where("hub").select(F.col("name").alias("b"), F.lit(True).alias("hub"))  # at most HUB_PART
-        return tables.write(links.join(F.broadcast(hubs), "b", "left").select("a", "b", "w", F.coalesce("hub", F.lit(False)).alias("hub"))), nodes
+        return _held(tables.write(links.join(F.broadcast(hubs), "b", "left").select("a", "b", "w", F.coalesce("hub", F.lit(False)).alias("hub")))), nodes
 
     links, nodes = first, first_nodes = level(both, None)
     part, q = None, -1.0
@@ -186,14 +212,19 @@ def louvain_rounds(edges: DataFrame, levels: int = 10, rounds: int = 24, least:
         loops = merged.where("a = b").select(F.col("a").alias("name"), F.col("w").alias("loops"))
         old = labels.groupBy(F.col("community").alias("name")).agg(F.sum("loops").alias("before"))
         loops = old.join(loops, "name", "left").select("name", (F.col("before") + F.coalesce("loops", F.lit(0))).alias("loops"))
+        if links is not first:
+            links.unpersist()
         between = merged.where("a <> b")
         if between.count() <= FEW:
             part, q = tables.write(_merged(part, between, loops, total)), new_q  # no worse than before
             break
         links, nodes = level(between, loops)
-    start = first_nodes.drop("community").join(part, "name").select("name", "community", "k", "loops", "hub")
+    start = first_nodes.drop("community").join(part, "name").select("name", "community", "k", "loops", "hub", "turns")
     fine, fine_q = _moves(tables, first, tables.write(start), total, rounds, least)
-    out = tables.write((fine if fine_q > q else part).select("name", "community"))
+    part = (fine if fine_q > q else part).select(F.col("name").alias("_name"), F.col("community").alias("_community"))
+    out = tables.write(part.join(of("name"), "_name").join(of("community"), "_community").select("name", "community"))
+    for df in (links, first):
+        df.unpersist()
     tables.drop_all(out)
     return out
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from notegraph import session
 from notegraph.operators import communities, dashboard, layout, links, metrics, vectors
 from notegraph.plans import bases
 from notegraph.sources import containers, history, indexes, vault
@@ -271,6 +272,30 @@ def quality(edges, part):
     return sum(inner[c] / m - (deg[c] / 2 / m) ** 2 for c in deg)
 
 
+def test_rounds_neither_deal_out_links_nor_compare_names(spark, monkeypatch):
+    """A round's join takes links as they are held, and its labels are numbers in the order of names."""
+    rows = [(f"n{i}", f"n{(i + d) % 40}") for i in range(40) for d in (1, 2, 7)]
+    seen, real = [], session.Tables.write
+
+    def write(self, df):
+        if "was" in df.columns:  # labels after a round
+            seen.append((df.schema["name"].dataType.simpleString(), df._jdf.queryExecution().executedPlan().toString()))
+        return real(self, df)
+
+    monkeypatch.setattr(session.Tables, "write", write)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["name"]: r["community"] for r in communities.louvain_rounds(spark.createDataFrame(rows, "a string, b string"), rounds=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(got) == {f"n{i}" for i in range(40)} and set(got.values()) <= set(got)
+    assert seen and all(kind == "bigint" for kind, _ in seen)
+    for _, plan in seen:
+        by_b = [x for x in plan.splitlines() if "Exchange hashpartitioning(b#" in x and "ENSURE_REQUIREMENTS" in x]
+        assert "InMemoryTableScan" in plan and len(by_b) == 1  # the labels
+
+
 def test_louvain_by_rounds_is_as_good_as_in_one_task(spark):
     rng = np.random.default_rng(3)
     edges = {(f"n{a:03d}", f"n{b:03d}") for g in range(8) for a, b in rng.integers(0, 30, (150, 2)) + 30 * g if a < b} | {(f"n{a:03d}", f"n{b:03d}") for a, b in rng.integers(0, 240, (120, 2)) if a < b}
